@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.session import workers_import
 
 #: Rows of an Arrow batch: texts can be long, so batches stay short and a worker's memory bounded.
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ def prepare(spark: SparkSession) -> None:
     """What every operator with Python workers needs: short Arrow batches and importable modules."""
     workers_import(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -16,6 +16,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.tokenfiles import token_files
+
+    return token_files(table(spark, sf_dir, "documents"))
+
+
+def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.golay import near_duplicates
 
