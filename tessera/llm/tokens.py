@@ -29,6 +29,15 @@ def _odd(unit: str) -> bool:
     return not word or word[0].isspace() or word[-1].isspace()
 
 
+def _strings(units) -> list[str]:
+    """An Arrow array of strings without spaces as a list: joined, read once and cut again."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    whole = pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units.cast(pa.string()))
+    return pc.binary_join(whole, " ")[0].as_py().split(" ") if len(units) else []
+
+
 class Encoder:
     """Encodes whole texts; special tokens' strings in a text are ordinary text.
 
@@ -115,7 +124,7 @@ class Encoder:
         at = split.offsets.to_numpy()
         coded = split.values.slice(int(at[0]), int(at[-1] - at[0])).dictionary_encode()
         at = at - at[0]
-        codes, units = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        codes, units = coded.indices.to_numpy(zero_copy_only=False), _strings(coded.dictionary)
         begun, self.fresh = (self.count, self.used), []
         rows = self._find(units)
         row = rows[codes]
