@@ -22,12 +22,24 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.cascade import figures
+
+    return figures(table(spark, sf_dir, "documents"))
+
+
 def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.semicrf import detect
+
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.golay import near_duplicates
 
@@ -82,5 +94,32 @@ FROM drawn d JOIN seeds s ON d.source IS NOT DISTINCT FROM s.source
 """
 
 
+_OP5 = r"""
+WITH base AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), pos AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM base WHERE len(w) > 2)
+), often AS (
+  SELECT rid, g FROM pos GROUP BY rid, g HAVING count(*) > 1
+), rep AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT pos.rid, unnest([i, i + 1, i + 2]) AS p FROM pos JOIN often ON pos.rid = often.rid AND pos.g = often.g) GROUP BY rid
+), ln AS (
+  SELECT rid, unnest(string_split(t, chr(10))) AS l FROM base
+), dup AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid
+), fig AS (
+  SELECT b.doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(dup.n_lines, 0) AS n_lines, len(regexp_replace(t, '[^!]', '', 'g')) AS bangs, len(regexp_replace(t, '[^A-Z]', '', 'g')) AS uppers, len(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
+  FROM base b LEFT JOIN rep ON b.rid = rep.rid LEFT JOIN dup ON b.rid = dup.rid
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    10 * n_symbols > n_words OR 10 * uppers > 4 * letters OR 10 * bangs > 3 * n_words OR 2 * n_dup_lines > n_lines
+    OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS rejected FROM fig
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR rejected) AS kept FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": _OP3}
+    return {"op3_mix_sources": _OP3, "op5_quality_cascade": _OP5}
