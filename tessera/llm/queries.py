@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 
+def op1_chat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import digests, format_turns
+
+    said = "\\### Assistant: </turn> ok"
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return digests(format_turns(own.unionByName(more)))
+
+
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.capfilters import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
 
@@ -28,6 +43,18 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.kneser import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.subword import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
@@ -121,5 +148,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+_OP1 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN len(text) END), 0)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(15 + len(role) + len(regexp_extract_all(role, '[\\:\n]')) + len(text) + len(regexp_extract_all(text, '### |</turn>')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+#: All pairs of a label, for small scales; components by reaching the least id step by step.
+_OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), comp AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), deg AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT m.vec_id, coalesce(deg.n, 0)::BIGINT AS n_links, comp.component_id, m.vec_id = comp.component_id AS kept
+FROM embeddings m JOIN comp ON m.vec_id = comp.a LEFT JOIN deg ON m.vec_id = deg.a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": _OP3, "op5_quality_cascade": _OP5}
+    return {"op1_chat_roundtrip": _OP1, "op2_cap_filters": _OP2, "op3_mix_sources": _OP3, "op5_quality_cascade": _OP5}
