@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, prepare
+from tessera.llm.common import only, prepare, released
 from tessera.llm.components import components
 from tessera.session import materialize
 
@@ -247,15 +247,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, split: int =
     distinct = distinct.join(classes, "label").withColumn("nid", F.monotonically_increasing_id())
     distinct = materialize(distinct.select("nid", "class", "label", "embedding", "copies", "least"), "cap-vectors")
     members = distinct.groupBy("class").count().agg(F.max("count")).first()[0] or 0
-    counted = distinct.select("class", "embedding").mapInArrow(_filtered(members, False), "filter bigint, class bigint")
+    counted = distinct.select("class", "embedding").mapInArrow(released(_filtered(members, False)), "filter bigint, class bigint")
     large = materialize(counted.groupBy("class", "filter").count().where(F.col("count") > split).withColumnRenamed("count", "held"), "cap-large")
-    wide = distinct.select("nid", "class", "copies", "embedding").mapInArrow(_filtered(members, True), "filter bigint, class bigint, nid bigint, copies bigint, embedding array<double>")
+    wide = distinct.select("nid", "class", "copies", "embedding").mapInArrow(released(_filtered(members, True)), "filter bigint, class bigint, nid bigint, copies bigint, embedding array<double>")
     parts = F.coalesce(F.ceil(F.col("held") / F.lit(split / 2)), F.lit(1)).cast("long")
     wide = wide.join(large, ["class", "filter"], "left").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("parts")))
     wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     wide = wide.select("class", "filter", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "nid", "copies", "block", "embedding")
     sorted_ = wide.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
-    found = materialize(sorted_.mapInArrow(_verified(members, threshold), "kind int, a bigint, b bigint"), "cap-links")
+    found = materialize(sorted_.mapInArrow(released(_verified(members, threshold)), "kind int, a bigint, b bigint"), "cap-links")
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 1").select("a", "b"))
     placed = distinct.join(links, F.col("nid") == F.col("a"), "left").join(roots, F.col("nid") == F.col("node"), "left")

@@ -15,7 +15,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import only, prepare, texts
+from tessera.llm.common import only, prepare, released, texts
 
 #: Documents at most on which costs and rejections are measured.
 SAMPLE = 1000
@@ -166,7 +166,7 @@ def figures(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     order = order or learn_order(docs)
     schema = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean"
     slim = only(docs, "doc_id", "text")
-    return slim.select(slim["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_figures(order), schema)
+    return slim.select(slim["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(released(_figures(order)), schema)
 
 
 def _stay(order: list[str]):
@@ -182,4 +182,4 @@ def _stay(order: list[str]):
 def keep(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The documents that no rule rejects, with all their columns; each text stops at its first rejection."""
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_stay(order or learn_order(docs)), docs.schema)
+    return docs.mapInArrow(released(_stay(order or learn_order(docs))), docs.schema)

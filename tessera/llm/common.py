@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.session import workers_import
 
 #: Rows of an Arrow batch: texts can be long, so batches stay short and a worker's memory bounded.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 5 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +31,29 @@ def texts(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b if b is not None else b"" for b in column.cast(pa.large_binary()).to_pylist()]
+
+
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the machine; Python workers live on for later tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def released(run):
+    """A function over Arrow batches that releases memory at its end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, prepare, texts
+from tessera.llm.common import only, prepare, released, texts
 from tessera.llm.components import components
 from tessera.session import materialize
 
@@ -160,11 +160,11 @@ def _links(batches):
 
 def near_links(distinct: DataFrame, cap: int = CAP) -> DataFrame:
     """Links (a, b) that span the components of distinct fingerprints (column fp) at up to two differing bits."""
-    keyed = distinct.select("fp").mapInArrow(_keyed, "key bigint, fp bigint")
+    keyed = distinct.select("fp").mapInArrow(released(_keyed), "key bigint, fp bigint")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     several = materialize(keyed.join(shared, "key"), "golay-keys")
     small = several.where(F.col("members") <= cap).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    links = small.select("fps").mapInArrow(_links, "a bigint, b bigint")
+    links = small.select("fps").mapInArrow(released(_links), "a bigint, b bigint")
     around = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(-(1 << 63) if i == 63 else 1 << i)) for i in range(BITS)]
     hot = several.where(F.col("members") > cap).select("fp").distinct().select("fp", F.explode(F.array(*around)).alias("mid"))
     stars = hot.groupBy("mid").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
@@ -176,7 +176,7 @@ def simhash(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp) of every document, written once; text_hash tells repeated ids with other texts apart."""
     prepare(docs.sparkSession)
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return materialize(slim.mapInArrow(_fingerprints, "doc_id bigint, text_hash bigint, fp bigint"), "simhash")
+    return materialize(slim.mapInArrow(released(_fingerprints), "doc_id bigint, text_hash bigint, fp bigint"), "simhash")
 
 
 def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, prepare, texts
+from tessera.llm.common import only, prepare, released, texts
 from tessera.session import scratch
 
 #: Bigrams of a counting chunk, bigrams that a shard is laid out for, and its greatest number of shards.
@@ -302,9 +302,9 @@ def build(docs: DataFrame) -> Model:
     bits = min(SHARDS.bit_length() - 1, max(0, int(np.ceil(np.log2(max(1, chars / 6 / SHARD_BIGRAMS))))))
     folder = _local(scratch(spark, "kneser"))
     os.makedirs(folder)
-    counted = slim.mapInArrow(_count(bits), _schema(_COUNTED))
-    seen = _by_shard(counted, 1 << bits).mapInArrow(_write_bigrams(folder, bits), _schema(_SEEN))
-    facts = _by_shard(seen, 1 << bits).mapInArrow(_write_words(folder), ", ".join(f"{f} bigint" for f in _FACTS)).collect()
+    counted = slim.mapInArrow(released(_count(bits)), _schema(_COUNTED))
+    seen = _by_shard(counted, 1 << bits).mapInArrow(released(_write_bigrams(folder, bits)), _schema(_SEEN))
+    facts = _by_shard(seen, 1 << bits).mapInArrow(released(_write_words(folder)), ", ".join(f"{f} bigint" for f in _FACTS)).collect()
     n = np.zeros(4, dtype=np.int64)
     for shard in range(1 << bits):
         path = os.path.join(folder, f"sizes-{shard}.npy")
@@ -342,5 +342,5 @@ def score(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     model = build(slim.where(~held_out(F.col("doc_id"))))
-    out = slim.mapInArrow(_scored(model), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = slim.mapInArrow(released(_scored(model)), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import prepare
+from tessera.llm.common import prepare, released
 from tessera.llm.tokenfiles import in_order
 from tessera.llm.tokens import default_path, encoder, sentence_tables
 
@@ -159,4 +159,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, size: i
     gives none. Further columns are not read. A task holds a block of tokens and the documents it cuts, at most.
     """
     prepare(docs.sparkSession)
-    return in_order(docs).mapInArrow(_pack(tokenizer or default_path(), end_id, size, block), ", ".join(f"{c} bigint" for c in COLUMNS))
+    return in_order(docs).mapInArrow(released(_pack(tokenizer or default_path(), end_id, size, block)), ", ".join(f"{c} bigint" for c in COLUMNS))

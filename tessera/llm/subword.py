@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, prepare, texts
+from tessera.llm.common import only, prepare, released, texts
 
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
 #: Labelled texts at most that training takes, those of the least hash of their id; and how it steps.
@@ -145,7 +145,7 @@ def scored(docs: DataFrame, table: np.ndarray) -> DataFrame:
     """(doc_id, score) of every whole text; null text counts as empty. Null and repeated doc_ids keep a row each."""
     prepare(docs.sparkSession)
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(_scored(table), "doc_id bigint, score double")
+    return slim.mapInArrow(released(_scored(table)), "doc_id bigint, score double")
 
 
 def held_out(doc_id) -> F.Column:

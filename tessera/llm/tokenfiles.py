@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import only, prepare
+from tessera.llm.common import only, prepare, released
 from tessera.llm.tokens import default_path, encoder
 from tessera.session import materialize, scratch
 
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     writes an empty file set. Further columns are not read. part_start counts the ids before the document in its file.
     """
     prepare(docs.sparkSession)
-    rows = in_order(docs).mapInArrow(_encode(tokenizer or default_path(), end_id), "doc_id bigint, n_tokens bigint, part_start bigint, ids array<int>")
+    rows = in_order(docs).mapInArrow(released(_encode(tokenizer or default_path(), end_id)), "doc_id bigint, n_tokens bigint, part_start bigint, ids array<int>")
     rows.write.options(**(LAYOUT | (layout or {}))).parquet(path)
 
 
@@ -97,4 +97,4 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2)
     spark = docs.sparkSession
     path = scratch(spark, "token-files")
     write_tokens(docs, path, tokenizer, end_id)
-    return read_tokens(spark, path, "ids").mapInArrow(_checksums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read_tokens(spark, path, "ids").mapInArrow(released(_checksums), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -13,9 +13,9 @@ from itertools import repeat
 
 import numpy as np
 
-#: Units remembered per worker process and the longest one remembered (bounds the memo to some 200 MB), and new units
+#: Units remembered per worker process and the longest one remembered (bounds the memo to some 150 MB), and new units
 #: encoded in one call.
-MEMO_UNITS, MEMO_LENGTH, TOGETHER = 900_000, 40, 1000
+MEMO_UNITS, MEMO_LENGTH, TOGETHER = 800_000, 40, 1000
 
 
 def default_path() -> str:
@@ -52,7 +52,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.rows: dict[str, int] = {}
         self.count, self.used = 0, 0
-        self.fresh: list[tuple[str, int]] = []
+        self.fresh: list[tuple[list[str], list[int]]] = []
         self.flat = np.empty(1 << 16, dtype="<u4")
         self.start, self.size, self.odd = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.empty(1 << 14, bool)
         self.line_end = self.ids("\n")
@@ -100,7 +100,7 @@ class Encoder:
         for kind, own in enumerate(groups):
             if own:
                 found[own] = self.count + np.arange(len(own))
-                self.fresh += zip([units[i] for i in own], found[own].tolist(), strict=True)
+                self.fresh.append(([units[i] for i in own], found[own].tolist()))
                 if kind == 3:
                     self._add(np.empty(0, "<u4"), np.zeros(len(own), np.int64), True)
                     continue
@@ -135,14 +135,21 @@ class Encoder:
         size = self.size[row]
         counts = np.add.reduceat(size, at[:-1]) if n else np.empty(0, np.int64)
         odd = np.flatnonzero(np.add.reduceat(self.odd[row].astype(np.int64), at[:-1])) if n else []
-        starts = self.start[row]
-        ids = self.flat[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        total = int(size.sum())
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        at_ids = np.repeat((self.start[row] - (np.cumsum(size) - size)).astype(kind), size)
+        at_ids += np.arange(total, dtype=kind)
+        ids = self.flat[at_ids]
         if len(odd):
             bounds, whole = np.concatenate([[0], np.cumsum(counts)]), {i: self.ids(column[i].as_py()) for i in odd.tolist()}
             ids = np.concatenate([whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(n)])
             counts = np.array([len(whole[i]) if i in whole else counts[i] for i in range(n)], dtype=np.int64)
         if self.count <= MEMO_UNITS:
-            self.rows.update((u, r) for u, r in self.fresh if len(u) <= MEMO_LENGTH)
+            for new, rows_of in self.fresh:
+                self.rows.update(zip(new, rows_of, strict=True))
+                for u in new:
+                    if len(u) > MEMO_LENGTH:
+                        del self.rows[u]
         else:
             self.count, self.used = begun  # this batch's new units are forgotten
         if tail:
