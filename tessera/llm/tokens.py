@@ -13,9 +13,10 @@ from itertools import repeat
 
 import numpy as np
 
-#: Units remembered per worker process and the longest one remembered (bounds the memo to some 150 MB), and new units
-#: encoded in one call.
-MEMO_UNITS, MEMO_LENGTH, TOGETHER = 800_000, 40, 1000
+#: Units remembered per worker process (some 50 MB) and new units encoded in one call.
+MEMO_UNITS, TOGETHER = 1_000_000, 1000
+#: A remembered unit has at most this many bytes: three words of eight bytes hold it whole, with its length and kind.
+MEMO_BYTES = 23
 
 
 def default_path() -> str:
@@ -38,11 +39,73 @@ def _strings(units) -> list[str]:
     return pc.binary_join(whole, " ")[0].as_py().split(" ") if len(units) else []
 
 
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def _keys(units) -> tuple[np.ndarray, np.ndarray]:
+    """(n by 3 words, whether the unit fits) of an Arrow array of large strings: the bytes themselves and the length."""
+    offsets = np.frombuffer(units.buffers()[1], dtype=np.int64)[units.offset : units.offset + len(units) + 1]
+    data = units.buffers()[2]
+    raw = np.concatenate([np.frombuffer(data, dtype=np.uint8)[: offsets[-1]] if data else np.empty(0, np.uint8), np.zeros(32, np.uint8)])
+    eight = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))  # the eight bytes from every place on
+    size = np.diff(offsets)
+    fits = size <= MEMO_BYTES
+    keys = np.empty((len(size), 3), dtype=np.uint64)
+    for k in range(3):
+        keys[:, k] = eight[np.minimum(offsets[:-1] + 8 * k, len(raw) - 8)] & _MASKS[np.clip(size - 8 * k, 0, 8)]
+    keys[fits, 2] |= size[fits].astype(np.uint64) << np.uint64(56)
+    return keys, fits
+
+
+class _Table:
+    """Rows by key: open addressing over arrays, looked up and filled many keys at a time."""
+
+    def __init__(self, most: int) -> None:
+        self.slots = np.full(1 << (2 * most - 1).bit_length(), -1, dtype=np.int32)
+        self.keys = np.empty((1 << 12, 3), dtype=np.uint64)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        h = (keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (keys[:, 2] * np.uint64(0x165667B19E3779F9))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(30)).astype(np.int64) & (len(self.slots) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        rows = np.full(len(keys), -1, dtype=np.int64)
+        at, open_ = self._start(keys), np.arange(len(keys))
+        while len(open_):
+            there = self.slots[at[open_]]
+            taken = there >= 0
+            open_, there = open_[taken], there[taken]
+            same = (self.keys[there] == keys[open_]).all(1)
+            rows[open_[same]] = there[same]
+            open_ = open_[~same]
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+        return rows
+
+    def put(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Add keys that are distinct and not there yet."""
+        if len(rows) and rows.max() >= len(self.keys):
+            more = np.empty((max(2 * len(self.keys), int(rows.max()) + 1), 3), dtype=np.uint64)
+            more[: len(self.keys)] = self.keys
+            self.keys = more
+        self.keys[rows] = keys
+        at, open_ = self._start(keys), np.arange(len(keys))
+        while len(open_):
+            free = self.slots[at[open_]] < 0
+            self.slots[at[open_[free]]] = rows[open_[free]]
+            open_ = open_[self.slots[at[open_]] != rows[open_]]
+            at[open_] = (at[open_] + 1) & (len(self.slots) - 1)
+
+
+#: The kind of a unit that begins a text, beside its length in a key; units after a line end begin with it.
+_FIRST = np.uint64(1 << 62)
+
+
 class Encoder:
     """Encodes whole texts; special tokens' strings in a text are ordinary text.
 
-    ``rows`` gives for a unit where its ids lie in ``flat``: units that follow a space under the word itself, units that
-    follow a line end with that in front, and the first of a text behind a zero byte.
+    ``table`` gives a unit's row, ``start`` and ``size`` where its ids lie in ``flat``. A unit stands for a space and the
+    word, for a line end and the word, or for the word that begins a text.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,11 +113,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.rows: dict[str, int] = {}
+        self.table = _Table(MEMO_UNITS)
         self.count, self.used = 0, 0
-        self.fresh: list[tuple[list[str], list[int]]] = []
         self.flat = np.empty(1 << 16, dtype="<u4")
-        self.start, self.size, self.odd = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.empty(1 << 14, bool)
+        self.start, self.size, self.odd = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32), np.empty(1 << 14, bool)
         self.line_end = self.ids("\n")
 
     def ids(self, text: str) -> np.ndarray:
@@ -90,24 +152,30 @@ class Encoder:
         self.used += len(ids)
         self.count += more
 
-    def _find(self, units: list[str]) -> np.ndarray:
-        """The rows of distinct units; new ones are added."""
-        found = np.fromiter(map(self.rows.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+    def _find(self, units, keys: np.ndarray, fits: np.ndarray, first: bool, fresh: list) -> np.ndarray:
+        """The rows of distinct units; new ones are added, and noted in fresh to be remembered."""
+        found = np.full(len(units), -1, dtype=np.int64)
+        found[fits] = self.table.find(keys[fits])
+        new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        names = _strings(units.take(new))
         groups: tuple[list, ...] = ([], [], [], [])  # after a space, after a line end, first of a text, odd
-        for i in np.flatnonzero(found < 0).tolist():
-            unit = units[i]
-            groups[3 if _odd(unit.removeprefix("\0")) else 1 if unit[0] == "\n" else 2 if unit[0] == "\0" else 0].append(i)
+        for i, unit in enumerate(names):
+            groups[3 if _odd(unit) else 1 if unit[0] == "\n" else 2 if first else 0].append(i)
         for kind, own in enumerate(groups):
             if own:
-                found[own] = self.count + np.arange(len(own))
-                self.fresh.append(([units[i] for i in own], found[own].tolist()))
+                place = new[own]
+                found[place] = self.count + np.arange(len(own))
                 if kind == 3:
                     self._add(np.empty(0, "<u4"), np.zeros(len(own), np.int64), True)
-                    continue
-                ids, sizes = self._learn([units[i][1:] for i in own] if kind else [" " + units[i] for i in own])
-                if kind == 1:
-                    ids, sizes = np.insert(ids, np.cumsum(sizes) - sizes, self.line_end[0]) if len(self.line_end) == 1 else ids, sizes + 1
-                self._add(ids, sizes)
+                else:
+                    ids, sizes = self._learn([names[i][kind == 1 :] for i in own] if kind else [" " + names[i] for i in own])
+                    if kind == 1:
+                        ids, sizes = np.insert(ids, np.repeat(np.cumsum(sizes) - sizes, len(self.line_end)), np.tile(self.line_end, len(own))), sizes + len(self.line_end)
+                    self._add(ids, sizes)
+                kept = place[fits[place]]
+                fresh.append((keys[kept], found[kept]))
         return found
 
     def encode_batch(self, column, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -124,20 +192,22 @@ class Encoder:
         at = split.offsets.to_numpy()
         coded = split.values.slice(int(at[0]), int(at[-1] - at[0])).dictionary_encode()
         at = at - at[0]
-        codes, units = coded.indices.to_numpy(zero_copy_only=False), _strings(coded.dictionary)
-        begun, self.fresh = (self.count, self.used), []
-        rows = self._find(units)
+        codes, units = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        begun, fresh = (self.count, self.used), []
+        keys, fits = _keys(units)
+        rows = self._find(units, keys, fits, False, fresh)
         row = rows[codes]
-        firsts = [units[c] for c in codes[at[:-1]]]
-        names = list(dict.fromkeys("\0" + u if u[:1] != "\n" else u for u in firsts))
-        where = dict(zip(names, self._find(names).tolist(), strict=True))
-        row[at[:-1]] = [where["\0" + u if u[:1] != "\n" else u] for u in firsts]
+        if n:
+            which, back = np.unique(codes[at[:-1]], return_inverse=True)  # distinct units that begin a text
+            own, own_fits = keys[which], fits[which]
+            own[own_fits & (own[:, 0] & np.uint64(255) != 10), 2] |= _FIRST
+            row[at[:-1]] = self._find(units.take(pa.array(which)), own, own_fits, True, fresh)[back]
         size = self.size[row]
-        counts = np.add.reduceat(size, at[:-1]) if n else np.empty(0, np.int64)
-        odd = np.flatnonzero(np.add.reduceat(self.odd[row].astype(np.int64), at[:-1])) if n else []
+        counts = np.add.reduceat(size, at[:-1], dtype=np.int64) if n else np.empty(0, np.int64)
+        odd = np.unique(np.searchsorted(at, np.flatnonzero(self.odd[row]), side="right") - 1)
         total = int(size.sum())
         kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
-        at_ids = np.repeat((self.start[row] - (np.cumsum(size) - size)).astype(kind), size)
+        at_ids = np.repeat((self.start[row] - (np.cumsum(size, dtype=np.int64) - size)).astype(kind), size)
         at_ids += np.arange(total, dtype=kind)
         ids = self.flat[at_ids]
         if len(odd):
@@ -145,11 +215,8 @@ class Encoder:
             ids = np.concatenate([whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(n)])
             counts = np.array([len(whole[i]) if i in whole else counts[i] for i in range(n)], dtype=np.int64)
         if self.count <= MEMO_UNITS:
-            for new, rows_of in self.fresh:
-                self.rows.update(zip(new, rows_of, strict=True))
-                for u in new:
-                    if len(u) > MEMO_LENGTH:
-                        del self.rows[u]
+            for new, rows_of in fresh:
+                self.table.put(new, rows_of)
         else:
             self.count, self.used = begun  # this batch's new units are forgotten
         if tail:
