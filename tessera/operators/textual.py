@@ -1,0 +1,199 @@
+"""Text operators over rows of lines: chunking, line search, doc comments, Markdown repairs, look-ups by name."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.text import highlight, lines
+
+
+def doc_comments(files: DataFrame) -> DataFrame:
+    """(path, line, doc): runs of /// lines joined, with the number of the line below."""
+    each = files.select("path", F.posexplode(lines(F.col("body"))).alias("i", "text"))
+    marked = each.withColumn("is_doc", F.rlike("text", F.lit(r"^\s*///"))).withColumn("t", F.regexp_extract("text", r"^\s*///\s?(.*)$", 1))
+    run = F.col("i") - F.row_number().over(Window.partitionBy("path", "is_doc").orderBy("i"))
+    grouped = marked.withColumn("run", run).where("is_doc").groupBy("path", "run").agg(F.max("i").alias("last"), F.array_sort(F.collect_list(F.struct("i", "t"))).alias("all"))
+    return grouped.select("path", (F.col("last") + 2).cast("long").alias("line"), F.array_join(F.transform("all", lambda x: x["t"]), " ").alias("doc"))
+
+
+def dependency_files(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, path): the first candidate path that exists, else the first file with that stem."""
+    direct = candidates.join(files, F.col("candidate") == F.col("path")).select("name", "path", F.col("way").cast("long").alias("way"))
+    stems = files.select("path", F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("name"))
+    by_stem = candidates.select("name").distinct().join(stems, "name").groupBy("name").agg(F.min("path").alias("path")).select("name", "path", F.lit(99).cast("long").alias("way"))
+    return direct.unionByName(by_stem).groupBy("name").agg(F.min_by("path", "way").alias("path"))
+
+
+def suggestions(words: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, suggestion, distance): the nearest name within one edit for short words and two for others.
+
+    Names are a surface's few commands and words what a user typed, so every word meets every name.
+    """
+    pairs = words.join(F.broadcast(names)).withColumn("distance", F.levenshtein("word", "tool"))
+    near = pairs.where(F.col("distance") <= F.when(F.length("word") <= 4, 1).otherwise(2))
+    best = near.groupBy("word").agg(F.min(F.struct("distance", "tool")).alias("b"))
+    return best.select("word", F.col("b.tool").alias("suggestion"), F.col("b.distance").cast("long").alias("distance"))
+
+
+# ---- line search
+
+
+def line_search(files: DataFrame, query: str) -> DataFrame:
+    """(path, line_no, content, highlighted, before, after, line_score) of the lines that hold the query.
+
+    A line scores 1, times 3 as a heading, times 2 if a word equals the query, times 1.5 if it begins with it. The lines
+    around come from the array of a file's lines, so nothing is sorted.
+    """
+    low = query.lower()
+    each = files.select("path", lines(F.col("body")).alias("all")).select("path", "all", F.posexplode("all").alias("i", "content"))
+    hit = each.where(F.contains(F.lower("content"), F.lit(low)))
+    lower = F.lower("content")
+    score = F.when(F.startswith(F.trim("content"), F.lit("#")), 3.0).otherwise(1.0) * F.when(F.array_contains(F.split(lower, r"\s+"), low), 2.0).otherwise(1.0) * F.when(F.startswith(F.ltrim(lower), F.lit(low)), 1.5).otherwise(1.0)
+    return hit.select("path", (F.col("i") + 1).cast("long").alias("line_no"), "content", highlight(F.col("content"), query).alias("highlighted"), F.when(F.col("i") > 0, F.get("all", F.col("i") - 1)).alias("before"), F.get("all", F.col("i") + 1).alias("after"), score.alias("line_score"))
+
+
+def file_search(files: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """(path, matches, relevance): the sum of a file's lines, two more if its name holds the query."""
+    by = line_search(files, query).groupBy("path").agg(F.count("*").alias("matches"), F.sum("line_score").alias("score"))
+    bonus = F.when(F.contains(F.lower(F.substring_index("path", "/", -1)), F.lit(query.lower())), 2.0).otherwise(0.0)
+    return by.select("path", "matches", (F.col("score") + bonus).alias("relevance")).orderBy(F.desc("relevance"), "path").limit(limit)
+
+
+# ---- chunking
+
+
+def chunk_fixed(docs: DataFrame, size: int, overlap: int, key: str = "id", body: str = "body") -> DataFrame:
+    """(key, chunk_index, total_chunks, content): windows of ``size`` characters every size minus overlap, the last at the end."""
+    step = size - overlap
+    n = F.length(body)
+    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1 - F.lit(overlap)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    each = docs.select(key, body, F.size(starts).cast("long").alias("total_chunks"), F.posexplode(starts).alias("i", "start"))
+    return each.select(key, F.col("i").cast("long").alias("chunk_index"), "total_chunks", F.substring(F.col(body), F.col("start") + 1, F.lit(size)).alias("content"))
+
+
+def _tail(text: str, size: int) -> str:
+    """The last bytes of a text, from a character's beginning on."""
+    raw = text.encode()
+    at = max(0, len(raw) - size)
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return raw[at:].decode()
+
+
+def markdown_chunks(body: str, size: int, overlap: int) -> Iterator[tuple[str, str]]:
+    """(content, section): a first-level heading always begins a chunk, lower ones do when a chunk is full."""
+    held, held_bytes, section = [], 0, ""
+    stack: list[str] = []
+    for line in body.splitlines():
+        level = next((n for n in (1, 2, 3) if line.startswith("#" * n + " ")), 0)
+        if level and held and (level == 1 or held_bytes >= size):
+            yield "".join(held), section
+            held, held_bytes = [], 0
+        if level:
+            stack = [*stack[: level - 1], line[level + 1 :].strip()]
+            section = " > ".join(stack)
+        held.append(line + "\n")
+        held_bytes += len(line.encode()) + 1
+        if held_bytes >= size + overlap:
+            whole = "".join(held)
+            yield whole, section
+            rest = _tail(whole, overlap)
+            held, held_bytes = [rest], len(rest.encode())
+    if "".join(held).strip():
+        yield "".join(held), section
+
+
+#: What begins a statement.
+STATEMENTS = ("CREATE", "ALTER", "DROP", "INSERT", "UPDATE", "DELETE", "GRANT", "REVOKE", "-- ==", "-- --")
+
+
+def sql_chunks(body: str, size: int, overlap: int) -> Iterator[tuple[str, str]]:
+    """(content, object): full chunks end where a statement begins; the object is the last table or view created."""
+    import re
+
+    held, held_bytes, context = [], 0, ""
+    for line in body.splitlines():
+        if held_bytes >= size and line.lstrip().upper().startswith(STATEMENTS):
+            yield "".join(held), context
+            held, held_bytes = [], 0
+        if m := re.search(r"create (?:table|view)\s+[\"'`\[]*([^\s(\[\"'`\]]+)", line, re.I):
+            context = m[1]
+        held.append(line + "\n")
+        held_bytes += len(line.encode()) + 1
+    if "".join(held).strip():
+        yield "".join(held), context
+
+
+def paragraph_chunks(body: str, size: int, overlap: int) -> Iterator[tuple[str, str]]:
+    """(content, nothing): paragraphs fill a chunk until the next would exceed the size; its tail leads the next chunk."""
+    held = ""
+    for paragraph in body.split("\n\n"):
+        if held and len(held.encode()) + len(paragraph.encode()) > size:
+            yield held, ""
+            held = _tail(held, overlap)
+        held = f"{held}\n\n{paragraph}" if held else paragraph
+    if held.strip():
+        yield held, ""
+
+
+CHUNKERS = {"markdown": markdown_chunks, "sql": sql_chunks, "paragraph": paragraph_chunks}
+
+
+def chunked(docs: DataFrame, kind: str, size: int, overlap: int, key: str = "id", body: str = "body") -> DataFrame:
+    """(key, chunk_index, total_chunks, section, content) by one of CHUNKERS; a task holds one text at a time."""
+    own = CHUNKERS[kind]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = list(own(text or "", size, overlap))
+                rows += [(k, i, len(found), section, content) for i, (content, section) in enumerate(found)]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[key, "chunk_index", "total_chunks", "section", "content"])
+
+    from tessera.session import workers_import
+
+    workers_import(docs.sparkSession)
+    return docs.select(key, body).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_index bigint, total_chunks bigint, section string, content string")
+
+
+# ---- Markdown
+
+
+def fixed_markdown(files: DataFrame) -> DataFrame:
+    """(path, line, text): first-level headings after the first drop a level, empty links point to #, empty headings go."""
+    each = files.select("path", F.posexplode(lines(F.col("body"))).alias("i", "text"))
+    heads = F.sum(F.startswith("text", F.lit("# ")).cast("int")).over(Window.partitionBy("path").orderBy("i"))
+    text = F.when(F.startswith("text", F.lit("# ")) & (heads > 1), F.concat(F.lit("#"), F.col("text"))).otherwise(F.col("text"))
+    out = each.select("path", (F.col("i") + 1).cast("long").alias("line"), F.regexp_replace(text, r"\]\(\s*\)", "](#)").alias("text"))
+    return out.where(~F.rlike("text", F.lit(r"^#{1,6}\s*$")))
+
+
+def trimmed_markdown(files: DataFrame, limit: int = 500) -> DataFrame:
+    """(path, line, text) without fenced blocks and empty lines among the first lines."""
+    each = files.select("path", F.posexplode(F.slice(lines(F.col("body")), 1, limit)).alias("i", "text"))
+    fence = F.startswith(F.trim("text"), F.lit("```"))
+    open_ = F.sum(fence.cast("int")).over(Window.partitionBy("path").orderBy("i"))
+    return each.withColumn("n", open_).where(~fence & (F.col("n") % 2 == 0) & (F.trim("text") != "")).select("path", (F.col("i") + 1).cast("long").alias("line"), "text")
+
+
+def truncated(files: DataFrame, budget: int, important: Column) -> DataFrame:
+    """(path, line, text): important lines first, then the others, each kind up to the first that exceeds the budget.
+
+    The second kind goes on from the length the first one reached.
+    """
+    each = files.select("path", F.posexplode(lines(F.col("body"))).alias("i", "text")).withColumn("imp", important)
+    size = F.length("text") + 1
+    ahead = Window.partitionBy("path", "imp").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    first = each.withColumn("sum", F.sum(size).over(ahead))
+    kept = first.where("imp").where(F.col("sum") <= budget)
+    used = kept.groupBy("path").agg(F.max("sum").alias("used"))
+    rest = first.where("NOT imp").join(used, "path", "left").where(F.col("sum") + F.coalesce("used", F.lit(0)) <= budget).drop("used")
+    return kept.unionByName(rest).select("path", (F.col("i") + 1).cast("long").alias("line"), "text")
