@@ -1,0 +1,163 @@
+"""Chunkers, store steps, sources, sinks and streams."""
+
+import math
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st_
+from pyspark.sql import functions as F
+
+from tessera.functions import code as co
+from tessera.functions import text as tx
+from tessera.operators import bench as be
+from tessera.operators import search as se
+from tessera.operators import store as st
+from tessera.operators import textual as te
+from tessera.sources import files as fs
+from tessera.streaming import ingest as ig
+
+ALPHA = "# Rust Ownership\n\nThe borrow checker enforces aliasing rules."
+BETA = "# Search Tuning\n\nFalse positives and false negatives can be balanced."
+
+
+@pytest.fixture(scope="module")
+def two(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("notes")
+    (root / "alpha.md").write_text(ALPHA)
+    (root / "sub").mkdir()
+    (root / "sub" / "beta.md").write_text(BETA)
+    (root / "skip.txt").write_text("not taken")
+    return root
+
+
+def stored(rows):
+    return rows.withColumn("id", F.monotonically_increasing_id()).withColumn("active", F.lit(True))
+
+
+def test_collection_is_searched_by_words_vectors_and_both(spark, two):
+    rows = fs.collection(spark, "notes", str(two))
+    got = {r["path"]: r["title"] for r in rows.collect()}
+    assert got == {"alpha.md": "Rust Ownership", "sub/beta.md": "Search Tuning"}
+    own = stored(rows)
+    assert se.lexical(own, "borrow checker").first()["file"] == "notes/alpha.md"
+    assert se.vector_hashed(own, "ownership aliasing rules").first()["file"] == "notes/alpha.md"
+    assert se.hybrid(own, "how does rust ownership work").first()["file"] == "notes/alpha.md"
+    assert se.lexical(own, "").count() == 0
+    assert se.lexical_or_fallback(own, "sub/be").first()["file"] == "notes/sub/beta.md"
+
+
+def test_update_and_delete(spark):
+    keyed = lambda rows: spark.createDataFrame(rows, "collection string, path string, hash string")
+    old = keyed([("n", "a.md", "1"), ("n", "b.md", "2"), ("n", "c.md", "3")]).withColumn("active", F.col("path") != "c.md")
+    merged = st.merge(keyed([("n", "a.md", "9"), ("n", "c.md", "3"), ("n", "d.md", "4")]), old)
+    assert {r["path"]: r["status"] for r in merged.collect()} == {"a.md": "updated", "b.md": "deactivated", "c.md": "reactivated", "d.md": "inserted"}
+    assert tuple(st.report(merged).first()) == (1, 1, 1, 1)
+    again = st.apply_merge(keyed([("n", "a.md", "9")]), old)
+    assert {r["path"] for r in again.where("active").collect()} == {"a.md"}
+
+
+@pytest.mark.parametrize("pattern, yes, no", [("**/*.md", ["a.md", "x/y/a.md"], ["a.txt"]), ("src/*.rs", ["src/a.rs"], ["src/b/a.rs"]), ("a?.md", ["ab.md"], ["a/.md", "abc.md"]), ("**", ["any/thing"], [])])
+def test_glob(spark, pattern, yes, no):
+    rows = spark.createDataFrame([(p,) for p in yes + no], "p string")
+    assert {r["p"] for r in rows.where(F.rlike("p", F.lit(st.glob_pattern(pattern)))).collect()} == set(yes)
+
+
+def test_sources_and_sinks(spark, two, tmp_path):
+    assert {r["path"]: r["size"] for r in fs.scan(spark, str(two)).collect()}["skip.txt"] == 9
+    assert {r["path"] for r in fs.snapshot(spark, str(two)).collect()} == {"alpha.md", "sub/beta.md", "skip.txt"}
+    assert {r["kind"] for r in fs.supported_documents(spark, str(two)).collect()} == {"markdown", "text"}
+    fs.append_telemetry(spark, str(tmp_path / "t"), "lexical", "q", 10, 3, 0.0)
+    fs.append_telemetry(spark, str(tmp_path / "t"), "vector", "q", 10, 0, 0.0)
+    assert fs.read_telemetry(spark, str(tmp_path / "t")).count() == 2
+    findings = spark.createDataFrame([("error", "a", "m", None)], fs.FINDINGS)
+    fs.write_report(findings, {"overall": 0.5}, str(tmp_path / "r"))
+    back, scores = fs.read_report(spark, str(tmp_path / "r"))
+    assert back.count() == 1 and scores == {"overall": 0.5}
+    fs.quality_gate(0.5, 0.5)
+    with pytest.raises(ValueError):
+        fs.quality_gate(0.4, 0.5)
+    (tmp_path / "bad.json").write_text('{"file": "a"}\nnot json\n')
+    with pytest.raises(Exception):
+        fs.matches(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_configuration():
+    config = fs.add_context(fs.add_collection({}, "a", "/x"), "about", "a", "docs")
+    assert config["collections"]["a"]["context"] == {"docs": "about"}
+    assert set(fs.rename_collection(config, "a", "b")["collections"]) == {"b"}
+    assert fs.remove_context(fs.add_context(config, "all")) == config
+    with pytest.raises(ValueError):
+        fs.rename_collection(fs.add_collection(config, "b", "/y"), "a", "b")
+    with pytest.raises(KeyError):
+        fs.remove_collection(config, "z")
+
+
+def test_stream_keeps_the_last_version(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = lambda p, b, t: f'{{"collection": "n", "path": "{p}", "body": "{b}", "ts": "{t}"}}\n'
+    (tmp_path / "in" / "1.json").write_text(line("a.md", "one", "2024-01-01T00:00:00Z") + line("a.md", "two", "2024-01-02T00:00:00Z") + line("b.md", "b", "2024-01-01T00:00:00Z"))
+    for body in ("three", "three"):
+        ig.start(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "c")).awaitTermination()
+        (tmp_path / "in" / "2.json").write_text(line("a.md", body, "2024-01-03T00:00:00Z"))
+    ig.start(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "c")).awaitTermination()
+    assert {r["path"]: r["body"] for r in ig.current(spark, str(tmp_path / "store")).collect()} == {"a.md": "three", "b.md": "b"}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st_.lists(st_.sampled_from(["# A", "## B", "### C", "text é", "", "more words here"]), max_size=25), st_.integers(8, 60))
+def test_markdown_chunks_lose_nothing(found, size):
+    body = "\n".join(found)
+    chunks = list(te.markdown_chunks(body, size, 0))
+    whole = "".join(c for c, _ in chunks)
+    assert whole.strip() == "".join(x + "\n" for x in body.splitlines()).strip()
+    for content, _ in chunks[1:]:
+        assert "\n# " not in content
+
+
+def test_chunk_sections_and_objects():
+    assert [s for _, s in te.markdown_chunks("# A\nx\n## B\ny\n### C\nz\n# D\n", 1, 99)] == ["A", "A > B", "A > B > C", "D"]
+    found = list(te.sql_chunks("CREATE TABLE a (x INT);\nINSERT INTO a VALUES (1);\ncreate view \"v\" as select 1;\n", 5, 0))
+    assert [s for _, s in found] == ["a", "a", "v"]
+    assert [c for c, _ in te.paragraph_chunks("aa\n\nbb\n\ncc", 5, 1)] == ["aa\n\nbb", "b\n\ncc"]
+    assert list(te.paragraph_chunks("", 5, 1)) == []
+
+
+def test_fixed_chunks_cover_the_text(spark):
+    rows = spark.createDataFrame([(1, "abcdefghij" * 3), (2, ""), (3, "abc")], "id int, body string")
+    got = [tuple(r) for r in te.chunk_fixed(rows, 12, 2).orderBy("id", "chunk_index").collect()]
+    assert [r[3] for r in got if r[0] == 1] == [("abcdefghij" * 3)[i : i + 12] for i in (0, 10, 20)]
+    assert [r for r in got if r[0] != 1] == [(3, 0, 1, "abc")]
+
+
+def test_percentile_is_the_nearest_rank(spark):
+    rng = random.Random(1)
+    rows = [(c, rng.random() > 0.2, float(rng.randint(0, 50)), rng.random()) for c in "abc" for _ in range(rng.randint(1, 80))]
+    got = {r["candidate"]: r for r in be.candidate_stats(spark.createDataFrame(rows, "candidate string, ok boolean, seconds double, quality double")).collect()}
+    for c in "abc":
+        own = sorted(s for k, _, s, _ in rows if k == c)
+        assert got[c]["p95_seconds"] == own[math.floor((len(own) - 1) * 0.95 + 0.5)]
+
+
+def test_comments_go_and_literals_stay(spark):
+    rows = spark.createDataFrame([('let a = "// kept"; // gone\nlet b = 1; /* gone\n too */ c', "x = '# kept'  # gone\n\"\"\"doc # kept\"\"\"\n")], "c string, p string")
+    got = rows.select(co.without_comments(F.col("c"), co.C_COMMENTS), co.without_comments(F.col("p"), co.PYTHON_COMMENTS)).first()
+    assert got[0] == 'let a = "// kept";\nlet b = 1;  c' and got[1].startswith("x = '# kept'\n\"\"\"doc # kept\"\"\"")
+
+
+def test_lines_and_titles(spark):
+    rows = spark.createDataFrame([("a/b.md", "x\n\n# T \ny\r\n"), ("a/b.md", ""), ("a/b.md", "ab\n")], "path string, body string")
+    got = rows.select(tx.lines(F.col("body")), tx.title(F.col("path"), F.col("body"))).collect()
+    assert [r[0] for r in got] == [["x", "", "# T ", "y"], [], ["ab"]]
+    assert [r[1] for r in got] == ["T", "b.md", "b.md"]
+
+
+def test_hybrid_keeps_the_best_hit_of_a_document(spark):
+    hits = spark.createDataFrame([("a", "a", 0.5), ("b", "b", 0.7), ("a", "a", 0.9), ("x", "x", 0.4)], "id string, file string, score double")
+    assert {r["id"]: r["score"] for r in se.dedup_hits(hits).collect()} == {"a": 0.9, "b": 0.7, "x": 0.4}
+
+
+def test_bands_fall_back_to_everything(spark):
+    bands = spark.createDataFrame([("h1", 0, 5), ("h1", 1, 6), ("h2", 0, 7)], "hash string, band int, bucket bigint")
+    near = lambda rows: {r["hash"] for r in se.band_candidates(bands, spark.createDataFrame(rows, "band int, bucket bigint")).collect()}
+    assert near([(0, 7)]) == {"h2"} and near([(0, 99)]) == {"h1", "h2"}
