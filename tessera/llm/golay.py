@@ -202,8 +202,9 @@ def keep_one(docs: DataFrame, cap: int = CAP) -> DataFrame:
     found = found.withColumn("group_key", F.coalesce(F.col("component_id"), F.xxhash64("fp")))
     stay = found.groupBy("group_key").agg(F.min("rank").alias("r")).select(F.col("r.doc_id").alias("stay_id"), F.col("r.text_hash").alias("stay_hash")).distinct()
     stay = materialize(stay, "simhash-kept")
-    own = docs.withColumn("__hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    kept = own.join(stay, own["doc_id"].cast("long").eqNullSafe(stay["stay_id"]) & (own["__hash"] == stay["stay_hash"]), "left_semi").drop("__hash")
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    own = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("own_id"), text_hash.alias("own_hash"))
+    kept = own.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_hash") == F.col("stay_hash")), "left_semi").select("row.*")
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h"))
     again = ids.join(stay, ids["doc_id"].eqNullSafe(stay["stay_id"]) & (ids["h"] == stay["stay_hash"]), "left_semi")
     again = again.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()

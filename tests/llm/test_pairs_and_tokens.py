@@ -36,7 +36,7 @@ def least_reachable(nodes, links):
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     nodes = {n for e in edges if e[0] != e[1] for n in e}
-    assert got == least_reachable(nodes, edges)
+    assert got == least_reachable(nodes, [e for e in edges if e[0] != e[1]])
 
 
 # ---- SimHash
@@ -316,3 +316,20 @@ def test_pipeline_stages(spark):
     for r in after["sequences"].collect():
         whole[r["doc_id"]] += r["length"]
     assert set(whole) == set(counts)
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    good = " ".join(f"word{i % 83} and" for i in range(70))
+    rows = [(None, good, "en", None, None, "c"), (1, None, "en", "a", 0, "c"), (2, "", None, "a", 0, "c"), (3, good + " more", "en", "b", 1, "c"), (3, good + " more", "en", "b", 1, "c"), (4, "a@b.org " + " ".join(f"é{i}" for i in range(60)), None, None, 9, None)]
+    rows += [(5, " ".join(f"x{i * i % 9973}y" for i in range(60_000)), "en", "a", 1, "c"), (6, "unbroken" * 20_000, "en", "a", 1, "c")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string").withColumn("copies", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("s", F.lit(2))
+    for name, stage in cp.STAGES:
+        out = stage(spark, table, SF)
+        if name != "sequences":
+            assert out.columns == table.columns, name
+        assert out.count() > 0, name
+        assert stage(spark, table.limit(0), SF).count() == 0, name
+    stayed = Counter(r["doc_id"] for r in golay.keep_one(table).collect())
+    assert max(stayed.values()) == 1 and stayed[1] == 1 and stayed[2] == 0 and {4, 5, 6} <= set(stayed)
