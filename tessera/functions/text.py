@@ -73,7 +73,8 @@ def snippet(body: Column, terms: list[str], chars: int = SNIPPET_CHARS) -> Colum
 
 def title(path: Column, body: Column) -> Column:
     """Among the first 20 lines the first heading or line of five bytes, whichever comes first; else the file's name."""
-    fit = F.filter(F.transform(F.slice(lines(body), 1, 20), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("# ")) | (F.octet_length(x) >= 5))
+    head = F.slice(F.split(body, "\r?\n", 21), 1, 20)  # the rest of a long text is not cut
+    fit = F.filter(F.transform(head, lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("# ")) | (F.octet_length(x) >= 5))
     first = F.get(fit, F.lit(0))
     return F.when(first.isNull(), F.substring_index(path, "/", -1)).when(F.startswith(first, F.lit("# ")), F.trim(F.substring(first, 3, 1 << 30))).otherwise(F.substring(first, 1, 120))
 

@@ -6,8 +6,6 @@ per search; the snippet is cut only for the rows that win.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,38 +24,64 @@ def _own(rows: DataFrame, collection: str | None) -> DataFrame:
     return rows.withColumn("file", file(F.col("collection"), F.col("path"))).withColumn("hay", F.lower(F.concat_ws(" ", "title", "body"))).withColumn("path_hay", F.lower(F.concat_ws(" ", "path", "title", "body")))
 
 
-def _best(scored: DataFrame) -> DataFrame:
-    """Per content hash the best row: score, then file, then id."""
-    best = scored.groupBy("hash").agg(F.min(F.struct((-F.col("score")).alias("minus"), "file", "id", "variant")).alias("b"))
-    return best.select("hash", (-F.col("b.minus")).alias("score"), "b.file", "b.id", "b.variant")
+def _forms(queries: list[str]) -> list[tuple[int, int, float, str]]:
+    """(query, variant, weight, text) of every form that is searched for."""
+    return [(i, k, w, q) for i, query in enumerate(queries) for k, (w, q) in enumerate(tx.query_variants(query))]
 
 
-def lexical(rows: DataFrame, query: str, limit: int = 10, min_score: float = 0.0, collection: str | None = None) -> DataFrame:
-    """(id, file, hash, score, variant) of the best contents; variant tells which form of the query won."""
+def _top(best: DataFrame, limit: int) -> DataFrame:
+    """The first rows of each query; ranks are cut off before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "file", "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+
+
+def _best_of(scored: DataFrame) -> DataFrame:
+    """Per query and content hash the best row: score, then file, then id."""
+    best = scored.groupBy("query", "hash").agg(F.min(F.struct((-F.col("score")).alias("minus"), "file", "id", "variant")).alias("b"))
+    return best.select("query", "hash", (-F.col("b.minus")).alias("score"), "b.file", "b.id", "b.variant")
+
+
+_HIT = ["query", "id", "file", "hash", "score", "variant"]
+
+
+def lexical_many(rows: DataFrame, queries: list[str], limit: int = 10, min_score: float = 0.0, collection: str | None = None) -> DataFrame:
+    """(query, id, file, hash, score, variant): the best contents of each query; bodies are read and lowered once for all."""
     own = _own(rows, collection)
     quality = tx.path_quality(F.col("file"))
-    forms = [F.struct(F.lit(i).alias("variant"), F.round(tx.lexical_score(tx.query_tokens(q), q, F.col("hay"), F.col("path_hay")) * w * quality, 6).alias("score")) for i, (w, q) in enumerate(tx.query_variants(query))]
+    forms = [F.struct(F.lit(i).alias("query"), F.lit(k).alias("variant"), F.round(tx.lexical_score(tx.query_tokens(q), q, F.col("hay"), F.col("path_hay")) * w * quality, 6).alias("score")) for i, k, w, q in _forms(queries)]
     if not forms:
-        return own.select("id", "file", "hash", F.lit(0.0).alias("score"), F.lit(0).alias("variant")).limit(0)
-    scored = own.select("id", "file", "hash", F.explode(F.array(*forms)).alias("f")).select("id", "file", "hash", "f.score", "f.variant").where("score > 0")
-    return _best(scored).where(F.col("score") >= min_score).orderBy(F.desc("score"), "file", "id").limit(limit).select("id", "file", "hash", "score", "variant")
+        return own.select(F.lit(0).alias("query"), "id", "file", "hash", F.lit(0.0).alias("score"), F.lit(0).alias("variant")).limit(0)
+    scored = own.select("id", "file", "hash", F.explode(F.array(*forms)).alias("f")).select("f.query", "id", "file", "hash", "f.score", "f.variant").where("score > 0")
+    return _top(_best_of(scored).where(F.col("score") >= min_score), limit).select(*_HIT)
 
 
-def lexical_fallback(rows: DataFrame, query: str, limit: int = 10, collection: str | None = None) -> DataFrame:
-    """Contents whose path or title holds the query, for searches without a hit: a low score by the file's place."""
+def fallback_many(rows: DataFrame, queries: list[str], limit: int = 10, collection: str | None = None) -> DataFrame:
+    """Contents whose path or title holds a query: a low score by the file's place."""
     own = _own(rows, collection)
-    low = query.lower()
-    hit = F.contains(F.lower("path"), F.lit(low)) | F.contains(F.lower("title"), F.lit(low))
-    scored = own.where(hit).select("id", "file", "hash", F.round(FALLBACK * tx.path_quality(F.col("file")), 6).alias("score"), F.lit(0).alias("variant"))
-    return _best(scored).orderBy(F.desc("score"), "file", "id").limit(limit).select("id", "file", "hash", "score", "variant")
+    hits = F.filter(F.array(*[F.when(F.contains(F.lower("path"), F.lit(q.lower())) | F.contains(F.lower("title"), F.lit(q.lower())), F.lit(i)) for i, q in enumerate(queries)]), lambda x: x.isNotNull())
+    scored = own.select(F.explode(hits).alias("query"), "id", "file", "hash", F.round(FALLBACK * tx.path_quality(F.col("file")), 6).alias("score"), F.lit(0).alias("variant"))
+    return _top(_best_of(scored), limit).select(*_HIT)
+
+
+def lexical(rows: DataFrame, query: str, limit: int = 10, min_score: float = 0.0, collection: str | None = None) -> DataFrame:
+    """(id, file, hash, score, variant) of the best contents; variant tells which form of the query won."""
+    return lexical_many(rows, [query], limit, min_score, collection).drop("query").orderBy(F.desc("score"), "file", "id").limit(limit)
+
+
+def lexical_fallback(rows: DataFrame, query: str, limit: int = 10, collection: str | None = None) -> DataFrame:
+    """The fallback's hits for one query, for searches without a hit."""
+    return fallback_many(rows, [query], limit, collection).drop("query").orderBy(F.desc("score"), "file", "id").limit(limit)
+
+
+def lexical_or_fallback_many(rows: DataFrame, queries: list[str], limit: int = 10, collection: str | None = None) -> DataFrame:
+    """Lexical hits, or for queries without any the fallback's; one plan without a look at the result in between."""
+    hits = lexical_many(rows, queries, limit, 0.0, collection)
+    other = fallback_many(rows, queries, limit, collection).join(F.broadcast(hits.select("query").distinct()), "query", "left_anti")  # a row per query at most
+    return hits.unionByName(other.select(*hits.columns))
 
 
 def lexical_or_fallback(rows: DataFrame, query: str, limit: int = 10, collection: str | None = None) -> DataFrame:
-    """Lexical hits, or the fallback's where there are none; one plan without a look at the result in between."""
-    hits = lexical(rows, query, limit, 0.0, collection)
-    none = hits.agg(F.count("*").alias("n"))
-    other = lexical_fallback(rows, query, limit, collection).join(F.broadcast(none), F.col("n") == 0).drop("n")  # one row
-    return hits.unionByName(other)
+    return lexical_or_fallback_many(rows, [query], limit, collection).drop("query")
 
 
 def with_snippets(hits: DataFrame, rows: DataFrame, query: str, chars: int = tx.SNIPPET_CHARS) -> DataFrame:
@@ -73,21 +97,32 @@ def vector_given(vectors: DataFrame, query: list[float], limit: int = 10, key: s
     return scored.where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 
-def vector_hashed(rows: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """(id, file, hash, score, variant) by cosine of hashed features and overlap.
+def vector_hashed_many(rows: DataFrame, queries: list[str], limit: int = 10) -> DataFrame:
+    """(query, id, file, hash, score, variant) by cosine of hashed features and overlap, for several queries at once.
 
-    Contents come in sparse form, one row per place, and meet the query's few places in a join, so no vector is built.
+    Contents come in sparse form, one row per place, and meet the queries' few places in a join, so no vector is built and
+    a content's features are made once for all queries.
     """
     spark = rows.sparkSession
     own = _own(rows, None)
-    asked = vec.hashed_features(spark.createDataFrame([("q", query)], "hash string, body string")).select("idx", F.col("value").alias("q"))
-    length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
+    asked = vec.hashed_features(spark.createDataFrame(list(enumerate(queries)), "query int, body string"), "query").select("query", "idx", F.col("value").alias("q"))
+    lengths = asked.groupBy("query").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
+    by_place = asked.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("query", "q"))).alias("qs"))  # at most 256 places
     features = vec.hashed_features(own.groupBy("hash").agg(F.first("body").alias("body")))
-    summed = features.join(F.broadcast(asked), "idx", "left").groupBy("hash").agg(F.sum(F.col("value") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    cosines = summed.join(F.broadcast(length)).select("hash", F.when((F.col("norm") > vec.TINY) & (F.col("q_norm") > vec.TINY), F.col("dot") / (F.col("norm") * F.col("q_norm"))).otherwise(0.0).alias("cos")).where("cos > 0")
-    score = (VECTOR_COSINE * F.col("cos") + VECTOR_OVERLAP * tx.overlap(tx.query_tokens(query), F.col("hay"))) * tx.path_quality(F.col("file"))
-    scored = own.select("id", "file", "hash", "hay").join(cosines, "hash").select("id", "file", "hash", F.round(score, 6).alias("score"), F.lit(0).alias("variant"))
-    return _best(scored).orderBy(F.desc("score"), "file", "id").limit(limit).select("id", "file", "hash", "score", "variant")
+    dots = [F.sum(F.col("value") * F.coalesce(F.col("qs")[i], F.lit(0.0))).alias(f"dot{i}") for i in range(len(queries))]
+    summed = features.join(F.broadcast(by_place), "idx", "left").groupBy("hash").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), *dots)
+    each = summed.select("hash", "norm", F.posexplode(F.array(*[F.col(f"dot{i}") for i in range(len(queries))])).alias("query", "dot")).join(F.broadcast(lengths), "query")
+    cosines = each.where((F.col("norm") > vec.TINY) & (F.col("q_norm") > vec.TINY)).select("query", "hash", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("cos")).where("cos > 0")
+    overlaps = F.array(*[tx.overlap(tx.query_tokens(q), F.col("hay")) for q in queries])
+    files = own.select("id", "file", "hash", overlaps.alias("overlaps"))
+    score = (VECTOR_COSINE * F.col("cos") + VECTOR_OVERLAP * F.col("overlaps")[F.col("query")]) * tx.path_quality(F.col("file"))
+    scored = files.join(cosines, "hash").select("query", "id", "file", "hash", F.round(score, 6).alias("score"), F.lit(0).alias("variant"))
+    return _top(_best_of(scored), limit).select(*_HIT)
+
+
+def vector_hashed(rows: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """(id, file, hash, score, variant) for one query."""
+    return vector_hashed_many(rows, [query], limit).drop("query").orderBy(F.desc("score"), "file", "id").limit(limit)
 
 
 def band_candidates(bands: DataFrame, query_bands: DataFrame) -> DataFrame:
@@ -122,8 +157,11 @@ def hybrid(rows: DataFrame, query: str, limit: int = 10, min_score: float = 0.0)
 
     Each search contributes at most ``limit`` rows, so what is merged is bounded by forms times two times limit.
     """
-    legs = [leg(rows, form, limit).select("id", "file", "score") for form in expand_query(query) for leg in (lexical_or_fallback, vector_hashed)]
-    merged = dedup_hits(reduce(lambda a, b: a.unionByName(b), legs))
+    forms = expand_query(query)
+    if not forms:
+        raise ValueError("the query is empty")
+    legs = [leg(rows, forms, limit).select("id", "file", "score") for leg in (lexical_or_fallback_many, vector_hashed_many)]
+    merged = dedup_hits(legs[0].unionByName(legs[1]))
     shown = with_snippets(merged, rows, query)
     again = RERANK_OLD * F.col("score") + RERANK_OVERLAP * tx.overlap(tx.query_tokens(query), F.lower(F.concat_ws(" ", "title", "snippet")))
     ranked = shown.select("id", "file", "title", F.round(again, 6).alias("score"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("search", "storing", "filing", "coding", "texts", "judging", "streams")
+MODULES = ("search", "storing", "filing", "coding", "texts", "judging", "streams", "details")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,15 +186,15 @@ def collection_from_path(spark, d):
     return st.longest_prefix(FS.df(spark), ROOTS.df(spark))
 
 
-TARGETS = Fixture("targets", "target string", [("/",), ("qmd://notes/a/b",), ("qmd://notes",), ("docs/x",), ("",)])
+TARGETS = Fixture("targets", "target string", [("/",), ("index://notes/a/b",), ("index://notes",), ("docs/x",), ("",)])
 
 
-@query("parse_context_target", with_(TARGETS) + r"SELECT target, CASE WHEN target = '/' THEN 'global' WHEN regexp_matches(target, '^qmd://[^/]+') THEN 'collection' ELSE 'path' END AS kind, nullif(regexp_extract(target, '^qmd://([^/]+)', 1), '') AS collection, CASE WHEN regexp_matches(target, '^qmd://[^/]+') THEN '/' || regexp_replace(target, '^qmd://[^/]+/?', '') END AS path FROM targets")
+@query("parse_context_target", with_(TARGETS) + r"SELECT target, CASE WHEN target = '/' THEN 'global' WHEN regexp_matches(target, '^[a-z]+://[^/]+') THEN 'collection' ELSE 'path' END AS kind, nullif(regexp_extract(target, '^[a-z]+://([^/]+)', 1), '') AS collection, CASE WHEN regexp_matches(target, '^[a-z]+://[^/]+') THEN '/' || regexp_replace(target, '^[a-z]+://[^/]+/?', '') END AS path FROM targets")
 def parse_context_target(spark, d):
-    virtual = F.rlike("target", F.lit("^qmd://[^/]+"))
+    virtual = F.rlike("target", F.lit("^[a-z]+://[^/]+"))
     return TARGETS.df(spark).select(
-        "target", F.when(F.col("target") == "/", "global").when(virtual, "collection").otherwise("path").alias("kind"), F.nullif(F.regexp_extract("target", "^qmd://([^/]+)", 1), F.lit("")).alias("collection"),
-        F.when(virtual, F.concat(F.lit("/"), F.regexp_replace("target", "^qmd://[^/]+/?", ""))).alias("path"),
+        "target", F.when(F.col("target") == "/", "global").when(virtual, "collection").otherwise("path").alias("kind"), F.nullif(F.regexp_extract("target", "^[a-z]+://([^/]+)", 1), F.lit("")).alias("collection"),
+        F.when(virtual, F.concat(F.lit("/"), F.regexp_replace("target", "^[a-z]+://[^/]+/?", ""))).alias("path"),
     )
 
 
