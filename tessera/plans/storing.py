@@ -32,9 +32,9 @@ def shown(rows):
     return rows.select("id", st.file(F.col("collection"), F.col("path")).alias("file"), "title", "hash")
 
 
-@query("get_by_path", with_(STORE) + "SELECT id, file, title, hash FROM st WHERE collection = 'src2' AND path = 'en/2.md'")
+@query("get_by_path", with_(STORE) + "SELECT id, file, title, hash FROM st WHERE collection = 'src7' AND path = 'en/7.md'")
 def get_by_path(spark, d):
-    return shown(store(spark, d).where("collection = 'src2' AND path = 'en/2.md'"))
+    return shown(store(spark, d).where("collection = 'src7' AND path = 'en/7.md'"))
 
 
 @query("get_by_suffix", with_(STORE) + "SELECT id, file, title, hash FROM st WHERE ends_with(lower(path), '/7.md') ORDER BY length(path), path, id LIMIT 1")
@@ -42,7 +42,7 @@ def get_by_suffix(spark, d):
     return shown(store(spark, d).where(F.endswith(F.lower("path"), F.lit("/7.md"))).orderBy(F.length("path"), "path", "id").limit(1))
 
 
-LOOKUPS = Fixture("lookups", "lookup string", [("#42",), ("src2/en/2.md:12",), ("/7.md",), ("2.md",), ("nothing.md",), ("src1/en/1.md",), ("#zz",), ("#3:9",)])
+LOOKUPS = Fixture("lookups", "lookup string", [("#42",), ("src7/en/7.md:12",), ("/7.md",), ("2.md",), ("nothing.md",), ("src1/en/1.md",), ("#zz",), ("#3:9",)])
 RESOLVED = r"""asked AS (SELECT DISTINCT lookup, try_cast(nullif(regexp_extract(lookup, ':(\d+)$', 1), '') AS BIGINT) AS line, regexp_replace(lookup, ':\d+$', '') AS name FROM lookups),
   a AS (SELECT lookup, line, id, file, 0 AS way, 0 AS size FROM asked JOIN st ON starts_with(name, '#') AND try_cast(substr(name, 2) AS BIGINT) = id),
   b AS (SELECT lookup, line, id, file, 1 AS way, 0 AS size FROM asked JOIN st ON name = file),
@@ -68,9 +68,9 @@ def multi_get_glob(spark, d):
     return st.multi_get(store(spark, d), "src1/*/*1.md", 3000)
 
 
-@query("multi_get_list", with_(STORE) + "SELECT file, CASE WHEN strlen(body) <= 3000 THEN body END AS body, CASE WHEN strlen(body) > 3000 THEN 'skipped: ' || strlen(body)::VARCHAR || ' bytes' END AS error FROM st WHERE file IN ('src1/en/1.md', 'src2/en/2.md', 'none.md')")
+@query("multi_get_list", with_(STORE) + "SELECT file, CASE WHEN strlen(body) <= 3000 THEN body END AS body, CASE WHEN strlen(body) > 3000 THEN 'skipped: ' || strlen(body)::VARCHAR || ' bytes' END AS error FROM st WHERE file IN ('src1/en/1.md', 'src7/en/7.md', 'none.md')")
 def multi_get_list(spark, d):
-    return st.multi_get(store(spark, d), "src1/en/1.md, src2/en/2.md, none.md", 3000)
+    return st.multi_get(store(spark, d), "src1/en/1.md, src7/en/7.md, none.md", 3000)
 
 
 @query("list_files", with_(STORE) + "SELECT file, id FROM st WHERE starts_with(lower(file), 'src1/e')")
