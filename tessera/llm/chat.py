@@ -22,7 +22,7 @@ from tessera.llm.common import only, prepare
 
 OPEN, MIDDLE, CLOSE = "### ", ":\n", "\n</turn>\n"
 LEARNED_ROLE = "assistant"
-_CONTROL = re.compile(r"(\\*)(### |</turn>)")
+_CONTROL = re.compile(r"(?<!\\)(\\*+)(### |</turn>)")  # a run of backslashes counts whole
 _ROLE_OUT = {"\\": "\\\\", ":": "\\:", "\n": "\\n"}
 _ROLE_IN = {"\\": "\\", ":": ":", "n": "\n"}
 

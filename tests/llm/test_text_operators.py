@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -48,6 +49,13 @@ def test_chat_rejects_what_is_no_turn():
             chat.parse(bad)
 
 
+def test_chat_takes_time_in_proportion():
+    began = time.process_time()
+    for text in ("\\" * 200_000, "\\" * 100_000 + "</turn>" + "### " * 20_000, "#" * 200_000):
+        assert chat.parse(chat.render("user", text))[0][1] == text
+    assert time.process_time() - began < 20
+
+
 def test_chat_digests(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", said), (1, 0, "user", said), (2, 0, "user", None), (None, None, None, "x"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
@@ -189,14 +197,21 @@ def test_pii_model_on_made_passages(model):
 def test_pii_best_segmentation_is_the_best(model):
     text = "word password=b7db7aa4a5fcc78305 on"
     spans = semicrf.atoms(text, 0, len(text))
-    found = semicrf.candidates(text, spans, [])
+    found = semicrf.candidates(text, spans, semicrf.Cover([]))
     scores = model.scores(text, spans, found).max(1)
     best = max(sum(scores[list(c)]) if c else 0.0 for n in range(3) for c in itertools.combinations(range(len(found)), n) if all(found[a][1] <= found[b][0] or found[b][1] <= found[a][0] for a, b in itertools.combinations(c, 2)))
-    got = model.decode(text, [])
+    got = model.decode(text, semicrf.Cover([]))
     assert text[got[0][0] : got[0][2]] == "b7db7aa4a5fcc78305" and semicrf.KINDS[got[0][1]] == "secret"
     assert scores[[k for k, (i, j) in enumerate(found) if (spans[i][0], spans[j - 1][1]) == (got[0][0], got[0][2])][0]] == pytest.approx(best)
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000 + " 1", "12345678," * 30_000, "+1 (555) 123-4567 " * 8000, "a@b.cd " * 20_000, "x@" * 50_000 + "1", "1." * 100_000, "+1" + "(" * 200_000, "ab1/" * 60_000, "0" * 300_000])
+def test_pii_takes_time_in_proportion(model, text):
+    began = time.process_time()
+    base, spans = semicrf.find(text.encode(), model)
+    assert set(base) <= set(spans) and time.process_time() - began < 20
+
+
 def test_pii_over_documents(spark, model):
     rows = [(11, "mail a@b.c and é +1 (555) 123-4567", "s", "k"), (12, "clean text"), *ODD[:4]]
     got = {r["doc_id"]: r for r in semicrf.detect(docs(spark, rows), model).collect()}
