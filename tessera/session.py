@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import uuid
 from pathlib import Path
 
@@ -39,8 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); one of its own only where that is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         base = f"/tmp/checkpoints/tessera-{os.getpid()}"
         spark.sparkContext.setCheckpointDir(base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base.rstrip("/")
 
 
@@ -65,3 +71,9 @@ def discard(df: DataFrame) -> None:
         if base in folder and "/tessera/" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this library in the shared folder; only when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
