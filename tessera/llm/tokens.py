@@ -62,7 +62,7 @@ class _Table:
 
     def __init__(self, most: int) -> None:
         self.slots = np.full(1 << (2 * most - 1).bit_length(), -1, dtype=np.int32)
-        self.keys = np.empty((1 << 12, 3), dtype=np.uint64)
+        self.keys = np.empty((most + most // 4 + 1, 3), dtype=np.uint64)  # touched only as it fills
 
     def _start(self, keys: np.ndarray) -> np.ndarray:
         h = (keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (keys[:, 2] * np.uint64(0x165667B19E3779F9))
@@ -115,8 +115,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.table = _Table(MEMO_UNITS)
         self.count, self.used = 0, 0
-        self.flat = np.empty(1 << 16, dtype="<u4")
-        self.start, self.size, self.odd = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32), np.empty(1 << 14, bool)
+        self.flat = np.empty(6 * MEMO_UNITS + 1, dtype="<u4")  # these too are touched only as they fill
+        self.start, self.size, self.odd = (np.empty(MEMO_UNITS + MEMO_UNITS // 4 + 1, kind) for kind in (np.int32, np.int32, bool))
         self.line_end = self.ids("\n")
 
     def ids(self, text: str) -> np.ndarray:
