@@ -2,8 +2,10 @@
 
 Tokens are 64-bit hashes. Counting tasks sum the bigrams of bounded chunks and send them, packed by context, to shards
 (the context's leading bits); a shard's task merges them and writes sorted arrays: bigram hashes with counts, contexts
-with how many words follow them once, twice and more often. What it found about each word (how many contexts it follows,
-how often) goes on to shards by the word's leading bits, which write their arrays too. Only a few numbers per shard reach
+with how many words follow them once, twice and more often. Contexts that a sample shows to be frequent, and a text's start,
+are spread over all shards by the bigram's hash, and what the shards find about them is summed afterwards; where bigrams lie
+decides nothing else. What a shard found about each word (how many contexts it follows, how often) and about frequent
+contexts goes on to shards by leading bits, which write their arrays too. Only a few numbers per shard reach
 the driver. Tasks that score map the arrays they need and search sorted queries in them, so the model may exceed memory.
 
 The arrays lie in the shared folder, which has to be mounted as a path on all machines. Files appear under their name
@@ -24,10 +26,13 @@ from tessera.session import scratch
 
 #: Bigrams of a counting chunk, bigrams that a shard is laid out for, and its greatest number of shards.
 CHUNK, SHARD_BIGRAMS, SHARDS = 3_000_000, 1_500_000, 1 << 14
+#: Documents at most that show which contexts are frequent: those with over a quarter of a shard's share of the tokens.
+SAMPLE = 2000
 FOLDS, HELD = 7, 2
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _CONTEXT = np.dtype([("once", "<u4"), ("twice", "<u4"), ("more", "<u4"), ("total", "<u8")])
 _WORD = np.dtype([("contexts", "<u4"), ("count", "<u8")])
+_FREQUENT = np.dtype([("context", "<u8"), *((n, _CONTEXT[n]) for n in _CONTEXT.names)])
 
 
 def _marks() -> tuple[np.uint64, np.uint64]:
@@ -63,6 +68,19 @@ def gram(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+
+
+def placed(contexts: np.ndarray, words: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each bigram."""
+    key = contexts.copy()
+    spread = _among(contexts, frequent)
+    key[spread] = gram(contexts[spread], words[spread])
+    return key >> np.uint64(64 - bits) if bits else np.zeros(len(key), dtype=np.uint64)
+
+
 def merge(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct bigrams in order of context, then word, with summed counts."""
     order = np.lexsort((words, contexts))
@@ -97,7 +115,7 @@ def _blobs(rows: list[tuple], names: list[str]):
 
 
 _COUNTED = ["shard", "contexts", "sizes", "words", "counts"]
-_SEEN = ["shard", "words", "contexts", "counts"]
+_SEEN = ["shard", "words", "contexts", "counts", "frequent"]
 _BLOB = {n: "binary" for n in _COUNTED + _SEEN} | {"shard": "int"}
 
 
@@ -105,10 +123,13 @@ def _schema(names: list[str]) -> str:
     return ", ".join(f"{n} {_BLOB[n]}" for n in names)
 
 
-def _count(bits: int):
+def _count(bits: int, frequent: np.ndarray):
     def packed(lists):
         contexts, words, counts = merge(*bigrams(lists), None)
-        cuts = _cuts(contexts, bits)
+        shards = placed(contexts, words, frequent, bits)
+        order = np.argsort(shards, kind="stable")
+        contexts, words, counts, shards = contexts[order], words[order], counts[order], shards[order]
+        cuts = np.searchsorted(shards, np.arange((1 << bits) + 1, dtype=np.uint64))
         for shard, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if a < b:
                 first, sizes = _runs(contexts[a:b])
@@ -150,7 +171,7 @@ def _join(rows: list[list[bytes]], i: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(r[i] for r in rows), dtype=kind)
 
 
-def _write_bigrams(folder: str, bits: int):
+def _write_bigrams(folder: str, bits: int, frequent: np.ndarray):
     def run(batches):
         for shard, rows in _gather(batches, _COUNTED).items():
             contexts = np.repeat(_join(rows, 0, "<u8"), _join(rows, 1, "<u4"))
@@ -166,8 +187,17 @@ def _write_bigrams(folder: str, bits: int):
             for field, hit in (("once", counts == 1), ("twice", counts == 2), ("more", counts > 2)):
                 stats[field] = np.add.reduceat(hit.astype(np.int64), first)
             stats["total"] = np.add.reduceat(counts, first)
-            _save(folder, f"context-{shard}", contexts[first])
-            _save(folder, f"context-stats-{shard}", stats)
+            spread = _among(contexts[first], frequent)
+            _save(folder, f"context-{shard}", contexts[first][~spread])
+            _save(folder, f"context-stats-{shard}", stats[~spread])
+            part = np.zeros(int(spread.sum()), dtype=_FREQUENT)
+            part["context"] = contexts[first][spread]
+            for field in _CONTEXT.names:
+                part[field] = stats[field][spread]
+            cuts = _cuts(part["context"], bits)
+            for to, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    yield _blobs([(to, b"", b"", b"", part[a:b].tobytes())], _SEEN)
             _save(folder, f"sizes-{shard}", np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], dtype=np.int64))
             order = np.argsort(words, kind="stable")
             words, counts = words[order], counts[order]
@@ -176,7 +206,7 @@ def _write_bigrams(folder: str, bits: int):
             cuts = _cuts(keys, bits)
             for to, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if a < b:
-                    yield _blobs([(to, keys[a:b].tobytes(), sizes[a:b].astype("<u4").tobytes(), total[a:b].astype("<u8").tobytes())], _SEEN)
+                    yield _blobs([(to, keys[a:b].tobytes(), sizes[a:b].astype("<u4").tobytes(), total[a:b].astype("<u8").tobytes(), b"")], _SEEN)
 
     return run
 
@@ -191,10 +221,20 @@ def _write_words(folder: str):
             words = words[order]
             first, _ = _runs(words)
             stats = np.zeros(len(first), dtype=_WORD)
-            stats["contexts"] = seen = np.add.reduceat(contexts[order].astype(np.int64), first)
-            stats["count"] = np.add.reduceat(counts[order], first)
+            if len(first):
+                stats["contexts"] = np.add.reduceat(contexts[order].astype(np.int64), first)
+                stats["count"] = np.add.reduceat(counts[order], first)
+            seen = stats["contexts"].astype(np.int64)
             _save(folder, f"word-{shard}", words[first])
             _save(folder, f"word-stats-{shard}", stats)
+            parts = np.sort(_join(rows, 3, _FREQUENT), order="context")
+            first_part, _ = _runs(parts["context"])
+            whole = np.zeros(len(first_part), dtype=_CONTEXT)
+            for field in _CONTEXT.names:
+                if len(first_part):
+                    whole[field] = np.add.reduceat(parts[field].astype(np.uint64), first_part)
+            _save(folder, f"frequent-{shard}", parts["context"][first_part])
+            _save(folder, f"frequent-stats-{shard}", whole)
             facts = [shard, len(first), int(stats["count"].sum()), int(seen.sum()), *(int(np.count_nonzero(seen == k)) for k in (1, 2, 3, 4)), int(np.count_nonzero(seen > 2))]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in facts], names=_FACTS)
 
@@ -216,8 +256,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """Where the arrays lie and the model's few numbers; tasks open the arrays they need."""
 
-    def __init__(self, folder: str, bits: int, facts: list[dict], n: np.ndarray) -> None:
-        self.folder, self.bits = folder, bits
+    def __init__(self, folder: str, bits: int, facts: list[dict], n: np.ndarray, frequent: np.ndarray) -> None:
+        self.folder, self.bits, self.frequent = folder, bits, frequent
         total = {k: sum(f[k] for f in facts) for k in _FACTS}
         self.words, self.tokens, self.types = total["words"], total["tokens"], total["types"]
         self.high, self.low = discounts(*n.tolist()), discounts(*(total[k] for k in ("n1", "n2", "n3", "n4")))
@@ -239,7 +279,7 @@ class Model:
         cuts = _cuts(shard_of, self.bits)
         for shard, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             known = self._open(f"{kind}-{shard}") if a < b else None
-            if known is not None:
+            if known is not None and len(known):
                 at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
                 hit = np.flatnonzero(known[at] == keys[a:b])
                 got = self._open(f"{stats}-{shard}")[at[hit]]
@@ -258,14 +298,15 @@ class Model:
 
     def context_stats(self, contexts: np.ndarray) -> np.ndarray:
         keys, back = np.unique(contexts, return_inverse=True)
-        return self._look(keys, keys, "context", "context-stats", _CONTEXT)[back]
+        found, spread = self._look(keys, keys, "context", "context-stats", _CONTEXT), _among(keys, self.frequent)
+        found[spread] = self._look(keys[spread], keys[spread], "frequent", "frequent-stats", _CONTEXT)
+        return found[back]
 
     def counts(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         keys = gram(contexts, words)
-        shift = np.uint64(64 - self.bits)
-        shard = contexts >> shift if self.bits else np.zeros(len(keys), np.uint64)
+        shard = placed(contexts, words, self.frequent, self.bits)
         order = np.lexsort((keys, shard))
-        found = self._look(keys[order], shard[order] << shift if self.bits else shard[order], "bigram", "bigram-count", np.uint64)
+        found = self._look(keys[order], shard[order] << np.uint64(64 - self.bits) if self.bits else shard[order], "bigram", "bigram-count", np.uint64)
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -293,23 +334,45 @@ def _by_shard(df: DataFrame, shards: int) -> DataFrame:
     return df.repartitionById(shards, F.col("shard")) if hasattr(df, "repartitionById") else df.repartition(shards, "shard")
 
 
+def _sampled(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        lists = [tokens(raw)[:-1] for raw in texts(b.column("text"))]
+        words, n = np.unique(np.concatenate(lists or [np.empty(0, np.uint64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
+def frequent_contexts(docs: DataFrame, rows: int, bits: int) -> np.ndarray:
+    """A text's start and the words with over a quarter of a shard's share of a sample's tokens; at most four a shard."""
+    start = np.array([_marks()[0]])
+    if not bits:
+        return start
+    part = docs.sample(fraction=min(1.0, SAMPLE / max(rows, 1)), seed=3) if rows > SAMPLE else docs
+    counts = part.mapInArrow(released(_sampled), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") > total / (4 << bits)).select("word").collect()
+    return np.unique(np.concatenate([start, np.array([r["word"] for r in found], dtype=np.int64).view(np.uint64)]))
+
+
 def build(docs: DataFrame) -> Model:
     """The model of all given documents; null text counts as empty, an empty table makes a model that knows no word."""
     spark = docs.sparkSession
     prepare(spark)
     slim = only(docs, "text")
-    chars = slim.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars, rows = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     bits = min(SHARDS.bit_length() - 1, max(0, int(np.ceil(np.log2(max(1, chars / 6 / SHARD_BIGRAMS))))))
     folder = _local(scratch(spark, "kneser"))
     os.makedirs(folder)
-    counted = slim.mapInArrow(released(_count(bits)), _schema(_COUNTED))
-    seen = _by_shard(counted, 1 << bits).mapInArrow(released(_write_bigrams(folder, bits)), _schema(_SEEN))
+    frequent = frequent_contexts(slim, rows, bits)
+    counted = slim.mapInArrow(released(_count(bits, frequent)), _schema(_COUNTED))
+    seen = _by_shard(counted, 1 << bits).mapInArrow(released(_write_bigrams(folder, bits, frequent)), _schema(_SEEN))
     facts = _by_shard(seen, 1 << bits).mapInArrow(released(_write_words(folder)), ", ".join(f"{f} bigint" for f in _FACTS)).collect()
     n = np.zeros(4, dtype=np.int64)
     for shard in range(1 << bits):
         path = os.path.join(folder, f"sizes-{shard}.npy")
         n += np.load(path) if os.path.exists(path) else 0
-    return Model(folder, bits, [r.asDict() for r in facts], n)
+    return Model(folder, bits, [r.asDict() for r in facts], n, frequent)
 
 
 def _scored(model: Model):

@@ -301,6 +301,19 @@ def test_language_model(spark, monkeypatch):
     assert kneser.score(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_frequent_contexts_lie_in_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(kneser, "SHARD_BIGRAMS", 40)
+    rows = [(i, " ".join(f"the w{i * j % 211}" for j in range(1, 40))) for i in range(60)]
+    want, _, _ = brute_kneser([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], [t for _, t in rows])
+    got = [r["score"] for r in kneser.score(docs(spark, rows)).orderBy("doc_id").collect()]
+    assert got == pytest.approx(want)
+    model = kneser.build(docs(spark, rows).select("text"))
+    the = np.unique(kneser.tokens(b"the")[:1])
+    assert len(model.frequent) >= 2 and kneser._among(the, model.frequent).all()
+    sizes = [len(model._open(f"bigram-{k}")) for k in range(1 << model.bits) if model._open(f"bigram-{k}") is not None]
+    assert max(sizes) < 0.25 * sum(sizes)
+
+
 def test_language_model_counts_over_255(spark):
     rows = [(i, "x y " * 200) for i in range(4)]
     want, _, _ = brute_kneser([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], [t for _, t in rows])
