@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.session import workers_import
 
 #: Rows of an Arrow batch: texts can be long, so batches stay short and a worker's memory bounded.
-BATCH_ROWS, BATCH_BYTES = 4096, 5 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
