@@ -13,7 +13,8 @@ import hashlib
 import math
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -71,12 +72,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _ATOM = re.compile(r"[^\W_]+|\s|[^\w\s]|_")
 _KEYWORD = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api|key|auth|credential)")
-#: What may hold more than the base patterns find: a key with a known prefix, a whole run of eight or more (with a digit,
-#: which is tested apart), or seven digits with marks. Runs over MAX_RUN characters are data and no one's.
-_TRIGGER = re.compile(r"\bAKIA[A-Z0-9]{16}\b|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}|(?<![0-9.])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[.-][0-9]{4}(?![0-9])")
+#: What may hold more than the base patterns find: a whole run of eight or more (with a digit, which is tested apart), a key
+#: with a known prefix, or seven digits with marks. Each is searched by itself, so that a run hides nothing inside it.
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}")
+_INSIDE = tuple(map(re.compile, (r"\bAKIA[A-Z0-9]{16}\b", r"(?<![0-9.])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[.-][0-9]{4}(?![0-9])")))
 _DIGIT = re.compile(r"[0-9]")
 _CHUNK = re.compile(r"\S{1,60}")
-MAX_RUN = 512
+#: Candidates that are scored at once, so that a long window takes little memory.
+BLOCK = 4096
 
 
 class Cover:
@@ -97,24 +100,28 @@ class Cover:
         return i >= 0 and self.ends[i] > a
 
 
-def windows(text: str, cover: Cover) -> list[tuple[int, int]]:
-    """(start, end) of the stretches to label: a trigger that no base span touches, with two chunks on each side."""
+def triggers(text: str, cover: Cover) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, end) of what no base span touches and opens a window, and of the runs among it, of any length."""
+    runs = [t for m in _RUN.finditer(text) if not cover.touches(*(t := m.span())) and _DIGIT.search(text, *t)]
+    inside = [t for p in _INSIDE for m in p.finditer(text) if not cover.touches(*(t := m.span()))]
+    return sorted(runs + inside), runs
+
+
+def windows(text: str, opened: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the stretches to label: the triggers, in order, with two chunks on each side."""
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = m.span()
-        if b - a > MAX_RUN or cover.touches(a, b) or not (_DIGIT.search(text, a, b) or text.startswith("AKIA", a)):
-            continue
+    for start, b in opened:
+        a = start
         for _ in range(2):  # to the left over marks and the two chunks before
-            while a and text[a - 1].isspace() and m.start() - a < 60:
+            while a and text[a - 1].isspace() and start - a < 60:
                 a -= 1
-            while a and not text[a - 1].isspace() and m.start() - a < 60:
+            while a and not text[a - 1].isspace() and start - a < 60:
                 a -= 1
         right = _CHUNK.search(text, b)
         b = min(right.end() if right and right.start() - b < 3 else b, b + 60)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+        while out and a <= out[-1][1]:
+            a, b = min(a, out[-1][0]), max(b, out.pop()[1])
+        out.append((a, b))
     return out
 
 
@@ -122,20 +129,32 @@ def atoms(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in _ATOM.finditer(text, start, end)]
 
 
-def candidates(text: str, spans: list[tuple[int, int]], cover: Cover) -> list[tuple[int, int]]:
-    """(first atom, atom after the last) of the segments that may be an entity."""
+def candidates(text: str, spans: list[tuple[int, int]], cover: Cover, runs: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """(first atom, atom after the last) of the segments that may be an entity, in order of the first.
+
+    They have up to MAX_ATOMS atoms and MAX_CHARS characters; a single atom and a whole run have any length.
+    """
+    whole = {}
+    for a, b in runs:
+        b = a + len(text[a:b].rstrip("_+/-"))
+        a = b - len(text[a:b].lstrip("_+/-"))
+        if a < b:  # a run ends inside an atom where other letters follow: then with the whole atom
+            whole[bisect_right(spans, a, key=lambda x: x[0]) - 1] = bisect_left(spans, b, key=lambda x: x[1]) + 1
     out = []
     for i, (a, _) in enumerate(spans):
-        if not (text[a].isalnum() or text[a] in "+("):
-            continue
-        for j in range(i + 1, min(len(spans), i + MAX_ATOMS) + 1):
-            b = spans[j - 1][1]
-            if b - a > MAX_CHARS:
-                break
-            if b - a < MIN_CHARS or not text[b - 1].isalnum() or cover.touches(a, b):
-                continue
-            if any("0" <= c <= "9" for c in text[a:b]) or text.startswith("AKIA", a):
-                out.append((i, j))
+        last = i
+        if text[a].isalnum() or text[a] in "+(":
+            for j in range(i + 1, min(len(spans), i + MAX_ATOMS) + 1):
+                b = spans[j - 1][1]
+                if b - a > MAX_CHARS and j > i + 1:
+                    break
+                last = j
+                if b - a < MIN_CHARS or not text[b - 1].isalnum() or cover.touches(a, b):
+                    continue
+                if _DIGIT.search(text, a, b) or text.startswith("AKIA", a):
+                    out.append((i, j))
+        if whole.get(i, 0) > last and not cover.touches(a, spans[whole[i] - 1][1]):
+            out.append((i, whole[i]))
     return out
 
 
@@ -178,6 +197,9 @@ def features(text: str, a: int, b: int) -> list[str]:
         out.append("cut_mark")
     if _KEYWORD.search(s):
         out.append("keyword_inside")
+    if len(s) > 64:
+        cut = (before[-1:].isalnum() or before[-1:] in "_+/-") and before or after.isalnum() or after and after in "_+/-"
+        out.append("long_part" if cut else "long_whole")
     return out
 
 
@@ -197,28 +219,36 @@ class Model:
     def decode(self, text: str, cover: Cover) -> list[tuple[int, int, int]]:
         """(start, kind index, end) of the entities that the best segmentation of each window holds."""
         out = []
-        for start, end in windows(text, cover):
+        opened, runs = triggers(text, cover)
+        at = 0
+        for start, end in windows(text, opened):
             spans = atoms(text, start, end)
-            found = candidates(text, spans, cover)
-            if not found:
-                continue
-            scores = self.scores(text, spans, found)
-            by_end: dict[int, list[int]] = {}
-            for k, (_, j) in enumerate(found):
-                by_end.setdefault(j, []).append(k)
-            best, back = [0.0] * (len(spans) + 1), [-1] * (len(spans) + 1)
-            for j in range(1, len(spans) + 1):
-                best[j] = best[j - 1]  # an atom outside scores 0
-                for k in by_end.get(j, ()):
-                    if (s := best[found[k][0]] + scores[k].max()) > best[j]:
-                        best[j], back[j] = s, k
+            first = at
+            while at < len(runs) and runs[at][0] < end:
+                at += 1
+            found = candidates(text, spans, cover, runs[first:at])
+            best, back, reached = [0.0] * (len(spans) + 1), [(-1, 0)] * (len(spans) + 1), 0
+            for k in range(0, len(found), BLOCK):
+                block = found[k : k + BLOCK]
+                scores = self.scores(text, spans, block)
+                for (i, j), top, kind in zip(block, scores.max(1).tolist(), scores.argmax(1).tolist(), strict=True):
+                    while reached < i:  # an atom outside scores 0
+                        reached += 1
+                        if best[reached - 1] >= best[reached]:
+                            best[reached], back[reached] = best[reached - 1], (-1, 0)
+                    if best[i] + top > best[j]:
+                        best[j], back[j] = best[i] + top, (i, kind)
+            while reached < len(spans):
+                reached += 1
+                if best[reached - 1] >= best[reached]:
+                    best[reached], back[reached] = best[reached - 1], (-1, 0)
             j = len(spans)
             while j:
-                if (k := back[j]) < 0:
+                i, kind = back[j]
+                if i < 0:
                     j -= 1
                 else:
-                    i = found[k][0]
-                    out.append((spans[i][0], int(scores[k].argmax()), spans[j - 1][1]))
+                    out.append((spans[i][0], kind, spans[j - 1][1]))
                     j = i
         return out
 
@@ -261,15 +291,44 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, str, int]]]:
     return text, [(start, kind, start + len(body))] if kind else []
 
 
+def _made_long(rng: random.Random) -> tuple[str, list[tuple[int, str, int]]]:
+    """A made-up passage with a long run, which is a secret, holds one, or is data."""
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    lower, figures = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = lower + lower.upper() + figures
+    n = rng.randint(70, 420)
+    head = " ".join(some(lower, rng.randint(2, 9)) for _ in range(rng.randint(0, 3)))
+    text = head + " " if head else ""
+    lead = rng.choice(["SessionToken=", "token: ", "secret=", "api_key = \"", "auth: ", "private_key='", "password="])
+    what = rng.randrange(7)
+    if what < 3:
+        chars = rng.choice([mixed, mixed + "+/", mixed + "+/", mixed + "-_", figures + "abcdef"])
+        text += lead
+        start = len(text)
+        text += some(mixed, 1) + some(chars, n - 2) + some(figures, 1)
+        gold = [(start, "secret", len(text))]
+        text += lead[-1] if lead[-1] in "\"'" else ""
+    elif what == 3:
+        text += some(lower, n) + "/"
+        start = len(text)
+        text += "AKIA" + some(lower.upper() + figures, 16)
+        gold = [(start, "secret", len(text))]
+        text += "/" + some(lower, rng.randint(5, 40))
+    else:
+        text += rng.choice([some(figures, n), "-".join(some(lower, 6) for _ in range(n // 7)) + "-2", "/".join(some(lower, 5) for _ in range(n // 6)) + "/7", "data:image/png;base64," + some(mixed + "+/", n) + "4", "_".join(some(figures, 3) for _ in range(n // 4)), (some(lower, 2) + "1/") * (n // 4)])
+        gold = []
+    return text + rng.choice(["", ".", ","]) + " " + some(lower, 4), gold
+
+
 def train(made: int = 900, rounds: int = 60, seed: int = 5) -> Model:
     """Weights of greatest penalised likelihood over ``made`` passages, by gradient steps with a step per weight."""
     rng = random.Random(seed)
     index: dict[str, int] = {}
     lattices = []
-    for _ in range(made):
-        text, gold = _made(rng)
+    long = random.Random(seed + 1)
+    for text, gold in [*(_made(rng) for _ in range(made)), *(_made_long(long) for _ in range(made // 6))]:
         spans = atoms(text, 0, len(text))
-        found = candidates(text, spans, Cover([]))
+        found = candidates(text, spans, Cover([]), triggers(text, Cover([]))[1])
         if not found:
             continue
         rows = [np.array([index.setdefault(f, len(index)) for f in features(text, spans[i][0], spans[j - 1][1])]) for i, j in found]

@@ -212,6 +212,17 @@ def test_pii_takes_time_in_proportion(model, text):
     assert set(base) <= set(spans) and time.process_time() - began < 20
 
 
+def test_pii_in_long_runs(model):
+    rng = random.Random(77)
+    some = lambda n, more="": "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + more) for _ in range(n))
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    cases = [("SessionToken=", some(600), ""), ("SessionToken=", some(600, "+/") + "x", ""), ("see password=", some(161) + "9", " there"), ("token: ", some(9000), " x"), ("a" * 500 + "/", key, "/" + "b" * 20), ("q" * 600 + "/", "555-123-4567", "/z")]
+    for before, secret, after in cases:
+        text = before + secret + after
+        assert [text[a:b] for a, _, b in semicrf.find(text.encode(), model)[1]] == [secret]
+    assert semicrf.find(("data:image/png;base64," + some(3000, "+/")).encode(), model)[1] == []  # data and no one's
+
+
 def test_pii_over_documents(spark, model):
     rows = [(11, "mail a@b.c and é +1 (555) 123-4567", "s", "k"), (12, "clean text"), *ODD[:4]]
     got = {r["doc_id"]: r for r in semicrf.detect(docs(spark, rows), model).collect()}
