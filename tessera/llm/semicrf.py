@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field.
 
-Base patterns give certain spans. Around what is left that could name a person or open a door (long runs with digits, a
-number after a key word), a window of atoms (words, single marks, single spaces) is labelled as a whole: every segment of
+Base patterns give certain spans. Around what is left that could name a person or open a door (runs with digits, what stands
+after a key word, numbers in groups), a window of atoms (words, single marks, single spaces) is labelled as a whole: every segment of
 at most ``MAX_ATOMS`` atoms is a candidate of every kind, scored by features of the whole span, and one dynamic program
 over the window chooses boundaries and kinds together. Weights maximise the conditional likelihood of windows made from
 a fixed seed, by the forward-backward sums of the same lattice; they are a few hundred numbers and go with the tasks.
@@ -73,9 +73,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _ATOM = re.compile(r"[^\W_]+|\s|[^\w\s]|_")
 _KEYWORD = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api|key|auth|credential)")
 #: What may hold more than the base patterns find: a whole run of eight or more (with a digit, which is tested apart), a key
-#: with a known prefix, or seven digits with marks. Each is searched by itself, so that a run hides nothing inside it.
+#: with a known prefix, digits in groups, or what stands after a key word (a digit is asked for only where no mark or "is"
+#: comes before). Each is searched by itself, so that a run hides nothing inside it.
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,}")
-_INSIDE = tuple(map(re.compile, (r"\bAKIA[A-Z0-9]{16}\b", r"(?<![0-9.])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[.-][0-9]{4}(?![0-9])")))
+_INSIDE = tuple(map(re.compile, (r"\bAKIA[A-Z0-9]{16}\b", r"(?<![0-9.])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])", r"(?<![0-9.,])\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,5}){2,5}(?![0-9])")))
+_KEYED = re.compile(
+    r"(?i)(?:password|passwd|passphrase|(?<![a-z])pass|pwd|secret|token|auth|credentials?|(?:(?<![a-z])|(?<=api)|(?<=access)|(?<=private)|(?<=secret))key)"
+    r"[\"']?(?P<mark>\s{0,3}(?:[:=]|=>|:=)\s{0,3}|\s{1,3}is\s{1,3}|\s)(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s\"'`<>]+))"
+)
+_KEYED_BYTES = re.compile(rb"(?i)pass|pwd|secret|token|auth|credential|key")
+_LED = re.compile(r"(?i)(?:(?P<strong>pass(?:word|wd|phrase)?|pwd|secret|credentials?)|token|auth|key)[\"']?(?:\s{0,3}(?:[:=]|=>|:=)\s{0,3}|\s{1,3}is\s{1,3})[\"']?$")
+_NO_VALUE = re.compile(r"(?i)none|null|true|false|required|optional|string|\S*\(.*|\S*\[.*|\$.*|https?:.*|(?:too|very|not|never|always|stored|invalid|incorrect|wrong|empty|missing|expired).*")
+MIN_KEYED = 4
 _DIGIT = re.compile(r"[0-9]")
 _CHUNK = re.compile(r"\S{1,60}")
 #: Candidates that are scored at once, so that a long window takes little memory.
@@ -99,11 +108,37 @@ class Cover:
         i = bisect_left(self.starts, b) - 1
         return i >= 0 and self.ends[i] > a
 
+    def covers(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a) - 1
+        return i >= 0 and self.ends[i] >= b
+
+    def inside(self, a: int, b: int) -> bool:
+        """Whether no stretch crosses an end of (a, b)."""
+        i, j = bisect_left(self.starts, a) - 1, bisect_left(self.starts, b) - 1
+        return (i < 0 or self.ends[i] <= a) and (j < 0 or self.ends[j] <= b)
+
+    def left(self, a: int, b: int) -> list[tuple[int, int]]:
+        """What of (a, b) is not covered."""
+        out, i = [], max(0, bisect_right(self.starts, a) - 1)
+        while i < len(self.starts) and self.starts[i] < b:
+            if self.starts[i] > a:
+                out.append((a, self.starts[i]))
+            a = max(a, self.ends[i])
+            i += 1
+        return [*out, (a, b)] if a < b else out
+
 
 def triggers(text: str, cover: Cover) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(start, end) of what no base span touches and opens a window, and of the runs among it, of any length."""
-    runs = [t for m in _RUN.finditer(text) if not cover.touches(*(t := m.span())) and _DIGIT.search(text, *t)]
+    """(start, end) of what opens a window, base spans aside, and of the runs and keyed values among it, of any length."""
+    runs = [t for m in _RUN.finditer(text) if _DIGIT.search(text, *(t := m.span())) and not cover.covers(*t)]
+    for m in _KEYED.finditer(text):
+        a, b = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            b = a + len(text[a:b].rstrip(".,;:)]}"))
+        if b - a >= MIN_KEYED and (m["mark"].strip() or _DIGIT.search(text, a, b)) and not cover.covers(a, b):
+            runs.append((a, b))
     inside = [t for p in _INSIDE for m in p.finditer(text) if not cover.touches(*(t := m.span()))]
+    runs = sorted(set(runs))
     return sorted(runs + inside), runs
 
 
@@ -132,29 +167,32 @@ def atoms(text: str, start: int, end: int) -> list[tuple[int, int]]:
 def candidates(text: str, spans: list[tuple[int, int]], cover: Cover, runs: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """(first atom, atom after the last) of the segments that may be an entity, in order of the first.
 
-    They have up to MAX_ATOMS atoms and MAX_CHARS characters; a single atom and a whole run have any length.
+    They have up to MAX_ATOMS atoms and MAX_CHARS characters, a digit, and no part of a base span; a single atom has any
+    length, and ``runs`` are candidates as they are, with the base spans that lie inside them.
     """
-    whole = {}
+    whole: dict[int, set[int]] = {}
     for a, b in runs:
-        b = a + len(text[a:b].rstrip("_+/-"))
-        a = b - len(text[a:b].lstrip("_+/-"))
-        if a < b:  # a run ends inside an atom where other letters follow: then with the whole atom
-            whole[bisect_right(spans, a, key=lambda x: x[0]) - 1] = bisect_left(spans, b, key=lambda x: x[1]) + 1
+        if text[a:b].strip("_+/-"):
+            if _RUN.fullmatch(text, a, b):
+                b = a + len(text[a:b].rstrip("_+/-"))
+                a = b - len(text[a:b].lstrip("_+/-"))
+            # a run ends inside an atom where other letters follow: then with the whole atom
+            i, j = bisect_right(spans, a, key=lambda x: x[0]) - 1, bisect_left(spans, b, key=lambda x: x[1]) + 1
+            if cover.inside(spans[i][0], spans[j - 1][1]):
+                whole.setdefault(i, set()).add(j)
     out = []
     for i, (a, _) in enumerate(spans):
-        last = i
+        ends = whole.get(i, set())
         if text[a].isalnum() or text[a] in "+(":
             for j in range(i + 1, min(len(spans), i + MAX_ATOMS) + 1):
                 b = spans[j - 1][1]
                 if b - a > MAX_CHARS and j > i + 1:
                     break
-                last = j
-                if b - a < MIN_CHARS or not text[b - 1].isalnum() or cover.touches(a, b):
+                if b - a < MIN_CHARS or not text[b - 1].isalnum() or cover.touches(a, b) or j in ends:
                     continue
                 if _DIGIT.search(text, a, b) or text.startswith("AKIA", a):
                     out.append((i, j))
-        if whole.get(i, 0) > last and not cover.touches(a, spans[whole[i] - 1][1]):
-            out.append((i, whole[i]))
+        out += [(i, j) for j in sorted(ends)]
     return out
 
 
@@ -178,8 +216,12 @@ def features(text: str, a: int, b: int) -> list[str]:
             out.append("interleaved")
     if digits > 6 and upper + lower == 0 and {*marks} <= set(" -.()+"):
         out += ["number", f"number{digits}"]
-        if re.fullmatch(r"(?:\+?\d{1,3}[ .-])?\(?\d{3}\)?[ .-]?\d{3}[.-]\d{4}", s):
+        if re.fullmatch(r"(?:\+?\d{1,3}[ .-])?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}", s):
             out.append("phone_shape")
+        if re.fullmatch(r"0\d(?:[ .-]\d\d){4}|\(?0\d{2,4}\)?[ -]\d{3,4}[ -]?\d{3,4}", s):
+            out.append("national_shape")
+        if re.fullmatch(r"[12]\d{3}[ .-]\d\d[ .-]\d\d|(?:[12]\d{3}[ .-])+[12]\d{3}", s):
+            out.append("date_shape")
     if s.count(".") == 3 and re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", s):
         out.append("ip_shape")
     if "@" in marks and re.fullmatch(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+", s):
@@ -189,6 +231,14 @@ def features(text: str, a: int, b: int) -> list[str]:
     if _KEYWORD.search(tight[-12:]):
         out.append("keyword")
         out.append("keyword_tight" if before[-1:] in "=:\"'" else "keyword_near")
+    if m := _LED.search(text, max(0, a - 24), a):
+        out += ["led", "led_pass" if m["strong"] else "led_key", f"led_{'letters' if s.isalpha() else 'digits' if s.isdigit() else 'both' if s.isalnum() else 'marks'}"]
+        if s.isalpha():
+            out.append(f"led_{'pass' if m['strong'] else 'key'}_{'lower' if s.islower() else 'upper' if s.isupper() else 'mixed'}")
+        if _NO_VALUE.fullmatch(s):
+            out.append("no_value")
+    if len(s) < MIN_CHARS:
+        out.append("short")
     if before[-1:] in "\"'" and before and after in ("\"", "'"):
         out.append("quoted")
     if before[-1:].isalnum() or after.isalnum():
@@ -248,7 +298,7 @@ class Model:
                 if i < 0:
                     j -= 1
                 else:
-                    out.append((spans[i][0], kind, spans[j - 1][1]))
+                    out += [(a, kind, b) for a, b in cover.left(spans[i][0], spans[j - 1][1])]
                     j = i
         return out
 
@@ -320,13 +370,50 @@ def _made_long(rng: random.Random) -> tuple[str, list[tuple[int, str, int]]]:
     return text + rng.choice(["", ".", ","]) + " " + some(lower, 4), gold
 
 
+def _made_keyed(rng: random.Random) -> tuple[str, list[tuple[int, str, int]]]:
+    """A made-up passage with a value after a key word, or with digits in groups."""
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    lower, figures = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    word = lambda least=3: some(lower, rng.randint(least, 9))
+    d = lambda n: some(figures, n)
+    lead, kind, tail = "", None, ""
+    strong, weak = rng.choice(["password", "Password", "passwd", "pwd", "pass", "secret", "db_password", "credentials"]), rng.choice(["token", "key", "auth", "api_key", "access_token", "key"])
+    what = rng.randrange(9)
+    if what < 3:
+        kind = "secret"
+        lead = strong + rng.choice([": ", "=", " = ", ":", " is ", ": \"", "='"])
+        body = rng.choice([word(5) + d(rng.randint(1, 4)), word(5).title() + word(4).title(), some(lower, 2) + d(2) + some(lower, 2) + d(1), word(6), word(4) + rng.choice("!@#$%&*-_") + word(4), word(4).title() + rng.choice("!@#$%&*") + d(3), some(lower + lower.upper() + figures + "!@#$%", rng.randint(8, 18)), d(rng.randint(4, 9))])
+        tail = lead[-1] if lead[-1] in "\"'" else ""
+    elif what == 3:
+        kind = "secret"
+        lead = weak + rng.choice([": ", "=", " = ", "=\""])
+        body = some(lower + lower.upper() + figures, rng.randint(12, 30)) + d(2)
+        tail = lead[-1] if lead[-1] in "\"'" else ""
+    elif what == 4:
+        lead = rng.choice([strong, weak, weak]) + rng.choice([": ", "=", " = ", " is "])
+        body = rng.choice(["None", "null", "required", "optional", "true", "string", word() + "()", word() + "(" + word() + ")", "os." + word() + "[" + word() + "]", "$" + word(), "https://" + word() + ".org/" + word(), "not " + word(), "too " + word(), "stored", "invalid"])
+    elif what == 5:
+        lead = weak + rng.choice([": ", "=", " = ", " is ", " "])
+        body = rng.choice([word(4), word(4), word(4).title(), word(4) + "_" + word(), word(4) + " " + word(), d(4), "the " + word(4)])
+    elif what < 8:
+        kind = "phone"
+        lead = rng.choice(["call ", "tel ", "phone: ", word() + " ", ""])
+        body = rng.choice([f"{d(3)} {d(3)} {d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}"])
+    else:
+        body = rng.choice([f"{rng.randint(10, 99)} {d(3)} {d(3)}", f"{d(3)} {d(3)} {d(3)}", f"19{d(2)} 20{d(2)} 20{d(2)}", f"{d(2)} {d(2)} {d(2)}", f"{d(2)} {d(2)} {d(2)} {d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"{d(4)} {d(4)} {d(4)}", f"{d(5)} {d(5)} {d(5)}", f"1{d(1)}.0{d(1)}.20{d(2)}", f"{d(2)} {d(3)} {d(2)} {d(3)} {d(2)}"])
+    text = " ".join(word() for _ in range(rng.randint(0, 3)))
+    text += (" " if text else "") + lead
+    start = len(text)
+    return text + body + tail + rng.choice(["", ".", ","]) + " " + word(), [(start, kind, start + len(body))] if kind else []
+
+
 def train(made: int = 900, rounds: int = 60, seed: int = 5) -> Model:
     """Weights of greatest penalised likelihood over ``made`` passages, by gradient steps with a step per weight."""
     rng = random.Random(seed)
     index: dict[str, int] = {}
     lattices = []
-    long = random.Random(seed + 1)
-    for text, gold in [*(_made(rng) for _ in range(made)), *(_made_long(long) for _ in range(made // 6))]:
+    long, keyed = random.Random(seed + 1), random.Random(seed + 2)
+    for text, gold in [*(_made(rng) for _ in range(made)), *(_made_long(long) for _ in range(made // 6)), *(_made_keyed(keyed) for _ in range(made))]:
         spans = atoms(text, 0, len(text))
         found = candidates(text, spans, Cover([]), triggers(text, Cover([]))[1])
         if not found:
@@ -374,11 +461,11 @@ def _logsum(values: list[float]) -> float:
 
 def find(text: bytes, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text in UTF-8, as (start, kind index, end) in code points, in order."""
-    if b"@" not in text and b"AKIA" not in text and len(text.translate(None, _DIGITS)) == len(text):
+    if b"@" not in text and b"AKIA" not in text and len(text.translate(None, _DIGITS)) == len(text) and not _KEYED_BYTES.search(text):
         return [], []
     s = text.decode("utf-8", "replace")
     base = base_spans(s)
-    return base, sorted(base + model.decode(s, Cover(base)))  # candidates keep clear of base spans
+    return base, sorted(base + model.decode(s, Cover(base)))  # decode() gives what base spans leave
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

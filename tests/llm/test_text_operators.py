@@ -223,6 +223,32 @@ def test_pii_in_long_runs(model):
     assert semicrf.find(("data:image/png;base64," + some(3000, "+/")).encode(), model)[1] == []  # data and no one's
 
 
+def test_pii_on_passages_the_generator_does_not_make(model):
+    cases = [
+        ("call 555 123 4567", ["555 123 4567"]), ("Please call (555) 123 4567 today", ["(555) 123 4567"]), ("tel 06 12 34 56 78.", ["06 12 34 56 78"]), ("password: hunter2", ["hunter2"]), ("pwd=ab12cd3", ["ab12cd3"]),
+        ("password: CorrectHorse", ["CorrectHorse"]), ("my password is swordfish42, ok", ["swordfish42"]), ("Password: p@ss!word9", ["p@ss!word9"]), ("le password: motdepasse", ["motdepasse"]),
+        ("the key idea is simple", []), ("password reset is required", []), ("token = get_token()", []), ("password: None", []), ("author: Melville", []), ("max_tokens: 4096", []), ("population 12 345 678 in 2019", []), ("2019 2020 2021", []),
+    ]
+    for text, want in cases:
+        assert [text[a:b] for a, _, b in semicrf.find(text.encode(), model)[1]] == want, text
+
+
+def test_pii_labels_what_base_spans_leave_of_a_run(model):
+    key = "3fa9c0d1b2ee" + "4111111111111111" + "ab09cd8ef7a1"
+    base, spans = semicrf.find(f'api_key = "{key}"'.encode(), model)
+    assert base == [(23, 2, 39)] and spans == [(11, 4, 23), (23, 2, 39), (39, 4, 51)]
+    assert semicrf.mask(f'api_key = "{key}"'.encode(), model) == b'api_key = "<SECRET><CARD><SECRET>"'
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=5), st.integers(0, 30), st.integers(1, 12))
+def test_pii_cover(stretches, a, n):
+    spans = sorted((x, 0, x + k) for x, k in stretches)
+    cover, inside, b = semicrf.Cover(spans), {i for x, _, y in spans for i in range(x, y)}, a + n
+    assert cover.covers(a, b) == (set(range(a, b)) <= inside) or any(y in {x for x, _, _ in spans} for _, _, y in spans)
+    assert [i for x, y in cover.left(a, b) for i in range(x, y)] == [i for i in range(a, b) if i not in inside]
+
+
 def test_pii_over_documents(spark, model):
     rows = [(11, "mail a@b.c and é +1 (555) 123-4567", "s", "k"), (12, "clean text"), *ODD[:4]]
     got = {r["doc_id"]: r for r in semicrf.detect(docs(spark, rows), model).collect()}
