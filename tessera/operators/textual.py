@@ -164,6 +164,25 @@ def chunked(docs: DataFrame, kind: str, size: int, overlap: int, key: str = "id"
     return docs.select(key, body).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_index bigint, total_chunks bigint, section string, content string")
 
 
+def prompt_parts(files: DataFrame, least: int = 10_000, size: int = 8000, overlap: int = 200) -> DataFrame:
+    """(collection, id, part_no, part) of files (id, collection, path, body): what a prompt holds, whole, a row for a part.
+
+    In order of id (null first, the header) and part_no the parts of a collection make its prompt. Texts of ``least`` bytes
+    or more come as chunks with part numbers. Nothing is gathered, so a collection may have any size.
+    """
+    key = files.select(F.struct("id", "collection", "path").alias("key"), "body")
+    long = F.octet_length("body") >= least
+    whole = key.where(~F.coalesce(long, F.lit(False))).select("key", F.lit(0).cast("long").alias("chunk_index"), F.lit(1).cast("long").alias("total_chunks"), F.lit("").alias("section"), F.coalesce("body", F.lit("")).alias("content"))
+    each = whole.unionByName(chunked(key.where(long), "markdown", size, overlap, "key")).select("key.*", "*").drop("key")
+    number = F.concat((F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total_chunks").cast("string"))
+    many, section = F.col("total_chunks") > 1, F.coalesce("section", F.lit(""))
+    title = F.concat(F.substring_index("path", "/", -1), F.when(many, F.concat(F.when(section != "", F.concat(F.lit(" - "), section)).otherwise(""), F.lit(" (Part "), number, F.lit(")"))).otherwise(""))
+    chunk = F.when(many, F.concat(F.lit("**Chunk:** "), number, F.lit("\n"), F.when(section != "", F.concat(F.lit("**Section:** "), section, F.lit("\n"))).otherwise(""))).otherwise("")
+    part = F.concat(F.lit("\n---\n\n## "), title, F.lit("\n\n**Source:** "), "path", F.lit("\n"), chunk, F.lit("**Type:** Markdown\n\n"), "content", F.lit("\n\n"))
+    head = files.select("collection").distinct().select("collection", F.lit(None).cast(files.schema["id"].dataType).alias("id"), F.lit(0).cast("long").alias("part_no"), F.lit("# Local Technical Documentation\n\n").alias("part"))
+    return head.unionByName(each.select("collection", "id", (F.col("chunk_index") + 1).alias("part_no"), part.alias("part")))
+
+
 # ---- Markdown
 
 

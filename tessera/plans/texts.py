@@ -185,6 +185,11 @@ def format_for_prompt(spark, d):
     return rows.groupBy("collection").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "part"))), lambda x: x["part"]), "\n").alias("prompt"))
 
 
+@query("prompt_parts")
+def prompt_parts(spark, d):
+    return te.prompt_parts(store(spark, d).select("id", "collection", "path", "body"))
+
+
 @query("prompt_snippets", with_(STORE) + "SELECT id, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 220) AS snippet FROM st ORDER BY id LIMIT 8")
 def prompt_snippets(spark, d):
     return store(spark, d).orderBy("id").limit(8).select("id", F.substring(F.trim(F.regexp_replace("body", r"\s+", " ")), 1, 220).alias("snippet"))

@@ -161,3 +161,17 @@ def test_bands_fall_back_to_everything(spark):
     bands = spark.createDataFrame([("h1", 0, 5), ("h1", 1, 6), ("h2", 0, 7)], "hash string, band int, bucket bigint")
     near = lambda rows: {r["hash"] for r in se.band_candidates(bands, spark.createDataFrame(rows, "band int, bucket bigint")).collect()}
     assert near([(0, 7)]) == {"h2"} and near([(0, 99)]) == {"h1", "h2"}
+
+
+def test_prompt_parts_are_whole(spark):
+    from tessera.operators import textual
+
+    long = "".join(f"# H{i}\n" + f"word{i} " * 500 + "\n" for i in range(6))
+    rows = [(1, "c", "en/1.md", "x" * 5000), (2, "c", "en/2.md", long), (3, "e", "en/3.md", "")]
+    got = sorted(((r["collection"], r["id"] or 0, r["part_no"], r["part"]) for r in textual.prompt_parts(spark.createDataFrame(rows, "id long, collection string, path string, body string")).collect()))
+    assert [g[:3] for g in got if g[1] != 2] == [("c", 0, 0), ("c", 1, 1), ("e", 0, 0), ("e", 3, 1)]
+    assert got[1][3] == "\n---\n\n## 1.md\n\n**Source:** en/1.md\n**Type:** Markdown\n\n" + "x" * 5000 + "\n\n"
+    parts = [g for g in got if g[1] == 2]
+    n = len(parts)
+    assert n > 1 and all(f"(Part {i + 1}/{n})" in p[3] and f"**Chunk:** {i + 1}/{n}\n" in p[3] for i, p in enumerate(parts))
+    assert all(sum(p[3].count(f"word{i} ") for p in parts) >= 500 for i in range(6))
