@@ -203,6 +203,33 @@ def trimmed_markdown(files: DataFrame, limit: int = 500) -> DataFrame:
     return each.withColumn("n", open_).where(~fence & (F.col("n") % 2 == 0) & (F.trim("text") != "")).select("path", (F.col("i") + 1).cast("long").alias("line"), "text")
 
 
+SUPPLEMENTARY = ("CLAUDE.md", "CONTRIBUTING.md", "docs/README.md")
+
+
+def supplementary(files: DataFrame, candidates: tuple[str, ...] = SUPPLEMENTARY, limit: int = 4000) -> DataFrame:
+    """(project, context) of files (project, path, body): the candidates that exist, trimmed and joined in their order.
+
+    Of the first 500 lines, fenced blocks and empty lines go; of each file ``limit`` bytes stay, whole characters, with a mark.
+    A project without any such text has no row; null texts count as empty.
+    """
+    rank = F.array_position(F.array(*map(F.lit, candidates)), F.col("path"))
+    first = F.struct(F.lit(False).alias("open"), F.lit("").alias("kept"))
+
+    def line(acc, x):
+        kept = F.when(~acc["open"] & F.rlike(x, F.lit(r"(?U)\S")), F.concat(acc["kept"], x, F.lit("\n"))).otherwise(acc["kept"])
+        fence = F.startswith(x, F.lit("```"))
+        return F.struct((acc["open"] != fence).alias("open"), F.when(fence, acc["kept"]).otherwise(kept).alias("kept"))
+
+    trimmed = F.aggregate(F.slice(lines(F.coalesce("body", F.lit(""))), 1, 500), first, line, lambda acc: acc["kept"])
+    each = files.where(F.col("path").isin(*candidates)).select("project", "path", rank.alias("rank"), trimmed.alias("text")).where("text <> ''")
+    raw = F.encode("text", "UTF-8")
+    cut = F.coalesce(*[F.when(~F.hex(F.substring(raw, k + 1, 1)).between("80", "BF"), F.decode(F.substring(raw, 1, k), "UTF-8")) for k in range(limit, limit - 4, -1)])
+    text = F.when(F.octet_length("text") > limit, F.concat(cut, F.lit("...(truncated)"))).otherwise(F.col("text"))
+    part = F.concat(F.lit("#### From "), "path", F.lit("\n"), text, F.lit("\n\n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "")
+    return each.groupBy("project").agg(joined.alias("context"))
+
+
 def truncated(files: DataFrame, budget: int, important: Column) -> DataFrame:
     """(path, line, text): important lines first, then the others, each kind up to the first that exceeds the budget.
 

@@ -199,3 +199,11 @@ def prompt_snippets(spark, d):
 def supplementary_docs(spark, d):
     rows = store(spark, d).where(~F.endswith("body", F.lit("\n")))
     return rows.select("id", tx.slice_lines(F.col("body"), 1, 2).alias("head"), F.octet_length(F.substring("body", 1, 400)).cast("long").alias("bytes"))
+
+
+PROJECT_DOCS = Fixture("fx", "project string, path string, body string", [("a", "docs/README.md", "# Guide\n\n" + "line é\n" * 700), ("a", "CLAUDE.md", "rules\n```\ncode\n```\n\nmore\n"), ("a", "README.md", "not a candidate"), ("b", "CONTRIBUTING.md", "x" * 4001), ("c", "CLAUDE.md", "\n \n")])
+
+
+@query("supplementary_context")
+def supplementary_context(spark, d):
+    return te.supplementary(PROJECT_DOCS.df(spark))

@@ -175,3 +175,28 @@ def test_prompt_parts_are_whole(spark):
     n = len(parts)
     assert n > 1 and all(f"(Part {i + 1}/{n})" in p[3] and f"**Chunk:** {i + 1}/{n}\n" in p[3] for i, p in enumerate(parts))
     assert all(sum(p[3].count(f"word{i} ") for p in parts) >= 500 for i in range(6))
+
+
+def test_supplementary_texts_in_order_with_their_limit(spark):
+    from tessera.operators import textual
+
+    def trimmed(body):
+        out, fenced = "", False
+        for x in body.splitlines()[:500]:
+            if x.startswith("```"):
+                fenced = not fenced
+            elif not fenced and x.strip():
+                out += x + "\n"
+        return out
+
+    bodies = {"docs/README.md": "# Guide\n\n" + "line éa\n" * 700, "CLAUDE.md": "rules\n```sh\ncode\n```\n\n  ```\nmore", "CONTRIBUTING.md": "a" + "é" * 2500, "other.md": "no"}
+    rows = [("p", k, v) for k, v in bodies.items()] + [("q", "CLAUDE.md", " \n"), ("r", "CLAUDE.md", None), ("s", "CLAUDE.md", "日" * 1334)]
+    got = {r["project"]: r["context"] for r in textual.supplementary(spark.createDataFrame(rows, "project string, path string, body string")).collect()}
+
+    def part(path, body):
+        text = trimmed(body)
+        cut = text.encode()[:4000].decode("utf-8", "ignore") + "...(truncated)" if len(text.encode()) > 4000 else text
+        return f"#### From {path}\n{cut}\n\n"
+
+    assert got == {"p": "".join(part(k, bodies[k]) for k in ("CLAUDE.md", "CONTRIBUTING.md", "docs/README.md")), "s": part("CLAUDE.md", "日" * 1334)}
+    assert got["p"].count("...(truncated)") == 1 + (len(trimmed(bodies["docs/README.md"]).encode()) > 4000)
