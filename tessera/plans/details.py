@@ -178,8 +178,9 @@ def source_orc_roundtrip(spark, d):
 def source_text_lines(spark, d):
     """Bodies written as text and read back line by line."""
     path = scratch(spark, "text")
-    table(spark, d, "documents").where(~F.contains("text", F.lit("\r"))).select("text").write.text(path)
-    return spark.read.text(path).agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value")).alias("bytes"))
+    table(spark, d, "documents").where("text IS NOT NULL").select("text").write.text(path)
+    read = spark.read.text(path, lineSep="\n").select(F.replace("value", F.lit("\r"), F.lit("")).alias("value"))
+    return read.agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("value")).alias("bytes"))
 
 
 @query("scan_tables")

@@ -57,8 +57,8 @@ def resolve_document(spark, d):
 
 @query("get_document", with_(STORE, LOOKUPS, RESOLVED) + "SELECT lookup, file, array_to_string(list_slice(string_split(body, chr(10)), coalesce(line, 1), coalesce(line, 1) + 1), chr(10)) AS part FROM r JOIN st USING (id, file) WHERE n = 1 AND NOT ends_with(body, chr(10))")
 def get_document(spark, d):
-    rows = store(spark, d).where(~F.endswith("body", F.lit("\n")))
-    found = st.resolve(store(spark, d), LOOKUPS.df(spark)).join(rows.select("id", "body"), "id")
+    rows = store(spark, d)
+    found = st.resolve(rows, LOOKUPS.df(spark)).join(rows.select("id", "body"), "id")
     part = F.array_join(F.slice(tx.lines(F.col("body")), F.coalesce("line", F.lit(1)).cast("int"), F.lit(2)), "\n")
     return found.select("lookup", "file", part.alias("part"))
 

@@ -28,7 +28,7 @@ HIT = "hit AS (SELECT path, i::BIGINT AS line_no, content, CASE WHEN i > 1 THEN
 
 
 def doc_files(spark, d):
-    t = table(spark, d, "documents").where(~F.endswith("text", F.lit("\n")) & (F.col("text") != ""))
+    t = table(spark, d, "documents")
     return t.select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("body"))
 
 
@@ -197,8 +197,7 @@ def prompt_snippets(spark, d):
 
 @query("supplementary_docs", with_(STORE) + "SELECT id, array_to_string(list_slice(string_split(body, chr(10)), 1, 2), chr(10)) AS head, octet_length(encode(substr(body, 1, 400)))::BIGINT AS bytes FROM st WHERE NOT ends_with(body, chr(10))")
 def supplementary_docs(spark, d):
-    rows = store(spark, d).where(~F.endswith("body", F.lit("\n")))
-    return rows.select("id", tx.slice_lines(F.col("body"), 1, 2).alias("head"), F.octet_length(F.substring("body", 1, 400)).cast("long").alias("bytes"))
+    return store(spark, d).select("id", tx.slice_lines(F.col("body"), 1, 2).alias("head"), F.octet_length(F.substring("body", 1, 400)).cast("long").alias("bytes"))
 
 
 PROJECT_DOCS = Fixture("fx", "project string, path string, body string", [("a", "docs/README.md", "# Guide\n\n" + "line é\n" * 700), ("a", "CLAUDE.md", "rules\n```\ncode\n```\n\nmore\n"), ("a", "README.md", "not a candidate"), ("b", "CONTRIBUTING.md", "x" * 4001), ("c", "CLAUDE.md", "\n \n")])

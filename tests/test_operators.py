@@ -200,3 +200,16 @@ def test_supplementary_texts_in_order_with_their_limit(spark):
 
     assert got == {"p": "".join(part(k, bodies[k]) for k in ("CLAUDE.md", "CONTRIBUTING.md", "docs/README.md")), "s": part("CLAUDE.md", "日" * 1334)}
     assert got["p"].count("...(truncated)") == 1 + (len(trimmed(bodies["docs/README.md"]).encode()) > 4000)
+
+
+def test_queries_keep_texts_with_a_last_line_end(spark, tmp_path):
+    from tessera.plans import registry
+
+    rows = [(1, "one\neau two\nthree\n", "en", "s"), (2, "x\r\neau\r\n", "en", "s"), (3, "", "en", "s"), (4, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["line_no"], r["content"], r["after"]) for r in run("line_search")) == [("en/1.md", 2, "eau two", "three"), ("en/2.md", 2, "eau", None)]
+    assert {r["path"] for r in run("file_search")} == {"en/1.md", "en/2.md"}
+    assert {r["doc_id"]: r["part"] for r in run("slice_lines")} == {1: "eau two\nthree", 2: "eau", 3: "", 4: None}
+    assert {r["id"]: r["head"] for r in run("supplementary_docs")} == {1: "one\neau two", 2: "x\neau", 3: "", 4: ""}
+    assert [(r["n_lines"], r["bytes"]) for r in run("source_text_lines")] == [(4 + 3 + 1, 15 + 4)]
