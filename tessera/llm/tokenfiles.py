@@ -21,7 +21,7 @@ from tessera.session import materialize, scratch
 #: How the files are laid out: row groups and pages in bytes, delta encoding for the narrow columns, dictionary for ids.
 LAYOUT = {
     "parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0",
-    "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "parquet.enable.dictionary#part_start": "false",
+    "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "parquet.enable.dictionary#part": "false", "parquet.enable.dictionary#part_start": "false",
     "compression": "zstd",
 }
 
@@ -29,57 +29,62 @@ LAYOUT = {
 def in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text) dealt by range and sorted by doc_id (nulls first), texts with the same id by hash.
 
-    The hash takes part in the range, so many rows of one id spread over tasks too.
+    The hash takes part in the range, and a number that spreads equal rows (whose order decides nothing), so many rows of
+    one id, and many equal rows, spread over tasks too. That number is a row's place in its partition of docs, so docs
+    should be a table that is read, whose rows come in the same order when a task runs again.
     """
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    slim = slim.withColumn("tie", F.xxhash64("text"))
-    return slim.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    slim = slim.withColumn("tie", F.xxhash64("text")).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    return slim.repartitionByRange("doc_id", "tie", "spread").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
 
 def _encode(path: str, end_id: int):
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        tokens, start = encoder(path), 0
+        context = TaskContext.get()
+        tokens, start, part = encoder(path), 0, context.partitionId() if context else 0
         for b in batches:
             ids, counts = tokens.encode_batch(b.column("text"), end_id)
             ends = np.cumsum(counts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view("<i4")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), pa.array(start + ends - counts), lists], names=["doc_id", "n_tokens", "part_start", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), pa.array(np.full(len(counts), part, dtype=np.int64)), pa.array(start + ends - counts), lists], names=["doc_id", "n_tokens", "part", "part_start", "ids"])
             start += int(counts.sum())
 
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, layout: dict[str, str] | None = None) -> None:
-    """Encode every whole text, append the end id and write (doc_id, n_tokens, part_start, ids) below path.
+    """Encode every whole text, append the end id and write (doc_id, n_tokens, part, part_start, ids) below path.
 
     Null text counts as empty (the end id alone); null and repeated doc_ids keep a row each, nulls first; an empty table
-    writes an empty file set. Further columns are not read. part_start counts the ids before the document in its file.
+    writes an empty file set. Further columns are not read. A part is what one task wrote, in one file or several, and parts
+    follow each other in doc_id order; part_start counts the ids before the document in its part.
     """
     prepare(docs.sparkSession)
-    rows = in_order(docs).mapInArrow(released(_encode(tokenizer or default_path(), end_id)), "doc_id bigint, n_tokens bigint, part_start bigint, ids array<int>")
+    rows = in_order(docs).mapInArrow(released(_encode(tokenizer or default_path(), end_id)), "doc_id bigint, n_tokens bigint, part bigint, part_start bigint, ids array<int>")
     rows.write.options(**(LAYOUT | (layout or {}))).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(file, file_start): the ids before each file; reads the narrow columns alone."""
-    narrow = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), (F.col("part_start") + F.col("n_tokens")).alias("end"))
-    sizes = narrow.groupBy("file").agg(F.max("end").alias("size"))
-    before = F.sum("size").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
-    return sizes.select("file", F.coalesce(before, F.lit(0)).alias("file_start"))
+    """(part, before): the ids before each part; reads the narrow columns alone."""
+    narrow = spark.read.parquet(path).select("part", (F.col("part_start") + F.col("n_tokens")).alias("end"))
+    sizes = narrow.groupBy("part").agg(F.max("end").alias("size"))
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per part
+    return sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
 
 
 def read_tokens(spark: SparkSession, path: str, *columns: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """Documents from the files with their start; only the columns asked for are read, only row groups in [first, last]."""
-    index = materialize(read_index(spark, path), "token-index").withColumnRenamed("file", "index_file")
-    rows = spark.read.parquet(path).select("doc_id", "n_tokens", "part_start", F.col("_metadata.file_name").alias("file"), *columns)
+    index = materialize(read_index(spark, path), "token-index").withColumnRenamed("part", "index_part")
+    rows = spark.read.parquet(path).select("doc_id", "n_tokens", "part", "part_start", *columns)
     if first is not None:
         rows = rows.where(F.col("doc_id") >= first)
     if last is not None:
         rows = rows.where(F.col("doc_id") <= last)
-    joined = rows.join(index, F.col("file") == F.col("index_file"))
-    return joined.select("doc_id", (F.col("file_start") + F.col("part_start")).alias("start"), "n_tokens", *columns)
+    joined = rows.join(index, F.col("part") == F.col("index_part"))
+    return joined.select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", *columns)
 
 
 def _checksums(batches):

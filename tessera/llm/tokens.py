@@ -4,7 +4,7 @@ A byte-level BPE tokenizer splits a text into pieces before it merges. A single
 not white space always begins a piece, and a single line end between them is a piece of its own. A batch of texts is
 therefore cut there, its distinct units are looked up once, new ones are encoded by the library and remembered up to a
 bounded number, and the ids are put together by array operations. They equal those of encoding each whole text in one
-call; texts with any other white space between words are encoded that way.
+call; texts with any other white space between words, or with the string of an added token in them, are encoded that way.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ _FIRST = np.uint64(1 << 62)
 
 
 class Encoder:
-    """Encodes whole texts; special tokens' strings in a text are ordinary text.
+    """Encodes whole texts as the library's encode(text, add_special_tokens=False) does, strings of added tokens included.
 
     ``table`` gives a unit's row, ``start`` and ``size`` where its ids lie in ``flat``. A unit stands for a space and the
     word, for a line end and the word, or for the word that begins a text.
@@ -112,7 +112,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
         self.table = _Table(MEMO_UNITS)
         self.count, self.used = 0, 0
         self.flat = np.empty(6 * MEMO_UNITS + 1, dtype="<u4")  # these too are touched only as they fill
@@ -205,6 +205,8 @@ class Encoder:
         size = self.size[row]
         counts = np.add.reduceat(size, at[:-1], dtype=np.int64) if n else np.empty(0, np.int64)
         odd = np.unique(np.searchsorted(at, np.flatnonzero(self.odd[row]), side="right") - 1)
+        for content in self.added:
+            odd = np.union1d(odd, np.flatnonzero(pc.match_substring(column, content).to_numpy(zero_copy_only=False)))
         total = int(size.sum())
         kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
         at_ids = np.repeat((self.start[row] - (np.cumsum(size, dtype=np.int64) - size)).astype(kind), size)

@@ -164,43 +164,67 @@ def test_cap_filter_recall_at_scale():
 ODD = ["", " ", "a  b", "\n\na b\n c \t d", "it's don't 'S", "a\u0085b \x1c c", "  <|endoftext|> a<|endoftext|>", "日本 語 x", "a 　 b", "x\ty", "\nLead", "trail\n", "a\n\nb", "word", "word word\nword", "long" * 20 + " end", "\x00 a\x00 \x00"]
 
 
+ADDED = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b\nc  d", "<|endoftext |>", "<|endoftext|><|endoftext|>\n"]
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return tokens.Encoder(tokens.default_path())
 
 
+@pytest.fixture(scope="module")
+def plain():
+    """A tokenizer of its own, as the library loads it."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def lists(ids, counts):
     return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab \n\t.,'é日　<|>", max_size=25), min_size=1, max_size=6))
-def test_ids_equal_those_of_whole_texts(encoder, found):
+@given(st.lists(st.text(alphabet="ab \n\t.,'é日　<|>", max_size=25) | st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "\n", "b<|"]), max_size=6).map("".join), min_size=1, max_size=6))
+def test_ids_equal_those_of_whole_texts(encoder, plain, found):
     import pyarrow as pa
 
     for _ in range(2):
-        assert lists(*encoder.encode_batch(pa.array(found))) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in found]
+        assert lists(*encoder.encode_batch(pa.array(found))) == [plain(t) for t in found]
+
 
+def test_strings_of_added_tokens(encoder, plain):
+    import pyarrow as pa
+
+    assert plain(ADDED[0]) == [87, 220, 50256, 331]
+    assert lists(*encoder.encode_batch(pa.array([*ADDED, "x", *ADDED]))) == [plain(t) for t in [*ADDED, "x", *ADDED]]
 
-def test_ids_with_a_full_memo(monkeypatch):
+
+def test_ids_with_a_full_memo(monkeypatch, plain):
     import pyarrow as pa
 
     monkeypatch.setattr(tokens, "MEMO_UNITS", 12)
     own = tokens.Encoder(tokens.default_path())
     for part in (ODD[:6], ODD[4:], ODD):
-        assert lists(*own.encode_batch(pa.array(part), 7)) == [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in part]
+        assert lists(*own.encode_batch(pa.array(part), 7)) == [[*plain(t), 7] for t in part]
     assert lists(*own.encode_batch(pa.array([None, "a"]), 7))[0] == [7]
 
 
 def token_rows(spark):
-    rows = [(i * 3 % 101, t) for i, t in enumerate(ODD * 4)] + [(None, "no id"), (500, None), (500, "same id"), (-5, "first")]
+    rows = [(i * 3 % 101, t) for i, t in enumerate((ODD + ADDED) * 4)] + [(300, "very long " * 50_000 + "end"), (301, "unbroken" * 20_000)] + [(None, "no id"), (500, None), (500, "same id"), (-5, "first")]
     return rows, spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, n_tokens string").repartition(5)
 
 
-def test_token_files(spark, encoder, tmp_path):
+@pytest.mark.parametrize("most", ["0", "3"])
+def test_token_files(spark, plain, most):
     rows, table = token_rows(spark)
-    got = tokenfiles.token_files(table).collect()
-    ids = {t: [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows}
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", most)  # a task may write several files
+    try:
+        got = tokenfiles.token_files(table).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    ids = {t: [*plain(t or ""), 2] for _, t in rows}
     want = Counter((d, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for d, t in rows)
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     at = 0
@@ -212,6 +236,23 @@ def test_token_files(spark, encoder, tmp_path):
     assert tokenfiles.token_files(table.limit(0)).count() == 0
 
 
+def test_token_files_with_many_parts(spark, tmp_path):
+    path = str(tmp_path / "t")  # names of files sort otherwise than numbers of parts
+    rows = [(i, 1, part, 0, [2]) for i, part in enumerate([9, 10, 11, 99_999, 100_000, 100_001, 1_000_000])]
+    spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, part bigint, part_start bigint, ids array<int>").repartition(7).write.parquet(path)
+    assert sorted((r["doc_id"], r["start"]) for r in tokenfiles.read_tokens(spark, path).collect()) == [(i, i) for i in range(7)]
+
+
+def test_equal_rows_spread_over_tasks(spark):
+    table = spark.range(8000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in tokenfiles.in_order(table).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 4 and max(sizes) < 8000 / 3
+
+
 def test_token_files_layout_and_selective_reads(spark, tmp_path):
     import glob
 
@@ -260,11 +301,11 @@ def test_packing_finds_the_least_cost(gaps, rng):
 
 
 @pytest.mark.parametrize("block", [300, packing.BLOCK])
-def test_packing_places_every_id_once(spark, encoder, block):
+def test_packing_places_every_id_once(spark, plain, block):
     rows, _ = token_rows(spark)
     rows = list({d: (d, t) for d, t in rows}.values()) + [(1000 + i, "word " * 700 + "x") for i in range(6)] + [(2000, "unbroken" * 800)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
-    ids = {d: [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t in rows}
+    ids = {d: [*plain(t or ""), 0] for d, t in rows}
     got = packing.pack(table, block=block).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
