@@ -78,15 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
 
-#: Draws of op3: 28 bits each of four md5 digests over digest number, id, source and size.
-_DRAWS = ", ".join(
-    f"('0x' || substr(md5('{d}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(source, 'null') || ':' || size::VARCHAR), {1 + 7 * i}, 7))::BIGINT::DOUBLE / 268435456.0"
-    for d in range(4) for i in range(4)
-)
-
-_OP3 = rf"""
+_OP3 = r"""
 WITH base AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(text) AS mark, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, mark) - 1 AS number FROM base
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rnk
   FROM base GROUP BY source
@@ -105,19 +101,13 @@ WITH base AS (
     CASE WHEN source_size > 0 THEN least((3 * source_size)::DOUBLE, level * weight) / source_size ELSE 0.0 END AS rate
   FROM own, lvl
 ), drawn AS (
-  SELECT b.doc_id, b.source, b.size, t.source_size, t.target, t.rate, [{_DRAWS.replace("doc_id", "b.doc_id").replace("source,", "b.source,").replace("size::", "b.size::")}] AS draws
-  FROM base b JOIN tgt t ON b.source IS NOT DISTINCT FROM t.source
-), tried AS (
-  SELECT source, s.i AS seed, any_value(target) AS target,
-    abs(any_value(floor(rate) * source_size) + sum(CASE WHEN draws[s.i + 1] < rate - floor(rate) THEN size ELSE 0 END) - any_value(target)) AS miss
-  FROM drawn, (SELECT unnest(range(16)) AS i) s GROUP BY source, s.i
-), seeds AS (
-  SELECT source, seed FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY miss, seed) AS r FROM tried) WHERE r = 1
+  SELECT b.doc_id, b.size, t.source_size, t.target, t.rate,
+    ('0x' || substr(md5(coalesce(b.doc_id::VARCHAR, 'null') || ':' || coalesce(b.source, 'null') || ':' || coalesce(b.mark, 'null') || ':' || b.number::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS draw
+  FROM numbered b JOIN tgt t ON b.source IS NOT DISTINCT FROM t.source
+), counted AS (
+  SELECT *, (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM drawn
 )
-SELECT d.doc_id, d.size, d.source_size, d.target,
-  ((floor(d.rate)::BIGINT + CASE WHEN d.draws[s.seed + 1] < d.rate - floor(d.rate) THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken,
-  (floor(d.rate)::BIGINT + CASE WHEN d.draws[s.seed + 1] < d.rate - floor(d.rate) THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM drawn d JOIN seeds s ON d.source IS NOT DISTINCT FROM s.source
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM counted
 """
 
 

@@ -110,11 +110,51 @@ def test_mixing_takes_near_targets_and_agrees(spark):
     for source, own in by.items():
         assert sum(r["size"] for r in own) == own[0]["source_size"]
         if own[0]["target"]:
-            assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.05), source
+            f = own[0]["target"] / own[0]["source_size"] % 1
+            spread = math.sqrt(f * (1 - f) * sum(r["size"] ** 2 for r in own))
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3.5 * spread + 1e-6, source
     emitted = mixing.emit(table)
     assert emitted.columns == table.columns
-    assert emitted.count() == sum(r["copies"] for r in first)
-    assert mixing.mix(table.limit(0)).count() == 0
+    got = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in emitted.collect())
+    want = Counter()
+    for r in first:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert got == +want
+    assert mixing.mix(table.limit(0)).count() == 0 and mixing.emit(table.limit(0)).count() == 0
+
+
+def brute_draw(doc_id, source, text, number):
+    mark = "null" if text is None else hashlib.md5(text.encode()).hexdigest()
+    said = ":".join(["null" if x is None else str(x) for x in (doc_id, source)] + [mark, str(number)])
+    return int(hashlib.md5(said.encode()).hexdigest()[:13], 16) / 2**52
+
+
+def test_mixing_draws_once_for_each_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 700)
+    rows = [(1, "a b c", "a")] * 5000 + [(None, None, "a")] * 50 + [(None, "", "a")] * 50 + [(i, "x " * (i % 9), "b") for i in range(400)] + [(9, "very long " * 40_000, "c")]
+    table = docs(spark, rows)
+    rate = {r["source"]: r["target"] / r["source_size"] for r in mixing.mix(table).select("source", "target", "source_size").distinct().collect()}
+    seen, want = Counter(), Counter()
+    for doc_id, text, source in rows:
+        number = seen[doc_id, text, source]
+        seen[doc_id, text, source] += 1
+        whole = int(rate[source])
+        want[doc_id, text, source, whole + (brute_draw(doc_id, source, text, number) < rate[source] - whole)] += 1
+    texts = defaultdict(set)
+    for doc_id, text, source in rows:
+        texts[doc_id, source, len((text or "").split())].add(text)
+    got = Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in mixing.mix(table).collect())
+    merged = Counter()
+    for (doc_id, text, source, n), k in want.items():
+        merged[doc_id, source, len((text or "").split()), n] += k
+    assert got == merged
+    emitted = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.emit(table).collect())
+    total = Counter()
+    for (doc_id, text, source, n), k in want.items():
+        total[doc_id, text, source] += n * k
+    assert emitted == +total
+    equal = 5000 * rate["a"]
+    assert abs(total[1, "a b c", "a"] - equal) < 4 * math.sqrt(5000)  # neither all nor none
 
 
 # ---- quality rules
