@@ -2,18 +2,22 @@
 
 Filter directions are the codewords of a product code: a seeded rotation, ``BLOCKS`` blocks of the coordinates, and a
 random codebook for each block; a direction takes one codeword from every block. A vector belongs to every filter whose
-direction it exceeds the cap height with; these are listed by extending partial codewords block by block and dropping
-those that the best rest cannot lift to the height, so the work follows the output and not the number of filters. Height
-and codebook size follow from the number of vectors: caps hold ``BUCKET`` vectors of a class if spread evenly, and a
-vector lies in ``FILTERS`` caps on average. Vectors that meet in a filter are verified in double precision.
-
-Equal vectors are one member with a count. A pair counts in the smallest filter its two members share, so links need no
-table of pairs: a task returns sums per vector and links that span what is connected. Filters with more than ``SPLIT``
-members are cut into blocks by hash, and each pair of blocks is verified by itself.
+direction it exceeds its cap height with; these are listed by extending partial codewords block by block and dropping
+those that the best rest cannot lift to the height, so the work follows the output and not the number of filters. The
+codebook's size follows from the number of vectors, so that a filter holds ``BUCKET`` of a class if they lie evenly. A
+code is denser in some regions than in others, so the height follows the vector: it is where ``FILTERS`` directions exceed
+it. Scores are sums of integers that doubles hold exactly, so a vector's filters are the same wherever they are listed.
+
+Vectors travel as their float32 bytes (float64 where that loses something) and are verified in double precision where they
+meet in a filter. Equal vectors are one member with a count, known by a digest of those bytes, so nothing is joined on
+vectors. A pair counts in the smallest filter its two members share, so links need no table of pairs: a task returns sums
+per vector and links that span what is connected. Filters with more than ``SPLIT`` members are cut into blocks by hash, and
+each pair of blocks is verified by itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 from statistics import NormalDist
 
 import numpy as np
@@ -22,10 +26,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import only, prepare, released
 from tessera.llm.components import components
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 THRESHOLD = 0.98
-BLOCKS, BUCKET, FILTERS, LEAST, SPLIT, SEED = 4, 48, 24, 6, 1024, 17
+BLOCKS, BUCKET, FILTERS, SPLIT, SEED = 4, 48, 16, 1024, 17
+#: Coordinates are rounded to this unit: sums of products of two stay below 2**53 and are exact.
+UNIT = float(1 << 20)
 
 
 class Code:
@@ -34,42 +40,44 @@ class Code:
     def __init__(self, dim: int, members: int, seed: int = SEED) -> None:
         rng = np.random.default_rng([seed, dim])
         share = min(0.02, BUCKET / max(members, 1))
-        self.size = max(2, int(np.ceil((FILTERS / share) ** (1 / BLOCKS))))
-        self.height = NormalDist().inv_cdf(1 - share) / np.sqrt(max(dim, 1))
+        self.size = max(2, int(np.ceil((1.5 * FILTERS / share) ** (1 / BLOCKS))))
+        self.height = np.rint(NormalDist().inv_cdf(1 - share) / np.sqrt(max(dim, 1)) * UNIT * UNIT)
         self.width = -(-dim // BLOCKS)
-        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+        self.rotation = np.rint(np.linalg.qr(rng.normal(size=(dim, dim)))[0] * UNIT)
         books = rng.normal(size=(BLOCKS, self.size, self.width))
-        self.books = books / np.linalg.norm(books, axis=2, keepdims=True) / np.sqrt(BLOCKS)
+        self.books = np.rint(books / np.linalg.norm(books, axis=2, keepdims=True) / np.sqrt(BLOCKS) * UNIT)
 
-    def decode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every filter that a unit vector exceeds the height in; at least LEAST filters for each."""
-        rows, filters = [], []
+    def decode(self, vectors: np.ndarray) -> np.ndarray:
+        """A row per unit vector with its filters in rising order: those that FILTERS directions exceed its height in."""
+        each = min(FILTERS, self.size**BLOCKS)
+        out = np.empty((len(vectors), each), dtype=np.int64)
         for at in range(0, len(vectors), 512):
-            part = vectors[at : at + 512] @ self.rotation
+            part = np.rint(np.rint(vectors[at : at + 512] * UNIT) @ self.rotation / UNIT)
             part = np.pad(part, ((0, 0), (0, self.width * BLOCKS - part.shape[1])))
             scores = [part[:, b * self.width : (b + 1) * self.width] @ self.books[b].T for b in range(BLOCKS)]
             rest = np.zeros((BLOCKS + 1, len(part)))
             for b in range(BLOCKS - 1, -1, -1):
                 rest[b] = rest[b + 1] + scores[b].max(1)
-            height, open_ = np.full(len(part), min(self.height, 1.0)), np.arange(len(part))
-            while len(open_):  # a lower height for those with too few; the best codeword ends it
-                r, f = self._list(scores, rest, np.minimum(height, rest[0] - 1e-12), open_)
-                few = np.bincount(r, minlength=len(part))[open_] < min(LEAST, self.size)
-                again = open_[few]
-                done = ~np.isin(r, again)
-                rows.append(r[done] + at)
-                filters.append(f[done])
-                height[again] -= 0.05
-                open_ = again
-        return np.concatenate(rows or [np.empty(0, np.int64)]), np.concatenate(filters or [np.empty(0, np.int64)])
-
-    def _list(self, scores: list[np.ndarray], rest: np.ndarray, height: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            height, open_ = np.minimum(self.height, rest[0]), np.arange(len(part))
+            while len(open_):  # a lower height for those that too few exceed
+                r, f, s = self._list(scores, rest, height, open_)
+                enough = np.bincount(r, minlength=len(part)) >= each
+                r, f, s = r[enough[r]], f[enough[r]], s[enough[r]]
+                order = np.lexsort((f, -s, r))
+                first = np.flatnonzero(np.diff(r[order], prepend=-1))
+                best = (first[:, None] + np.arange(each)).ravel()
+                out[at + r[order][first]] = np.sort(f[order][best].reshape(-1, each), axis=1)
+                open_ = open_[~enough[open_]]
+                height[open_] -= np.rint(0.05 * UNIT * UNIT)
+        return out
+
+    def _list(self, scores: list[np.ndarray], rest: np.ndarray, height: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, code, sums = which, np.zeros(len(which), dtype=np.int64), np.zeros(len(which))
         for b in range(BLOCKS):
             reach = sums[:, None] + scores[b][row]
             i, c = np.nonzero(reach + rest[b + 1][row][:, None] >= height[row][:, None])
             row, code, sums = row[i], code[i] * self.size + c, reach[i, c]
-        return row, code
+        return row, code, sums
 
 
 _CODES: dict[tuple[int, int], Code] = {}
@@ -87,34 +95,65 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def packed(column) -> list[bytes | None]:
+    """Each vector of an Arrow list column as bytes, a mark of the kind first; None where it cannot be compared.
+
+    Float32 where that loses nothing; equal vectors (zeros of either sign are equal) have equal bytes.
+    """
+    import pyarrow as pa
+
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) + 0.0  # null is NaN; -0.0 + 0.0 is 0.0
+    ends = np.cumsum(sizes)
+    whole = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+    some = np.concatenate([[0], np.cumsum(flat != 0)])
+    with np.errstate(over="ignore"):
+        short = flat.astype("<f4")
+        wide = np.concatenate([[0], np.cumsum(short != flat)])
+    starts = ends - sizes
+    good = (whole[ends] == whole[starts]) & (some[ends] > some[starts])
+    out: list[bytes | None] = [None] * len(sizes)
+    for i in np.flatnonzero(good).tolist():
+        a, b = int(starts[i]), int(ends[i])
+        out[i] = b"f" + short[a:b].tobytes() if wide[b] == wide[a] else b"d" + flat[a:b].astype("<f8").tobytes()
+    return out
+
+
+def _packed(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        vectors = packed(b.column("embedding"))
+        digests = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in vectors]
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())], names=["vec_id", "label", "digest", "vector"])
+
+
 def _by_dim(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension: positions in an Arrow list column and their unit vectors."""
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+    """By dimension: positions in a column of packed vectors and their unit vectors."""
+    found: dict[int, dict[bytes, list[int]]] = {}
+    vectors = column.to_pylist()
+    for i, v in enumerate(vectors):
+        found.setdefault((len(v) - 1) // (4 if v[:1] == b"f" else 8), {}).setdefault(v[:1], []).append(i)
     out = {}
-    for dim in np.unique(sizes):
-        at = np.flatnonzero(sizes == dim)
-        out[int(dim)] = at, _unit(flat[(ends[at] - dim)[:, None] + np.arange(dim)], int(dim))
+    for dim, kinds in found.items():
+        at = np.concatenate([np.array(x) for x in kinds.values()])
+        flat = np.concatenate([np.frombuffer(b"".join(vectors[i][1:] for i in x), "<f4" if k == b"f" else "<f8").astype(np.float64) for k, x in kinds.items()])
+        order = np.argsort(at)
+        out[dim] = at[order], _unit(flat, dim)[order]
     return out
 
 
-def _filtered(members: int, wide: bool):
+def _filtered(members: int):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows, filters = [], []
-            for dim, (at, unit) in _by_dim(b.column("embedding")).items():
-                r, f = code_for(dim, members).decode(unit)
-                rows.append(at[r])
-                filters.append(f)
-            rows, filters = np.concatenate(rows), np.concatenate(filters)
-            names = ["class", "nid", "copies", "embedding"] if wide else ["class"]
-            for i in range(0, len(rows), 1 << 15):
-                take = pa.array(rows[i : i + (1 << 15)])
-                yield pa.RecordBatch.from_arrays([pa.array(filters[i : i + (1 << 15)]), *(b.column(n).take(take) for n in names)], names=["filter", *names])
+            lists = [np.empty(0, np.int64)] * b.num_rows
+            for dim, (at, unit) in _by_dim(b.column("vector")).items():
+                for i, own in zip(at.tolist(), code_for(dim, members).decode(unit), strict=True):
+                    lists[i] = own
+            filters = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *lists])))
+            yield pa.RecordBatch.from_arrays([*b.columns, filters], names=[*b.schema.names, "filters"])
 
     return run
 
@@ -131,10 +170,7 @@ class _Members:
             self.known.clear()
             new = np.arange(len(nids))
         if len(new):
-            r, f = code_for(unit.shape[1], self.members).decode(unit[new])
-            order = np.argsort(r, kind="stable")
-            cuts = np.searchsorted(r[order], np.arange(1, len(new)))
-            for i, own in zip(new.tolist(), np.split(f[order], cuts), strict=True):
+            for i, own in zip(new.tolist(), code_for(unit.shape[1], self.members).decode(unit[new]), strict=True):
                 self.known[int(nids[i])] = own
         return [self.known[n] for n in nids.tolist()]
 
@@ -189,9 +225,8 @@ def _verified(members: int, threshold: float):
             change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             bounds = np.concatenate([[0], change, [len(t)]])
             nids, copies, block = (t.column(c).to_numpy() for c in ("nid", "copies", "block"))
-            vectors = t.column("embedding").combine_chunks()
             kinds, left, right = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            dims = _by_dim(vectors)
+            dims = _by_dim(t.column("vector"))
             where = np.empty(len(t), dtype=np.int64)
             sizes = np.empty(len(t), dtype=np.int64)
             for dim, (at, _) in dims.items():
@@ -237,32 +272,34 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, split: int =
     """
     spark = rows.sparkSession
     prepare(spark)
-    slim = only(rows, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    plain = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    # -0.0 + 0.0 is 0.0, so equal vectors are equal keys
-    slim = slim.withColumn("usable", F.coalesce(plain & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull(), F.lit(False)))
-    usable = slim.where("usable").select("vec_id", "label", F.transform("embedding", lambda x: x + 0.0).alias("embedding"))
-    distinct = usable.groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    classes = materialize(usable.select("label").distinct().select("label", F.monotonically_increasing_id().alias("class")), "cap-classes")
-    distinct = distinct.join(classes, "label").withColumn("nid", F.monotonically_increasing_id())
-    distinct = materialize(distinct.select("nid", "class", "label", "embedding", "copies", "least"), "cap-vectors")
-    members = distinct.groupBy("class").count().agg(F.max("count")).first()[0] or 0
-    counted = distinct.select("class", "embedding").mapInArrow(released(_filtered(members, False)), "filter bigint, class bigint")
-    large = materialize(counted.groupBy("class", "filter").count().where(F.col("count") > split).withColumnRenamed("count", "held"), "cap-large")
-    wide = distinct.select("nid", "class", "copies", "embedding").mapInArrow(released(_filtered(members, True)), "filter bigint, class bigint, nid bigint, copies bigint, embedding array<double>")
+    slim = only(rows, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("label").isNotNull(), F.col("embedding")).alias("embedding"), "label")
+    label = slim.schema["label"].dataType.simpleString()
+    keyed = slim.mapInArrow(released(_packed), f"vec_id bigint, label {label}, digest binary, vector binary")
+    classes = slim.where("label is not null").groupBy("label").count().select("label", "count", F.monotonically_increasing_id().alias("class"))
+    classes = materialize(classes, "cap-classes")
+    members = classes.agg(F.max("count")).first()[0] or 0
+    distinct = keyed.where("digest is not null").groupBy("label", "digest").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
+    distinct = distinct.join(classes.drop("count"), "label").select(F.monotonically_increasing_id().alias("nid"), "class", "label", "digest", "copies", "least", "vector")
+    distinct = materialize(distinct.mapInArrow(released(_filtered(members)), f"nid bigint, class bigint, label {label}, digest binary, copies bigint, least bigint, vector binary, filters array<bigint>"), "cap-vectors")
+    large = distinct.select("class", F.explode("filters").alias("filter")).groupBy("class", "filter").agg(F.count("*").alias("held")).where(F.col("held") > split)
+    large = materialize(large, "cap-large")
+    wide = distinct.select("class", "nid", "copies", "vector", F.explode("filters").alias("filter"))
     parts = F.coalesce(F.ceil(F.col("held") / F.lit(split / 2)), F.lit(1)).cast("long")
     wide = wide.join(large, ["class", "filter"], "left").withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("parts")))
     wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    wide = wide.select("class", "filter", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "nid", "copies", "block", "embedding")
+    wide = wide.select("class", "filter", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "nid", "copies", "block", "vector")
     sorted_ = wide.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
     found = materialize(sorted_.mapInArrow(released(_verified(members, threshold)), "kind int, a bigint, b bigint"), "cap-links")
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 1").select("a", "b"))
-    placed = distinct.join(links, F.col("nid") == F.col("a"), "left").join(roots, F.col("nid") == F.col("node"), "left")
-    placed = placed.select("label", "embedding", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "nid").alias("root"))
+    placed = distinct.select("nid", "label", "digest", "copies", "least").join(links, F.col("nid") == F.col("a"), "left").join(roots, F.col("nid") == F.col("node"), "left")
+    placed = placed.select("label", "digest", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "nid").alias("root"))
     placed = materialize(placed, "cap-placed")
+    for done in (classes, distinct, large, found):
+        discard(done)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "root").select("label", "embedding", "n_links", "component_id")
-    named = usable.join(placed, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    alone = slim.where(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    placed = placed.join(least, "root").select("label", "digest", "n_links", "component_id")
+    named = keyed.select("vec_id", "label", "digest").join(placed, ["label", "digest"], "left")
+    alone = F.col("digest").isNull()
+    named = named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return named.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
