@@ -303,6 +303,73 @@ def test_pii_over_documents(spark, model):
 # ---- classifier
 
 
+def brute_units(text):
+    """The same units one at a time, with plain integers."""
+    m = [[int(x) for x in row] for row in subword._MULTIPLIERS]
+    mask = (1 << 32) - 1
+
+    def bucket(h):
+        h = (h ^ (h >> 15)) * 2654435761 & mask
+        return (h >> 15) % (subword.BUCKETS - subword.OWN) + subword.OWN
+
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    out, hashes = [subword.END], []
+    for w in words:
+        edged = f" {w} "
+        for k in subword.GRAMS:
+            out += [bucket((k + sum(ord(c) * m[k - 3][i] for i, c in enumerate(edged[a : a + k]))) & mask) for a in range(len(edged) - k + 1)]
+        hashes.append(sum(ord(c) * m[3][i % 64] + i // 64 for i, c in enumerate(w)) & mask)
+    out += map(bucket, hashes)
+    out += [bucket((a * m[4][0] + b) & mask) for a, b in itertools.pairwise(hashes)]
+    for a in range(len(words) - subword.SHAPE + 1):
+        equal = [words[a + i] == words[a + j] for i, j in itertools.combinations(range(subword.SHAPE), 2)]
+        out.append(bucket((sum(1 << k for k, e in enumerate(equal) if e) * m[5][0] + m[5][1]) & mask))
+    return Counter(out)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abAé日\U0001f600 \n\t\x85\x1c", max_size=60) | st.lists(st.sampled_from(["aa", "bb", "c", "x" * 70]), max_size=12).map(" ".join))
+def test_classifier_units(text):
+    assert Counter(subword.units(text.encode()).tolist()) == brute_units(text)
+
+
+def test_classifier_step_follows_the_gradient():
+    rng = np.random.default_rng(5)
+    vectors, layer, bias = rng.normal(size=(subword.BUCKETS, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    batch = [(np.array([1, 4, 7]), np.array([0.5, 0.25, 0.25]), 1), (np.array([4, 9]), np.array([0.75, 0.25]), 0)]
+
+    def loss():
+        total = 0.0
+        for buckets, share, label in batch:
+            z = share @ vectors[buckets] @ layer + bias
+            total += math.log(sum(math.exp(x) for x in z)) - z[label]
+        return total
+
+    before = {"vectors": vectors.copy(), "layer": layer.copy(), "bias": bias.copy()}
+    slopes = {}
+    for name, array, at in (("vectors", vectors, (4, 1)), ("vectors", vectors, (9, 2)), ("layer", layer, (0, 1)), ("bias", bias, (1,))):
+        array[at] += 1e-6
+        high = loss()
+        array[at] -= 2e-6
+        slopes[name, at] = (high - loss()) / 2e-6
+        array[at] += 1e-6
+    subword.step(vectors, layer, bias, batch, 0.01)
+    now = {"vectors": vectors, "layer": layer, "bias": bias}
+    for (name, at), slope in slopes.items():
+        moved = (before[name][at] - now[name][at]) / 0.01 / {"vectors": 1, "layer": 0.1, "bias": 0.01}[name]
+        assert moved == pytest.approx(slope, rel=1e-3)
+    assert (vectors[[0, 2, 3, 5]] == before["vectors"][[0, 2, 3, 5]]).all()
+
+
+def test_classifier_sample_is_bounded(spark):
+    rows = [(1, f"copy {i % 3}") for i in range(2000)] + [(i, f"text {i}") for i in range(2, 30)] + [(500, "very long " * 60_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(40), 500, 1, None]], "doc_id bigint, quality int")
+    found = subword.sampled(docs(spark, rows).withColumn("place", F.lit("clash")), labels, 10_000).collect()
+    assert len(found) == 30 and len({r["place"] for r in found}) == 30  # one row for each id
+    assert len(subword.sampled(docs(spark, rows), labels, 7).collect()) <= 7
+    assert subword.fit(docs(spark, rows), labels, most=0).any() == False  # noqa: E712  no units, no training
+
+
 def test_classifier_held_out_accuracy(spark):
     base = "/root/testdata/sf0.01"
     table, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
