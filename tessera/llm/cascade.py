@@ -3,6 +3,9 @@
 Each rule rejects a text on its own figures. Cost and rejections of every rule are measured on a bounded sample, and the
 rules run in the order of rejections per second among what the earlier ones leave; a text stops at the first rule that
 rejects it. A verdict is the same in any order, so timing decides only how fast it comes.
+
+The method's own rules and their thresholds are those of published filters of web text (word length, symbols, words with a
+letter, stop words, bullets, ellipses, repeated lines and n-grams), and the share of capitals; none is fitted to labels.
 """
 
 from __future__ import annotations
@@ -20,6 +23,17 @@ from tessera.llm.common import only, prepare, released, texts
 #: Documents at most on which costs and rejections are measured.
 SAMPLE = 1000
 SYMBOLS, UPPER, LETTERS = b"#*$%&|<>", bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
+SPACE = b" \t\n\v\f\r"
+#: ASCII characters that are neither letters nor white space.
+NO_LETTERS = bytes(c for c in range(128) if c not in LETTERS and c not in SPACE)
+#: Frequent words of English, German, French, Spanish, Italian, Portuguese and Dutch; two of them make running text.
+STOP_WORDS = frozenset(
+    w.encode() for w in (
+        "the be to of and that have with der die das und ist nicht ein von le la les et des est une dans el los que y en por una il che di per un o os e do da em het van een niet"
+    ).split()
+)
+#: Fixed values of published filters: the share of a text's word bytes that its heaviest repeated n-gram may hold.
+TOP_GRAM = {2: 0.20, 3: 0.18, 4: 0.16}
 
 
 class Text:
@@ -47,10 +61,6 @@ class Text:
     def n_symbols(self) -> int:
         return self._count(SYMBOLS)
 
-    @cached_property
-    def n_bangs(self) -> int:
-        return self._count(b"!")
-
     @cached_property
     def n_upper(self) -> int:
         return self._count(UPPER)
@@ -67,28 +77,71 @@ class Text:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def n_alphabetic(self) -> int:
+        """Words with a letter; all code points beyond ASCII count as letters."""
+        return len(self.text.translate(None, NO_LETTERS).split())
+
+    @cached_property
+    def n_stop_words(self) -> int:
+        return len(STOP_WORDS.intersection(self.text.lower().split()))
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return sum(x.lstrip(SPACE).startswith((b"-", b"*", "•".encode())) for x in self.lines)
+
+    @cached_property
+    def n_ellipses(self) -> int:
+        return sum(x.rstrip(SPACE).endswith((b"...", "…".encode())) for x in self.lines)
+
+    @cached_property
+    def line_bytes(self) -> int:
+        return sum(map(len, self.lines))
+
+    @cached_property
+    def dup_line_bytes(self) -> int:
+        return self.line_bytes - sum(map(len, set(self.lines)))
+
+    @cached_property
+    def word_bytes(self) -> int:
+        return sum(map(len, self.words))
+
+    def repeated(self, n: int) -> dict[tuple, int]:
+        """The windows of n words that occur more than once, with their counts."""
+        windows = list(zip(*(self.words[i:] for i in range(n)), strict=False))
+        return {} if len(set(windows)) == len(windows) else {w: k for w, k in Counter(windows).items() if k > 1}
+
+    def top_gram_bytes(self, n: int) -> int:
+        """The most bytes that one repeated window of n words holds, all its places together."""
+        return max((k * sum(map(len, w)) for w, k in self.repeated(n).items()), default=0)
+
     @cached_property
     def n_repeat_words(self) -> int:
-        windows = list(zip(self.words, self.words[1:], self.words[2:], strict=False))
-        if len(set(windows)) == len(windows):
+        often = self.repeated(3)
+        if not often:
             return 0
-        often = Counter(windows)
-        at = np.flatnonzero([often[w] > 1 for w in windows])
+        at = np.flatnonzero([w in often for w in zip(self.words, self.words[1:], self.words[2:], strict=False)])
         seen = np.zeros(self.n_words, dtype=bool)
         for k in range(3):
             seen[at + k] = True
         return int(seen.sum())
 
 
-#: Rules by name; each says whether it rejects. The first two are the base, the rest the method's own.
+#: Rules by name; each says whether it rejects. The first two are the base, the rest the method's own, which ask for stop
+#: words only where half of the characters or more are letters A to Z.
 RULES: dict[str, Callable[[Text], bool]] = {
     "short": lambda t: t.n_words < 50,
     "repeats": lambda t: 100 * t.n_repeat_words > 50 * t.n_words,
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
-    "shouting": lambda t: 10 * t.n_upper > 4 * t.n_letters,
-    "exclaiming": lambda t: 10 * t.n_bangs > 3 * t.n_words,
-    "dup_lines": lambda t: 2 * t.n_dup_lines > len(t.lines),
-    "word_length": lambda t: t.word_chars < 2 * t.n_words or t.word_chars > 20 * t.n_words,
+    "word_length": lambda t: t.word_chars < 3 * t.n_words or t.word_chars > 10 * t.n_words,
+    "alphabetic": lambda t: 10 * t.n_alphabetic < 8 * t.n_words,
+    "stop_words": lambda t: t.n_stop_words < 2 and 2 * t.n_letters >= t.word_chars,
+    "capitals": lambda t: 10 * t.n_upper > 4 * t.n_letters,
+    "bullets": lambda t: 10 * t.n_bullets > 9 * len(t.lines),
+    "ellipses": lambda t: 10 * t.n_ellipses > 3 * len(t.lines),
+    "dup_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
+    "dup_line_bytes": lambda t: 10 * t.dup_line_bytes > 2 * t.line_bytes,
+    **{f"top_{n}_gram": lambda t, n=n, most=most: 100 * t.top_gram_bytes(n) > round(100 * most) * t.word_bytes for n, most in TOP_GRAM.items()},
 }
 BASE = ("short", "repeats")
 
@@ -180,6 +233,10 @@ def _stay(order: list[str]):
 
 
 def keep(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The documents that no rule rejects, with all their columns; each text stops at its first rejection."""
+    """The documents that no rule rejects, with all their columns; each text stops at its first rejection.
+
+    Null and empty texts have no words and go; null and repeated doc_ids are judged by their texts alone; an empty table
+    gives none. Texts are read whole; columns of any name stay as they are.
+    """
     prepare(docs.sparkSession)
     return docs.mapInArrow(released(_stay(order or learn_order(docs))), docs.schema)

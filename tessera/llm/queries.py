@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.cascade import STOP_WORDS
 from tessera.llm.common import table
 
 
@@ -111,6 +112,8 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 """
 
 
+_STOP_WORDS = "[" + ", ".join(f"'{w.decode()}'" for w in sorted(STOP_WORDS)) + "]"
+
 _OP5 = r"""
 WITH base AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -120,22 +123,35 @@ WITH base AS (
   SELECT rid, g FROM pos GROUP BY rid, g HAVING count(*) > 1
 ), rep AS (
   SELECT rid, count(DISTINCT p) AS n FROM (SELECT pos.rid, unnest([i, i + 1, i + 2]) AS p FROM pos JOIN often ON pos.rid = often.rid AND pos.g = often.g) GROUP BY rid
+), grams AS (
+  SELECT rid, k, w[i:i + k - 1] AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM base, (VALUES (2), (3), (4)) v(k) WHERE len(w) >= k)
+), top AS (
+  SELECT rid, max(b) FILTER (k = 2) AS top2, max(b) FILTER (k = 3) AS top3, max(b) FILTER (k = 4) AS top4
+  FROM (SELECT rid, k, count(*) * strlen(array_to_string(g, '')) AS b FROM grams GROUP BY rid, k, g HAVING count(*) > 1) GROUP BY rid
 ), ln AS (
-  SELECT rid, unnest(string_split(t, chr(10))) AS l FROM base
+  SELECT rid, l FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM base) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
 ), dup AS (
-  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid
+  SELECT rid, sum(n) AS n_lines, sum(n - 1) AS n, sum(n * strlen(l)) AS line_bytes, sum((n - 1) * strlen(l)) AS dup_bytes,
+    sum(n) FILTER (regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]')) AS bullets, sum(n) FILTER (regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS ellipses
+  FROM (SELECT rid, l, count(*) AS n FROM ln GROUP BY rid, l) GROUP BY rid
 ), fig AS (
-  SELECT b.doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  SELECT b.doc_id, len(w)::BIGINT AS n_words, len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, strlen(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_bytes,
     len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-    coalesce(dup.n_lines, 0) AS n_lines, len(regexp_replace(t, '[^!]', '', 'g')) AS bangs, len(regexp_replace(t, '[^A-Z]', '', 'g')) AS uppers, len(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
-  FROM base b LEFT JOIN rep ON b.rid = rep.rid LEFT JOIN dup ON b.rid = dup.rid
+    coalesce(dup.n_lines, 0) AS n_lines, coalesce(dup.line_bytes, 0) AS line_bytes, coalesce(dup.dup_bytes, 0) AS dup_bytes, coalesce(dup.bullets, 0) AS bullets, coalesce(dup.ellipses, 0) AS ellipses,
+    coalesce(top2, 0) AS top2, coalesce(top3, 0) AS top3, coalesce(top4, 0) AS top4,
+    len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS alphabetic,
+    len(list_intersect(list_distinct(list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))), STOP_WORDS)) AS stops,
+    len(regexp_replace(t, '[^A-Z]', '', 'g')) AS uppers, len(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
+  FROM base b LEFT JOIN rep ON b.rid = rep.rid LEFT JOIN dup ON b.rid = dup.rid LEFT JOIN top ON b.rid = top.rid
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    10 * n_symbols > n_words OR 10 * uppers > 4 * letters OR 10 * bangs > 3 * n_words OR 2 * n_dup_lines > n_lines
-    OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS rejected FROM fig
+    10 * n_symbols > n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * alphabetic < 8 * n_words
+    OR (stops < 2 AND 2 * letters >= word_chars) OR 10 * uppers > 4 * letters OR 10 * bullets > 9 * n_lines OR 10 * ellipses > 3 * n_lines
+    OR 10 * n_dup_lines > 3 * n_lines OR 10 * dup_bytes > 2 * line_bytes
+    OR 100 * top2 > 20 * word_bytes OR 100 * top3 > 18 * word_bytes OR 100 * top4 > 16 * word_bytes AS rejected FROM fig
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR rejected) AS kept FROM judged
-"""
+""".replace("STOP_WORDS", _STOP_WORDS)
 
 
 _OP1 = r"""
