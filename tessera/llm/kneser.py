@@ -1,21 +1,26 @@
 """An interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
 
 Tokens are 64-bit hashes. Counting tasks sum the bigrams of bounded chunks and send them, packed by context, to shards
-(the context's leading bits); a shard's task merges them and writes sorted arrays: bigram hashes with counts, contexts
-with how many words follow them once, twice and more often. Contexts that a sample shows to be frequent, and a text's start,
-are spread over all shards by the bigram's hash, and what the shards find about them is summed afterwards; where bigrams lie
-decides nothing else. What a shard found about each word (how many contexts it follows, how often) and about frequent
-contexts goes on to shards by leading bits, which write their arrays too. Only a few numbers per shard reach
-the driver. Tasks that score map the arrays they need and search sorted queries in them, so the model may exceed memory.
-
-The arrays lie in the shared folder, which has to be mounted as a path on all machines. Files appear under their name
-only when whole, so a task that runs again does no harm.
+(the context's leading bits), as many as the corpus asks for. A shard's task folds what arrives into sorted distinct bigrams
+piece by piece, so its memory follows distinct bigrams and not tokens, and writes sorted arrays: bigram hashes with counts,
+contexts with how many words follow them once, twice and more often. Contexts that a sample shows to be frequent, and a
+text's start, are spread over all shards by the bigram's hash, and what the shards find about them is summed afterwards;
+where bigrams lie decides nothing else. What a shard found about each word (how many contexts it follows, how often) and
+about frequent contexts goes on to shards by leading bits, which write their arrays too. Only a few numbers per shard reach
+the driver. Tasks that score map the files they need, a bounded number at once, and search sorted queries in them, so the
+model may exceed memory.
+
+A shard's arrays are one file of each kind in the shared folder, which has to be mounted as a path on all machines. Files
+appear under their name only when whole, so a task that runs again does no harm. The driver knows from the tasks' results
+which files there are: one that is missing or cut off is an error, never a count of zero.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +29,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import only, prepare, released, texts
 from tessera.session import scratch
 
-#: Bigrams of a counting chunk, bigrams that a shard is laid out for, and its greatest number of shards.
-CHUNK, SHARD_BIGRAMS, SHARDS = 3_000_000, 1_500_000, 1 << 14
+#: Bigrams of a counting chunk, bigrams that a shard is laid out for, and its greatest number of shards (beyond it shards
+#: grow with the number of distinct bigrams).
+CHUNK, SHARD_BIGRAMS, SHARDS = 3_000_000, 1_500_000, 1 << 16
+#: Rows that may gather beyond twice what is folded before they are folded too, and files that a process maps at once.
+FOLD, MAPS = 2_000_000, 4096
 #: Documents at most that show which contexts are frequent: those with over a quarter of a shard's share of the tokens.
 SAMPLE = 2000
 FOLDS, HELD = 7, 2
@@ -107,33 +115,44 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, starts), [len(keys)]])
 
 
-def _blobs(rows: list[tuple], names: list[str]):
-    import pyarrow as pa
-
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
-
-
 _COUNTED = ["shard", "contexts", "sizes", "words", "counts"]
-_SEEN = ["shard", "words", "contexts", "counts", "frequent"]
+_SEEN = ["shard", "words", "contexts", "counts", "frequent", "sizes"]
 _BLOB = {n: "binary" for n in _COUNTED + _SEEN} | {"shard": "int"}
+_BATCH_BYTES = 2 << 20
 
 
 def _schema(names: list[str]) -> str:
     return ", ".join(f"{n} {_BLOB[n]}" for n in names)
 
 
+def _blobs(names: list[str], shards: np.ndarray, *columns: tuple[np.ndarray, np.ndarray]):
+    """Batches of a row per shard; a column is (array, cuts): its bytes from a cut to the next are a row's."""
+    import pyarrow as pa
+
+    arrays, total = [pa.array(shards.astype(np.int32))], 1
+    for array, cuts in columns:
+        offsets = np.asarray(cuts, dtype=np.int64) * array.dtype.itemsize
+        arrays.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(shards), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(array))]))
+        total += array.nbytes
+    whole = pa.RecordBatch.from_arrays(arrays, names=names)
+    kinds = pa.schema([pa.field(n, pa.int32() if n == "shard" else pa.binary()) for n in names])
+    rows = max(1, int(len(shards) * _BATCH_BYTES / total))
+    for at in range(0, len(shards), rows):
+        yield pa.RecordBatch.from_arrays([c.cast(k.type) for c, k in zip(whole.slice(at, rows).columns, kinds, strict=True)], schema=kinds)
+
+
 def _count(bits: int, frequent: np.ndarray):
     def packed(lists):
         contexts, words, counts = merge(*bigrams(lists), None)
         shards = placed(contexts, words, frequent, bits)
         order = np.argsort(shards, kind="stable")
         contexts, words, counts, shards = contexts[order], words[order], counts[order], shards[order]
-        cuts = np.searchsorted(shards, np.arange((1 << bits) + 1, dtype=np.uint64))
-        for shard, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a < b:
-                first, sizes = _runs(contexts[a:b])
-                yield _blobs([(shard, contexts[a:b][first].tobytes(), sizes.astype("<u4").tobytes(), words[a:b].tobytes(), counts[a:b].astype("<u4").tobytes())], _COUNTED)
+        first = np.flatnonzero(np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (shards[1:] != shards[:-1])]))
+        sizes = np.diff(np.concatenate([first, [len(words)]]))
+        begins, _ = _runs(shards)
+        cuts = np.concatenate([begins, [len(words)]])
+        runs = np.searchsorted(first, cuts)
+        yield from _blobs(_COUNTED, shards[begins], (contexts[first], runs), (sizes.astype("<u4"), runs), (words, cuts), (counts.astype("<u4"), cuts))
 
     def run(batches):
         held, n = [], 0
@@ -150,63 +169,109 @@ def _count(bits: int, frequent: np.ndarray):
     return run
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    whole = os.path.join(folder, f"{name}.npy")
-    part = f"{whole}.{uuid.uuid4().hex}"
+def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file: the header's length, a header in JSON, and the arrays, each from a multiple of 64 bytes on."""
+    at, parts = 0, []
+    for key, array in arrays.items():
+        parts.append({"key": key, "kind": np.lib.format.dtype_to_descr(array.dtype), "shape": array.shape, "at": at})
+        at += -(-array.nbytes // 64) * 64
+    header = json.dumps({"parts": parts, "size": at}).encode()
+    header += b" " * (-(len(header) + 8) % 64)
+    part = os.path.join(folder, f"{name}.{uuid.uuid4().hex}")
     with open(part, "wb") as f:
-        np.save(f, array)
-    os.replace(part, whole)
+        f.write(len(header).to_bytes(8, "little") + header)
+        for array in arrays.values():
+            f.write(np.ascontiguousarray(array).tobytes() + bytes(-array.nbytes % 64))
+    os.replace(part, os.path.join(folder, name))
+
+
+def _load(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file that _save() wrote, memory-mapped."""
+    whole = np.memmap(os.path.join(folder, name), dtype=np.uint8, mode="r")
+    begin = 8 + int.from_bytes(whole[:8].tobytes(), "little")
+    header = json.loads(whole[8:begin].tobytes())
+    if len(whole) != begin + header["size"]:
+        raise OSError(f"{name} in {folder} is not whole")
+    out = {}
+    for part in header["parts"]:
+        kind = np.lib.format.descr_to_dtype(part["kind"] if isinstance(part["kind"], str) else [tuple(x) for x in part["kind"]])
+        at, size = begin + part["at"], kind.itemsize * int(np.prod(part["shape"], dtype=np.int64))
+        out[part["key"]] = whole[at : at + size].view(kind).reshape(part["shape"])
+    return out
 
 
-def _gather(batches, names: list[str]) -> dict[int, list[list[bytes]]]:
-    found: dict[int, list[list[bytes]]] = {}
-    for b in batches:
-        columns = [b.column(n).to_pylist() for n in names]
-        for row in zip(*columns, strict=True):
-            found.setdefault(row[0], []).append(list(row[1:]))
-    return found
+class _Folded:
+    """Columns that arrive in pieces, folded together whenever the new ones outgrow the folded ones."""
 
+    def __init__(self, fold) -> None:
+        self.fold, self.held, self.n, self.base = fold, [], 0, 0
 
-def _join(rows: list[list[bytes]], i: int, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(r[i] for r in rows), dtype=kind)
+    def add(self, *columns: np.ndarray) -> None:
+        self.held.append(columns)
+        self.n += len(columns[0])
+        if self.n > 2 * self.base + FOLD:
+            self.done()
+
+    def done(self) -> tuple[np.ndarray, ...]:
+        if len(self.held) != 1 or self.n != self.base:
+            folded = self.fold(*(np.concatenate(c) for c in zip(*self.held, strict=True)))
+            self.held, self.n, self.base = [folded], len(folded[0]), len(folded[0])
+        return self.held[0]
+
+
+def word_sums(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in order with summed contexts and counts."""
+    order = np.argsort(words, kind="stable")
+    words = words[order]
+    first, _ = _runs(words)
+    if not len(first):
+        return words, contexts.astype(np.uint64), counts.astype(np.uint64)
+    return words[first], np.add.reduceat(contexts[order].astype(np.uint64), first), np.add.reduceat(counts[order].astype(np.uint64), first)
+
+
+def _rows(batches, names: list[str]):
+    for b in batches:
+        columns = [b.column(n).to_pylist() for n in names]
+        yield from zip(*columns, strict=True)
 
 
 def _write_bigrams(folder: str, bits: int, frequent: np.ndarray):
+    def write(shard: int, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        keys = gram(contexts, words)
+        order = np.argsort(keys, kind="stable")
+        large = np.flatnonzero(counts[order] > 254)  # one byte each; the few large ones stand apart
+        first, sizes = _runs(contexts)
+        stats = np.zeros(len(first), dtype=_CONTEXT)
+        for field, hit in (("once", counts == 1), ("twice", counts == 2), ("more", counts > 2)):
+            stats[field] = np.add.reduceat(hit.astype(np.int64), first)
+        stats["total"] = np.add.reduceat(counts, first)
+        spread = _among(contexts[first], frequent)
+        _save(folder, f"bigrams-{shard}", {
+            "bigram": keys[order], "bigram-count": np.minimum(counts[order], 255).astype(np.uint8), "bigram-large": np.stack([large.astype(np.uint64), counts[order][large]]),
+            "context": contexts[first][~spread], "context-stats": stats[~spread],
+        })
+        part = np.zeros(int(spread.sum()), dtype=_FREQUENT)
+        part["context"] = contexts[first][spread]
+        for field in _CONTEXT.names:
+            part[field] = stats[field][spread]
+        found = np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], dtype="<i8")
+        words, contexts, counts = word_sums(words, np.ones(len(words), dtype=np.uint32), counts)
+        # every shard hears of the words and frequent contexts that are its own, this one of its sizes too
+        cuts, parts = _cuts(words, bits), _cuts(part["context"], bits)
+        sizes = np.zeros(len(cuts), dtype=np.int64)
+        sizes[shard + 1 :] = len(found)
+        to = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(parts) > 0) | (np.diff(sizes) > 0))
+        ends = np.concatenate([to, [len(cuts) - 1]])  # what lies between is empty
+        yield from _blobs(_SEEN, to, (words, cuts[ends]), (contexts.astype("<u4"), cuts[ends]), (counts.astype("<u8"), cuts[ends]), (part, parts[ends]), (found, sizes[ends]))
+
     def run(batches):
-        for shard, rows in _gather(batches, _COUNTED).items():
-            contexts = np.repeat(_join(rows, 0, "<u8"), _join(rows, 1, "<u4"))
-            contexts, words, counts = merge(contexts, _join(rows, 2, "<u8"), _join(rows, 3, "<u4"))
-            keys = gram(contexts, words)
-            order = np.argsort(keys, kind="stable")
-            _save(folder, f"bigram-{shard}", keys[order])
-            large = np.flatnonzero(counts[order] > 254)  # one byte each; the few large ones stand apart
-            _save(folder, f"bigram-count-{shard}", np.minimum(counts[order], 255).astype(np.uint8))
-            _save(folder, f"bigram-large-{shard}", np.stack([large.astype(np.uint64), counts[order][large]]))
-            first, sizes = _runs(contexts)
-            stats = np.zeros(len(first), dtype=_CONTEXT)
-            for field, hit in (("once", counts == 1), ("twice", counts == 2), ("more", counts > 2)):
-                stats[field] = np.add.reduceat(hit.astype(np.int64), first)
-            stats["total"] = np.add.reduceat(counts, first)
-            spread = _among(contexts[first], frequent)
-            _save(folder, f"context-{shard}", contexts[first][~spread])
-            _save(folder, f"context-stats-{shard}", stats[~spread])
-            part = np.zeros(int(spread.sum()), dtype=_FREQUENT)
-            part["context"] = contexts[first][spread]
-            for field in _CONTEXT.names:
-                part[field] = stats[field][spread]
-            cuts = _cuts(part["context"], bits)
-            for to, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if a < b:
-                    yield _blobs([(to, b"", b"", b"", part[a:b].tobytes())], _SEEN)
-            _save(folder, f"sizes-{shard}", np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], dtype=np.int64))
-            order = np.argsort(words, kind="stable")
-            words, counts = words[order], counts[order]
-            first, sizes = _runs(words)
-            keys, total = words[first], np.add.reduceat(counts, first)
-            cuts = _cuts(keys, bits)
-            for to, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if a < b:
-                    yield _blobs([(to, keys[a:b].tobytes(), sizes[a:b].astype("<u4").tobytes(), total[a:b].astype("<u8").tobytes(), b"")], _SEEN)
+        shards: dict[int, _Folded] = {}
+        for shard, contexts, sizes, words, counts in _rows(batches, _COUNTED):
+            context = np.repeat(np.frombuffer(contexts, "<u8"), np.frombuffer(sizes, "<u4"))
+            shards.setdefault(shard, _Folded(merge)).add(context, np.frombuffer(words, "<u8"), np.frombuffer(counts, "<u4").astype(np.uint64))
+        while shards:
+            shard, folded = shards.popitem()
+            yield from write(shard, *folded.done())
 
     return run
 
@@ -215,33 +280,31 @@ def _write_words(folder: str):
     def run(batches):
         import pyarrow as pa
 
-        for shard, rows in _gather(batches, _SEEN).items():
-            words, contexts, counts = _join(rows, 0, "<u8"), _join(rows, 1, "<u4"), _join(rows, 2, "<u8")
-            order = np.argsort(words, kind="stable")
-            words = words[order]
-            first, _ = _runs(words)
-            stats = np.zeros(len(first), dtype=_WORD)
-            if len(first):
-                stats["contexts"] = np.add.reduceat(contexts[order].astype(np.int64), first)
-                stats["count"] = np.add.reduceat(counts[order], first)
-            seen = stats["contexts"].astype(np.int64)
-            _save(folder, f"word-{shard}", words[first])
-            _save(folder, f"word-stats-{shard}", stats)
-            parts = np.sort(_join(rows, 3, _FREQUENT), order="context")
-            first_part, _ = _runs(parts["context"])
-            whole = np.zeros(len(first_part), dtype=_CONTEXT)
+        shards: dict[int, tuple[_Folded, list[bytes], list[bytes]]] = {}
+        for shard, words, contexts, counts, frequent, sizes in _rows(batches, _SEEN):
+            folded, parts, found = shards.setdefault(shard, (_Folded(word_sums), [], []))
+            folded.add(np.frombuffer(words, "<u8"), np.frombuffer(contexts, "<u4").astype(np.uint64), np.frombuffer(counts, "<u8"))
+            parts.append(frequent)
+            found.append(sizes)
+        for shard, (folded, parts, found) in shards.items():
+            words, seen, counts = folded.done()
+            stats = np.zeros(len(words), dtype=_WORD)
+            stats["contexts"], stats["count"] = seen, counts
+            part = np.sort(np.frombuffer(b"".join(parts), _FREQUENT), order="context")
+            first, _ = _runs(part["context"])
+            whole = np.zeros(len(first), dtype=_CONTEXT)
             for field in _CONTEXT.names:
-                if len(first_part):
-                    whole[field] = np.add.reduceat(parts[field].astype(np.uint64), first_part)
-            _save(folder, f"frequent-{shard}", parts["context"][first_part])
-            _save(folder, f"frequent-stats-{shard}", whole)
-            facts = [shard, len(first), int(stats["count"].sum()), int(seen.sum()), *(int(np.count_nonzero(seen == k)) for k in (1, 2, 3, 4)), int(np.count_nonzero(seen > 2))]
+                if len(first):
+                    whole[field] = np.add.reduceat(part[field].astype(np.uint64), first)
+            _save(folder, f"words-{shard}", {"word": words, "word-stats": stats, "frequent": part["context"][first], "frequent-stats": whole})
+            own = np.frombuffer(b"".join(found), "<i8").reshape(-1, 4)  # a row if the shard has bigrams
+            facts = [shard, len(words), int(counts.sum()), int(seen.sum()), *(int(np.count_nonzero(seen == k)) for k in (1, 2, 3, 4)), int(np.count_nonzero(seen > 2)), len(own), *own.sum(0).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in facts], names=_FACTS)
 
     return run
 
 
-_FACTS = ["shard", "words", "tokens", "types", "n1", "n2", "n3", "n4", "more"]
+_FACTS = ["shard", "words", "tokens", "types", "n1", "n2", "n3", "n4", "more", "bigrams", "h1", "h2", "h3", "h4"]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -256,38 +319,47 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """Where the arrays lie and the model's few numbers; tasks open the arrays they need."""
 
-    def __init__(self, folder: str, bits: int, facts: list[dict], n: np.ndarray, frequent: np.ndarray) -> None:
+    def __init__(self, folder: str, bits: int, facts: list[dict], frequent: np.ndarray) -> None:
         self.folder, self.bits, self.frequent = folder, bits, frequent
         total = {k: sum(f[k] for f in facts) for k in _FACTS}
         self.words, self.tokens, self.types = total["words"], total["tokens"], total["types"]
-        self.high, self.low = discounts(*n.tolist()), discounts(*(total[k] for k in ("n1", "n2", "n3", "n4")))
+        self.high, self.low = (discounts(*(total[f"{k}{i}"] for i in (1, 2, 3, 4))) for k in "hn")
         self.rest = float(self.low[1] * total["n1"] + self.low[2] * total["n2"] + self.low[3] * total["more"]) / max(self.types, 1)
-        self.files: dict[str, np.ndarray | None] = {}
+        self.written = {"words": np.zeros(1 << bits, dtype=bool), "bigrams": np.zeros(1 << bits, dtype=bool)}
+        for f in facts:
+            self.written["words"][f["shard"]], self.written["bigrams"][f["shard"]] = True, f["bigrams"] > 0
+        self.files: OrderedDict[tuple[str, int], dict[str, np.ndarray]] = OrderedDict()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"files": {}}
-
-    def _open(self, name: str) -> np.ndarray | None:
-        if name not in self.files:
-            path = os.path.join(self.folder, f"{name}.npy")
-            self.files[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.files[name]
+        return self.__dict__ | {"files": OrderedDict()}
+
+    def arrays(self, kind: str, shard: int) -> dict[str, np.ndarray] | None:
+        """The arrays of a shard, None where no task wrote any; a file that should be there and is not is an error."""
+        if not self.written[kind][shard]:
+            return None
+        if (kind, shard) not in self.files:
+            while len(self.files) >= MAPS:
+                self.files.popitem(last=False)
+            self.files[kind, shard] = _load(self.folder, f"{kind}-{shard}")
+        self.files.move_to_end((kind, shard))
+        return self.files[kind, shard]
 
     def _look(self, keys: np.ndarray, shard_of: np.ndarray, kind: str, stats: str, dtype) -> np.ndarray:
         """The stats of keys (sorted by shard_of's leading bits); zeros where a key is not known."""
         out = np.zeros(len(keys), dtype=dtype)
         cuts = _cuts(shard_of, self.bits)
-        for shard, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            known = self._open(f"{kind}-{shard}") if a < b else None
-            if known is not None and len(known):
+        for shard in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[shard], cuts[shard + 1]
+            arrays = self.arrays("bigrams" if kind in ("bigram", "context") else "words", shard)
+            if arrays is not None and len(known := arrays[kind]):
                 at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
                 hit = np.flatnonzero(known[at] == keys[a:b])
-                got = self._open(f"{stats}-{shard}")[at[hit]]
+                got = arrays[stats][at[hit]]
                 if kind == "bigram":
                     got = got.astype(dtype)
                     large = np.flatnonzero(got == 255)
                     if len(large):
-                        where, counts = self._open(f"bigram-large-{shard}")
+                        where, counts = arrays["bigram-large"]
                         got[large] = counts[np.searchsorted(where, at[hit][large])]
                 out[a + hit] = got
         return out
@@ -361,18 +433,14 @@ def build(docs: DataFrame) -> Model:
     prepare(spark)
     slim = only(docs, "text")
     chars, rows = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
-    bits = min(SHARDS.bit_length() - 1, max(0, int(np.ceil(np.log2(max(1, chars / 6 / SHARD_BIGRAMS))))))
+    bits = min(SHARDS.bit_length() - 1, max(0, int(np.ceil(np.log2(max(1, chars / 6 / SHARD_BIGRAMS))))))  # over 100 billion tokens reach the limit
     folder = _local(scratch(spark, "kneser"))
     os.makedirs(folder)
     frequent = frequent_contexts(slim, rows, bits)
     counted = slim.mapInArrow(released(_count(bits, frequent)), _schema(_COUNTED))
     seen = _by_shard(counted, 1 << bits).mapInArrow(released(_write_bigrams(folder, bits, frequent)), _schema(_SEEN))
     facts = _by_shard(seen, 1 << bits).mapInArrow(released(_write_words(folder)), ", ".join(f"{f} bigint" for f in _FACTS)).collect()
-    n = np.zeros(4, dtype=np.int64)
-    for shard in range(1 << bits):
-        path = os.path.join(folder, f"sizes-{shard}.npy")
-        n += np.load(path) if os.path.exists(path) else 0
-    return Model(folder, bits, [r.asDict() for r in facts], n, frequent)
+    return Model(folder, bits, [r.asDict() for r in facts], frequent)
 
 
 def _scored(model: Model):

@@ -488,7 +488,7 @@ def test_frequent_contexts_lie_in_all_shards(spark, monkeypatch):
     model = kneser.build(docs(spark, rows).select("text"))
     the = np.unique(kneser.tokens(b"the")[:1])
     assert len(model.frequent) >= 2 and kneser._among(the, model.frequent).all()
-    sizes = [len(model._open(f"bigram-{k}")) for k in range(1 << model.bits) if model._open(f"bigram-{k}") is not None]
+    sizes = [len(arrays["bigram"]) for k in range(1 << model.bits) if (arrays := model.arrays("bigrams", k)) is not None]
     assert max(sizes) < 0.25 * sum(sizes)
 
 
@@ -497,3 +497,62 @@ def test_language_model_counts_over_255(spark):
     want, _, _ = brute_kneser([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], [t for _, t in rows])
     got = [r["score"] for r in kneser.score(docs(spark, rows)).orderBy("doc_id").collect()]
     assert got == pytest.approx(want)
+
+
+def test_language_model_folds_and_maps_within_bounds(spark, monkeypatch):
+    for name, value in (("SHARD_BIGRAMS", 30), ("FOLD", 10), ("CHUNK", 40), ("MAPS", 3)):
+        monkeypatch.setattr(kneser, name, value)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randint(0, 40)}" for _ in range(60))) for i in range(40)]
+    want, _, _ = brute_kneser([t for _, t in rows], [t for _, t in rows])
+    model = kneser.build(docs(spark, rows).repartition(3))
+    lists = [kneser.tokens(t.encode()) for _, t in rows]
+    logs, _ = model.log10(*kneser.bigrams(lists))
+    assert np.add.reduceat(logs, np.cumsum([0, *map(len, lists)])[:-1]).tolist() == pytest.approx(want)
+    assert len(model.files) <= 3
+
+
+def test_language_model_misses_no_file(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr(kneser, "SHARD_BIGRAMS", 200)
+    rows = [(i, " ".join(f"w{i * j % 97}" for j in range(60))) for i in range(40)]
+    model = kneser.build(docs(spark, rows))
+    queries = kneser.bigrams([kneser.tokens(t.encode()) for _, t in rows])
+    for kind in ("bigrams", "words"):
+        shard = int(np.flatnonzero(model.written[kind])[0])
+        path = os.path.join(model.folder, f"{kind}-{shard}")
+        whole = open(path, "rb").read()
+        os.remove(path)
+        model.files.clear()
+        with pytest.raises(OSError):
+            model.log10(*queries)
+        open(path, "wb").write(whole[:-64])
+        with pytest.raises(OSError):
+            model.log10(*queries)
+        open(path, "wb").write(whole)
+        model.log10(*queries)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.integers(1, 3)), min_size=1, max_size=12), min_size=1, max_size=8), st.integers(0, 9))
+def test_folding_sums(pieces, most):
+    was, kneser.FOLD = kneser.FOLD, most
+    try:
+        folded, want = kneser._Folded(kneser.merge), Counter()
+        for piece in pieces:
+            folded.add(*(np.array(c, dtype=np.uint64) for c in zip(*piece)))
+            for a, b, n in piece:
+                want[a, b] += n
+        got = list(zip(*(c.tolist() for c in folded.done())))
+    finally:
+        kneser.FOLD = was
+    assert got == sorted((a, b, n) for (a, b), n in want.items())
+
+
+def test_language_model_takes_odd_tables(spark):
+    rows = [(1, "very long " * 60_000), (2, "unbroken" * 30_000), (None, None), (3, "a b"), (3, "a b")]
+    table = docs(spark, rows).withColumn("shard", F.lit("clash")).withColumn("words", F.lit(1)).withColumn("score", F.lit(0.5))
+    got = kneser.score(table).collect()
+    assert len(got) == 5 and all(math.isfinite(r["score"]) for r in got)
+    assert kneser.score(docs(spark, [])).count() == 0
