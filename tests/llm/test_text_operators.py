@@ -257,15 +257,61 @@ def model():
     return semicrf.train()
 
 
-def test_pii_model_on_made_passages(model):
-    rng, hit, wrong, missed = random.Random(123), 0, 0, 0
-    for _ in range(400):
-        text, gold = semicrf._made(rng)
+def measured(model, passages):
+    hit, wrong, missed = 0, 0, 0
+    for text, gold in passages:
         base, spans = semicrf.find(text.encode(), model)
         assert set(base) <= set(spans)
-        got, want = {(a, semicrf.KINDS[k], b) for a, k, b in spans if (a, k, b) not in base}, set(gold)
+        got = {(a, semicrf.KINDS[k], b) for a, k, b in spans if (a, k, b) not in base}
+        want = {g for g in gold if (g[0], semicrf.KINDS.index(g[1]), g[2]) not in base}
         hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert hit / (hit + missed) > 0.95 and hit / (hit + wrong) > 0.95
+    return hit / (hit + wrong), hit / (hit + missed)
+
+
+def test_pii_model_on_made_passages(model):
+    for make in (semicrf._made, semicrf._made_long, semicrf._made_keyed, semicrf._made_forms):
+        rng = random.Random(123)
+        precision, recall = measured(model, [make(rng) for _ in range(300)])
+        assert precision > 0.95 and recall > 0.93, make
+
+
+def test_pii_model_on_passages_written_by_hand(model):
+    from passages import PASSAGES
+
+    found = [(t, [(t.index(own), kind, t.index(own) + len(own)) for kind, own in want]) for t, want in PASSAGES]
+    assert {kind for _, want in PASSAGES for kind, _ in want} == set(semicrf.KINDS)
+    precision, recall = measured(model, found)
+    assert precision >= 0.9 and recall >= 0.9
+
+
+def test_pii_secrets_of_any_length(model):
+    rng = random.Random(31)
+    for n in (150, 170, 520, 5000):
+        own = "x" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 2)) + "7"
+        assert semicrf.written(semicrf.find(("password=" + own).encode(), model)[1]) == f"secret:9:{9 + n}"
+        marked = own[:50] + "!" + own[51:120] + "%" + own[121:]
+        assert semicrf.written(semicrf.find(("password: " + marked + " x").encode(), model)[1]) == f"secret:10:{10 + n}"
+
+
+def test_pii_training_counts_all_paths():
+    rng = random.Random(2)
+    for _ in range(30):
+        n = rng.randint(1, 6)
+        found = sorted({(i, rng.randint(i + 1, n)) for i in [rng.randrange(n) for _ in range(rng.randint(1, 6))]})
+        total = [rng.uniform(-2, 2) for _ in found]
+
+        def paths(at, n=n, found=found):
+            if at == n:
+                return [()]
+            return [p for p in paths(at + 1)] + [(k, *p) for k, (i, j) in enumerate(found) if i == at for p in paths(j)]
+
+        weight = {p: math.exp(sum(total[k] for k in p)) for p in paths(0)}
+        z = Counter()
+        for p, w in weight.items():
+            z.update({k: w for k in p})
+        masses = semicrf._Lattice(n, found, []).masses(total)
+        for k in range(len(found)):
+            assert math.exp(masses[k] + total[k]) == pytest.approx(z[k] / sum(weight.values()))
 
 
 def test_pii_best_segmentation_is_the_best(model):
@@ -279,7 +325,7 @@ def test_pii_best_segmentation_is_the_best(model):
     assert scores[[k for k, (i, j) in enumerate(found) if (spans[i][0], spans[j - 1][1]) == (got[0][0], got[0][2])][0]] == pytest.approx(best)
 
 
-@pytest.mark.parametrize("text", ["a" * 300_000 + " 1", "12345678," * 30_000, "+1 (555) 123-4567 " * 8000, "a@b.cd " * 20_000, "x@" * 50_000 + "1", "1." * 100_000, "+1" + "(" * 200_000, "ab1/" * 60_000, "0" * 300_000])
+@pytest.mark.parametrize("text", ["a" * 300_000 + " 1", "12345678," * 30_000, "+1 (555) 123-4567 " * 8000, "a@b.cd " * 20_000, "x@" * 50_000 + "1", "1." * 100_000, "+1" + "(" * 200_000, "ab1/" * 60_000, "0" * 300_000, "abc:" * 60_000, "x at y dot " * 20_000, "a.dot " * 40_000, "Mr X" * 50_000, "Dear " * 50_000, "12 Aa " * 40_000, "DE12 " * 40_000, "A" * 300_000, "rue 1 rue " * 30_000, "1[.]" * 60_000])
 def test_pii_takes_time_in_proportion(model, text):
     began = time.process_time()
     base, spans = semicrf.find(text.encode(), model)
@@ -331,7 +377,10 @@ def test_pii_over_documents(spark, model):
     assert got[12]["spans"] == ""
     out = {r["doc_id"]: r for r in semicrf.redact(docs(spark, rows).withColumn("n_chars", F.length("text")), model).collect()}
     assert out[11]["text"] == "mail <EMAIL> and é <PHONE>" and out[11]["n_chars"] == len(out[11]["text"]) and out[11]["kept"] == "k"
-    assert semicrf.detect(docs(spark, rows).limit(0), model).count() == 0
+    assert semicrf.detect(docs(spark, rows).limit(0), model).count() == 0 and semicrf.redact(docs(spark, rows).limit(0), model).count() == 0
+    clash = docs(spark, [*rows, (13, "mail a@b.c " + "very long " * 50_000)]).withColumn("spans", F.lit("x")).withColumn("n_email", F.lit("clash")).withColumn("base_sha256", F.lit(1))
+    assert Counter(r["n_email"] for r in semicrf.detect(clash, model).collect())[1] == 2
+    assert semicrf.redact(clash, model).columns == clash.columns
 
 
 # ---- classifier
