@@ -88,7 +88,6 @@ _KEYED = re.compile(
     r"(?i)(?:password|passwd|passphrase|(?<![a-z])pass|pwd|secret|token|auth|credentials?|(?:(?<![a-z])|(?<=api)|(?<=access)|(?<=private)|(?<=secret))key)"
     r"[\"']?(?P<mark>\s{0,3}(?:[:=]|=>|:=)\s{0,3}|\s{1,3}is\s{1,3}|\s)(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|(?P<bare>[^\s\"'`<>]+))"
 )
-_KEYED_BYTES = re.compile(rb"(?i)pass|pwd|secret|token|auth|credential|key")
 _LED = re.compile(r"(?i)(?:(?P<strong>pass(?:word|wd|phrase)?|pwd|secret|credentials?)|token|auth|key)[\"']?(?:\s{0,3}(?:[:=]|=>|:=)\s{0,3}|\s{1,3}is\s{1,3})[\"']?$")
 _NO_VALUE = re.compile(r"(?i)none|null|true|false|required|optional|string|\S*\(.*|\S*\[.*|\$.*|https?:.*|(?:too|very|not|never|always|stored|invalid|incorrect|wrong|empty|missing|expired).*")
 MIN_KEYED = 4
@@ -116,7 +115,11 @@ _NAME_LED = re.compile(r"(?:(?P<strong>\b(?:Mr|Mrs|Ms|Mx|Dr|Prof|Herrn?|Frau|Mme
 _NAME = re.compile(r"[A-ZÀ-Þ](?:[^\W\d_]|['’]){0,30}(?:-[A-ZÀ-Þ][^\W\d_]{0,30})?(?![\w])\.?")
 _PARTICLE = re.compile(r"(?:de|da|di|del|della|van|von|der|den|la|le|bin|al) ")
 _NO_NAME = frozenset("The This That These Those It He She We You They I A An Sir Madam All Team Customer Customers Friend Friends Everyone Colleague Colleagues Client Editor Support Mom Dad There January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
-_LEAD_BYTES = re.compile(rb"(?i)\bat\b|[nN]ame|\b(?:Mr|Mrs|Ms|Mx|Dr|Prof|Herrn?|Frau|Mme|Monsieur|Madame|Sra?)\b|Se\xc3\xb1or|signed by|\b(?:patient|contact|attn|from|to) ?:|Dear|Regards|Sincerely|\b(?:Hi|Hello)\b|::")
+#: Strings without which there is no lead to a name, no address spelt out and no key word; the last three in lower case.
+_TITLES = tuple(x.encode() for x in "Mr Ms Mx Dr Prof Herr Frau Mme Monsieur Madame Sr Señor Dear Regards Sincerely Hi Hello".split())
+_FIELDS = (b"name", b"signed by", b"patient", b"contact", b"attn", b"from:", b"from :", b"to:", b"to :")
+_WAYS = (b"[at", b"[ at", b"(at", b"( at", b"{at", b"{ at", b"<at", b"< at", b"[@", b"[ @", b"(@", b"( @", b"{@", b"{ @", b"<@", b"< @", b" dot ")
+_WORDS = (b"pass", b"pwd", b"secret", b"token", b"auth", b"credential", b"key")
 _DIGIT = re.compile(r"[0-9]")
 _CHUNK = re.compile(r"\S{1,60}")
 #: Candidates that are scored at once, so that a long window takes little memory.
@@ -180,20 +183,39 @@ def names(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def triggers(text: str, cover: Cover) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+class Hints:
+    """What a text (UTF-8) may hold, by searches for plain strings: the patterns of what it cannot hold need not run."""
+
+    def __init__(self, text: bytes) -> None:
+        low = text.lower()
+        self.digits = len(text.translate(None, _DIGITS)) < len(text)
+        self.hex = self.digits or b"::" in text
+        self.named = any(x in text for x in _TITLES) or any(x in low for x in _FIELDS)
+        self.spelt = any(x in low for x in _WAYS)
+        self.keyed = any(x in low for x in _WORDS)
+        self.some = self.hex or self.named or self.spelt or self.keyed or b"@" in text or b"AKIA" in text
+
+
+def triggers(text: str, cover: Cover, hints: Hints | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """(start, end) of what opens a window, base spans aside, and of what of it is a candidate as it is, of any length:
     runs, keyed values, beginnings of names, and forms with a pattern."""
-    runs = [t for m in _RUN.finditer(text) if _DIGIT.search(text, *(t := m.span())) and not cover.covers(*t)]
-    for m in _KEYED.finditer(text):
+    hints = hints or Hints(text.encode())
+    runs: list[tuple[int, int]] = []
+    if hints.digits:
+        runs += [t for m in _RUN.finditer(text) if _DIGIT.search(text, *(t := m.span())) and not cover.covers(*t)]
+    for m in _KEYED.finditer(text) if hints.keyed else ():
         a, b = m.span(m.lastgroup)
         if m.lastgroup == "bare":
             b = a + len(text[a:b].rstrip(".,;:)]}"))
         if b - a >= MIN_KEYED and (m["mark"].strip() or _DIGIT.search(text, a, b)) and not cover.covers(a, b):
             runs.append((a, b))
-    runs += [t for t in names(text) if not cover.touches(*t)]
-    runs += [t for p in (_SIX, _BROKEN, _MARKED, _IBAN, _REGISTER) for m in p.finditer(text) if not cover.touches(*(t := m.span()))]
-    inside = [t for p in (*_INSIDE, _SPELT, _ACCOUNT_LED) for m in p.finditer(text) if not cover.touches(*(t := m.span()))]
-    for m in _STREET.finditer(text):
+    if hints.named:
+        runs += [t for t in names(text) if not cover.touches(*t)]
+    whole = (_SIX, _BROKEN, _MARKED, _IBAN, _REGISTER) if hints.digits else (_SIX,) if hints.hex else ()
+    runs += [t for p in whole for m in p.finditer(text) if not cover.touches(*(t := m.span()))]
+    parts = [*(_INSIDE if hints.digits else _INSIDE[:1]), *((_SPELT,) if hints.spelt else ()), *((_ACCOUNT_LED,) if hints.digits else ())]
+    inside = [t for p in parts for m in p.finditer(text) if not cover.touches(*(t := m.span()))]
+    for m in _STREET.finditer(text) if hints.digits else ():
         place = _PLACE.match(text, m.end())
         inside.append((m.start(), place.end() if place else m.end()))
     runs = sorted(set(runs))
@@ -368,10 +390,10 @@ class Model:
             out[k] = self.weights[rows].sum(0)
         return out
 
-    def decode(self, text: str, cover: Cover) -> list[tuple[int, int, int]]:
+    def decode(self, text: str, cover: Cover, hints: Hints | None = None) -> list[tuple[int, int, int]]:
         """(start, kind index, end) of the entities that the best segmentation of each window holds."""
         out = []
-        opened, runs = triggers(text, cover)
+        opened, runs = triggers(text, cover, hints)
         at = 0
         for start, end in windows(text, opened):
             spans = atoms(text, start, end)
@@ -660,11 +682,12 @@ def _logsum(values: list[float]) -> float:
 
 def find(text: bytes, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a text in UTF-8, as (start, kind index, end) in code points, in order."""
-    if b"@" not in text and b"AKIA" not in text and len(text.translate(None, _DIGITS)) == len(text) and not _KEYED_BYTES.search(text) and not _LEAD_BYTES.search(text):
+    hints = Hints(text)
+    if not hints.some:
         return [], []
     s = text.decode("utf-8", "replace")
     base = base_spans(s)
-    return base, sorted(base + model.decode(s, Cover(base)))  # decode() gives what base spans leave
+    return base, sorted(base + model.decode(s, Cover(base), hints))  # decode() gives what base spans leave
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
