@@ -68,7 +68,8 @@ def recovered_json(text: Column) -> Column:
     """The JSON of a model's answer: as it is, from a code fence, or from the first brace to the last."""
     fence = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    # the parser ignores what follows a value, so the value has to be whole between brackets
+    valid = lambda x: F.when(F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")) == 1, x)
     return F.coalesce(valid(F.trim(text)), valid(fence), valid(braces))
 
 

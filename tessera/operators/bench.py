@@ -15,8 +15,10 @@ MIN_QUALITY = 0.6
 
 def grid(spark, axes: dict[str, list]) -> DataFrame:
     """Every combination of the given values, one column for each axis; the lists are a configuration's."""
-    frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in axes.items()]
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+    rows = spark.range(1)
+    for name, values in axes.items():  # one row grows by each list, so nothing is joined
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows.select(*axes)
 
 
 def nearest_rank(values: Column, q: float) -> Column:

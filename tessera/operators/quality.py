@@ -84,6 +84,7 @@ def symbol_coverage(symbols: DataFrame, sections: DataFrame) -> DataFrame:
 
 def file_coverage(files: DataFrame, sections: DataFrame) -> DataFrame:
     """(path, found): files whose path or name some section holds, whatever its case."""
+    files = files.select("path").distinct()
     low = files.select("path", F.lower("path").alias("low"), F.lower(F.substring_index("path", "/", -1)).alias("name"))
     docs = sections.select(F.lower("content").alias("text"))
     hit = low.join(docs, F.contains("text", F.col("low")) | F.contains("text", F.col("name")), "left_semi").select("path", F.lit(True).alias("f"))

@@ -178,7 +178,7 @@ def batch_lexical(rows: DataFrame, queries: DataFrame, limit: int = 3) -> DataFr
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
     held = rows.where("active").select("id", F.explode(F.array_distinct(tx.tokens(F.col("body")))).alias("token"))
     wanted = held.join(asked.select("token").distinct(), "token", "left_semi")
-    hits = wanted.join(asked, "token").groupBy("query_id", "id").agg(F.count("*").alias("hits")).join(sizes, "query_id")
-    scored = hits.select("query_id", "id", F.round(F.col("hits") / F.col("terms"), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= limit).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    hits = wanted.join(asked, "token").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
+    # a query's scores have one divisor, so hits rank them; only the best rows meet the sizes
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "id"))).where(F.col("rank") <= limit)
+    return ranked.join(sizes, "query_id").select("query_id", "id", F.round(F.col("hits") / F.col("terms"), 6).alias("score"), F.col("rank").cast("long").alias("rank"))

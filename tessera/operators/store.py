@@ -77,14 +77,19 @@ def cleanup(rows: DataFrame, contents: DataFrame, vectors: DataFrame, bands: Dat
 def resolve(rows: DataFrame, lookups: DataFrame) -> DataFrame:
     """(lookup, id, file, line): by #id, else by exact file, else by the shortest path with that ending.
 
-    Each way is an equi-join but the last, which runs only for look-ups left over and broadcasts them if they are few.
+    Each way is an equi-join. For the last one a path stands with one ending for each length that the look-ups left over
+    have, and meets them on that ending; lengths are one row.
     """
     asked = lookups.select("lookup", tx.trailing_line(F.col("lookup")).alias("line"), F.regexp_replace("lookup", r":\d+$", "").alias("name")).distinct()
     own = rows.where("active").select("id", file(F.col("collection"), F.col("path")).alias("file"), "path")
     by_id = asked.where(F.startswith("name", F.lit("#"))).withColumn("id", F.expr("try_cast(substring(name, 2) AS BIGINT)")).join(own, "id").select("lookup", "line", "id", "file", F.lit(0).alias("way"), F.lit(0).alias("size"))
     by_file = asked.join(own, F.col("name") == F.col("file")).select("lookup", "line", "id", "file", F.lit(1).alias("way"), F.lit(0).alias("size"))
     left = asked.join(by_id.unionByName(by_file).select("lookup"), "lookup", "left_anti")
-    by_end = left.join(own, F.endswith(F.lower("path"), F.lower("name"))).select("lookup", "line", "id", "file", F.lit(2).alias("way"), F.length("path").alias("size"))
+    left = left.withColumn("ending", F.lower("name"))
+    sizes = left.agg(F.collect_set(F.length("ending")).alias("sizes"))  # no more than a path has characters
+    ends = own.withColumn("low", F.lower("path")).join(F.broadcast(sizes)).withColumn("n", F.explode("sizes")).where(F.col("n") <= F.length("low"))
+    ends = ends.select("id", "file", F.expr("right(low, n)").alias("ending"), F.length("path").alias("size"))
+    by_end = left.join(ends, "ending").select("lookup", "line", "id", "file", F.lit(2).alias("way"), "size")
     found = by_id.unionByName(by_file).unionByName(by_end)
     best = found.groupBy("lookup").agg(F.min(F.struct("way", "size", "file", "id", "line")).alias("b"))
     return best.select("lookup", "b.id", "b.file", "b.line")

@@ -27,12 +27,25 @@ def dependency_files(candidates: DataFrame, files: DataFrame) -> DataFrame:
     return direct.unionByName(by_stem).groupBy("name").agg(F.min_by("path", "way").alias("path"))
 
 
+def _deletions(c: Column) -> Column:
+    """A text and what is left of it without one or two of its characters."""
+    def less(x):
+        places = F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1 << 30))))
+
+    one = F.array_distinct(less(c))
+    return F.array_distinct(F.concat(F.array(c), one, F.flatten(F.transform(one, less))))
+
+
 def suggestions(words: DataFrame, names: DataFrame) -> DataFrame:
     """(word, suggestion, distance): the nearest name within one edit for short words and two for others.
 
-    Names are a surface's few commands and words what a user typed, so every word meets every name.
+    Two texts within two edits share what is left after at most two characters go from each, so words meet names on those
+    keys alone and the distance is tested only there.
     """
-    pairs = words.join(F.broadcast(names)).withColumn("distance", F.levenshtein("word", "tool"))
+    keyed = words.select("word").distinct().select("word", F.explode(_deletions(F.col("word"))).alias("key"))
+    known = names.select("tool").distinct().select("tool", F.explode(_deletions(F.col("tool"))).alias("key"))
+    pairs = keyed.join(known, "key").select("word", "tool").distinct().withColumn("distance", F.levenshtein("word", "tool"))
     near = pairs.where(F.col("distance") <= F.when(F.length("word") <= 4, 1).otherwise(2))
     best = near.groupBy("word").agg(F.min(F.struct("distance", "tool")).alias("b"))
     return best.select("word", F.col("b.tool").alias("suggestion"), F.col("b.distance").cast("long").alias("distance"))

@@ -35,10 +35,10 @@ def query(name: str, sql: str | None = None):
 
 
 STORE = """st AS (
-  SELECT id, collection, path, hash, body, collection || '/' || path AS file,
+  SELECT id, collection, path, hash, body, concat_ws('/', collection, path) AS file,
     CASE WHEN len(fit) = 0 THEN id::VARCHAR || '.md' WHEN starts_with(fit[1], '# ') THEN trim(substr(fit[1], 3)) ELSE substr(fit[1], 1, 120) END AS title
   FROM (SELECT doc_id AS id, source AS collection, lang || '/' || doc_id::VARCHAR || '.md' AS path, coalesce(text, '') AS body, sha256(coalesce(text, '')) AS hash,
-    list_filter(list_transform(list_slice(string_split(coalesce(text, ''), chr(10)), 1, 20), lambda x: trim(x)), lambda x: starts_with(x, '# ') OR strlen(x) >= 5) AS fit
+    list_filter(list_transform(list_slice(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), 1, 20), lambda x: trim(x)), lambda x: starts_with(x, '# ') OR strlen(x) >= 5) AS fit
     FROM documents))"""
 
 
@@ -46,6 +46,11 @@ def s(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def lines_sql(x: str) -> str:
+    """A text's lines without their ends; a last line end makes no line."""
+    return f"CASE WHEN {x} = '' THEN []::VARCHAR[] ELSE list_transform(string_split(regexp_replace({x}, '\\r?\\n$', ''), chr(10)), lambda y: regexp_replace(y, '\\r$', '')) END"
+
+
 def tokens_sql(x: str) -> str:
     return rf"list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}_]+'), lambda t: strlen(t) >= 2)"
 
@@ -109,12 +114,12 @@ def lexical_or_fallback(spark, d):
     return hits(se.lexical_or_fallback(store(spark, d), Q2))
 
 
-PLACES = Fixture("places", "file string", [("a/crates/src/x.md",), ("a/target/dist/build/x.md",), ("/src/lib.rs",), ("a/node_modules/y.js",), ("plain.md",), ("x/.git/crates/z",), ("A/SRC/b.md",)])
+PLACES = Fixture("places", "file string", [("a/crates/src/x.md",), ("a/target/dist/build/x.md",), ("/src/lib.rs",), ("a/node_modules/y.js",), ("plain.md",), ("x/.git/crates/z",), ("A/SRC/b.md",)]).over(file="prefix")
 
 
 @query("path_quality", with_(PLACES) + f"SELECT file, round({quality_sql('file')}, 6) AS quality FROM places UNION ALL SELECT url, round({quality_sql('url')}, 6) FROM pages")
 def path_quality(spark, d):
-    rows = PLACES.df(spark).unionByName(table(spark, d, "pages").select(F.col("url").alias("file")))
+    rows = PLACES.df(spark, d).unionByName(table(spark, d, "pages").select(F.col("url").alias("file")))
     return rows.select("file", F.round(tx.path_quality(F.col("file")), 6).alias("quality"))
 
 
@@ -156,28 +161,28 @@ def snippets(spark, d):
     return store(spark, d).select("id", tx.snippet(F.col("body"), ["eau", "that", "der"]).alias("snippet"))
 
 
-TITLES = Fixture("titles", "path string, body string", [("a/b.md", "\n\n# Head \nx"), ("a/b.md", "abc\nlonger line"), ("a/b.md", ""), ("c.md", "abcd\n#x"), ("d/e.txt", "y" * 200), ("z/q.md", "é" * 3)])
+TITLES = Fixture("titles", "path string, body string", [("a/b.md", "\n\n# Head \nx"), ("a/b.md", "abc\nlonger line"), ("a/b.md", ""), ("c.md", "abcd\n#x"), ("d/e.txt", "y" * 200), ("z/q.md", "é" * 3)]).over(path="prefix", body="after")
 
 
 @query(
     "derive_title",
-    with_(STORE, TITLES, "f AS (SELECT path, body, list_filter(list_transform(list_slice(string_split(body, chr(10)), 1, 20), lambda x: trim(x)), lambda x: starts_with(x, '# ') OR strlen(x) >= 5) AS fit FROM titles)")
+    with_(STORE, TITLES, "f AS (SELECT path, body, list_filter(list_transform(list_slice(string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10)), 1, 20), lambda x: trim(x)), lambda x: starts_with(x, '# ') OR strlen(x) >= 5) AS fit FROM titles)")
     + "SELECT path, title FROM st UNION ALL SELECT path, CASE WHEN len(fit) = 0 THEN split_part(path, '/', -1) WHEN starts_with(fit[1], '# ') THEN trim(substr(fit[1], 3)) ELSE substr(fit[1], 1, 120) END FROM f",
 )
 def derive_title(spark, d):
-    return store(spark, d).select("path", "title").unionByName(TITLES.df(spark).select("path", tx.title(F.col("path"), F.col("body")).alias("title")))
+    return store(spark, d).select("path", "title").unionByName(TITLES.df(spark, d).select("path", tx.title(F.col("path"), F.col("body")).alias("title")))
 
 
-LINES = "list_slice(string_split(text, chr(10)), 2, 4)"
+LINES = f"list_slice({lines_sql('text')}, 2, 4)"
 
 
-@query("slice_lines", f"SELECT doc_id, array_to_string({LINES}, chr(10)) AS part, array_to_string(list_transform({LINES}, lambda x, i: (i + 1)::VARCHAR || ': ' || x), chr(10)) AS numbered FROM documents WHERE NOT ends_with(text, chr(10))")
+@query("slice_lines", f"SELECT doc_id, array_to_string({LINES}, chr(10)) AS part, array_to_string(list_transform({LINES}, lambda x, i: (i + 1)::VARCHAR || ': ' || x), chr(10)) AS numbered FROM documents")
 def slice_lines(spark, d):
     t = table(spark, d, "documents")
     return t.select("doc_id", tx.slice_lines(F.col("text"), 2, 3).alias("part"), tx.slice_lines(F.col("text"), 2, 3, True).alias("numbered"))
 
 
-@query("line_count", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END::BIGINT AS n_lines FROM documents")
+@query("line_count", f"SELECT doc_id, len({lines_sql('text')})::BIGINT AS n_lines FROM documents")
 def line_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(tx.lines(F.col("text"))).cast("long").alias("n_lines"))
 
@@ -275,17 +280,17 @@ def rerank_heuristic(spark, d):
     return store(spark, d).select("id", F.round(se.RERANK_OLD * F.lit(0.5) + se.RERANK_OVERLAP * tx.overlap(["the", "eau"], F.lower("title")), 6).alias("score"))
 
 
-HITS = Fixture("hits", "id string, file string, score double", [("a", "a.md", 0.5), ("b", "b.md", 0.7), ("x", "x.md", 0.4), ("a", "a.md", 0.9), ("c", "c.md", 0.8), ("x", "x.md", 0.2)])
+HITS = Fixture("hits", "id string, file string, score double", [("a", "a.md", 0.5), ("b", "b.md", 0.7), ("x", "x.md", 0.4), ("a", "a.md", 0.9), ("c", "c.md", 0.8), ("x", "x.md", 0.2)]).over(id="tag", file="tag", score="unit")
 
 
 @query("dedup_hits", with_(HITS) + "SELECT id, any_value(file) AS file, max(score) AS score FROM hits GROUP BY id")
 def dedup_hits(spark, d):
-    return se.dedup_hits(HITS.df(spark))
+    return se.dedup_hits(HITS.df(spark, d))
 
 
 @query("hit_union", with_(HITS, "st AS (SELECT doc_id::VARCHAR AS id, 0.1::DOUBLE AS score FROM documents)") + "SELECT id, score FROM hits UNION ALL SELECT id, score FROM st")
 def hit_union(spark, d):
-    return st.union_all([HITS.df(spark).select("id", "score"), store(spark, d).select(F.col("id").cast("string").alias("id"), F.lit(0.1).alias("score"))])
+    return st.union_all([HITS.df(spark, d).select("id", "score"), store(spark, d).select(F.col("id").cast("string").alias("id"), F.lit(0.1).alias("score"))])
 
 
 @query(
@@ -297,12 +302,12 @@ def expand_query(spark, d):
     return spark.createDataFrame([(q, v) for (q,) in ASKED.rows for v in se.expand_query(q)], "query string, form string")
 
 
-LISTS = Fixture("lists", "k int, a array<string>, b array<string>", [(1, ["x", "y"], ["y", "z", "w"]), (2, [], ["q"]), (3, ["a", "b", "c"], ["d", "e", "f", "g"])])
+LISTS = Fixture("lists", "k int, a array<string>, b array<string>", [(1, ["x", "y"], ["y", "z", "w"]), (2, [], ["q"]), (3, ["a", "b", "c"], ["d", "e", "f", "g"])]).over(k="shift")
 
 
-@query("merge_variants", with_(LISTS, "m AS (SELECT k, v, min(i) AS i FROM (SELECT k, unnest(list_concat(a, b)) AS v, generate_subscripts(list_concat(a, b), 1) AS i FROM lists) GROUP BY k, v)") + "SELECT k, list_slice(list(v ORDER BY i), 1, 6) AS variants FROM m GROUP BY k")
+@query("merge_variants", with_(LISTS, "own AS (SELECT *, row_number() OVER () AS r FROM lists)", "m AS (SELECT r, k, v, min(i) AS i FROM (SELECT r, k, unnest(list_concat(a, b)) AS v, generate_subscripts(list_concat(a, b), 1) AS i FROM own) GROUP BY r, k, v)") + "SELECT k, list_slice(list(v ORDER BY i), 1, 6) AS variants FROM m GROUP BY r, k")
 def merge_variants(spark, d):
-    return LISTS.df(spark).select("k", F.slice(F.array_distinct(F.concat("a", "b")), 1, 6).alias("variants"))
+    return LISTS.df(spark, d).select("k", F.slice(F.array_distinct(F.concat("a", "b")), 1, 6).alias("variants"))
 
 
 BATCH = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({tokens_sql('text')})) AS token FROM benchmark), n AS (SELECT query_id, count(*) AS terms FROM q GROUP BY query_id),
@@ -322,7 +327,7 @@ def search_view_rows(spark, d):
     return se.with_snippets(se.lexical(rows, Q2).select("id", "file", "score"), rows, Q2)
 
 
-WEB = Fixture("web", "k int, body string", [(1, "rust ownership and borrow"), (2, "borrow checker"), (3, "rust or go"), (4, "ownership rules"), (5, "rust ownership rules")])
+WEB = Fixture("web", "k int, body string", [(1, "rust ownership and borrow"), (2, "borrow checker"), (3, "rust or go"), (4, "ownership rules"), (5, "rust ownership rules")]).over(k="shift", body="after")
 
 
 def websearch(q: str, body):
@@ -346,4 +351,4 @@ def websearch(q: str, body):
 
 @query("websearch_filter", with_(WEB) + rf"""SELECT k FROM web WHERE (contains(lower(body), 'borrow checker') AND NOT list_contains({tokens_sql('body')}, 'go')) OR (list_contains({tokens_sql('body')}, 'rust') AND NOT list_contains({tokens_sql('body')}, 'rules'))""")
 def websearch_filter(spark, d):
-    return WEB.df(spark).where(websearch('"borrow checker" -go or rust -rules', F.col("body"))).select("k")
+    return WEB.df(spark, d).where(websearch('"borrow checker" -go or rust -rules', F.col("body"))).select("k")

@@ -8,7 +8,7 @@ from tessera.functions import text as tx
 from tessera.operators import changes as ch
 from tessera.operators import store as st
 from tessera.plans.fixture import Fixture, with_
-from tessera.plans.search import STORE, store, table
+from tessera.plans.search import STORE, lines_sql, store, table
 
 QUERIES, ORACLE = {}, {}
 
@@ -52,13 +52,13 @@ RESOLVED = r"""asked AS (SELECT DISTINCT lookup, try_cast(nullif(regexp_extract(
 
 @query("resolve_document", with_(STORE, LOOKUPS, RESOLVED) + "SELECT lookup, id, file, line FROM r WHERE n = 1")
 def resolve_document(spark, d):
-    return st.resolve(store(spark, d), LOOKUPS.df(spark))
+    return st.resolve(store(spark, d), LOOKUPS.df(spark, d))
 
 
-@query("get_document", with_(STORE, LOOKUPS, RESOLVED) + "SELECT lookup, file, array_to_string(list_slice(string_split(body, chr(10)), coalesce(line, 1), coalesce(line, 1) + 1), chr(10)) AS part FROM r JOIN st USING (id, file) WHERE n = 1 AND NOT ends_with(body, chr(10))")
+@query("get_document", with_(STORE, LOOKUPS, RESOLVED) + f"SELECT lookup, file, array_to_string(list_slice({lines_sql('body')}, coalesce(line, 1), coalesce(line, 1) + 1), chr(10)) AS part FROM r JOIN st USING (id, file) WHERE n = 1")
 def get_document(spark, d):
     rows = store(spark, d)
-    found = st.resolve(rows, LOOKUPS.df(spark)).join(rows.select("id", "body"), "id")
+    found = st.resolve(rows, LOOKUPS.df(spark, d)).join(rows.select("id", "body"), "id")
     part = F.array_join(F.slice(tx.lines(F.col("body")), F.coalesce("line", F.lit(1)).cast("int"), F.lit(2)), "\n")
     return found.select("lookup", "file", part.alias("part"))
 
@@ -83,7 +83,7 @@ COLLECTIONS = Fixture("collections", "collection string", [("src1",), ("src2",),
 
 @query("index_status", with_(STORE, COLLECTIONS) + "SELECT c.collection, count(st.id)::BIGINT AS files, max(st.id) AS newest FROM collections c LEFT JOIN st ON st.collection = c.collection GROUP BY c.collection")
 def index_status(spark, d):
-    return st.status(store(spark, d), COLLECTIONS.df(spark))
+    return st.status(store(spark, d), COLLECTIONS.df(spark, d))
 
 
 @query("index_totals", with_(STORE) + "SELECT count(*)::BIGINT AS documents, count(DISTINCT hash)::BIGINT AS contents, (SELECT count(DISTINCT hash) FROM st WHERE id % 3 <> 0 AND hash NOT IN (SELECT hash FROM st WHERE id % 3 = 0))::BIGINT AS needs_embedding FROM st")
@@ -155,7 +155,7 @@ COVER = "(CASE WHEN trim(prefix) IN ('', '/') THEN '/' ELSE regexp_replace(CASE
 )
 def context_for_path(spark, d):
     files = store(spark, d).select(st.file(F.col("collection"), F.col("path")).alias("file"), "collection", "path")
-    return st.contexts_for(files, CONTEXTS.df(spark))
+    return st.contexts_for(files, CONTEXTS.df(spark, d))
 
 
 @query(
@@ -164,17 +164,17 @@ def context_for_path(spark, d):
     + "SELECT collection, top FROM tops t WHERE NOT EXISTS (SELECT 1 FROM own c WHERE c.collection = t.collection AND (c.prefix = '/' OR c.prefix = '/' || t.top OR starts_with(c.prefix, '/' || t.top || '/')))",
 )
 def context_gap(spark, d):
-    return st.context_gaps(store(spark, d), CONTEXTS.df(spark))
+    return st.context_gaps(store(spark, d), CONTEXTS.df(spark, d))
 
 
 @query("list_contexts", with_(CONTEXTS) + f"SELECT coalesce(collection, 'global') AS scope, {COVER} AS path, text FROM contexts")
 def list_contexts(spark, d):
-    return CONTEXTS.df(spark).select(F.coalesce("collection", F.lit("global")).alias("scope"), tx.context_path(F.col("prefix")).alias("path"), "text").orderBy("scope", "path")
+    return CONTEXTS.df(spark, d).select(F.coalesce("collection", F.lit("global")).alias("scope"), tx.context_path(F.col("prefix")).alias("path"), "text").orderBy("scope", "path")
 
 
 @query("contexts_by_scope", with_(CONTEXTS) + "SELECT coalesce(collection, 'global') AS scope, count(*)::BIGINT AS n, list(text ORDER BY text) AS texts FROM contexts GROUP BY ALL")
 def contexts_by_scope(spark, d):
-    return CONTEXTS.df(spark).groupBy(F.coalesce("collection", F.lit("global")).alias("scope")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("text")).alias("texts"))
+    return CONTEXTS.df(spark, d).groupBy(F.coalesce("collection", F.lit("global")).alias("scope")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("text")).alias("texts"))
 
 
 ROOTS = Fixture("roots", "root string, collection string", [("/work", "all"), ("/work/docs", "docs"), ("/work/docs/api", "api"), ("/other", "other")])
@@ -183,43 +183,43 @@ FS = Fixture("fs", "path string", [("/work/docs/api/x.md",), ("/work/docsx/y.md"
 
 @query("collection_from_path", with_(ROOTS, FS) + "SELECT path, (SELECT collection FROM roots WHERE path = root OR starts_with(path, root || '/') ORDER BY length(root) DESC LIMIT 1) AS collection FROM fs")
 def collection_from_path(spark, d):
-    return st.longest_prefix(FS.df(spark), ROOTS.df(spark))
+    return st.longest_prefix(FS.df(spark, d), ROOTS.df(spark, d))
 
 
-TARGETS = Fixture("targets", "target string", [("/",), ("index://notes/a/b",), ("index://notes",), ("docs/x",), ("",)])
+TARGETS = Fixture("targets", "target string", [("/",), ("index://notes/a/b",), ("index://notes",), ("docs/x",), ("",)]).over(target="number")
 
 
 @query("parse_context_target", with_(TARGETS) + r"SELECT target, CASE WHEN target = '/' THEN 'global' WHEN regexp_matches(target, '^[a-z]+://[^/]+') THEN 'collection' ELSE 'path' END AS kind, nullif(regexp_extract(target, '^[a-z]+://([^/]+)', 1), '') AS collection, CASE WHEN regexp_matches(target, '^[a-z]+://[^/]+') THEN '/' || regexp_replace(target, '^[a-z]+://[^/]+/?', '') END AS path FROM targets")
 def parse_context_target(spark, d):
     virtual = F.rlike("target", F.lit("^[a-z]+://[^/]+"))
-    return TARGETS.df(spark).select(
+    return TARGETS.df(spark, d).select(
         "target", F.when(F.col("target") == "/", "global").when(virtual, "collection").otherwise("path").alias("kind"), F.nullif(F.regexp_extract("target", "^[a-z]+://([^/]+)", 1), F.lit("")).alias("collection"),
         F.when(virtual, F.concat(F.lit("/"), F.regexp_replace("target", "^[a-z]+://[^/]+/?", ""))).alias("path"),
     )
 
 
-PREVIEWS = Fixture("previews", "text string", [("short  text \n here",), ("x " * 90,), ("",)])
+PREVIEWS = Fixture("previews", "text string", [("short  text \n here",), ("x " * 90,), ("",)]).over(text="after")
 
 
 @query("context_preview", with_(PREVIEWS, "p AS (SELECT text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM previews)") + "SELECT text, CASE WHEN length(q) > 80 THEN substr(q, 1, 80) || '...' ELSE q END AS preview FROM p")
 def context_preview(spark, d):
-    return PREVIEWS.df(spark).select("text", tx.preview(F.col("text")).alias("preview"))
+    return PREVIEWS.df(spark, d).select("text", tx.preview(F.col("text")).alias("preview"))
 
 
-NAMES = Fixture("names", "name string", [("My Index/1",), ("plain",), ("Ü-x",), ("--a--",)])
+NAMES = Fixture("names", "name string", [("My Index/1",), ("plain",), ("Ü-x",), ("--a--",)]).over(name="tail")
 
 
 @query("sanitize_names", with_(NAMES) + "SELECT name, lower(regexp_replace(name, '[^A-Za-z0-9]', '_', 'g')) AS index_name, regexp_replace(lower(regexp_replace(name, '[^A-Za-z0-9]', '-', 'g')), '^-+|-+$', '', 'g') AS id FROM names")
 def sanitize_names(spark, d):
-    return NAMES.df(spark).select("name", tx.sanitize(F.col("name"), "_").alias("index_name"), F.regexp_replace(tx.sanitize(F.col("name"), "-"), "^-+|-+$", "").alias("id"))
+    return NAMES.df(spark, d).select("name", tx.sanitize(F.col("name"), "_").alias("index_name"), F.regexp_replace(tx.sanitize(F.col("name"), "-"), "^-+|-+$", "").alias("id"))
 
 
-PATHS = Fixture("paths", "p string", [("notes/a.md:12",), ("notes/a.md",), ("/x",), ("notes/",), ("a/b/c.md:007",)])
+PATHS = Fixture("paths", "p string", [("notes/a.md:12",), ("notes/a.md",), ("/x",), ("notes/",), ("a/b/c.md:007",)]).over(p="prefix")
 
 
 @query("parse_lookup", with_(PATHS) + r"SELECT p, try_cast(nullif(regexp_extract(p, ':(\d+)$', 1), '') AS BIGINT) AS line, nullif(split_part(p, '/', 1), '') AS collection, nullif(substr(p, strpos(p, '/') + 1), '') AS rest FROM paths")
 def parse_lookup(spark, d):
-    return PATHS.df(spark).select("p", tx.trailing_line(F.col("p")).alias("line"), F.nullif(F.substring_index("p", "/", 1), F.lit("")).alias("collection"), F.nullif(F.substring("p", F.instr("p", "/") + 1, F.lit(1 << 30)), F.lit("")).alias("rest"))
+    return PATHS.df(spark, d).select("p", tx.trailing_line(F.col("p")).alias("line"), F.nullif(F.substring_index("p", "/", 1), F.lit("")).alias("collection"), F.nullif(F.substring("p", F.instr("p", "/") + 1, F.lit(1 << 30)), F.lit("")).alias("rest"))
 
 
 # ---- snapshots, manifests and change sets
@@ -261,8 +261,8 @@ def should_sync(spark, d):
     return changed.join(F.broadcast(new.agg(F.count("*").alias("files"))))
 
 
-MODULES = Fixture("modules", "agent string, input string", [("OverviewEditor", "src/main.rs"), ("OverviewEditor", "src/lib.rs"), ("KeyModulesInsight_core", "src/core"), ("Core Workflows", "docs/flow.md"), ("Custom", "tools/x.py"), ("DatabaseEditor", "db/schema.sql")])
-DIFFLINES = Fixture("lines", "line string", [("M\tsrc/core/a.rs",), ("A\tdb/schema.sql",), ("D\ttools/x.py",), ("R100\tdocs/flow.md\tdocs/new.md",), ("C\tother.txt",), ("bad line",)])
+MODULES = Fixture("modules", "agent string, input string", [("OverviewEditor", "src/main.rs"), ("OverviewEditor", "src/lib.rs"), ("KeyModulesInsight_core", "src/core"), ("Core Workflows", "docs/flow.md"), ("Custom", "tools/x.py"), ("DatabaseEditor", "db/schema.sql")]).over(input="number")
+DIFFLINES = Fixture("lines", "line string", [("M\tsrc/core/a.rs",), ("A\tdb/schema.sql",), ("D\ttools/x.py",), ("R100\tdocs/flow.md\tdocs/new.md",), ("C\tother.txt",), ("bad line",)]).over(line="number")
 ALIAS = "CASE WHEN contains(agent, 'KeyModulesInsight') THEN 'KeyModulesInsight' " + " ".join(f"WHEN agent IN ({', '.join(repr(x) for x in names)}) THEN '{to}'" for to, names in ch.AGENT_NAMES.items()) + " ELSE agent END"
 CHANGED = r"""ch AS (SELECT trim(split_part(line, chr(9), 1)) AS st, line FROM lines WHERE contains(line, chr(9))),
   files AS (SELECT trim(split_part(line, chr(9), 2)) AS file, CASE WHEN st = 'A' THEN 'added' WHEN st = 'D' THEN 'removed' ELSE 'changed' END AS change FROM ch WHERE NOT starts_with(st, 'R')
@@ -271,7 +271,7 @@ CHANGED = r"""ch AS (SELECT trim(split_part(line, chr(9), 1)) AS st, line FROM l
 
 @query("detect_changes", with_(DIFFLINES, CHANGED) + "SELECT file, change FROM files")
 def detect_changes(spark, d):
-    return ch.name_status(DIFFLINES.df(spark))
+    return ch.name_status(DIFFLINES.df(spark, d))
 
 
 @query(
@@ -280,19 +280,19 @@ def detect_changes(spark, d):
     + ", direct AS (SELECT agent FROM hit UNION SELECT unnest(['SystemContextResearcher', 'DomainModulesDetector']) FROM files WHERE file NOT IN (SELECT file FROM hit)) SELECT agent FROM direct UNION SELECT unnest(['Overview', 'Architecture', 'Workflow', 'Boundary', 'Database', 'KeyModulesInsight']) FROM direct WHERE regexp_matches(agent, 'Researcher|Detector|Analyzer|Insight')",
 )
 def changed_agents(spark, d):
-    return ch.affected_agents(ch.name_status(DIFFLINES.df(spark)), MODULES.df(spark))
+    return ch.affected_agents(ch.name_status(DIFFLINES.df(spark, d)), MODULES.df(spark, d))
 
 
 @query("rebuild_ratio", with_(MODULES, DIFFLINES, CHANGED) + "SELECT (SELECT count(*) FROM files)::BIGINT AS changes, count(DISTINCT input)::BIGINT AS tracked, (SELECT count(*) FROM files) / count(DISTINCT input)::DOUBLE > 0.3 AS full_rebuild FROM modules")
 def rebuild_ratio(spark, d):
-    return ch.rebuild(ch.name_status(DIFFLINES.df(spark)), MODULES.df(spark))
+    return ch.rebuild(ch.name_status(DIFFLINES.df(spark, d)), MODULES.df(spark, d))
 
 
 @query("manifest_modules", with_(MODULES) + "SELECT agent, count(*)::BIGINT AS n, sha256(string_agg(input, chr(10) ORDER BY input)) AS digest FROM modules GROUP BY agent")
 def manifest_modules(spark, d):
-    return ch.module_digests(MODULES.df(spark))
+    return ch.module_digests(MODULES.df(spark, d))
 
 
 @query("normalize_agents", with_(MODULES) + f"SELECT DISTINCT agent, {ALIAS} AS name FROM modules")
 def normalize_agents(spark, d):
-    return MODULES.df(spark).select("agent", ch.agent_name(F.col("agent")).alias("name")).distinct()
+    return MODULES.df(spark, d).select("agent", ch.agent_name(F.col("agent")).alias("name")).distinct()

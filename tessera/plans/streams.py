@@ -36,6 +36,12 @@ def stream_ingest(spark, d):
     return ig.current(spark, f"{base}/store").select("collection", "path", "hash")
 
 
+def _glob(df) -> str:
+    """A pattern for the files of a table, be it one file or a folder: streams read folders or patterns."""
+    file = min(df.inputFiles())
+    return f"{file.rsplit('/', 1)[0]}/{{{','.join(sorted(f.rsplit('/', 1)[1] for f in df.inputFiles()))}}}"
+
+
 def _shifted(merge, by: int):
     return lambda batch, i: merge(batch, i + by)
 
@@ -44,7 +50,8 @@ def _shifted(merge, by: int):
 def stream_windows(spark, d):
     """Events by day and type through a watermarked stream, complete when the input ends."""
     name = "w" + scratch(spark, "w").rsplit("-", 1)[-1]
-    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet" if not d.startswith("viewfs") else "*").parquet(d.rstrip("/") + "/")
+    own = table(spark, d, "events")
+    events = spark.readStream.schema(own.schema).parquet(_glob(own))
     by = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     q = by.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()

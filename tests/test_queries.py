@@ -1,9 +1,14 @@
-"""Every registered query of the library proper against its SQL on the smallest tables."""
+"""Every registered query of the library proper against its SQL on the smallest tables, with odd rows added.
+
+Ids are unique, as files and documents have one path each; texts are null, empty, long, end in line ends of both kinds.
+"""
 
 import math
+import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import registry
 
@@ -12,11 +17,36 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 
 
+TEXTS = [None, "", "line one\nthe and eau\n", "\n\n", "crlf one\r\nthe and two\r\neau", "x " * 9000, "é日本   ñ eau \t tab", "# Title é\nbody `a.rs` and `x/y.rs` {\"a\": 1}\n## Two\n- item\n"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """A folder with the tables of the smallest scale, four of them with odd rows."""
+    folder = tmp_path_factory.mktemp("tables")
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    rows = [(5000 + i, t, ["en", "fr", "de", "ja"][i % 4], None if i == 3 else f"src{i % 3}", None if t is None else len(t)) for i, t in enumerate(TEXTS)]
+    events = read("events")
+    odd = {
+        "documents": spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+        "events": events.limit(3).withColumn("value", F.lit(None).cast("double")).withColumn("event_id", F.col("event_id") + 100_000),
+        "pages": read("pages").limit(1).withColumn("html", F.lit("")).withColumn("page_id", F.col("page_id") + 100_000),
+        "conversations": read("conversations").limit(2).withColumn("conv_id", F.lit(99_999).cast("bigint")).withColumn("text", F.lit(None).cast("string")),
+    }
+    for t in TABLES:
+        if t in odd:
+            read(t).unionByName(odd[t]).coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        else:
+            os.symlink(f"{SF}/{t}.parquet", f"{folder}/{t}.parquet")
+    return str(folder)
+
+
 @pytest.fixture(scope="module")
-def con():
+def con(tables):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+        path = f"{tables}/{t}.parquet"
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}{'/*.parquet' if os.path.isdir(path) else ''}')")
     return c
 
 
@@ -31,8 +61,8 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, con, name):
-    df = QUERIES[name](spark, SF)
+def test_query(spark, con, tables, name):
+    df = QUERIES[name](spark, tables)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     assert got
