@@ -7,6 +7,9 @@ import os
 import re
 import shutil
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,9 +53,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that scratch() gave."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete what is written below the shared folder meanwhile; for work whose result is written elsewhere at its end."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        made = _MADE.get()
+        _MADE.reset(token)
+        for path in made:
+            remove(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -69,11 +98,9 @@ def discard(df: DataFrame) -> None:
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
         if base in folder and "/tessera/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, folder)
 
 
 def forget(spark: SparkSession) -> None:
     """Delete all intermediate tables of this library in the shared folder; only when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/tessera")
