@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import query_tokens, tokens
 
 DIM, BANDS, BUCKETS, TINY = 256, 8, 1_000_003, 1e-6
 
@@ -59,3 +62,20 @@ def bands(vectors: DataFrame, key: str = "hash", vec: str = "qvec") -> DataFrame
     each = vectors.select(key, F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), vec)
     digest = F.sha2(F.array_join(F.slice(F.col(vec), F.col("band") * width + 1, width).cast("array<string>"), ","), 256)
     return each.select(key, "band", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % BUCKETS).alias("bucket"))
+
+
+def query_vector(text: str) -> list[int]:
+    """The quantised vector of a query, as quantized(hashed_vectors()) gives it for a text."""
+    values = [0.0] * DIM
+    for token in query_tokens(text):
+        digest = hashlib.sha256(token.encode()).hexdigest()
+        values[int(digest[:4], 16) % DIM] += (1.0 if int(digest[6:8], 16) % 2 == 0 else -1.0) * (1 + math.log(len(token.encode())))
+    n = math.sqrt(sum(x * x for x in values))
+    return [int(max(-1.0, min(1.0, x / n if n > TINY else x)) * 32767) for x in values]
+
+
+def query_bands(qvec: list[int]) -> list[tuple[int, int]]:
+    """(band, bucket) of a query's vector, as bands() gives them."""
+    width = DIM // BANDS
+    parts = [",".join(map(str, qvec[b * width : (b + 1) * width])) for b in range(BANDS)]
+    return [(b, int(hashlib.sha256(p.encode()).hexdigest()[:15], 16) % BUCKETS) for b, p in enumerate(parts)]

@@ -23,6 +23,9 @@ from tessera.sources import files as fs
 DOCUMENTS = "id bigint, collection string, path string, title string, hash string, modified_at timestamp, active boolean"
 CONTENT = "hash string, body string"
 VECTORS = "hash string, qvec array<smallint>, model string"
+BANDS = "hash string, band int, bucket bigint"
+POSTINGS = "token string, hash string"
+TERMS = "token string"
 MODEL = "hashed-256"
 
 
@@ -88,9 +91,25 @@ class Index:
         """Active documents with their bodies."""
         return self.documents().where("active").join(self._read("content", CONTENT, True), "hash")
 
+    def content(self) -> DataFrame:
+        return self._read("content", CONTENT, True)
+
     def vectors(self) -> DataFrame:
         return self._read("vectors", VECTORS, True)
 
+    def _stored(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and their tokens; of several versions each content is in one."""
+        return self._read("postings", POSTINGS, True), self._read("terms", TERMS, True)
+
+    def _write_content(self, content: DataFrame) -> None:
+        """New contents by hash, their postings by token and the tokens: in order, so that listed filters skip most of them."""
+        self._write("content", content.select("hash", "body").repartitionByRange("hash").sortWithinPartitions("hash"))
+        version = self._versions("content")[-1]
+        new = self.spark.read.schema(CONTENT).parquet(f"{self.path}/content/v={version}")
+        self._write("postings", se.postings(new))
+        held = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings/v={self._versions('postings')[-1]}")
+        self._write("terms", held.select("token").distinct())
+
     def ingest(self, force: bool = False) -> dict[str, int]:
         """Read all collections, write new contents and the next version of the documents; counters of what changed.
 
@@ -99,12 +118,15 @@ class Index:
         collections = self.config().get("collections", {})
         if not collections:
             return {"indexed": 0, "updated": 0, "unchanged": 0, "deactivated": 0}
-        found = st.union_all([fs.collection(self.spark, name, own["path"], own.get("pattern", "**/*.md")) for name, own in sorted(collections.items())])
+        return self.put(st.union_all([fs.collection(self.spark, name, own["path"], own.get("pattern", "**/*.md")) for name, own in sorted(collections.items())]), list(collections), force)
+
+    def put(self, found: DataFrame, collections: list[str], force: bool = False) -> dict[str, int]:
+        """Take rows (collection, path, title, hash, body) as all that the named collections hold now; counters as in ingest()."""
         found = materialize(found, "ingest")  # the files are read once
         old = self.documents()
         ours = old.where(F.col("collection").isin(*collections))
         content = found.groupBy("hash").agg(F.first("body").alias("body"))
-        self._write("content", content.join(self._read("content", CONTENT, True).select("hash"), "hash", "left_anti").select("hash", "body"))
+        self._write_content(content.join(self.content().select("hash"), "hash", "left_anti"))
         merged = st.merge(found, ours.withColumn("hash", F.lit("")) if force else ours)
         keyed = ["collection", "path"]
         now = merged.join(found.select(*keyed, "title"), keyed, "left").join(ours.select(*keyed, F.col("title").alias("old_title"), F.col("hash").alias("old_hash"), "modified_at"), keyed, "left")
@@ -118,18 +140,22 @@ class Index:
         return counts
 
     def embed(self, force: bool = False) -> int:
-        """Vectors for active contents without one (all with ``force``); how many were made."""
+        """Vectors and their bands for active contents without one (all with ``force``); how many were made."""
         rows = self.rows()
         todo = st.content(rows) if force else st.pending(rows, self.vectors())
         made = vec.hashed_vectors(todo).select("hash", vec.quantized(F.col("vec")).alias("qvec"), F.lit(MODEL).alias("model"))
         self._write("vectors", made)
-        return self._read("vectors", VECTORS).count()
+        new = self._read("vectors", VECTORS)
+        self._write("bands", vec.bands(new.select("hash", "qvec")).select("hash", F.col("band").cast("int").alias("band"), "bucket"))
+        return new.count()
 
     # ---- search
 
     def _shown(self, hits: DataFrame, query: str) -> DataFrame:
-        rows = self.rows()
-        shown = se.with_snippets(hits.select("id", "file", "score"), rows, query)
+        hits = materialize(hits.select("id", "file", "score"), "hits")  # no more than a few limits
+        documents = se.among(self.documents().where("active"), "id", hits)
+        rows = documents.join(se.among(self.content(), "hash", documents), "hash")
+        shown = se.with_snippets(hits, rows, query)
         _, contexts = fs.collections_config(self.spark, self.config()) if self.config() else (None, self.spark.createDataFrame([], "collection string, prefix string, text string"))
         located = rows.select("id", "collection", "path").join(F.broadcast(shown), "id")  # hits are bounded by their limit
         by_file = st.contexts_for(located.select("file", "collection", "path"), contexts)
@@ -141,12 +167,26 @@ class Index:
             fs.append_telemetry(self.spark, f"{self.path}/telemetry", mode, query, limit, hits.count(), began)
         return hits.orderBy(F.desc("score"), "file")
 
+    def _lexical(self, queries: list[str], limit: int, collection: str | None = None) -> DataFrame:
+        """Lexical hits from postings, or for queries without any those whose path or title holds them."""
+        documents = self.documents()
+        hits = materialize(se.lexical_stored_many(documents, self.content(), *self._stored(), queries, limit, 0.0, collection), "hits")
+        none = [i for i in range(len(queries)) if i not in {r["query"] for r in hits.select("query").distinct().collect()}]
+        if not none:
+            return hits
+        other = se.fallback_many(documents.withColumn("body", F.lit("")), [queries[i] for i in none], limit, collection)
+        return hits.unionByName(other.withColumn("query", F.array(*map(F.lit, none))[F.col("query")]).select(*hits.columns))
+
+    def _vector(self, queries: list[str], limit: int) -> DataFrame:
+        vectors = self.vectors().dropDuplicates(["hash"])  # embedding anew adds versions
+        return se.vector_stored_many(self.documents(), vectors, self._read("bands", BANDS, True).distinct(), *self._stored(), queries, limit)
+
     def search(self, query: str, limit: int = 10, min_score: float = 0.0, collection: str | None = None, telemetry: bool = False) -> DataFrame:
-        hits = se.lexical_or_fallback(self.rows(), query, limit, collection).where(F.col("score") >= min_score)
+        hits = self._lexical([query], limit, collection).drop("query").where(F.col("score") >= min_score)
         return self._logged("lexical", query, limit, self._shown(hits, query), telemetry)
 
     def vsearch(self, query: str, limit: int = 10, min_score: float = 0.0, telemetry: bool = False) -> DataFrame:
-        hits = se.vector_hashed(self.rows(), query, limit).where(F.col("score") >= min_score)
+        hits = self._vector([query], limit).drop("query").where(F.col("score") >= min_score)
         return self._logged("vector", query, limit, self._shown(hits, query), telemetry)
 
     def query(self, query: str, limit: int = 10, min_score: float = 0.0, telemetry: bool = False) -> DataFrame:
@@ -154,8 +194,7 @@ class Index:
         forms = self.engine.expand(query)
         if not forms:
             raise ValueError("the query is empty")
-        rows = self.rows()
-        legs = [leg(rows, forms, limit).select("id", "file", "score") for leg in (se.lexical_or_fallback_many, se.vector_hashed_many)]
+        legs = [leg(forms, limit).select("id", "file", "score") for leg in (self._lexical, self._vector)]
         ranked = self.engine.rerank(query, self._shown(se.dedup_hits(legs[0].unionByName(legs[1])), query))
         return self._logged("hybrid", query, limit, ranked.where(F.col("score") >= min_score).orderBy(F.desc("score"), "file").limit(limit), telemetry)
 
@@ -192,10 +231,14 @@ class Index:
         went = {}
         for name, before in (("documents", docs), ("content", content), ("vectors", vectors)):
             n = before.count()
-            self._write(name, left[name])
+            if name == "content":
+                self._write_content(left[name])
+            else:
+                self._write(name, left[name])
             went[name] = n - self._read(name, {"documents": DOCUMENTS, "content": CONTENT, "vectors": VECTORS}[name]).count()
+        self._write("bands", vec.bands(self._read("vectors", VECTORS).select("hash", "qvec")).select("hash", F.col("band").cast("int").alias("band"), "bucket"))
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        for name in ("documents", "content", "vectors"):  # older versions go when all new ones are whole
+        for name in ("documents", "content", "postings", "terms", "vectors", "bands"):  # older versions go when all new ones are whole
             for v in self._versions(name)[:-1]:
                 old = hadoop.Path(f"{self.path}/{name}/v={v}")
                 old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)

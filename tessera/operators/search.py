@@ -6,12 +6,15 @@ per search; the snippet is cut only for the rows that win.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vector as vec
 from tessera.operators.store import file
+from tessera.session import materialize
 
 #: How scores are put together.
 FALLBACK, RERANK_OLD, RERANK_OVERLAP, VECTOR_COSINE, VECTOR_OVERLAP = 0.15, 0.78, 0.22, 0.74, 0.26
@@ -133,6 +136,114 @@ def band_candidates(bands: DataFrame, query_bands: DataFrame) -> DataFrame:
     return near.unionByName(rest)
 
 
+# ---- over stored tables: postings, vectors and bands in place of bodies
+
+#: Values that a filter lists, so that the scan skips what it cannot need; more of them are joined.
+LISTED = 1000
+
+
+def postings(content: DataFrame) -> DataFrame:
+    """(token, hash): the distinct tokens of each content, in order of the token."""
+    each = content.select("hash", F.explode(F.array_distinct(tx.tokens(F.col("body")))).alias("token")).select("token", "hash")
+    return each.repartitionByRange("token", "hash").sortWithinPartitions("token", "hash")
+
+
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is wanted: a listed filter, which reaches the scan, for up to LISTED keys, else a join."""
+    keys = [r[0] for r in wanted.select(key).distinct().limit(LISTED + 1).collect()]
+    return rows.where(F.col(key).isin(keys)) if len(keys) <= LISTED else rows.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+class Terms:
+    """Which of some terms contents hold, from postings: a term lies in a text if it lies in one of its tokens."""
+
+    WIDTH = 62  # bits of a number
+
+    def __init__(self, queries: list[str]) -> None:
+        self.all = list(dict.fromkeys(t for q in queries for t in tx.query_tokens(q)))
+
+    def masks(self, stored: DataFrame, vocabulary: DataFrame) -> DataFrame:
+        """(hash, m0, m1 ...): a bit for each term; only tokens with a term are read."""
+        if not self.all:
+            return stored.select("hash").limit(0)
+        held = lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in self.all])
+        near = among(stored, "token", vocabulary.where(held(F.col("token"))))
+        parts = [self.all[i : i + self.WIDTH] for i in range(0, len(self.all), self.WIDTH)]
+        bits = lambda part: reduce(lambda a, b: a + b, [F.contains("token", F.lit(t)).cast("long") * (1 << k) for k, t in enumerate(part)])
+        return near.groupBy("hash").agg(*[F.bit_or(bits(part)).alias(f"m{i}") for i, part in enumerate(parts)])
+
+    def in_body(self, term: str) -> Column:
+        k = self.all.index(term)
+        return F.coalesce(F.col(f"m{k // self.WIDTH}").bitwiseAND(F.lit(1 << k % self.WIDTH)) != 0, F.lit(False))
+
+    def overlap(self, terms: list[str], title: Column) -> Column:
+        if not terms:
+            return F.lit(0.0)
+        return reduce(lambda a, b: a + b, [(F.contains(title, F.lit(t)) | self.in_body(t)).cast("int") for t in terms]) / F.lit(float(len(terms)))
+
+
+def _with_masks(documents: DataFrame, terms: Terms, stored: DataFrame, vocabulary: DataFrame, collection: str | None) -> DataFrame:
+    own = documents.where("active")
+    own = own.where(F.col("collection") == collection) if collection else own
+    own = own.select("id", "hash", file(F.col("collection"), F.col("path")).alias("file"), F.lower("title").alias("low"), F.lower(F.concat_ws(" ", "path", "title")).alias("meta"))
+    return own.join(terms.masks(stored, vocabulary), "hash", "left")
+
+
+def lexical_stored_many(documents: DataFrame, content: DataFrame, stored: DataFrame, vocabulary: DataFrame, queries: list[str], limit: int = 10, min_score: float = 0.0, collection: str | None = None) -> DataFrame:
+    """What lexical_many() gives, from postings: bodies are read only of contents that hold all words of a phrase and whose
+    place among the best depends on whether they hold the phrase itself."""
+    terms = Terms([q for _, _, _, q in _forms(queries)])
+    own = _with_masks(documents, terms, stored, vocabulary, collection)
+    quality = tx.path_quality(F.col("file"))
+    if not queries or not _forms(queries):
+        return lexical_many(documents.withColumn("body", F.lit("")), [])
+    made = []
+    for i, k, w, q in _forms(queries):
+        words = tx.query_tokens(q)
+        base = 0.78 * terms.overlap(words, F.col("low"))
+        sure = F.contains("meta", F.lit(q.lower()))
+        may = reduce(lambda a, b: a & b, [F.contains("meta", F.lit(t)) | terms.in_body(t) for t in words], F.lit(True))
+        scored = lambda x, w=w, base=base: F.round((base + 0.22 * x.cast("double")) * w * quality, 6)
+        made.append(F.struct(F.lit(i).alias("query"), F.lit(k).alias("variant"), F.lit(q.lower()).alias("phrase"), scored(sure).alias("low"), scored(sure | may).alias("high")))
+    each = own.select("id", "file", "hash", F.explode(F.array(*made)).alias("f")).select("f.query", "id", "file", "hash", "f.variant", "f.phrase", F.col("f.low").alias("score"), "f.high").where("high > 0")
+    each = materialize(each, "lexical")
+    best = _top(_best_of(each.where("score > 0")), limit)  # the least that the best can have
+    least = {r["query"]: r["s"] for r in best.groupBy("query").agg(F.min("score").alias("s"), F.count("*").alias("n")).where(F.col("n") >= limit).collect()}
+    bar = F.coalesce(F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("query")], F.lit(0.0)) if least else F.lit(0.0)
+    open_ = each.where((F.col("high") > F.col("score")) & (F.col("high") >= bar))
+    bodies = among(content, "hash", open_).select("hash", F.lower("body").alias("low_body"))
+    metas = documents.select("id", F.lower(F.concat_ws(" ", "path", "title")).alias("meta"))
+    told = open_.join(bodies, "hash").join(metas, "id").where(F.contains(F.concat_ws(" ", "meta", "low_body"), F.col("phrase")))
+    told = told.select("query", "id", "file", "hash", "variant", F.col("high").alias("score"))
+    found = each.select("query", "id", "file", "hash", "variant", "score").unionByName(told).where("score > 0")
+    return _top(_best_of(found).where(F.col("score") >= min_score), limit).select(*_HIT)
+
+
+def vector_stored_many(documents: DataFrame, vectors: DataFrame, bands: DataFrame, stored: DataFrame, vocabulary: DataFrame, queries: list[str], limit: int = 10, collection: str | None = None) -> DataFrame:
+    """(query, id, file, hash, score, variant) by cosine with the stored vectors, and overlap from postings; no body is read.
+
+    Contents that share a band with a query are its candidates; a query that shares none meets all vectors.
+    """
+    spark = documents.sparkSession
+    asked = [vec.query_vector(q) for q in queries]
+    known = spark.createDataFrame([(i, b, u) for i, v in enumerate(asked) for b, u in vec.query_bands(v)], "query int, band int, bucket bigint")
+    listed = among(bands, "bucket", known.select("bucket"))
+    near = materialize(listed.join(F.broadcast(known), ["band", "bucket"]).select("query", "hash").distinct(), "near")  # eight bands a query
+    some = [r["query"] for r in near.select("query").distinct().collect()]
+    q = F.array(*[F.array(*[F.lit(x) for x in v]) for v in asked])
+    each = vectors.select("hash", "qvec", F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("query"))
+    if some:
+        narrow = each.where(F.col("query").isin(some)).join(near, ["query", "hash"], "left_semi")
+        each = narrow.unionByName(each.where(~F.col("query").isin(some)))
+    cosines = each.select("query", "hash", vec.cosine(F.col("qvec"), q[F.col("query")]).alias("cos")).where("cos > 0")
+    terms = Terms(queries)
+    own = _with_masks(documents, terms, stored, vocabulary, collection)
+    files = own.select("id", "file", "hash", F.array(*[terms.overlap(tx.query_tokens(x), F.col("low")) for x in queries]).alias("overlaps"))
+    score = (VECTOR_COSINE * F.col("cos") + VECTOR_OVERLAP * F.col("overlaps")[F.col("query")]) * tx.path_quality(F.col("file"))
+    scored = files.join(cosines, "hash").select("query", "id", "file", "hash", F.round(score, 6).alias("score"), F.lit(0).alias("variant"))
+    return _top(_best_of(scored), limit).select(*_HIT)
+
+
 def expand_query(query: str) -> list[str]:
     """The query, its lower case, with synonyms put in by substring, and its tokens joined where there are more than two."""
     query = query.strip()

@@ -259,6 +259,47 @@ def vector_search_hashed(spark, d):
     return hits(se.vector_hashed(store(spark, d), Q2))
 
 
+QUANTISED = """dense AS (SELECT h.hash, i.i, coalesce(f.value, 0) AS value FROM (SELECT DISTINCT hash FROM st) h CROSS JOIN (SELECT unnest(range(256)) AS i) i LEFT JOIN feat f ON f.hash = h.hash AND f.idx = i.i),
+  lens AS (SELECT hash, sqrt(sum(value * value)) AS n FROM dense GROUP BY hash),
+  qv AS (SELECT dense.hash, list(trunc(greatest(-1, least(1, CASE WHEN n > 1e-6 THEN value / n ELSE value END)) * 32767)::INT ORDER BY i) AS q FROM dense JOIN lens ON dense.hash = lens.hash GROUP BY dense.hash),
+  bd AS (SELECT hash, band, ('0x' || substr(sha256(array_to_string(list_slice(q, band * 32 + 1, band * 32 + 32), ',')), 1, 15))::BIGINT % 1000003 AS bucket FROM (SELECT hash, q, unnest(range(8)) AS band FROM qv))"""
+
+
+def stored(spark, d):
+    """The tables of an index over the documents: contents, postings, their tokens, vectors and bands."""
+    from tessera.session import materialize
+
+    rows = store(spark, d)
+    content = materialize(st.content(rows), "content")
+    held = materialize(se.postings(content), "postings")
+    vectors = materialize(vec.hashed_vectors(content).select("hash", vec.quantized(F.col("vec")).alias("qvec")), "vectors")
+    bands = vec.bands(vectors).select("hash", F.col("band").cast("int").alias("band"), "bucket")
+    return rows.drop("body"), content, held, held.select("token").distinct(), vectors, bands
+
+
+@query("stored_lexical_search", with_(OWN, lexical_parts(Q3)) + "SELECT id, file, score, variant FROM best WHERE r = 1" + TOP)
+def stored_lexical_search(spark, d):
+    rows, content, held, terms, _, _ = stored(spark, d)
+    return hits(se.lexical_stored_many(rows, content, held, terms, [Q3]))
+
+
+def stored_vector_sql(q: str) -> str:
+    asked = vec.query_vector(q)
+    known = ", ".join(f"({b}, {u})" for b, u in vec.query_bands(asked))
+    length = sum(x * x for x in asked)
+    return with_(OWN, FEAT, QUANTISED, f"near AS (SELECT DISTINCT hash FROM bd SEMI JOIN (VALUES {known}) k(band, bucket) USING (band, bucket))") + f"""
+  , cos AS (SELECT hash, list_sum(list_transform(q, lambda x, i: x::DOUBLE * {asked}[i])) / (sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x))) * sqrt({length}::DOUBLE)) AS cos FROM qv
+      WHERE list_sum(list_transform(q, lambda x: x::DOUBLE * x)) > 0 AND (hash IN (SELECT hash FROM near) OR NOT EXISTS (SELECT 1 FROM near))),
+  raw AS (SELECT id, file, own.hash, round((0.74::DOUBLE * cos + 0.26::DOUBLE * ({overlap_sql(tx.query_tokens(q), 'hay')})::DOUBLE) * {quality_sql('file')}, 6) AS score FROM own JOIN cos ON own.hash = cos.hash WHERE cos > 0)
+  SELECT id, file, score, 0 AS variant FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY score DESC, file, id) AS r FROM raw) WHERE r = 1{TOP}"""
+
+
+@query("stored_vector_search", stored_vector_sql(Q2))
+def stored_vector_search(spark, d):
+    rows, _, held, terms, vectors, bands = stored(spark, d)
+    return hits(se.vector_stored_many(rows, vectors, bands, held, terms, [Q2]))
+
+
 def hybrid_sql(q: str) -> str:
     parts, legs = [OWN, FEAT], []
     for i, form in enumerate(se.expand_query(q)):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import code as co
 from tessera.functions import text as tx
+from tessera.functions import vector as vec
 from tessera.operators import bench as be
 from tessera.operators import search as se
 from tessera.operators import store as st
@@ -17,6 +18,7 @@ from tessera.operators import textual as te
 from tessera.sources import files as fs
 from tessera.streaming import ingest as ig
 
+SF = "/root/testdata/sf0.001"
 ALPHA = "# Rust Ownership\n\nThe borrow checker enforces aliasing rules."
 BETA = "# Search Tuning\n\nFalse positives and false negatives can be balanced."
 
@@ -213,3 +215,64 @@ def test_queries_keep_texts_with_a_last_line_end(spark, tmp_path):
     assert {r["doc_id"]: r["part"] for r in run("slice_lines")} == {1: "eau two\nthree", 2: "eau", 3: "", 4: None}
     assert {r["id"]: r["head"] for r in run("supplementary_docs")} == {1: "one\neau two", 2: "x\neau", 3: "", 4: ""}
     assert [(r["n_lines"], r["bytes"]) for r in run("source_text_lines")] == [(4 + 3 + 1, 15 + 4)]
+
+
+QUESTIONS = ["the and", "Tion of that", "config eau les", "en/1", "zzzqqq", "a", "++", "der die", "Th", "of THE house, and more of the same"]
+
+
+def test_stored_searches_agree_with_those_over_bodies(spark):
+    from tessera.plans import search as ps
+
+    rows, content, held, terms, vectors, bands = ps.stored(spark, SF)
+    whole = ps.store(spark, SF)
+    for limit, collection in ((10, None), (3, "src1")):
+        want = sorted(map(tuple, se.lexical_many(whole, QUESTIONS, limit, 0.0, collection).collect()))
+        assert sorted(map(tuple, se.lexical_stored_many(rows, content, held, terms, QUESTIONS, limit, 0.0, collection).collect())) == want
+    stored_vectors = {r["hash"]: list(r["qvec"]) for r in vectors.collect()}
+    stored_bands = {(r["hash"], r["band"], r["bucket"]) for r in bands.collect()}
+    for h, v in list(stored_vectors.items())[:5]:
+        assert {(h, b, u) for b, u in vec.query_bands(v)} == {x for x in stored_bands if x[0] == h}
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "hash int, body string")
+    made = {r["hash"]: list(r["qvec"]) for r in vec.hashed_vectors(asked).select("hash", vec.quantized(F.col("vec")).alias("qvec")).collect()}
+    for i, q in enumerate(QUESTIONS):
+        assert vec.query_vector(q) == made.get(i, [0] * vec.DIM)
+    got = se.vector_stored_many(rows, vectors, bands, held, terms, QUESTIONS, 5).collect()
+    for i, q in enumerate(QUESTIONS):
+        v = vec.query_vector(q)
+        shared = {h for h, b, u in stored_bands if (b, u) in set(vec.query_bands(v))}
+        scores = []
+        for h in shared or stored_vectors:
+            dot, n = sum(a * b for a, b in zip(v, stored_vectors[h], strict=True)), math.sqrt(sum(a * a for a in stored_vectors[h]) * sum(a * a for a in v))
+            if n and dot > 0:
+                scores.append((h, dot / n))
+        assert len([r for r in got if r["query"] == i]) == min(5, len(scores))
+
+
+def test_scans_of_stored_tables_are_filtered(spark, tmp_path):
+    se.postings(spark.createDataFrame([("h", "one two"), ("g", "two three")], "hash string, body string")).write.parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    near = se.among(stored, "token", spark.createDataFrame([("two",)], "token string"))
+    assert "In(token" in near._jdf.queryExecution().executedPlan().toString() or "EqualTo(token" in near._jdf.queryExecution().executedPlan().toString()
+    assert {r["hash"] for r in near.collect()} == {"g", "h"}
+
+
+def test_suggestions_agree_with_all_pairs(spark):
+    from tessera.operators import textual as te
+
+    words, tools = ["serch", "stauts", "get", "zzzzzz", "", "qu", "a", "ingset", "embedd", "quey"], ["search", "status", "query", "get", "ingest", "embed", "ab"]
+    got = {r["word"]: (r["suggestion"], r["distance"]) for r in te.suggestions(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in tools], "tool string")).collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, was = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for w in words:
+        best = min((edits(w, t), t) for t in tools)
+        if best[0] <= (1 if len(w) <= 4 else 2):
+            want[w] = (best[1], best[0])
+    assert got == want
