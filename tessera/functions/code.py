@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines
+from tessera.functions.text import lines, sections
 
 #: What marks a branch, by language.
 BRANCHES = {
@@ -127,14 +127,12 @@ def parameters(signature: Column) -> Column:
 
 
 def cargo_dependencies(manifests: DataFrame) -> DataFrame:
-    """(path, name) of keys under a dependencies heading; the heading a line stands under is a running last value."""
-    from pyspark.sql import Window
-
-    each = manifests.select("path", F.posexplode(lines(F.col("body"))).alias("i", "text"))
-    heading = F.nullif(F.regexp_extract("text", r"^\s*\[([^\]]+)\]", 1), F.lit(""))
-    under = F.last(heading, ignorenulls=True).over(Window.partitionBy("path").orderBy("i"))
-    rows = each.withColumn("under", under).withColumn("name", F.regexp_extract("text", r"^\s*([A-Za-z0-9_-]+)\s*=", 1))
-    return rows.where((F.col("name") != "") & F.endswith("under", F.lit("dependencies"))).select("path", F.lower("name").alias("name"))
+    """(path, name) of keys under a dependencies heading; what stands under a heading comes from the array of lines."""
+    heading = r"^\s*\[([^\]]+)\]"
+    parts = manifests.select("path", F.explode(sections(F.col("body"), lambda x: F.rlike(x, F.lit(heading)))).alias("s"))
+    under = parts.where(F.endswith(F.regexp_extract("s.head", heading, 1), F.lit("dependencies")))
+    rows = under.select("path", F.explode(F.concat(F.array("s.head"), "s.below")).alias("text")).withColumn("name", F.regexp_extract("text", r"^\s*([A-Za-z0-9_-]+)\s*=", 1))
+    return rows.where("name <> ''").select("path", F.lower("name").alias("name"))
 
 
 def npm_dependencies(manifests: DataFrame) -> DataFrame:

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines
+from tessera.functions.text import sections
 
 
 def sql_columns(files: DataFrame) -> DataFrame:
     """(path, table_name, column_name, type): lines between a table's head and its end, without constraints."""
-    each = files.select("path", F.posexplode(lines(F.col("body"))).alias("i", "text"))
-    head = F.rlike("text", F.lit(r"(?i)create\s+table"))
-    end = F.rlike("text", F.lit(r"^\s*\)")) | F.rlike("text", F.lit(r"(?i)^\s*go\s*$"))
-    w = Window.partitionBy("path").orderBy("i")
-    name = F.nullif(F.regexp_extract("text", r"(?i)create\s+table\s+([A-Za-z0-9_.]+)", 1), F.lit(""))
-    last_mark = F.last(F.when(head, F.lit(True)).when(end, F.lit(False)), ignorenulls=True).over(w)
-    rows = each.select("path", "text", F.last(name, ignorenulls=True).over(w).alias("table_name"), last_mark.alias("inside"), head.alias("head"))
-    column = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s+([A-Za-z]+)"
-    rows = rows.where(F.col("inside") & ~F.col("head") & ~F.rlike("text", F.lit(r"(?i)^\s*(constraint|primary|foreign|unique|check|index)\b")) & F.rlike("text", F.lit(column)))
+    head, end = r"(?i)create\s+table", (r"^\s*\)", r"(?i)^\s*go\s*$")
+    named, column = r"(?i)create\s+table\s+([A-Za-z0-9_.]+)", r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s+([A-Za-z]+)"
+    marks = lambda x: F.rlike(x, F.lit(head)) | F.rlike(x, F.lit(end[0])) | F.rlike(x, F.lit(end[1]))
+    parts = files.select("path", sections(F.col("body"), marks).alias("all"))
+    # a head without a name goes by the last name before it
+    names = F.filter(F.transform("all", lambda s: F.struct(s["at"].alias("at"), F.regexp_extract(s["head"], named, 1).alias("name"))), lambda n: n["name"] != "")
+    own = lambda s: F.get(F.filter("names", lambda n: n["at"] <= s["at"]), F.size(F.filter("names", lambda n: n["at"] <= s["at"])) - 1)["name"]
+    tables = parts.withColumn("names", names).select("path", F.explode(F.transform(F.filter("all", lambda s: F.rlike(s["head"], F.lit(head))), lambda s: F.struct(own(s).alias("table_name"), s["below"].alias("below")))).alias("t"))
+    rows = tables.select("path", "t.table_name", F.explode("t.below").alias("text"))
+    rows = rows.where(~F.rlike("text", F.lit(r"(?i)^\s*(constraint|primary|foreign|unique|check|index)\b")) & F.rlike("text", F.lit(column)))
     return rows.select("path", "table_name", F.regexp_extract("text", column, 1).alias("column_name"), F.upper(F.regexp_extract("text", column, 2)).alias("type"))
 
 

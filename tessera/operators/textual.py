@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import highlight, lines
 
 
 def doc_comments(files: DataFrame) -> DataFrame:
-    """(path, line, doc): runs of /// lines joined, with the number of the line below."""
-    each = files.select("path", F.posexplode(lines(F.col("body"))).alias("i", "text"))
-    marked = each.withColumn("is_doc", F.rlike("text", F.lit(r"^\s*///"))).withColumn("t", F.regexp_extract("text", r"^\s*///\s?(.*)$", 1))
-    run = F.col("i") - F.row_number().over(Window.partitionBy("path", "is_doc").orderBy("i"))
-    grouped = marked.withColumn("run", run).where("is_doc").groupBy("path", "run").agg(F.max("i").alias("last"), F.array_sort(F.collect_list(F.struct("i", "t"))).alias("all"))
+    """(path, line, doc): runs of /// lines joined, with the number of the line below.
+
+    Within a run a line's place less its rank among the marked lines is the same; both come from the array of lines.
+    """
+    pattern = r"^\s*///\s?(.*)$"
+    marked = F.filter(F.transform(lines(F.col("body")), lambda x, i: F.struct(i.alias("i"), x.alias("text"))), lambda x: F.rlike(x["text"], F.lit(r"^\s*///")))
+    runs = F.transform(marked, lambda x, k: F.struct((x["i"] - k).alias("run"), x["i"].alias("i"), F.regexp_extract(x["text"], pattern, 1).alias("t")))
+    each = files.select("path", F.explode(runs).alias("x")).select("path", "x.run", "x.i", "x.t")
+    grouped = each.groupBy("path", "run").agg(F.max("i").alias("last"), F.array_sort(F.collect_list(F.struct("i", "t"))).alias("all"))
     return grouped.select("path", (F.col("last") + 2).cast("long").alias("line"), F.array_join(F.transform("all", lambda x: x["t"]), " ").alias("doc"))
 
 
@@ -201,19 +205,26 @@ def prompt_parts(files: DataFrame, least: int = 10_000, size: int = 8000, overla
 
 def fixed_markdown(files: DataFrame) -> DataFrame:
     """(path, line, text): first-level headings after the first drop a level, empty links point to #, empty headings go."""
-    each = files.select("path", F.posexplode(lines(F.col("body"))).alias("i", "text"))
-    heads = F.sum(F.startswith("text", F.lit("# ")).cast("int")).over(Window.partitionBy("path").orderBy("i"))
-    text = F.when(F.startswith("text", F.lit("# ")) & (heads > 1), F.concat(F.lit("#"), F.col("text"))).otherwise(F.col("text"))
+    own = lines(F.col("body"))
+    first = F.array_position(F.transform(own, lambda x: F.startswith(x, F.lit("# "))), True)
+    each = files.select("path", first.alias("first"), F.posexplode(own).alias("i", "text"))
+    text = F.when(F.startswith("text", F.lit("# ")) & (F.col("i") + 1 > F.col("first")), F.concat(F.lit("#"), F.col("text"))).otherwise(F.col("text"))
     out = each.select("path", (F.col("i") + 1).cast("long").alias("line"), F.regexp_replace(text, r"\]\(\s*\)", "](#)").alias("text"))
     return out.where(~F.rlike("text", F.lit(r"^#{1,6}\s*$")))
 
 
 def trimmed_markdown(files: DataFrame, limit: int = 500) -> DataFrame:
     """(path, line, text) without fenced blocks and empty lines among the first lines."""
-    each = files.select("path", F.posexplode(F.slice(lines(F.col("body")), 1, limit)).alias("i", "text"))
-    fence = F.startswith(F.trim("text"), F.lit("```"))
-    open_ = F.sum(fence.cast("int")).over(Window.partitionBy("path").orderBy("i"))
-    return each.withColumn("n", open_).where(~fence & (F.col("n") % 2 == 0) & (F.trim("text") != "")).select("path", (F.col("i") + 1).cast("long").alias("line"), "text")
+    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<i:int,text:string>>").alias("out"))
+
+    def step(acc, x):
+        fence = F.startswith(F.trim(x["text"]), F.lit("```"))
+        kept = ~fence & ~acc["open"] & (F.trim(x["text"]) != "")
+        return F.struct((acc["open"] != fence).alias("open"), F.when(kept, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+
+    head = F.transform(F.slice(lines(F.col("body")), 1, limit), lambda x, i: F.struct(i.cast("int").alias("i"), x.alias("text")))  # no more than limit lines
+    each = files.select("path", F.explode(F.aggregate(head, start, step, lambda acc: acc["out"])).alias("x"))
+    return each.select("path", (F.col("x.i") + 1).cast("long").alias("line"), "x.text")
 
 
 SUPPLEMENTARY = ("CLAUDE.md", "CONTRIBUTING.md", "docs/README.md")
@@ -243,16 +254,22 @@ def supplementary(files: DataFrame, candidates: tuple[str, ...] = SUPPLEMENTARY,
     return each.groupBy("project").agg(joined.alias("context"))
 
 
-def truncated(files: DataFrame, budget: int, important: Column) -> DataFrame:
+def truncated(files: DataFrame, budget: int, important) -> DataFrame:
     """(path, line, text): important lines first, then the others, each kind up to the first that exceeds the budget.
 
-    The second kind goes on from the length the first one reached.
+    The second kind goes on from the length the first one reached. What is kept is bounded by the budget.
     """
-    each = files.select("path", F.posexplode(lines(F.col("body"))).alias("i", "text")).withColumn("imp", important)
-    size = F.length("text") + 1
-    ahead = Window.partitionBy("path", "imp").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    first = each.withColumn("sum", F.sum(size).over(ahead))
-    kept = first.where("imp").where(F.col("sum") <= budget)
-    used = kept.groupBy("path").agg(F.max("sum").alias("used"))
-    rest = first.where("NOT imp").join(used, "path", "left").where(F.col("sum") + F.coalesce("used", F.lit(0)) <= budget).drop("used")
-    return kept.unionByName(rest).select("path", (F.col("i") + 1).cast("long").alias("line"), "text")
+    numbered = F.transform(lines(F.col("body")), lambda x, i: F.struct(i.cast("int").alias("i"), x.alias("text")))
+    none = F.array().cast("array<struct<i:int,text:string>>")
+
+    def kept(begin, wanted):
+        def step(acc, x):
+            sum_ = acc["sum"] + F.when(wanted(x["text"]), F.length(x["text"]) + 1).otherwise(0)
+            fits = wanted(x["text"]) & (sum_ <= budget)
+            return F.struct(sum_.cast("long").alias("sum"), F.when(fits, sum_).otherwise(acc["used"]).cast("long").alias("used"), F.when(fits, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(numbered, F.struct(begin.cast("long").alias("sum"), begin.cast("long").alias("used"), none.alias("out")), step)
+
+    first = files.select("path", "body", kept(F.lit(0), important).alias("a"))
+    both = first.select("path", "a", kept(F.col("a.used"), lambda x: ~important(x)).alias("b"))
+    return both.select("path", F.explode(F.concat("a.out", "b.out")).alias("x")).select("path", (F.col("x.i") + 1).cast("long").alias("line"), "x.text")

@@ -113,7 +113,7 @@ LONG = Fixture("fx", "path string, body string", [("a.rs", "\n".join(("pub fn f%
 
 @query("truncate_source", with_(LONG, FIXLINES, "h AS (SELECT *, starts_with(text, 'pub fn') AS imp, sum(length(text) + 1) OVER (PARTITION BY path, starts_with(text, 'pub fn') ORDER BY i) AS s FROM each)", "k AS (SELECT path, max(s) AS used FROM h WHERE imp AND s <= 220 GROUP BY path)") + "SELECT h.path, i::BIGINT AS line, text FROM h LEFT JOIN k ON h.path = k.path WHERE (imp AND s <= 220) OR (NOT imp AND s + coalesce(used, 0) <= 220)")
 def truncate_source(spark, d):
-    return te.truncated(LONG.df(spark, d), 220, F.startswith("text", F.lit("pub fn")))
+    return te.truncated(LONG.df(spark, d), 220, lambda x: F.startswith(x, F.lit("pub fn")))
 
 
 CJKS = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2EBEF}\\x{30000}-\\x{3134F}]"
