@@ -19,6 +19,7 @@ BRANCHES = {
     "go": (" if ", " for ", " switch ", " select ", " case ", " else if "),
     "other": (" if ", " for ", " while ", " switch ", " case "),
 }
+#: What counts as a function, a class and a branch in the simple measure.
 FUNCTION_MARKS, CLASS_MARKS = ("fn ", "def ", "function ", "async "), ("class ", "struct ", "interface ")
 BRANCH_MARKS = ("if ", "while ", "for ", "foreach ", "match ", "switch ", "case ")
 

@@ -36,6 +36,22 @@ def quantized(a: Column) -> Column:
     return F.transform(a, lambda x: (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x.cast("double"))) * 32767).cast("smallint"))
 
 
+def encoded(qvec: Column) -> Column:
+    """16-bit integers as bytes, the low one first."""
+    word = lambda x: F.lpad(F.hex(x.cast("int").bitwiseAND(F.lit(0xFFFF))), 4, "0")
+    return F.unhex(F.array_join(F.transform(qvec, lambda x: F.concat(F.substring(word(x), 3, 2), F.substring(word(x), 1, 2))), ""))
+
+
+def decoded(raw: Column) -> Column:
+    """The integers of bytes that encoded() made; an odd number of bytes is an error."""
+    h = F.hex(raw)
+    at = F.sequence(F.lit(0), F.floor(F.length(h) / 4).cast("int") - 1)
+    words = F.transform(at, lambda i: F.conv(F.concat(F.substring(h, (i * 4 + 3).cast("int"), F.lit(2)), F.substring(h, (i * 4 + 1).cast("int"), F.lit(2))), 16, 10).cast("int"))
+    signed = F.transform(words, lambda x: (x - F.when(x > 32767, 65536).otherwise(0)).cast("smallint"))
+    odd = F.raise_error(F.lit("a vector has an even number of bytes")).cast("array<smallint>")
+    return F.when(F.length(h) % 4 != 0, odd).when(F.length(h) == 0, F.array().cast("array<smallint>")).otherwise(signed)
+
+
 def hashed_features(docs: DataFrame, key: str = "hash", text: str = "body") -> DataFrame:
     """(key, idx, value): signed weights of a text's tokens summed by hashed place; one row per place that is not zero.
 

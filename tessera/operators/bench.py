@@ -79,3 +79,21 @@ def fresh(entries: DataFrame, now: Column, hours: float) -> DataFrame:
     """Entries (category, hash, ts, payload) whose age is within the limit, the latest for each key."""
     alive = entries.where((F.unix_timestamp(now) - F.unix_timestamp("ts")) <= hours * 3600)
     return alive.groupBy("category", "hash").agg(F.max_by("payload", "ts").alias("payload"))
+
+
+def report(scored: DataFrame, rows: DataFrame) -> DataFrame:
+    """(line_no, text): a benchmark's report in Markdown: the best candidate, then a table by score, one line a row.
+
+    scored: what composite() gives; rows: its input. Candidates are a configuration's, so their order is one small sort.
+    """
+    joined = scored.join(rows.drop("score", "passed"), "candidate")
+    rank = F.row_number().over(Window.orderBy(F.desc("passed"), F.desc("score"), "candidate"))
+    percent = lambda c, n: F.format_string(f"%.{n}f%%", F.col(c) * 100)
+    each = joined.withColumn("rank", rank).select(
+        (F.col("rank") + 7).cast("long").alias("line_no"),
+        F.format_string("| %d | `%s` | %s | %.1f | %.1f | %.2f | %s | %.3f |", "rank", "candidate", percent("quality", 1), "seconds", "throughput", "memory", percent("success_rate", 0), "score").alias("text"),
+    )
+    best = recommendation(scored).agg(F.coalesce(F.first(F.format_string("- `%s` score `%.3f`", "candidate", "score")), F.lit("- No recommendation available.")).alias("text"))
+    head = [(1, "# Benchmark report"), (2, ""), (3, "## Recommendation"), (5, "## Candidates"), (6, "| Rank | Candidate | Quality | Avg(s) | Throughput(B/s) | MemoryIdx | Success | Score |"), (7, "| --- | --- | ---: | ---: | ---: | ---: | ---: | ---: |")]
+    top = rows.sparkSession.createDataFrame(head, "line_no bigint, text string")
+    return top.unionByName(best.select(F.lit(4).cast("long").alias("line_no"), "text")).unionByName(each)

@@ -12,9 +12,10 @@ def language_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(pa.language(F.col("path")).alias("language")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-def core_files(files: DataFrame, limit: int) -> DataFrame:
-    scored = files.select("path", pa.importance(F.col("path"), F.col("size")).alias("score"))
-    return scored.where("score >= 0.5").orderBy(F.desc("score"), "path").limit(limit)
+def core_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """(path, score) of the files that matter most, all of them unless a limit is given."""
+    scored = files.select("path", pa.importance(F.col("path"), F.col("size")).alias("score")).where("score >= 0.5")
+    return scored if limit is None else scored.orderBy(F.desc("score"), "path").limit(limit)
 
 
 def _above(files: DataFrame) -> DataFrame:
@@ -39,6 +40,25 @@ def tree(files: DataFrame) -> DataFrame:
     return nodes.select("path", pa.parent(F.col("path")).alias("parent"), pa.name(F.col("path")).alias("name"), F.size(F.split("path", "/")).cast("long").alias("depth"), "is_file")
 
 
+def drawn_directories(files: DataFrame) -> DataFrame:
+    """(path, text): a line for each directory, drawn as a branch of its tree; in order of the parts of path they are the tree.
+
+    A line begins with a mark for each directory above: whether that one is the last of its siblings. Directories meet
+    those above them by their paths, so the tree is nowhere as a whole.
+    """
+    nodes = _above(files).where("dir <> ''").select(F.col("dir").alias("path"), pa.parent(F.col("dir")).alias("parent"), pa.name(F.col("dir")).alias("name"))
+    last = nodes.groupBy("parent").agg(F.max("name").alias("most"))
+    marked = nodes.join(last, "parent").select("path", "name", (F.col("name") == F.col("most")).alias("last"))
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), "/").alias("up")))
+    each = marked.select("path", "name", F.explode(ups).alias("x")).select("path", "name", "x.n", "x.up")
+    own = F.col("up") == F.col("path")
+    piece = F.when(own & F.col("last"), "└── ").when(own, "├── ").when(F.col("last"), "    ").otherwise("│   ")
+    drawn = each.join(marked.select(F.col("path").alias("up"), "last"), "up").select("path", "name", "n", piece.alias("piece"))
+    whole = drawn.groupBy("path", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("head"))
+    return whole.select("path", F.concat("head", "name", F.lit("/")).alias("text"))
+
+
 def tree_order() -> list[Column]:
     """Directories first, then names whatever their case."""
     return [F.col("is_file").asc(), F.lower("name").asc(), F.col("path").asc()]

@@ -279,6 +279,31 @@ def hybrid(rows: DataFrame, query: str, limit: int = 10, min_score: float = 0.0)
     return ranked.where(F.col("score") >= min_score).orderBy(F.desc("score"), "file", "id").limit(limit)
 
 
+#: How a model's scores are blended in, and for how many hits.
+MODEL_OLD, MODEL_SCORE, MODEL_HITS = 0.62, 0.38, 20
+
+
+def blended(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query, id, file, score) with a model's scores (query, idx, score) blended into the first hits of each query.
+
+    idx counts hits from 0 by score, then file, then id; scores are cut to [0, 1], of several the highest counts; a hit without
+    one keeps its own.
+    """
+    first = _top(hits, MODEL_HITS).select("query", "id", "file")
+    idx = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "file", "id")) - 1
+    placed = hits.join(first, ["query", "id", "file"], "left_semi").withColumn("idx", idx)  # MODEL_HITS rows a query
+    given = scores.groupBy("query", "idx").agg(F.max("score").alias("given"))
+    told = placed.join(given, ["query", "idx"]).select("query", "id", "file", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "given")).alias("given"))
+    again = F.when(F.col("given").isNotNull(), MODEL_OLD * F.col("score") + MODEL_SCORE * F.col("given")).otherwise(F.col("score"))
+    return hits.join(told, ["query", "id", "file"], "left").select("query", "id", "file", F.round(again, 6).alias("score"))
+
+
+def model_variants(answer: Column, query: Column, limit: int = 4) -> Column:
+    """A model's forms of a query from its JSON answer: trimmed, without empty ones, the first few; else the query itself."""
+    forms = F.coalesce(F.from_json(answer, "array<string>"), F.array(query))
+    return F.slice(F.filter(F.transform(forms, lambda x: F.trim(x)), lambda x: x != ""), 1, limit)
+
+
 def batch_lexical(rows: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame:
     """(query_id, id, score) for a table of queries (query_id, query): share of the query's tokens among the body's tokens.
 

@@ -96,9 +96,9 @@ def tech_stack(spark, d):
     return MANIFESTS.df(spark, d).select(F.when(pa.name(F.col("path")) == "Cargo.toml", "rust").when(pa.name(F.col("path")) == "package.json", "node").when(pa.name(F.col("path")) == "pyproject.toml", "python").otherwise("go").alias("ecosystem"), "path")
 
 
-@query("prompt_interfaces", with_(NODES) + "SELECT path, unnest(symbols) AS symbol FROM nodes ORDER BY path, symbol LIMIT 8")
+@query("prompt_interfaces", with_(NODES) + "SELECT path, unnest(symbols) AS symbol FROM nodes ORDER BY path, symbol LIMIT 100")
 def prompt_interfaces(spark, d):
-    return NODES.df(spark, d).select("path", F.explode("symbols").alias("symbol")).orderBy("path", "symbol").limit(8)
+    return NODES.df(spark, d).select("path", F.explode("symbols").alias("symbol")).orderBy("path", "symbol").limit(100)
 
 
 @query("extracted_files", with_(ALL, EACH) + f"""SELECT f.path, {' + '.join(f"coalesce(len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, {chr(39)}{p}{chr(39)}))), 0)" for k, p in co.SYMBOLS['rust'] if k == 'function')} AS functions, len(string_split(regexp_replace(body, '\\n$', ''), chr(10)))::BIGINT AS total_lines, strlen(body)::BIGINT AS size_bytes FROM files f""")

@@ -115,9 +115,9 @@ def importance(spark, d):
     return files(spark, d).select("path", F.least(score, F.lit(1.0)).alias("importance"), (score >= 0.5).alias("is_core"))
 
 
-@query("core_files", with_(FILES, BASE) + f"SELECT path, {IMPORTANCE} AS score FROM f WHERE {IMPORTANCE} >= 0.5 ORDER BY score DESC, path LIMIT 12")
+@query("core_files", with_(FILES, BASE) + f"SELECT path, {IMPORTANCE} AS score FROM f WHERE {IMPORTANCE} >= 0.5")
 def core_files(spark, d):
-    return fi.core_files(files(spark, d), 12)
+    return fi.core_files(files(spark, d))
 
 
 TEST = "(" + " OR ".join([*(f"contains(low, '/{t}/') OR starts_with(low, '{t}/')" for t in pa.TEST_DIRS), "starts_with(own, 'test_')", *(f"ends_with(own, '{e}')" for e in pa.TEST_ENDINGS)]) + f" OR (contains(own, 'test') AND (starts_with(own, 'test') OR ends_with(own, 'test') OR {contains_sql('own', pa.TEST_INSIDE)})))"
@@ -186,6 +186,15 @@ def tree_stats(spark, d):
     return fi.tree_stats(files(spark, d))
 
 
+@query(
+    "directory_tree_text",
+    with_(FILES, DIRSTATS, "nd AS (SELECT dir AS path, regexp_replace(dir, '/?[^/]*$', '') AS parent, split_part(dir, '/', -1) AS name FROM up WHERE dir <> '')", "mk AS (SELECT path, name, name = max(name) OVER (PARTITION BY parent) AS last FROM nd)", "an AS (SELECT path, name, n, array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS above FROM (SELECT path, name, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM nd))")
+    + "SELECT an.path, string_agg(CASE WHEN above = an.path THEN CASE WHEN last THEN '└── ' ELSE '├── ' END WHEN last THEN '    ' ELSE '│   ' END, '' ORDER BY n) || any_value(an.name) || '/' AS text FROM an JOIN mk ON mk.path = an.above GROUP BY an.path",
+)
+def directory_tree_text(spark, d):
+    return fi.drawn_directories(files(spark, d))
+
+
 @query("list_directory", with_(FILES) + "SELECT path, size FROM files WHERE starts_with(path, 'src/') AND len(string_split(path, '/')) <= 4 ORDER BY path LIMIT 8")
 def list_directory(spark, d):
     return fi.listed(files(spark, d), "src", 3, 8)
@@ -266,9 +275,9 @@ def has_database_files(spark, d):
     return DOSSIERS.df(spark, d).agg(F.bool_or(F.col("purpose").isin("database", "dao") | F.endswith("path", F.lit(".sql"))).alias("has"))
 
 
-@query("relationship_input", with_(DOSSIERS) + "SELECT path, importance FROM dossiers WHERE importance >= 0.6 ORDER BY importance DESC, path LIMIT 15")
+@query("relationship_input", with_(DOSSIERS) + "SELECT path, importance FROM dossiers WHERE importance >= 0.6 ORDER BY importance DESC, path LIMIT 150")
 def relationship_input(spark, d):
-    return fi.top_insights(DOSSIERS.df(spark, d).where("importance >= 0.6"), 15)
+    return fi.top_insights(DOSSIERS.df(spark, d).where("importance >= 0.6"), 150)
 
 
 DOMAINS = Fixture("domains", "domain string, place string", [("one", "m1"), ("one", "m12/f12.rs"), ("two", "f3"), ("none", "zzz")])

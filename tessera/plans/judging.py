@@ -240,6 +240,18 @@ def recommendation(spark, d):
     return be.recommendation(be.composite(CANDS.df(spark, d)))
 
 
+@query(
+    "benchmark_report",
+    with_(CANDS, COMPOSITE, "rk AS (SELECT sc.*, c.quality, c.seconds, c.throughput, c.memory, c.success_rate, row_number() OVER (ORDER BY passed DESC, score DESC, candidate) AS r FROM sc JOIN cands c USING (candidate))")
+    + """SELECT line_no, text FROM (VALUES (1::BIGINT, '# Benchmark report'), (2, ''), (3, '## Recommendation'), (5, '## Candidates'), (6, '| Rank | Candidate | Quality | Avg(s) | Throughput(B/s) | MemoryIdx | Success | Score |'), (7, '| --- | --- | ---: | ---: | ---: | ---: | ---: | ---: |')) v(line_no, text)
+  UNION ALL SELECT 4, coalesce((SELECT printf('- `%s` score `%.3f`', candidate, round(score::DECIMAL(18, 6), 3)::DOUBLE) FROM sc WHERE score > 0 ORDER BY passed DESC, score DESC, candidate LIMIT 1), '- No recommendation available.')
+  UNION ALL SELECT r + 7, printf('| %d | `%s` | %.1f%% | %.1f | %.1f | %.2f | %.0f%% | %.3f |', r, candidate, quality * 100, seconds, throughput, memory, success_rate * 100, round(score::DECIMAL(18, 6), 3)::DOUBLE) FROM rk""",
+)
+def benchmark_report(spark, d):
+    rows = CANDS.df(spark, d)
+    return be.report(be.composite(rows), rows)
+
+
 @query("candidate_grid", "SELECT model, context, predict, top_p, lower(model) || '-ctx' || context::VARCHAR || '-np' || predict::VARCHAR || '-tp' || round(top_p * 100)::INT::VARCHAR AS id FROM (SELECT unnest(['A', 'B']) AS model), (SELECT unnest([4096, 8192])::BIGINT AS context), (SELECT unnest([512, 1024, 2048])::BIGINT AS predict), (SELECT unnest([0.85, 0.9])::DOUBLE AS top_p)")
 def candidate_grid(spark, d):
     g = be.grid(spark, {"model": ["A", "B"], "context": [4096, 8192], "predict": [512, 1024, 2048], "top_p": [0.85, 0.9]})

@@ -219,6 +219,12 @@ def quantize_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", vec.quantized(F.col("embedding")).alias("qvec"))
 
 
+@query("vector_codec", f"SELECT vec_id, array_to_string(list_transform(q, lambda x: printf('%02X%02X', x & 255, (x >> 8) & 255)), '') AS bytes, q AS back FROM (SELECT vec_id, list_transform({QVEC}, lambda x: x::INT & 65535) AS u, {QVEC} AS q FROM embeddings)".replace("list_transform(q, lambda x: printf", "list_transform(u, lambda x: printf"))
+def vector_codec(spark, d):
+    t = table(spark, d, "embeddings").select("vec_id", vec.encoded(vec.quantized(F.col("embedding"))).alias("raw"))
+    return t.select("vec_id", F.hex("raw").alias("bytes"), vec.decoded(F.col("raw")).alias("back"))
+
+
 BANDS = f"bands AS (SELECT vec_id, band, ('0x' || substr(sha256(array_to_string(list_slice(q, band * 8 + 1, band * 8 + 8), ',')), 1, 15))::BIGINT % 1000003 AS bucket FROM (SELECT vec_id, {QVEC} AS q, unnest(range(8)) AS band FROM embeddings))"
 
 
@@ -321,6 +327,28 @@ def rerank_heuristic(spark, d):
     return store(spark, d).select("id", F.round(se.RERANK_OLD * F.lit(0.5) + se.RERANK_OVERLAP * tx.overlap(["the", "eau"], F.lower("title")), 6).alias("score"))
 
 
+MODEL_ANSWERS = Fixture("told", "query string, j string", [("en", '[{"idx": 0, "score": 0.5}, {"idx": 19, "score": 2}, {"idx": 20, "score": 0.9}]'), ("fr", '[{"idx": 3, "score": -1}]'), ("xx", '[]')])
+
+
+@query(
+    "rerank_blend",
+    with_(STORE, MODEL_ANSWERS, "h AS (SELECT split_part(path, '/', 1) AS query, id, file, round(abs(id) % 61 / 61.0::DOUBLE, 6) AS score FROM st)", "r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, file, id) - 1 AS idx FROM h)", "e AS (SELECT query, unnest(from_json(j, '[{\"idx\": \"INTEGER\", \"score\": \"DOUBLE\"}]')) AS x FROM told)")
+    + "SELECT r.query, id, file, round(CASE WHEN e.x IS NULL THEN score ELSE 0.62::DOUBLE * score + 0.38::DOUBLE * greatest(0, least(1, e.x.score)) END, 6) AS score FROM r LEFT JOIN e ON e.query = r.query AND e.x.idx = r.idx AND r.idx < 20",
+)
+def rerank_blend(spark, d):
+    rows = store(spark, d).select(F.substring_index("path", "/", 1).alias("query"), "id", st.file(F.col("collection"), F.col("path")).alias("file"), F.round(F.abs("id") % 61 / 61.0, 6).alias("score"))
+    told = MODEL_ANSWERS.df(spark, d).select("query", F.explode(F.from_json("j", "array<struct<idx:int,score:double>>")).alias("x")).select("query", "x.idx", "x.score")
+    return se.blended(rows, told)
+
+
+VARIANTS = Fixture("va", "k int, query string, j string", [(1, "one", '["a ", " ", "b", "c", "d", "e"]'), (2, "two", "none"), (3, "three", "[]")]).over(k="shift", query="tail")
+
+
+@query("model_variants", with_(VARIANTS) + "SELECT k, CASE k % 1000 WHEN 1 THEN ['a', 'b', 'c', 'd'] WHEN 2 THEN CASE WHEN trim(query) = '' THEN [] ELSE [trim(query)] END ELSE [] END AS forms FROM va")
+def model_variants(spark, d):
+    return VARIANTS.df(spark, d).select("k", se.model_variants(F.col("j"), F.col("query")).alias("forms"))
+
+
 HITS = Fixture("hits", "id string, file string, score double", [("a", "a.md", 0.5), ("b", "b.md", 0.7), ("x", "x.md", 0.4), ("a", "a.md", 0.9), ("c", "c.md", 0.8), ("x", "x.md", 0.2)]).over(id="tag", file="tag", score="unit")
 
 

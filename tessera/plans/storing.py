@@ -254,6 +254,18 @@ def symmetric_difference(spark, d):
     return ch.symmetric_difference(old.select("path"), new.select("path"))
 
 
+@query("paths_in_both", with_(SNAPS) + "SELECT path FROM o INTERSECT SELECT path FROM n")
+def paths_in_both(spark, d):
+    old, new = customer_snapshots(spark, d)
+    return old.select("path").intersect(new.select("path"))
+
+
+@query("paths_gone", with_(SNAPS) + "SELECT path FROM o EXCEPT SELECT path FROM n")
+def paths_gone(spark, d):
+    old, new = customer_snapshots(spark, d)
+    return old.select("path").subtract(new.select("path"))
+
+
 @query("should_sync", with_(SNAPS) + "SELECT (SELECT count(*) FROM (SELECT path FROM o EXCEPT SELECT path FROM n)) + (SELECT count(*) FROM (SELECT path FROM n EXCEPT SELECT path FROM o)) > 0 AS set_changed, count(*)::BIGINT AS files FROM n")
 def should_sync(spark, d):
     old, new = customer_snapshots(spark, d)
