@@ -73,6 +73,14 @@ def sql_references(spark, d):
     return co.found_all(sample("sql").df(spark, d), co.SQL_REFERENCES)
 
 
+@query("interfaces")
+def interfaces(spark, d):
+    """Definitions of whole files of all languages; a lexer is beyond SQL, tests hold it against sources written by hand."""
+    from tessera.operators import symbols
+
+    return symbols.interfaces(ALL.df(spark, d))
+
+
 def count_sql(part: str) -> str:
     return f"((length(body) - length(replace(body, {s(part)}, ''))) / {len(part)})::BIGINT"
 

@@ -276,3 +276,48 @@ def test_suggestions_agree_with_all_pairs(spark):
         if best[0] <= (1 if len(w) <= 4 else 2):
             want[w] = (best[1], best[0])
     assert got == want
+
+
+SOURCES = {
+    "rust": (
+        "/// Adds.\n/// Twice.\n#[inline]\npub async fn add<T: Into<i32>>(\n    a: i32,\n    mut b: Option<(i32, T)>, // fn no(x: i32)\n) -> i32 {\n    let s = \"fn hidden(a: i32) {\";\n    a\n}\n"
+        "pub(crate) struct Point { x: i32 }\nimpl Shape for Point {\n    fn area(&self, scale: f64) -> f64 { 0.0 }\n}\n/* fn gone() {} */\nmod inner { pub fn deep() {} }\n",
+        [("function", "add", "pub", ["a", "b"], None, 4, "Adds. Twice."), ("struct", "Point", "pub(crate)", [], None, 11, ""), ("impl", "Point", "private", [], None, 12, ""), ("function", "area", "private", ["scale"], "Point", 13, ""), ("module", "inner", "private", [], None, 16, ""), ("function", "deep", "pub", [], "inner", 16, "")],
+    ),
+    "python": (
+        "class Main(Base):\n    \"\"\"Doc # kept\n    def no(): pass\"\"\"\n    def run(\n        self,\n        n: int = 3,\n        *rest,\n    ) -> None:\n        \"\"\"Runs.\"\"\"\n        x = 'def nope(a):'\n\n    class Inner:\n        def deep(self): pass\nasync def _go(a, b=(1, 2)):\n    pass\n",
+        [("class", "Main", "public", [], None, 1, "Doc # kept def no(): pass"), ("function", "run", "public", ["n", "rest"], "Main", 4, "Runs."), ("class", "Inner", "public", [], "Main", 12, ""), ("function", "deep", "public", [], "Inner", 13, ""), ("function", "_go", "private", ["a", "b"], None, 14, "")],
+    ),
+    "typescript": (
+        "export interface I { n: number }\nexport default class App {\n}\n/** Loads. */\nexport async function load(\n  a: string,\n  b?: { c: number },\n) { const t = `function no() {}`; }\nconst run = async (q: string, r = 1) => q;\nexport type U = string;\n",
+        [("interface", "I", "export", [], None, 1, ""), ("class", "App", "export", [], None, 2, ""), ("function", "load", "export", ["a", "b"], None, 5, "Loads."), ("function", "run", "private", ["q", "r"], None, 9, ""), ("type", "U", "export", [], None, 10, "")],
+    ),
+    "java": (
+        "package a;\npublic final class A {\n  /** Counts. */\n  @Override\n  private static int count(\n      List<String> xs, final int n) {\n    for (int i = 0; i < n; i++) { if (n > 0) { return 1; } }\n  }\n}\ninterface B {}\n",
+        [("class", "A", "public", [], None, 2, ""), ("function", "count", "private", ["xs", "n"], "A", 5, "Counts."), ("interface", "B", "private", [], None, 10, "")],
+    ),
+    "go": ("// x\nfunc (s *S) Run(a int, b string) error {\n}\ntype S struct {}\n", [("function", "Run", "public", ["int", "string"], None, 2, ""), ("struct", "S", "public", [], None, 4, "")]),
+    "kotlin": ("data class P(val x: Int)\nsuspend fun go(a: Int, b: String = \"fun no()\") {}\n", [("class", "P", "private", [], None, 1, ""), ("function", "go", "private", ["a", "b"], None, 2, "")]),
+}
+
+
+@pytest.mark.parametrize("language", sorted(SOURCES))
+def test_definitions_of_whole_files(language):
+    from tessera.operators import symbols
+
+    text, want = SOURCES[language]
+    got = [(d["kind"], d["name"], d["visibility"], d["parameters"], d["owner"], d["line"], d["doc"]) for d in symbols.definitions(text, language)]
+    assert got == want
+    code = symbols.blanked(text, language)
+    assert len(code) == len(text) and code.count("\n") == text.count("\n")
+    for odd in ("", "\"", "/*", "fn f(", "def f(", "'''", "}" * 50 + text, text * 40):
+        symbols.definitions(odd, language)
+
+
+def test_definitions_over_files(spark):
+    from tessera.operators import symbols
+
+    rows = [(f"{k}.x", v[0], k) for k, v in SOURCES.items()] + [("n", None, "rust"), ("e", "", "rust"), ("u", "x", "none"), ("l", "fn a() {}\n" * 30_000, "rust")]
+    out = symbols.interfaces(spark.createDataFrame(rows, "path string, body string, language string")).groupBy("path").count().collect()
+    got = {r["path"]: r["count"] for r in out}
+    assert got.pop("l") == 30_000 and got == {f"{k}.x": len(v[1]) for k, v in SOURCES.items()}
