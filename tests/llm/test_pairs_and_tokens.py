@@ -399,7 +399,7 @@ def test_pipeline_leaves_its_result_alone(spark):
 def test_pipeline_stages_take_odd_rows(spark):
     import corpus_pipeline as cp
 
-    good = " ".join(f"word{i % 83} and the" for i in range(70))
+    good = " ".join(f"word{i % 83}{' and' * (i % 9 == 0)}{' the' * (i % 9 == 4)}" for i in range(70))
     rows = [(None, good, "en", None, None, "c"), (1, None, "en", "a", 0, "c"), (2, "", None, "a", 0, "c"), (3, good + " more", "en", "b", 1, "c"), (3, good + " more", "en", "b", 1, "c"), (4, "a@b.org " + " ".join(f"é{i}" for i in range(60)), None, None, 9, None)]
     rows += [(5, " ".join(f"x{i * i % 9973}y" for i in range(60_000)), "en", "a", 1, "c"), (6, "unbroken" * 20_000, "en", "a", 1, "c")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string").withColumn("copies", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("s", F.lit(2))
