@@ -145,6 +145,7 @@ def cleanup_orphans(spark, d):
 
 
 CONTEXTS = Fixture("contexts", "collection string, prefix string, text string", [(None, "/", "everything"), ("src1", "en/", "English of one"), ("src1", "/", "all of one"), ("src2", "fr", "French of two"), ("src3", "en/3.md", "a single file"), ("src4", "/e", "no whole part")])
+SCOPES = Fixture("contexts", CONTEXTS.schema, CONTEXTS.rows).over(prefix="number", text="number")
 COVER = "(CASE WHEN trim(prefix) IN ('', '/') THEN '/' ELSE regexp_replace(CASE WHEN starts_with(trim(prefix), '/') THEN trim(prefix) ELSE '/' || trim(prefix) END, '/+$', '') END)"
 
 
@@ -167,18 +168,18 @@ def context_gap(spark, d):
     return st.context_gaps(store(spark, d), CONTEXTS.df(spark, d))
 
 
-@query("list_contexts", with_(CONTEXTS) + f"SELECT coalesce(collection, 'global') AS scope, {COVER} AS path, text FROM contexts")
+@query("list_contexts", with_(SCOPES) + f"SELECT coalesce(collection, 'global') AS scope, {COVER} AS path, text FROM contexts")
 def list_contexts(spark, d):
-    return CONTEXTS.df(spark, d).select(F.coalesce("collection", F.lit("global")).alias("scope"), tx.context_path(F.col("prefix")).alias("path"), "text").orderBy("scope", "path")
+    return SCOPES.df(spark, d).select(F.coalesce("collection", F.lit("global")).alias("scope"), tx.context_path(F.col("prefix")).alias("path"), "text").orderBy("scope", "path")
 
 
-@query("contexts_by_scope", with_(CONTEXTS) + "SELECT coalesce(collection, 'global') AS scope, count(*)::BIGINT AS n, list(text ORDER BY text) AS texts FROM contexts GROUP BY ALL")
+@query("contexts_by_scope", with_(SCOPES) + "SELECT coalesce(collection, 'global') AS scope, count(*)::BIGINT AS n, list(text ORDER BY text) AS texts FROM contexts GROUP BY ALL")
 def contexts_by_scope(spark, d):
-    return CONTEXTS.df(spark, d).groupBy(F.coalesce("collection", F.lit("global")).alias("scope")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("text")).alias("texts"))
+    return SCOPES.df(spark, d).groupBy(F.coalesce("collection", F.lit("global")).alias("scope")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("text")).alias("texts"))
 
 
 ROOTS = Fixture("roots", "root string, collection string", [("/work", "all"), ("/work/docs", "docs"), ("/work/docs/api", "api"), ("/other", "other")])
-FS = Fixture("fs", "path string", [("/work/docs/api/x.md",), ("/work/docsx/y.md",), ("/work/docs",), ("/none/z.md",), ("/other/a/b/c",)])
+FS = Fixture("fs", "path string", [("/work/docs/api/x.md",), ("/work/docsx/y.md",), ("/work/docs",), ("/none/z.md",), ("/other/a/b/c",)]).over(path="number")
 
 
 @query("collection_from_path", with_(ROOTS, FS) + "SELECT path, (SELECT collection FROM roots WHERE path = root OR starts_with(path, root || '/') ORDER BY length(root) DESC LIMIT 1) AS collection FROM fs")

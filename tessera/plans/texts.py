@@ -185,6 +185,14 @@ def format_for_prompt(spark, d):
     return rows.groupBy("collection").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "part"))), lambda x: x["part"]), "\n").alias("prompt"))
 
 
+@query("markdown_pages")
+def markdown_pages(spark, d):
+    """Pages of all documents; a Markdown grammar is beyond SQL, tests hold it against pages written by hand."""
+    from tessera.operators import html
+
+    return html.rendered(store(spark, d).select("path", "title", "body"))
+
+
 @query("prompt_parts")
 def prompt_parts(spark, d):
     return te.prompt_parts(store(spark, d).select("id", "collection", "path", "body"))

@@ -321,3 +321,30 @@ def test_definitions_over_files(spark):
     out = symbols.interfaces(spark.createDataFrame(rows, "path string, body string, language string")).groupBy("path").count().collect()
     got = {r["path"]: r["count"] for r in out}
     assert got.pop("l") == 30_000 and got == {f"{k}.x": len(v[1]) for k, v in SOURCES.items()}
+
+
+MARKDOWN = [
+    ("# One *two* `a<b`\n\ntext **bold** and ~~gone~~ & more  \nnext", "<h1>One <em>two</em> <code>a&lt;b</code></h1>\n<p>text <strong>bold</strong> and <del>gone</del> &amp; more<br />\nnext</p>"),
+    ("```rust\nlet x = 1 < 2;\n# no\n```\n---\n", "<pre><code class=\"language-rust\">let x = 1 &lt; 2;\n# no\n</code></pre>\n<hr />"),
+    ("- a\n- b\n  - c\n- [x] d\n- [ ] e", "<ul>\n<li>a</li>\n<li>b\n<ul>\n<li>c</li>\n</ul>\n</li>\n<li><input disabled=\"\" type=\"checkbox\" checked=\"\"/>\nd</li>\n<li><input disabled=\"\" type=\"checkbox\"/>\ne</li>\n</ul>"),
+    ("3. x\n4. y", "<ol start=\"3\">\n<li>x</li>\n<li>y</li>\n</ol>"),
+    ("> q\n> r\n\nz", "<blockquote>\n<p>q\nr</p>\n</blockquote>\n<p>z</p>"),
+    ("| a | b |\n|---|:-:|\n| 1 | x \\| y |\n\nend", "<table><thead><tr><th>a</th><th>b</th></tr></thead><tbody>\n<tr><td>1</td><td>x | y</td></tr>\n</tbody></table>\n<p>end</p>"),
+    ("[l](http://x.y/?a=1&b=2 \"t\") ![i](p.png) <https://z.org> \\*n\\*", "<p><a href=\"http://x.y/?a=1&amp;b=2\">l</a> <img src=\"p.png\" alt=\"i\" /> <a href=\"https://z.org\">https://z.org</a> *n*</p>"),
+    ("<script>x</script>", "<p>&lt;script&gt;x&lt;/script&gt;</p>"), ("", ""), ("snake_case_name and 2 * 3 * 4", "<p>snake_case_name and 2 * 3 * 4</p>"), ("```\nopen", "<pre><code>open\n</code></pre>"),
+]
+
+
+@pytest.mark.parametrize("text, want", MARKDOWN)
+def test_markdown_as_html(text, want):
+    from tessera.operators import html
+
+    assert html.body(text) == want
+
+
+def test_pages_of_documents(spark):
+    from tessera.operators import html
+
+    rows = [("a.md", "T <1>", "# x"), ("n.md", None, None), ("l.md", "l", "- a\n" * 20_000 + "*" * 20_000 + "`" * 9000 + "[" * 20_000), ("q.md", "q", "> " * 5000 + "x\n" + "\n".join("  " * i + "- y" for i in range(300)))]
+    got = {r["path"]: r["html"] for r in html.rendered(spark.createDataFrame(rows, "path string, title string, body string")).collect()}
+    assert "<title>T &lt;1&gt;</title>" in got["a.md"] and "<h1>x</h1>" in got["a.md"] and "<body>\n\n</body>" in got["n.md"] and got["l.md"].count("<li>") >= 19_999
