@@ -348,6 +348,26 @@ def test_packing_places_every_id_once(spark, plain, block):
     assert packing.pack(table.limit(0)).count() == 0
 
 
+def test_packing_takes_repeated_rows_and_odd_tables(spark, plain):
+    rows = [(1, "same text here")] * 500 + [(1, "other")] * 3 + [(None, "no id")] * 40 + [(None, None)] * 2 + [(2, "very long " * 60_000), (3, "")]
+    table = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, sequence_id string, length int").repartition(3)
+    ids = {t: [*plain(t or ""), 0] for _, t in rows}
+    got = packing.pack(table, block=3000).collect()
+    covered, want = Counter(), Counter()
+    for r in got:
+        for at in range(r["start"], r["start"] + r["length"]):
+            covered[r["doc_id"], r["doc_tokens"], at] += 1
+    for d, t in rows:
+        for at in range(len(ids[t])):
+            want[d, len(ids[t]), at] += 1
+    assert covered == want
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in by.values():
+        assert [s for s, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()] and sum(n for _, n in own) <= 1024
+
+
 def test_packing_pads_little(spark):
     got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     padded = sum(0 if r["n"] & (r["n"] - 1) == 0 else 1024 - r["n"] for r in got)

@@ -469,8 +469,9 @@ def test_classifier_held_out_accuracy(spark):
 def test_classifier_learns_from_texts_alone_and_takes_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
     rows = [(i, ("good fine words here " if i % 2 else "b@d $$$ !!! ") * 9) for i in range(40)]
-    out = subword.classify(docs(spark, rows + [(None, "x"), (100, None), (101, ""), (3, "again")]), labels).collect()
-    assert len(out) == 44 and all(0 <= r["score"] <= 1 for r in out)
+    odd = [(None, "x"), (100, None), (101, ""), (3, "again"), (102, "very long words " * 60_000)]
+    out = subword.classify(docs(spark, rows + odd).withColumn("score", F.lit("clash")).withColumn("quality", F.lit(7)), labels).collect()
+    assert len(out) == 45 and all(0 <= r["score"] <= 1 for r in out)
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in out)
     got = {r["doc_id"]: r["score"] for r in out if r["doc_id"] not in (None, 3)}
     assert min(got[i] for i in range(1, 40, 2) if i != 3) > max(got[i] for i in range(0, 40, 2))
