@@ -304,6 +304,22 @@ def model_variants(answer: Column, query: Column, limit: int = 4) -> Column:
     return F.slice(F.filter(F.transform(forms, lambda x: F.trim(x)), lambda x: x != ""), 1, limit)
 
 
+def hybrid_stored(documents: DataFrame, content: DataFrame, stored: DataFrame, vocabulary: DataFrame, vectors: DataFrame, bands: DataFrame, query: str, limit: int = 10, min_score: float = 0.0) -> DataFrame:
+    """What hybrid() gives, over stored tables: bodies are read of the hits that are merged and where a phrase is in doubt."""
+    forms = expand_query(query)
+    if not forms:
+        raise ValueError("the query is empty")
+    words = lexical_stored_many(documents, content, stored, vocabulary, forms, limit)
+    near = vector_stored_many(documents, vectors, bands, stored, vocabulary, forms, limit)
+    merged = materialize(dedup_hits(words.select("id", "file", "score").unionByName(near.select("id", "file", "score"))), "merged")
+    own = documents.join(F.broadcast(merged.select("id")), "id", "left_semi")  # forms times two times limit rows
+    rows = own.join(among(content, "hash", own), "hash")
+    shown = with_snippets(merged, rows, query)
+    again = RERANK_OLD * F.col("score") + RERANK_OVERLAP * tx.overlap(tx.query_tokens(query), F.lower(F.concat_ws(" ", "title", "snippet")))
+    ranked = shown.select("id", "file", "title", F.round(again, 6).alias("score"))
+    return ranked.where(F.col("score") >= min_score).orderBy(F.desc("score"), "file", "id").limit(limit)
+
+
 def batch_lexical(rows: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame:
     """(query_id, id, score) for a table of queries (query_id, query): share of the query's tokens among the body's tokens.
 

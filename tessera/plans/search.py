@@ -289,29 +289,30 @@ def stored_lexical_search(spark, d):
     return hits(se.lexical_stored_many(rows, content, held, terms, [Q3]))
 
 
-def stored_vector_sql(q: str) -> str:
+def stored_vector_parts(q: str, n: str = "") -> str:
+    """Cosine search by quantised vectors as common table expressions, names ending in n; the last is svtop."""
     asked = vec.query_vector(q)
     known = ", ".join(f"({b}, {u})" for b, u in vec.query_bands(asked))
     length = sum(x * x for x in asked)
-    return with_(OWN, FEAT, QUANTISED, f"near AS (SELECT DISTINCT hash FROM bd SEMI JOIN (VALUES {known}) k(band, bucket) USING (band, bucket))") + f"""
-  , cos AS (SELECT hash, list_sum(list_transform(q, lambda x, i: x::DOUBLE * {asked}[i])) / (sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x))) * sqrt({length}::DOUBLE)) AS cos FROM qv
-      WHERE list_sum(list_transform(q, lambda x: x::DOUBLE * x)) > 0 AND (hash IN (SELECT hash FROM near) OR NOT EXISTS (SELECT 1 FROM near))),
-  raw AS (SELECT id, file, own.hash, round((0.74::DOUBLE * cos + 0.26::DOUBLE * ({overlap_sql(tx.query_tokens(q), 'hay')})::DOUBLE) * {quality_sql('file')}, 6) AS score FROM own JOIN cos ON own.hash = cos.hash WHERE cos > 0)
-  SELECT id, file, score, 0 AS variant FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY score DESC, file, id) AS r FROM raw) WHERE r = 1{TOP}"""
+    return f"""near{n} AS (SELECT DISTINCT hash FROM bd SEMI JOIN (VALUES {known}) k(band, bucket) USING (band, bucket)),
+  scos{n} AS (SELECT hash, list_sum(list_transform(q, lambda x, i: x::DOUBLE * {asked}[i])) / (sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x))) * sqrt({length}::DOUBLE)) AS cos FROM qv
+      WHERE list_sum(list_transform(q, lambda x: x::DOUBLE * x)) > 0 AND (hash IN (SELECT hash FROM near{n}) OR NOT EXISTS (SELECT 1 FROM near{n}))),
+  sraw{n} AS (SELECT id, file, own.hash, round((0.74::DOUBLE * cos + 0.26::DOUBLE * ({overlap_sql(tx.query_tokens(q), 'hay')})::DOUBLE) * {quality_sql('file')}, 6) AS score FROM own JOIN scos{n} c ON own.hash = c.hash WHERE cos > 0),
+  svtop{n} AS (SELECT id, file, score FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY score DESC, file, id) AS r FROM sraw{n}) WHERE r = 1{TOP})"""
 
 
-@query("stored_vector_search", stored_vector_sql(Q2))
+@query("stored_vector_search", with_(OWN, FEAT, QUANTISED, stored_vector_parts(Q2)) + "SELECT id, file, score, 0 AS variant FROM svtop")
 def stored_vector_search(spark, d):
     rows, _, held, terms, vectors, bands = stored(spark, d)
     return hits(se.vector_stored_many(rows, vectors, bands, held, terms, [Q2]))
 
 
-def hybrid_sql(q: str) -> str:
-    parts, legs = [OWN, FEAT], []
+def hybrid_sql(q: str, kept: bool = False) -> str:
+    parts, legs = [OWN, FEAT, *([QUANTISED] if kept else [])], []
     for i, form in enumerate(se.expand_query(q)):
         lex = lexical_parts(form).replace("forms AS", f"forms{i} AS").replace("FROM forms ", f"FROM forms{i} ").replace("best AS", f"best{i} AS")
-        parts += [lex, f"ltop{i} AS (SELECT id, file, score FROM best{i} WHERE r = 1{TOP})", vector_parts(form, str(i))]
-        legs += [f"SELECT * FROM ltop{i}", f"SELECT * FROM vtop{i}"]
+        parts += [lex, f"ltop{i} AS (SELECT id, file, score FROM best{i} WHERE r = 1{TOP})", stored_vector_parts(form, str(i)) if kept else vector_parts(form, str(i))]
+        legs += [f"SELECT * FROM ltop{i}", f"SELECT * FROM {'s' * kept}vtop{i}"]
     parts += [f"merged AS (SELECT id, any_value(file) AS file, max(score) AS score FROM ({' UNION ALL '.join(legs)}) GROUP BY id)"]
     parts += [f"shown AS (SELECT m.id, m.file, m.score, own.title, {snippet_sql(tx.query_tokens(q))} AS snippet FROM merged m JOIN own ON own.id = m.id)"]
     return with_(*parts) + f"SELECT id, file, title, round(0.78::DOUBLE * score + 0.22::DOUBLE * ({overlap_sql(tx.query_tokens(q), chr(39) + chr(39) + ' || lower(title || chr(32) || snippet)')})::DOUBLE, 6) AS score FROM shown{TOP}"
@@ -322,6 +323,12 @@ def hybrid_search(spark, d):
     return se.hybrid(store(spark, d), Q3)
 
 
+@query("stored_hybrid_search", hybrid_sql(Q3, True))
+def stored_hybrid_search(spark, d):
+    rows, content, held, terms, vectors, bands = stored(spark, d)
+    return se.hybrid_stored(rows, content, held, terms, vectors, bands, Q3)
+
+
 @query("rerank_heuristic", with_(OWN) + f"SELECT id, round(0.78::DOUBLE * 0.5 + 0.22::DOUBLE * ({overlap_sql(['the', 'eau'], 'lower(title)')})::DOUBLE, 6) AS score FROM own")
 def rerank_heuristic(spark, d):
     return store(spark, d).select("id", F.round(se.RERANK_OLD * F.lit(0.5) + se.RERANK_OVERLAP * tx.overlap(["the", "eau"], F.lower("title")), 6).alias("score"))
