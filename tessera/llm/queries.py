@@ -75,6 +75,12 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and callable(f)}
 
@@ -187,5 +193,45 @@ FROM embeddings m JOIN comp ON m.vec_id = comp.a LEFT JOIN deg ON m.vec_id = deg
 """
 
 
+_OP13 = r"""
+WITH RECURSIVE base AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY coalesce(doc_id, -9223372036854775808), leaf) - 1 AS r, count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS rid FROM (
+    SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(a || n0 || z) AS leaf,
+      CASE WHEN n_chars IS NOT NULL AND xor(list_reduce(bits, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295::BIGINT), 4294967295) % 7 = 0 THEN sha256(a || n1 || z) END AS changed
+    FROM (
+      SELECT doc_id, lang, n_chars, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [unicode(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS bits,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+        coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS n0, strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1) AS n1,
+        coalesce(strlen(text) || ':' || text, '-') AS z
+      FROM documents
+    )
+  )
+), tree(g, lvl, idx, n, h) AS (
+  SELECT g, 0, r, n, leaf FROM base
+  UNION ALL
+  SELECT g, any_value(lvl) + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY g, idx // 2
+), subs AS (
+  SELECT g, h AS subroot, lvl AS height, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1
+), top(lvl, idx, n, h) AS (
+  SELECT 0, place, n, subroot FROM subs
+  UNION ALL
+  SELECT any_value(lvl) + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY idx // 2
+), step AS (
+  SELECT b.rid, t.lvl, CASE WHEN s.h IS NULL THEN 'N' WHEN t.idx % 2 = 0 THEN 'R' || s.h ELSE 'L' || s.h END AS e
+  FROM base b JOIN tree t ON t.g = b.g AND t.n > 1 AND t.idx = b.r // (1::BIGINT << t.lvl) LEFT JOIN tree s ON s.g = t.g AND s.lvl = t.lvl AND s.idx = xor(t.idx, 1)
+  UNION ALL
+  SELECT b.rid, 100 + t.lvl, CASE WHEN s.h IS NULL THEN 'N' WHEN t.idx % 2 = 0 THEN 'R' || s.h ELSE 'L' || s.h END
+  FROM base b JOIN subs u ON u.g = b.g JOIN top t ON t.n > 1 AND t.idx = u.place // (1::BIGINT << t.lvl) LEFT JOIN top s ON s.lvl = t.lvl AND s.idx = xor(t.idx, 1)
+), path AS (
+  SELECT rid, list(e ORDER BY lvl) AS es, string_agg(e[2:], '' ORDER BY lvl) AS others FROM step GROUP BY rid
+), done AS (
+  SELECT b.doc_id, b.leaf, u.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(p.others, '')) AS proof_sha256,
+    list_reduce(coalesce(p.es, []::VARCHAR[]), lambda h, e: sha256(CASE e[1] WHEN 'N' THEN h WHEN 'R' THEN h || e[2:] ELSE e[2:] || h END), coalesce(b.changed, b.leaf)) AS folded_root
+  FROM base b JOIN subs u ON u.g = b.g LEFT JOIN path p ON p.rid = b.rid
+)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_roundtrip": _OP1, "op2_cap_filters": _OP2, "op3_mix_sources": _OP3, "op5_quality_cascade": _OP5}
+    return {"op1_chat_roundtrip": _OP1, "op2_cap_filters": _OP2, "op3_mix_sources": _OP3, "op5_quality_cascade": _OP5, "op13_merkle_manifest": _OP13}

@@ -35,7 +35,7 @@ def test_query(spark, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLE) <= set(QUERIES) and {int(q[2:].split("_")[0]) for q in QUERIES} >= {*range(1, 11), 13}
 
 
 def test_odd_vectors(spark, tmp_path):
