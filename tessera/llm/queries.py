@@ -75,6 +75,12 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.phrases import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.merkle import manifest
 
@@ -193,6 +199,26 @@ FROM embeddings m JOIN comp ON m.vec_id = comp.a LEFT JOIN deg ON m.vec_id = deg
 """
 
 
+_OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), WORD) AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), WORD) AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), grams AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), found AS (
+  SELECT g.rid, g.n, g.i, w.item_id FROM grams g JOIN windows w ON g.n = w.n AND g.g = w.g
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM found) GROUP BY rid
+), own AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(o.n_items, 0)::BIGINT AS n_items, sha256(coalesce(o.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h ON d.rid = h.rid LEFT JOIN own o ON d.rid = o.rid
+""".replace("WORD", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'")
+
 _OP13 = r"""
 WITH RECURSIVE base AS (
   SELECT *, row_number() OVER (PARTITION BY g ORDER BY coalesce(doc_id, -9223372036854775808), leaf) - 1 AS r, count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS rid FROM (
@@ -234,4 +260,4 @@ SELECT *, folded_root = root AS verified FROM done
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_roundtrip": _OP1, "op2_cap_filters": _OP2, "op3_mix_sources": _OP3, "op5_quality_cascade": _OP5, "op13_merkle_manifest": _OP13}
+    return {"op1_chat_roundtrip": _OP1, "op2_cap_filters": _OP2, "op3_mix_sources": _OP3, "op5_quality_cascade": _OP5, "op11_phrase_index": _OP11, "op13_merkle_manifest": _OP13}
