@@ -81,6 +81,13 @@ def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.merkle import manifest
 
@@ -219,6 +226,22 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM docs d LEFT JOIN hit h ON d.rid = h.rid LEFT JOIN own o ON d.rid = o.rid
 """.replace("WORD", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'")
 
+_OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_resize(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)), (SELECT max(len(embedding)) FROM embeddings), 0.0::DOUBLE) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pos AS (
+  SELECT a.rid, a.vec_id AS anchor_id, a.label, a.e, b.vec_id AS positive_id, list_inner_product(a.e, b.e)::BIGINT AS ps,
+    row_number() OVER (PARTITION BY a.rid ORDER BY list_inner_product(a.e, b.e) DESC, b.vec_id) AS k
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 QUALIFY k <= 5
+), scored AS (
+  SELECT a.rid, n.label, n.vec_id AS negative_id, list_inner_product(a.e, n.e)::BIGINT AS ns FROM v a JOIN v n ON a.label <> n.label WHERE a.vec_id % 100 = 0
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.rid, p.k ORDER BY s.ns DESC, s.negative_id))::INTEGER AS rank, s.negative_id, p.ps AS positive_score, s.ns AS negative_score
+FROM pos p JOIN scored s ON p.rid = s.rid AND 30 * p.ps <= 100 * s.ns AND 100 * s.ns <= 90 * p.ps QUALIFY rank <= 10
+"""
+
 _OP13 = r"""
 WITH RECURSIVE base AS (
   SELECT *, row_number() OVER (PARTITION BY g ORDER BY coalesce(doc_id, -9223372036854775808), leaf) - 1 AS r, count(*) OVER (PARTITION BY g) AS n, row_number() OVER () AS rid FROM (
@@ -260,4 +283,4 @@ SELECT *, folded_root = root AS verified FROM done
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_roundtrip": _OP1, "op2_cap_filters": _OP2, "op3_mix_sources": _OP3, "op5_quality_cascade": _OP5, "op11_phrase_index": _OP11, "op13_merkle_manifest": _OP13}
+    return {"op1_chat_roundtrip": _OP1, "op2_cap_filters": _OP2, "op3_mix_sources": _OP3, "op5_quality_cascade": _OP5, "op11_phrase_index": _OP11, "op12_voronoi_negatives": _OP12, "op13_merkle_manifest": _OP13}

@@ -1,6 +1,7 @@
 """The queries of the training-data operators against their SQL on small tables."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -35,7 +36,7 @@ def test_query(spark, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(ORACLE) <= set(QUERIES) and {int(q[2:].split("_")[0]) for q in QUERIES} >= {*range(1, 12), 13}
+    assert set(ORACLE) <= set(QUERIES) and {int(q[2:].split("_")[0]) for q in QUERIES} >= {*range(1, 14)}
 
 
 def test_odd_vectors(spark, tmp_path):
@@ -45,6 +46,16 @@ def test_odd_vectors(spark, tmp_path):
     held(spark, str(tmp_path), "op2_cap_filters", ["embeddings"])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_odd_negatives(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    vectors = [[rng.choice([0.0, 0.5, -0.25, 1.0]) for _ in range(rng.choice([3, 4, 4, 4]))] for _ in range(12)] + [[0.0] * 4, [], None, [None, 1.0], [math.nan], [math.inf, 1.0]]
+    rows = [(rng.choice([100 * (i % 5), i, i, -i, None]), rng.choice(vectors), rng.choice([0, 1, 2, 8, 9, 9, None]), i) for i in range(400)]
+    rows += rows[:40] + [(100, [1.0, 0.5, 0.0, 0.0], 9, 1), (200, [0.0] * 4, 9, 1), (7, [9e4, -9e4, 0.0, 1.0], 9, 1), (300, [9e4, -8e4, 0.0, 1.0], 1, 1), (8, [9e4, -7e4], 1, 2)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, score int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    held(spark, str(tmp_path), "op12_voronoi_negatives", ["embeddings"])
+
+
 def test_odd_documents(spark, tmp_path):
     rows = [(None, "a b c", "a"), (None, "a b c", "a"), (1, None, None), (1, "", "a"), (2, "x " * 3000, "b"), (3, "é\x1c ü\x85 " * 60, "c"), (3, "é\x1c ü\x85 " * 60, "c"), (4, "l one\nl one\n\n\nl two " * 30, None)]
     spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
