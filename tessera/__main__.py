@@ -16,7 +16,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tessera")
     p.add_argument("--index", required=True)
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("search", "vsearch", "query"):
+    for name in ("search", "ranked", "vsearch", "query"):
         c = sub.add_parser(name)
         c.add_argument("text")
         c.add_argument("-n", "--limit", type=int, default=10)
@@ -48,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(index: Index, a: argparse.Namespace):
     """What a command returns: rows, a text or counters."""
-    if a.command in ("search", "vsearch", "query"):
+    if a.command in ("search", "ranked", "vsearch", "query"):
         return getattr(index, a.command)(a.text, a.limit, a.min_score)
     if a.command in ("ingest", "embed"):
         return getattr(index, a.command)(a.force)

@@ -142,12 +142,6 @@ def band_candidates(bands: DataFrame, query_bands: DataFrame) -> DataFrame:
 LISTED = 1000
 
 
-def postings(content: DataFrame) -> DataFrame:
-    """(token, hash): the distinct tokens of each content, in order of the token."""
-    each = content.select("hash", F.explode(F.array_distinct(tx.tokens(F.col("body")))).alias("token")).select("token", "hash")
-    return each.repartitionByRange("token", "hash").sortWithinPartitions("token", "hash")
-
-
 def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key is wanted: a listed filter, which reaches the scan, for up to LISTED keys, else a join."""
     keys = [r[0] for r in wanted.select(key).distinct().limit(LISTED + 1).collect()]
@@ -162,15 +156,22 @@ class Terms:
     def __init__(self, queries: list[str]) -> None:
         self.all = list(dict.fromkeys(t for q in queries for t in tx.query_tokens(q)))
 
-    def masks(self, stored: DataFrame, vocabulary: DataFrame) -> DataFrame:
-        """(hash, m0, m1 ...): a bit for each term; only tokens with a term are read."""
+    def near(self, stored: DataFrame, vocabulary: DataFrame) -> DataFrame:
+        """The postings of tokens that hold a term."""
         if not self.all:
-            return stored.select("hash").limit(0)
+            return stored.limit(0)
         held = lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in self.all])
-        near = among(stored, "token", vocabulary.where(held(F.col("token"))))
+        return among(stored, "token", vocabulary.where(held(F.col("token"))))
+
+    def bits(self, near: DataFrame) -> DataFrame:
+        """(hash, m0, m1 ...): a bit for each term that a content holds."""
         parts = [self.all[i : i + self.WIDTH] for i in range(0, len(self.all), self.WIDTH)]
         bits = lambda part: reduce(lambda a, b: a + b, [F.contains("token", F.lit(t)).cast("long") * (1 << k) for k, t in enumerate(part)])
-        return near.groupBy("hash").agg(*[F.bit_or(bits(part)).alias(f"m{i}") for i, part in enumerate(parts)])
+        return near.groupBy("hash").agg(*[F.bit_or(bits(part)).alias(f"m{i}") for i, part in enumerate(parts)]) if parts else near.select("hash").distinct()
+
+    def masks(self, stored: DataFrame, vocabulary: DataFrame) -> DataFrame:
+        """bits() of the postings; only tokens with a term are read."""
+        return self.bits(self.near(stored, vocabulary))
 
     def in_body(self, term: str) -> Column:
         k = self.all.index(term)
@@ -231,10 +232,10 @@ def vector_stored_many(documents: DataFrame, vectors: DataFrame, bands: DataFram
     near = materialize(listed.join(F.broadcast(known), ["band", "bucket"]).select("query", "hash").distinct(), "near")  # eight bands a query
     some = [r["query"] for r in near.select("query").distinct().collect()]
     q = F.array(*[F.array(*[F.lit(x) for x in v]) for v in asked])
-    each = vectors.select("hash", "qvec", F.explode(F.sequence(F.lit(0), F.lit(len(queries) - 1))).alias("query"))
-    if some:
-        narrow = each.where(F.col("query").isin(some)).join(near, ["query", "hash"], "left_semi")
-        each = narrow.unionByName(each.where(~F.col("query").isin(some)))
+    each = among(vectors, "hash", near).select("hash", "qvec").join(near, "hash").select("query", "hash", "qvec")
+    rest = [i for i in range(len(queries)) if i not in some]
+    if rest:
+        each = each.unionByName(vectors.select(F.explode(F.array(*map(F.lit, rest))).alias("query"), "hash", "qvec"))
     cosines = each.select("query", "hash", vec.cosine(F.col("qvec"), q[F.col("query")]).alias("cos")).where("cos > 0")
     terms = Terms(queries)
     own = _with_masks(documents, terms, stored, vocabulary, collection)

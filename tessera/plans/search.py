@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vector as vec
+from tessera.operators import fulltext as ft
 from tessera.operators import search as se
 from tessera.operators import store as st
 from tessera.plans.fixture import Fixture, with_
@@ -277,7 +278,7 @@ def stored(spark, d):
 
     rows = store(spark, d)
     content = materialize(st.content(rows), "content")
-    held = materialize(se.postings(content), "postings")
+    held = materialize(ft.postings(content), "postings")
     vectors = materialize(vec.hashed_vectors(content).select("hash", vec.quantized(F.col("vec")).alias("qvec")), "vectors")
     bands = vec.bands(vectors).select("hash", F.col("band").cast("int").alias("band"), "bucket")
     return rows.drop("body"), content, held, held.select("token").distinct(), vectors, bands
@@ -428,3 +429,66 @@ def websearch(q: str, body):
 @query("websearch_filter", with_(WEB) + rf"""SELECT k FROM web WHERE (contains(lower(body), 'borrow checker') AND NOT list_contains({tokens_sql('body')}, 'go')) OR (list_contains({tokens_sql('body')}, 'rust') AND NOT list_contains({tokens_sql('body')}, 'rules'))""")
 def websearch_filter(spark, d):
     return WEB.df(spark, d).where(websearch('"borrow checker" -go or rust -rules', F.col("body"))).select("k")
+
+
+def ranked_parts(q: str, n: str = "") -> str:
+    """Cover density over the tokens of bodies as common table expressions; the last is rbest."""
+    parts, forms = [f"toks AS (SELECT id, unnest(t) AS t, unnest(range(len(t))) AS i FROM (SELECT id, {tokens_sql("concat_ws(' ', path, title, body)")} AS t FROM own))"], []
+
+    def found(part: tuple[str, ...]) -> str:
+        joins = "".join(f" JOIN toks t{k} ON t{k}.id = t0.id AND t{k}.i = t0.i + {k} AND t{k}.t = {s(t)}" for k, t in enumerate(part[1:], 1))
+        return f"SELECT t0.id, t0.i AS s FROM toks t0{joins} WHERE t0.t = {s(part[0])}"
+
+    for k, w, branches in ft._forms(q):
+        for b, branch in enumerate(branches):
+            name, groups = f"{k}_{b}", range(len(branch.parts))
+            hits_ = " UNION ALL ".join(f"SELECT id, s, s + {len(p) - 1} AS e, {g} AS g, {len(p)} AS n FROM ({found(p)})" for g, p in enumerate(branch.parts))
+            last = ", ".join(f"max(CASE WHEN g = {g} THEN {x} END) OVER w AS {y}{g}" for g in groups for x, y in (("s", "s"), ("e", "e"), ("words - n", "w")))
+            all_ = lambda f, y: f"{f}({', '.join(f'{y}{g}' for g in groups)})"  # noqa: B023, E731
+            parts += [
+                f"hit{name} AS ({hits_})", f"sum{name} AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY s, e, g ROWS UNBOUNDED PRECEDING) AS words FROM hit{name})",
+                f"last{name} AS (SELECT id, s, e, g, words, {last} FROM sum{name} WINDOW w AS (PARTITION BY id ORDER BY s, e, g ROWS UNBOUNDED PRECEDING))",
+                f"from{name} AS (SELECT *, CASE WHEN {' AND '.join(f's{g} IS NOT NULL' for g in groups)} THEN {all_('least', 's')} END AS p FROM last{name})",
+                f"step{name} AS (SELECT *, lag(p) OVER (PARTITION BY id ORDER BY s, e, g) AS was FROM from{name})",
+                f"rank{name} AS (SELECT id, sum(0.1::DOUBLE / (1 + greatest(0, {all_('greatest', 'e')} - p + 1 - (words - {all_('least', 'w')})))) AS r FROM step{name} WHERE p IS NOT NULL AND (was IS NULL OR p > was) GROUP BY id)",
+            ]
+            never = "".join(f" AND id NOT IN (SELECT id FROM ({found(p)}))" for p in branch.never)
+            forms.append(f"SELECT id, {k} AS variant, {w}::DOUBLE AS weight, r FROM rank{name} WHERE true{never}")
+    parts += [
+        f"ranks AS (SELECT id, variant, weight, max(r) AS r FROM ({' UNION ALL '.join(forms)}) GROUP BY id, variant, weight)",
+        f"rscore AS (SELECT own.id, file, hash, variant, round((0.72::DOUBLE * least(r, 1) + 0.28::DOUBLE * ({overlap_sql(tx.query_tokens(q), 'hay')})::DOUBLE) * weight * {quality_sql('file')}, 6) AS score FROM ranks JOIN own ON own.id = ranks.id)",
+        "rbest AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY score DESC, file, id, variant) AS k FROM rscore)",
+    ]
+    return ", ".join(parts)
+
+
+RANKED_WORDS, RANKED_WEB = "the and", '"that and" or config eau -thon'
+
+
+def ranked_tables(spark, d):
+    """Documents, heads, positional postings and their blocks, as an index keeps them."""
+    from tessera.session import materialize
+
+    rows = store(spark, d)
+    held = materialize(ft.postings(st.content(rows)), "postings")
+    return rows.drop("body"), materialize(ft.heads(rows), "heads"), held, materialize(ft.blocks(held), "blocks")
+
+
+@query("ranked_search", with_(OWN, ranked_parts(RANKED_WORDS)) + "SELECT id, file, score, variant FROM rbest WHERE k = 1" + TOP)
+def ranked_search(spark, d):
+    return hits(ft.ranked(*ranked_tables(spark, d), RANKED_WORDS))
+
+
+@query("ranked_websearch", with_(OWN, ranked_parts(RANKED_WEB)) + "SELECT id, file, score, variant FROM rbest WHERE k = 1 ORDER BY score DESC, file, id LIMIT 40")
+def ranked_websearch(spark, d):
+    return hits(ft.ranked(*ranked_tables(spark, d), RANKED_WEB, 40))
+
+
+@query("ranked_scan", with_(OWN, ranked_parts(RANKED_WEB)) + "SELECT id, file, score, variant FROM rbest WHERE k = 1" + TOP)
+def ranked_scan(spark, d):
+    return hits(ft.ranked_scan(store(spark, d), RANKED_WEB))
+
+
+@query("token_blocks", with_(STORE, f"each AS (SELECT hash, unnest({tokens_sql('body')}) AS token FROM (SELECT DISTINCT hash, body FROM st))") + "SELECT token, floor(log2(n))::INTEGER AS level, count(*) AS docs FROM (SELECT token, hash, count(*) AS n FROM each GROUP BY token, hash) GROUP BY token, floor(log2(n))::INTEGER")
+def token_blocks(spark, d):
+    return ft.blocks(ft.postings(st.content(store(spark, d))))

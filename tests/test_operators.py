@@ -12,6 +12,7 @@ from tessera.functions import code as co
 from tessera.functions import text as tx
 from tessera.functions import vector as vec
 from tessera.operators import bench as be
+from tessera.operators import fulltext as ft
 from tessera.operators import search as se
 from tessera.operators import store as st
 from tessera.operators import textual as te
@@ -249,7 +250,7 @@ def test_stored_searches_agree_with_those_over_bodies(spark):
 
 
 def test_scans_of_stored_tables_are_filtered(spark, tmp_path):
-    se.postings(spark.createDataFrame([("h", "one two"), ("g", "two three")], "hash string, body string")).write.parquet(str(tmp_path / "p"))
+    ft.postings(spark.createDataFrame([("h", "one two"), ("g", "two three")], "hash string, body string")).write.parquet(str(tmp_path / "p"))
     stored = spark.read.parquet(str(tmp_path / "p"))
     near = se.among(stored, "token", spark.createDataFrame([("two",)], "token string"))
     assert "In(token" in near._jdf.queryExecution().executedPlan().toString() or "EqualTo(token" in near._jdf.queryExecution().executedPlan().toString()
