@@ -179,28 +179,33 @@ def simhash(docs: DataFrame) -> DataFrame:
     return materialize(slim.mapInArrow(released(_fingerprints), "doc_id bigint, text_hash bigint, fp bigint"), "simhash")
 
 
-def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """One row per document: doc_id, text_hash, fp (signed), component_id (smallest doc_id reachable by links).
-
-    Null text counts as empty (fingerprint zero); null doc_ids keep their rows and never name a component unless it has
-    no other id; repeated rows each keep a row; an empty table gives none. Further columns are ignored.
-    """
+def _rooted(docs: DataFrame, cap: int) -> DataFrame:
+    """simhash() with ``root``, the fingerprint that stands for the component, and component_id."""
     fps = simhash(docs)
     ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(ids.select("fp"), cap))
     rooted = ids.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return fps.join(rooted.select("fp", "root").join(least, "root"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """One row per document: doc_id, text_hash, fp (signed), component_id (smallest doc_id reachable by links).
+
+    Null text counts as empty (fingerprint zero); null doc_ids keep their rows and never name a component unless it has
+    no other id; repeated rows each keep a row; an empty table gives none. Further columns are ignored.
+    """
+    return _rooted(docs, cap).drop("root")
 
 
 def keep_one(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id (nulls last), then text hash."""
-    found = near_duplicates(docs, cap).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    # rows that share id, text and component are one candidate; a component without any id is named by its fingerprint
-    found = found.withColumn("group_key", F.coalesce(F.col("component_id"), F.xxhash64("fp")))
-    stay = found.groupBy("group_key").agg(F.min("rank").alias("r")).select(F.col("r.doc_id").alias("stay_id"), F.col("r.text_hash").alias("stay_hash")).distinct()
+    """The documents that stay: of each component the one with the smallest doc_id (nulls last), then text hash.
+
+    A component whose ids are all null keeps one of its documents too; of equal rows one stays.
+    """
+    found = _rooted(docs, cap).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    stay = found.groupBy("root").agg(F.min("rank").alias("r")).select(F.col("r.doc_id").alias("stay_id"), F.col("r.text_hash").alias("stay_hash")).distinct()
     stay = materialize(stay, "simhash-kept")
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     own = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("own_id"), text_hash.alias("own_hash"))
