@@ -94,7 +94,7 @@ MIN_KEYED = 4
 #: Forms that the base patterns do not know: e-mail addresses spelt out, long and broken addresses of machines, card numbers
 #: with other marks, accounts, and streets. A window opens at each; what it is, features of whole spans decide.
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?| dot |\.)"
-_SPELT = re.compile(rf"(?i)(?:\s?[\[({{<]\s?(?:at|@)\s?[\])}}>]\s?|(?<=[a-z0-9]) at (?=[a-z0-9-]{{1,40}} dot [a-z]{{2}}))[\w-]{{1,40}}(?:{_DOT}[\w-]{{1,40}}){{1,4}}")
+_SPELT = re.compile(rf"(?i)(?:\s?[\[({{<]\s?(?:at|@)\s?[\])}}>]\s?|(?<=[a-z0-9]) at (?=[a-z0-9-]+ dot [a-z]{{2}}))[\w-]+(?:{_DOT}[\w-]+)+")
 _TOP = re.compile(r"(?i)[\W_](?:com|org|net|edu|gov|info|io|co|eu|uk|de|fr|es|it|nl|pt|ch|at|be|us|ca|au|in|jp|br)$")
 _SIX = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![\w:])")
 _BROKEN = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\]|\.)[0-9]{1,3}){2}(?![0-9])")
@@ -102,17 +102,26 @@ _MARKED = re.compile(r"(?<![0-9])[0-9]{4}([./_\xa0])[0-9]{4}\1[0-9]{4}\1[0-9]{1,
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _REGISTER = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z]|[A-Z]{2} ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D])(?![\w-])")
 _ACCOUNT_LED = re.compile(r"(?i)(?:\bSSN|social security(?: number)?|passport(?: number| no\.?)?|\bIBAN|account (?:number|no\.?)|national insurance(?: number)?|\bNINO|\bDNI|tax id|driver'?s licen[cs]e(?: number)?)[ \t]{0,3}(?:[:#=]|is|number)?[ \t]{0,3}(?=[A-Z0-9])")
+_KINDS_OF_STREET = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way|Terrace|Highway"
 _STREET = re.compile(
-    r"(?<![\w])(?:[0-9]{1,5}[A-Za-z]?,? (?:[NSEW]\.? )?(?:[A-Z0-9][\w'.-]{0,30} ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way|Terrace|Highway)\b"
-    r"|[0-9]{1,4}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|quai) [\w'-]{1,30}|[A-ZÄÖÜ][\w-]{1,30}(?:straße|strasse|str\.|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?"
-    r"|(?:Calle|Avenida|Plaza|Paseo) (?:[\w.]{1,30},? ){1,4}(?:n\.?º ?)?[0-9]{1,4})"
+    rf"(?<![\w])(?:[0-9]{{1,5}}[A-Za-z]?,? (?:[NSEW]\.? )?(?:[A-Z0-9][\w'.-]* ){{1,4}}(?:{_KINDS_OF_STREET})\b"
+    r"|[0-9]{1,4}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|allée|quai) [\w'-]+|[A-ZÄÖÜ][\w-]+(?:straße|strasse|str\.|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?"
+    r"|(?:Calle|Avenida|Plaza|Paseo) (?:(?:[\w.]+,? ){1,4}|(?:(?!Calle|Avenida|Plaza|Paseo)(?:[A-ZÀ-Þ][\w.]*|de|del|la|las|los|el|y),? )+)(?:n\.?º ?)?[0-9]{1,4})"
 )
+#: The fixed part of a long street: words with capitals or digits are taken before it, back to the nearest house number.
+_STREET_END = re.compile(rf"(?<= )(?:{_KINDS_OF_STREET})\b")
+_HOUSE = re.compile(r"[0-9]{1,5}[A-Za-z]?,?")
 #: What may follow a street: a part of a town, a flat, a town, a state, a post code.
-_PLACE = re.compile(r"(?:,? (?:[NS][EW]?|[EW]|Apt\.? ?\w{1,5}|Suite \w{1,5}|#\w{1,5}|[A-Z][a-zé]{1,20}|[A-Z]{2}|[0-9]{5}(?:-[0-9]{4})?|[A-Z]{1,2}[0-9]{1,2}[A-Z]? [0-9][A-Z]{2}|de|la|du|des)(?!\w)){1,8}")
+_PLACE = re.compile(r"(?:,? (?:[NS][EW]?|[EW]|Apt\.? ?\w{1,5}|Suite \w{1,5}|#\w{1,5}|[A-Z][a-zé]+|[A-Z]{2}|[0-9]{5}(?:-[0-9]{4})?|[A-Z]{1,2}[0-9]{1,2}[A-Z]? [0-9][A-Z]{2}|de|la|du|des)(?!\w))+")
 _STREET_WORD = re.compile(r"\b(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Square|Way|Terrace|Highway|rue|avenue|boulevard|place|chemin|allée|quai|Calle|Avenida|Plaza|Paseo)\b|(?:straße|strasse|str\.|weg|platz|allee|gasse)(?= |$)")
 #: What leads to a name: a title or a phrase (strong), or a form of address or a field (weak).
 _NAME_LED = re.compile(r"(?:(?P<strong>\b(?:Mr|Mrs|Ms|Mx|Dr|Prof|Herrn?|Frau|Mme|Monsieur|Madame|Sra?|Señora?)\b\.?|(?i:\bmy name is|\bsigned by|\bname is))|(?P<weak>(?i:\b(?:full |first |last |customer |patient |contact |user)?name ?[:=]|\b(?:patient|contact|attn|from|to) ?:)|\b(?:Dear|Regards,|Sincerely,|Hi|Hello)))[ \t\n]{1,2}(?=[A-ZÀ-Þ])")
-_NAME = re.compile(r"[A-ZÀ-Þ](?:[^\W\d_]|['’]){0,30}(?:-[A-ZÀ-Þ][^\W\d_]{0,30})?(?![\w])\.?")
+_NAME = re.compile(r"[A-ZÀ-Þ](?:[^\W\d_]|['’])*+(?:-[A-ZÀ-Þ][^\W\d_]*+)*+(?![\w])\.?")
+_TITLE = re.compile(r"(?:Mr|Mrs|Ms|Mx|Dr|Prof|Herrn?|Frau|Mme|Monsieur|Madame|Sra?|Señora?)\b")
+#: Words before what is a digest of data and opens nothing.
+_DIGEST_LED = re.compile(r"(?i)\b(?:commit|revision|rev|tree|blob|parent|digest|checksum|etag|md5|sha-?(?:1|224|256|384|512)|integrity)(?:sum)?[\"']?\s{0,2}[:=# ]\s{0,2}[\"']?$")
+#: Words of a name that are tried.
+NAME_WORDS = 4
 _PARTICLE = re.compile(r"(?:de|da|di|del|della|van|von|der|den|la|le|bin|al) ")
 _NO_NAME = frozenset("The This That These Those It He She We You They I A An Sir Madam All Team Customer Customers Friend Friends Everyone Colleague Colleagues Client Editor Support Mom Dad There January February March April May June July August September October November December Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split())
 #: Strings without which there is no lead to a name, no address spelt out and no key word; the last three in lower case.
@@ -164,11 +173,14 @@ class Cover:
 
 
 def names(text: str) -> list[tuple[int, int]]:
-    """(start, end) of what may be a name after each lead: its first words with capitals, one to four of them."""
+    """(start, end) of what may be a name after each lead: its first words with capitals, up to NAME_WORDS of them; a title
+    after a form of address leads to the name itself."""
     out = []
     for m in _NAME_LED.finditer(text):
         at = a = m.end()
-        for _ in range(4):
+        if m["weak"] and _TITLE.match(text, at):
+            continue
+        for _ in range(NAME_WORDS):
             if not (word := _NAME.match(text, at)):
                 break
             b = word.end()
@@ -183,6 +195,39 @@ def names(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def streets(text: str) -> list[tuple[int, int]]:
+    """(start, end) of streets; one with many words is found from its last one back, no further than the street before."""
+    out, end = [m.span() for m in _STREET.finditer(text)], 0
+    known = {b for _, b in out}
+    for m in _STREET_END.finditer(text):
+        at = m.start()
+        while m.end() not in known and at > end and text[at - 1] == " ":
+            a = text.rfind(" ", end, at - 1) + 1 or end
+            while a < at and text[a] in "(\"'\n\t":
+                a += 1
+            word = text[a : at - 1]
+            if not word or "\n" in word or not (word[0].isupper() or word[0].isdigit()) or word[-1] in ".;:!?" and len(word) > 3:
+                break
+            at = a
+            if _HOUSE.fullmatch(word):
+                out.append((a, m.end()))
+                break
+        end = m.end()
+    return sorted(out)
+
+
+def spelt(text: str) -> list[tuple[int, int]]:
+    """(start, end) of e-mail addresses spelt out, with what stands before the sign."""
+    out, end = [], 0
+    for m in _SPELT.finditer(text):
+        a = m.start()
+        while a > end and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+            a -= 1
+        out.append((a, m.end()))
+        end = m.end()
+    return out
+
+
 class Hints:
     """What a text (UTF-8) may hold, by searches for plain strings: the patterns of what it cannot hold need not run."""
 
@@ -213,11 +258,13 @@ def triggers(text: str, cover: Cover, hints: Hints | None = None) -> tuple[list[
         runs += [t for t in names(text) if not cover.touches(*t)]
     whole = (_SIX, _BROKEN, _MARKED, _IBAN, _REGISTER) if hints.digits else (_SIX,) if hints.hex else ()
     runs += [t for p in whole for m in p.finditer(text) if not cover.touches(*(t := m.span()))]
-    parts = [*(_INSIDE if hints.digits else _INSIDE[:1]), *((_SPELT,) if hints.spelt else ()), *((_ACCOUNT_LED,) if hints.digits else ())]
+    parts = [*(_INSIDE if hints.digits else _INSIDE[:1]), *((_ACCOUNT_LED,) if hints.digits else ())]
     inside = [t for p in parts for m in p.finditer(text) if not cover.touches(*(t := m.span()))]
-    for m in _STREET.finditer(text) if hints.digits else ():
-        place = _PLACE.match(text, m.end())
-        inside.append((m.start(), place.end() if place else m.end()))
+    runs += [t for t in spelt(text) if not cover.touches(*t)] if hints.spelt else []
+    for a, b in streets(text) if hints.digits else ():
+        place = _PLACE.match(text, b)
+        inside.append((a, place.end() if place else b))
+        runs += [t for t in ((a, b), inside[-1]) if not cover.touches(*t)]
     runs = sorted(set(runs))
     return sorted(runs + inside), runs
 
@@ -276,6 +323,17 @@ def candidates(text: str, spans: list[tuple[int, int]], cover: Cover, runs: Sequ
     return out
 
 
+def street_from(text: str, a: int, b: int) -> int:
+    """Where a street that begins at ``a`` ends; 0 where none does. One of many words is looked for in the span alone."""
+    if text[a].isdigit() and " " not in text[a:b] or not text[a].isalnum():
+        return 0
+    if m := _STREET.match(text, a):
+        return m.end()
+    if (house := _HOUSE.match(text, a, b)) and text[house.end() : house.end() + 1] == " " and (m := _STREET_END.search(text, a, b)):
+        return m.end() if (0, m.end() - a) in streets(text[a : m.end()]) else 0
+    return 0
+
+
 def _six(s: str) -> bool:
     try:
         ipaddress.IPv6Address(s)
@@ -288,7 +346,7 @@ def features(text: str, a: int, b: int) -> list[str]:
     """Features of a whole span and its neighbourhood."""
     s = text[a:b]
     digits, upper, lower = (sum(map(f, s)) for f in (str.isdigit, str.isupper, str.islower))
-    marks = {c for c in s if not c.isalnum()}
+    marks, letters = {c for c in set(s) if not c.isalnum()}, upper + lower > 0
     before, after = text[max(0, a - 24) : a], text[b : b + 1]
     tight = before.rstrip(" :=\"'(")
     run = not marks
@@ -325,6 +383,8 @@ def features(text: str, a: int, b: int) -> list[str]:
             out.append(f"led_{'pass' if m['strong'] else 'key'}_{'lower' if s.islower() else 'upper' if s.isupper() else 'mixed'}")
         if _NO_VALUE.fullmatch(s):
             out.append("no_value")
+    if run and digits and len(s) > 23 and _DIGEST_LED.search(text, max(0, a - 24), a):
+        out.append("digest_led")
     if len(s) < MIN_CHARS:
         out.append("short")
     if before[-1:] in "\"'" and before and after in ("\"", "'"):
@@ -337,10 +397,10 @@ def features(text: str, a: int, b: int) -> list[str]:
         out += [] if not upper + lower else ["goes_on_run" if run else "goes_on_marks"]
     if after == ":" and text[b + 1 : b + 2].isalnum() or before[-1:] == ":" and text[max(0, a - 2) : a - 1].isalnum():
         out.append("cut_colon")
-    if _KEYWORD.search(s):
+    if letters and _KEYWORD.search(s):
         out.append("keyword_inside")
-    if _SPELT.search(s):
-        out += ["spelt", "spelt_whole" if re.fullmatch(rf"(?i)[\w.+-]{{1,64}}{_SPELT.pattern[4:]}", s) else "spelt_part"]
+    if letters and _SPELT.search(s):
+        out += ["spelt", "spelt_whole" if re.fullmatch(rf"(?i)[\w.+-]+{_SPELT.pattern[4:]}", s) else "spelt_part"]
         out.append(f"spelt_{'marked' if re.search('[\\[({<@]', s) else 'plain'}_{'known' if _TOP.search(s) else 'other'}")
         out.append("spelt_cut" if re.match(rf"(?i){_DOT}\w", text[b : b + 12]) else "spelt_end")
     if s.count(":") > 1 and _SIX.fullmatch(s):
@@ -356,17 +416,17 @@ def features(text: str, a: int, b: int) -> list[str]:
         out += ["register", "register_dashed" if "-" in s else "register_solid"]
     if _ACCOUNT_LED.search(text, max(0, a - 40), a + 1) and _ACCOUNT_LED.search(text[max(0, a - 40) : a] + "0", 0) and re.search(r"(?i)(?:number|no\.?|SSN|IBAN|passport|NINO|DNI|id|security|insurance|licen[cs]e)[ \t]*(?:[:#=]|is)?[ \t]*$", text[max(0, a - 40) : a]):
         out += ["account_led", "account_led_group" if re.fullmatch(r"[A-Z0-9]+(?:[ -][A-Z0-9]*[0-9][A-Z0-9]*)*", s) else "account_led_other"]
-    if m := _STREET.match(text, a):
-        out += ["street", "street_cut" if b < m.end() else "street_end" if b == m.end() else "street_more"]
-        rest = s[m.end() - a :]
+    if end := street_from(text, a, b):
+        out += ["street", "street_cut" if b < end else "street_end" if b == end else "street_more"]
+        rest = s[end - a :]
         if rest:
-            place = _PLACE.match(text, m.end())
+            place = _PLACE.match(text, end)
             out.append("street_over" if not place or place.end() < b else "place_whole" if place.end() == b else "place_part")
-    elif _STREET_WORD.search(s):
+    elif letters and _STREET_WORD.search(s):
         out.append("street_word")
     if not digits and s[:1].isupper():
-        if m := _NAME_LED.search(text[max(0, a - 24) : a] + "X", 0):
-            if m.end() == min(a, 24):
+        if leads := [*_NAME_LED.finditer(text[max(0, a - 24) : a] + "X")]:  # the last one is the nearest
+            if (m := leads[-1]).end() == min(a, 24):
                 words = re.findall(r"[^\W\d_][\w'’.-]*", s)
                 out += ["name_led", "name_strong" if m["strong"] else "name_weak", f"name_words{min(len(words), 4)}"]
                 out.append("name_never" if words[0] in _NO_NAME else "name_odd" if any(w.isupper() and len(w) > 3 for w in words) else "name_plain")
@@ -540,8 +600,14 @@ def _made_forms(rng: random.Random) -> tuple[str, list[tuple[int, str, int]]]:
     cap = lambda: word().title()
     d = lambda n: some(figures, n)
     lead, kind, tail = rng.choice(["", word() + " "]), None, ""
-    what = rng.randrange(14)
-    if what == 0:
+    what = rng.randrange(16)
+    if what == 14:
+        lead += rng.choice(["commit ", "sha256:", "SHA-1: ", "md5 = ", "revision ", "checksum: ", "sha256sum ", "digest=", "tree "])
+        body = some("0123456789abcdef", rng.choice([32, 40, 40, 64]) - 1) + d(1)
+    elif what == 15:
+        kind, few = "address", rng.randint(5, 8)
+        body = f"{d(4)} {' '.join(cap() for _ in range(few))} {rng.choice(['Street', 'Boulevard', 'Avenue', 'Road'])}" + rng.choice(["", f", Apt {d(2)}, {cap()}, {some(upper, 2)} {d(5)}", f", {cap()}, {some(upper, 2)} {d(5)}"])
+    elif what == 0:
         kind = "email"
         at, dot = rng.choice([(" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), (" [at] ", "."), ("[@]", ".")])
         body = word() + rng.choice(["", "." + word(), d(2)]) + at + word() + dot + rng.choice(["com", "org", "net", "de"])
@@ -574,8 +640,8 @@ def _made_forms(rng: random.Random) -> tuple[str, list[tuple[int, str, int]]]:
         ])
     elif what in (8, 9):
         kind = "name"
-        lead += rng.choice(["Mr ", "Mr. ", "Mrs. ", "Ms ", "Dr. ", "Prof. ", "Herr ", "Frau ", "my name is ", "name: ", "Name: ", "Dear ", "contact: ", "signed by "])
-        body = rng.choice([cap(), f"{cap()} {cap()}", f"{cap()} {some(upper, 1)}. {cap()}", f"{cap()} {cap()} {cap()}", f"{cap()} van {cap()}", f"{cap()} {cap()}-{cap()}"])
+        lead += rng.choice(["Mr ", "Mr. ", "Mrs. ", "Ms ", "Dr. ", "Prof. ", "Herr ", "Frau ", "my name is ", "name: ", "Name: ", "Dear ", "Dear Mr ", "contact: ", "signed by "])
+        body = rng.choice([cap(), f"{cap()} {cap()}", f"{cap()} {some(upper, 1)}. {cap()}", f"{cap()} {cap()} {cap()}", f"{cap()} van {cap()}", f"{cap()} {cap()}-{cap()}", cap() + word() + word() + word()])
         tail = rng.choice(["", ",", " " + word()])
     elif what == 10:
         lead += rng.choice(["Dear ", "Hi ", "name: ", "to: ", "Hello "])

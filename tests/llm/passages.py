@@ -104,3 +104,17 @@ LATER = [
     ("Password: use at least twelve characters", []),
     ("auth: none", []),
 ]
+
+#: Written after the features for long forms: forms beyond any fixed number of words or letters, and digests of data.
+LONG = [
+    ("Ship to 12 North Main Street, Apt 4, New York, NY 10001 before noon.", [("address", "12 North Main Street, Apt 4, New York, NY 10001")]),
+    ("Deliver it at 1234 North Martin Luther King Junior Boulevard, Apt 12, Oakland, CA 94612 please", [("address", "1234 North Martin Luther King Junior Boulevard, Apt 12, Oakland, CA 94612")]),
+    ("Dear Mr Wolfeschlegelsteinhausenbergerdorffs, thank you.", [("name", "Wolfeschlegelsteinhausenbergerdorffs")]),
+    ("Mail bob [at] averyveryveryveryverylonghostnameindeedforsure [dot] com today", [("email", "bob [at] averyveryveryveryverylonghostnameindeedforsure [dot] com")]),
+    ("See commit 3f786850e387550fdab836ed7e6dc881de23001b for the fix.", []),
+    ("sha256:9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08 is the image", []),
+    ("md5 = d41d8cd98f00b204e9800998ecf8427e", []),
+    ("Dear Mrs Okonkwo, your order is here.", [("name", "Okonkwo")]),
+    ("the checksum: 2fd4e1c67a2d28fced849ee1bb76e7391b93eb12 did not match", []),
+    ("In 2019 the club moved to a road by the sea.", []),
+]

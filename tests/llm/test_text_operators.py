@@ -53,7 +53,7 @@ def test_chat_takes_time_in_proportion():
     began = time.process_time()
     for text in ("\\" * 200_000, "\\" * 100_000 + "</turn>" + "### " * 20_000, "#" * 200_000):
         assert chat.parse(chat.render("user", text))[0][1] == text
-    assert time.process_time() - began < 20
+    assert time.process_time() - began < 20 * slow
 
 
 def test_chat_digests(spark):
@@ -328,9 +328,12 @@ def test_pii_best_segmentation_is_the_best(model):
 
 @pytest.mark.parametrize("text", ["a" * 300_000 + " 1", "12345678," * 30_000, "+1 (555) 123-4567 " * 8000, "a@b.cd " * 20_000, "x@" * 50_000 + "1", "1." * 100_000, "+1" + "(" * 200_000, "ab1/" * 60_000, "0" * 300_000, "abc:" * 60_000, "x at y dot " * 20_000, "a.dot " * 40_000, "Mr X" * 50_000, "Dear " * 50_000, "12 Aa " * 40_000, "DE12 " * 40_000, "A" * 300_000, "rue 1 rue " * 30_000, "1[.]" * 60_000])
 def test_pii_takes_time_in_proportion(model, text):
+    began = time.process_time()
+    sum(range(2_000_000))
+    slow = max(1, (time.process_time() - began) / 0.04)  # of this machine just now
     began = time.process_time()
     base, spans = semicrf.find(text.encode(), model)
-    assert set(base) <= set(spans) and time.process_time() - began < 20
+    assert set(base) <= set(spans) and time.process_time() - began < 20 * slow
 
 
 def test_pii_in_long_runs(model):
@@ -344,6 +347,25 @@ def test_pii_in_long_runs(model):
     assert semicrf.find(("data:image/png;base64," + some(3000, "+/")).encode(), model)[1] == []  # data and no one's
 
 
+def test_pii_forms_of_any_length(model):
+    from passages import LONG
+
+    for text, want in LONG:
+        assert [(semicrf.KINDS[k], text[a:b]) for a, k, b in semicrf.find(text.encode(), model)[1]] == want, text
+
+
+def test_pii_scans_stay_linear(model):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = ("12 A " * n + "Street " + "Calle Del " * n + "Mr " + "Ab " * n + "x [at] " + "y." * n).encode()
+        began = time.process_time()
+        semicrf.triggers(text.decode(), semicrf.Cover([]), semicrf.Hints(text))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_pii_on_passages_the_generator_does_not_make(model):
     cases = [
         ("call 555 123 4567", ["555 123 4567"]), ("Please call (555) 123 4567 today", ["(555) 123 4567"]), ("tel 06 12 34 56 78.", ["06 12 34 56 78"]), ("password: hunter2", ["hunter2"]), ("pwd=ab12cd3", ["ab12cd3"]),
