@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.substrings import pairs
+from tessera.session import materialize
+
 #: Other names of agents, agents for files that no module lists, and agents that follow any research agent.
 AGENT_NAMES = {
     "Overview": ("Project Overview", "OverviewEditor"),
@@ -55,7 +58,12 @@ def agent_name(agent: Column) -> Column:
 
 def affected_agents(files: DataFrame, modules: DataFrame) -> DataFrame:
     """(agent): of modules (agent, input) whose input holds a changed file's name or is held by it, and those that follow."""
-    hit = files.join(modules, F.contains("file", F.col("input")) | F.contains("input", F.col("file"))).select("file", agent_name(F.col("agent")).alias("agent"))
+    names, inputs = files.select(F.col("file").alias("hay")), modules.select(F.col("input").alias("hay"))
+    turned = lambda rows: rows.select(F.col("hay").alias("needle"))
+    holds = pairs(turned(inputs), names).select(F.col("hay").alias("file"), F.col("needle").alias("input"))
+    held = pairs(turned(names), inputs).select(F.col("needle").alias("file"), F.col("hay").alias("input"))
+    met = materialize(holds.unionByName(held).distinct(), "met")
+    hit = met.join(modules, "input").select("file", agent_name(F.col("agent")).alias("agent"))
     lost = files.join(hit.select("file"), "file", "left_anti").select(F.explode(F.array(*map(F.lit, UNLISTED))).alias("agent"))
     direct = hit.select("agent").unionByName(lost).distinct()
     after = direct.where(F.rlike("agent", F.lit(RESEARCH))).select(F.explode(F.array(*map(F.lit, FOLLOWERS))).alias("agent"))

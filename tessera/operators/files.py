@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as pa
+from tessera.operators.substrings import pairs
 
 
 def language_counts(files: DataFrame) -> DataFrame:
@@ -94,7 +95,11 @@ def top_insights(rows: DataFrame, limit: int) -> DataFrame:
 
 def by_domain(rows: DataFrame, domains: DataFrame, limit: int) -> DataFrame:
     """(domain, path): files whose path holds one of the domain's places or is held by one, the first few of each."""
-    hit = rows.join(domains, F.contains("path", F.col("place")) | F.contains("place", F.col("path"))).select("domain", "path").distinct()
+    paths, places = rows.select(F.col("path").alias("hay")), domains.select(F.col("place").alias("hay"))
+    turned = lambda own: own.select(F.col("hay").alias("needle"))
+    holds = pairs(turned(places), paths).select(F.col("hay").alias("path"), F.col("needle").alias("place"))
+    held = pairs(turned(paths), places).select(F.col("needle").alias("path"), F.col("hay").alias("place"))
+    hit = holds.unionByName(held).join(domains, "place").select("domain", "path").distinct()
     n = F.row_number().over(Window.partitionBy("domain").orderBy("path"))
     return hit.withColumn("n", n).where(F.col("n") <= limit).select("domain", "path")
 

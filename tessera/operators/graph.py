@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.substrings import pairs
+
 
 def adjacency(dependencies: DataFrame) -> DataFrame:
     """(path, targets): each file's targets in order, repeats kept."""
@@ -13,9 +15,9 @@ def adjacency(dependencies: DataFrame) -> DataFrame:
 
 def resolve_labels(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """(label, path): the first node (by path) that ends with the label, holds it, or has it as its stem."""
-    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    hit = labels.join(nodes, F.endswith("path", F.col("label")) | F.contains("path", F.col("label")) | (stem == F.col("label")))
-    return hit.groupBy("label").agg(F.min("path").alias("path"))
+    # an ending and a stem are parts of the path too
+    hit = pairs(labels.select(F.col("label").alias("needle")), nodes.select(F.col("path").alias("hay")))
+    return hit.groupBy(F.col("needle").alias("label")).agg(F.min("hay").alias("path"))
 
 
 def edges(dependencies: DataFrame, nodes: DataFrame) -> DataFrame:

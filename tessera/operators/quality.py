@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import lines
+from tessera.operators.substrings import found
 
 #: Sections, weights, patterns and penalties.
 REQUIRED = ("Project Overview", "Architecture Description", "Core Workflows", "Boundary Interfaces")
 OPTIONAL, LEAST_BYTES = "Database Overview", 100
 REFERENCE = r"`([^`]+\.[a-zA-Z]{1,10})`"
 PATH_REFERENCE = r"`([a-zA-Z0-9_/\\.-]+\.[a-zA-Z]{1,10})`"
+CONVERSION = "^(to|as|into|from|try_from|try_into)_"
 TERM = r"`([A-Za-z_][A-Za-z0-9_]{2,})`"
 CLAIM = r"(?i)\b(built with|uses|powered by|written in|framework|stack)\b"
 ERROR_PENALTY, WARNING_PENALTY = 0.15, 0.05
@@ -66,29 +68,26 @@ def coherence(sections: DataFrame) -> DataFrame:
     """(norm, variants): spellings of the same name, without pairs of a conversion method and a type."""
     terms = sections.select(F.explode(F.regexp_extract_all("content", F.lit(TERM), F.lit(1))).alias("term")).distinct()
     groups = terms.groupBy(F.regexp_replace(F.lower("term"), "[_-]", "").alias("norm")).agg(F.array_sort(F.collect_set("term")).alias("variants"))
-    conversion = F.exists("variants", lambda v: F.rlike(v, F.lit("^(to|as|into|from|try_from|try_into)_")))
-    type_name = F.exists("variants", lambda v: F.rlike(v, F.lit("^[A-Z]")) & ~F.rlike(v, F.lit("^(to|as|into|from|try_from|try_into)_")))
+    conversion = F.exists("variants", lambda v: F.rlike(v, F.lit(CONVERSION)))
+    type_name = F.exists("variants", lambda v: F.rlike(v, F.lit("^[A-Z]")) & ~F.rlike(v, F.lit(CONVERSION)))
     return groups.where(~((F.size("variants") == 2) & conversion & type_name))
 
 
 def symbol_coverage(symbols: DataFrame, sections: DataFrame) -> DataFrame:
-    """(symbol, found): names in some section; short ones only as whole words.
-
-    Sections are a documentation's few texts; each is tested against the distinct symbols, so the larger side streams.
-    """
-    whole = F.rlike(F.col("content"), F.concat(F.lit(r"\b"), F.col("symbol"), F.lit(r"\b")))
+    """(symbol, found): names in some section; short ones only as whole words."""
     distinct = symbols.where("symbol <> ''").select("symbol").distinct()
-    pairs = distinct.join(sections.select("content"), F.when(F.octet_length("symbol") <= 4, whole).otherwise(F.contains("content", F.col("symbol"))), "left_semi").withColumn("found", F.lit(True))
-    return distinct.join(pairs, "symbol", "left").select("symbol", F.coalesce("found", F.lit(False)).alias("found"))
+    needles = distinct.select(F.col("symbol").alias("needle"), (F.octet_length("symbol") <= 4).alias("whole"))
+    seen = found(needles, sections.select(F.col("content").alias("text"))).select(F.col("needle").alias("symbol"), F.lit(True).alias("found"))
+    return distinct.join(seen, "symbol", "left").select("symbol", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def file_coverage(files: DataFrame, sections: DataFrame) -> DataFrame:
     """(path, found): files whose path or name some section holds, whatever its case."""
     files = files.select("path").distinct()
-    low = files.select("path", F.lower("path").alias("low"), F.lower(F.substring_index("path", "/", -1)).alias("name"))
-    docs = sections.select(F.lower("content").alias("text"))
-    hit = low.join(docs, F.contains("text", F.col("low")) | F.contains("text", F.col("name")), "left_semi").select("path", F.lit(True).alias("f"))
-    return files.select("path").join(hit, "path", "left").select("path", F.coalesce("f", F.lit(False)).alias("found"))
+    names = files.select("path", F.explode(F.array(F.lower("path"), F.lower(F.substring_index("path", "/", -1)))).alias("needle"))
+    seen = found(names.select("needle", F.lit(False).alias("whole")), sections.select(F.lower("content").alias("text")))
+    hit = names.join(seen, "needle", "left_semi").select("path").distinct().withColumn("f", F.lit(True))
+    return files.join(hit, "path", "left").select("path", F.coalesce("f", F.lit(False)).alias("found"))
 
 
 def section_scores(findings: DataFrame) -> DataFrame:
