@@ -300,3 +300,18 @@ def dependency_priority(spark, d):
 @query("fence_languages", with_(FILES, BASE) + "SELECT path, " + case([(v, f"lower(ext) = '{k}'") for k, v in pa.DOC_LANGUAGE.items()], "'text'") + " AS fence FROM f")
 def fence_languages(spark, d):
     return files(spark, d).select("path", pa.first([(v, F.lower(pa.extension(F.col("path"))) == k) for k, v in pa.DOC_LANGUAGE.items()], "text").alias("fence"))
+
+
+IGNORES = [("", 0, "# built files"), ("", 1, "*.log"), ("", 2, "!keep.log"), ("", 3, "build/"), ("", 4, "/d3/docs"), ("d1/src", 0, "!*.log"), ("d1/src", 1, "*.c"), ("d1/src", 2, "!7.c")]
+TREE = "tree AS (SELECT 'd' || (doc_id % 7)::VARCHAR || '/' || CASE doc_id % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'build' ELSE 'docs' END AS dir, CASE WHEN doc_id % 11 = 0 THEN 'keep.log' ELSE doc_id::VARCHAR || CASE doc_id % 5 WHEN 0 THEN '.log' WHEN 1 THEN '.c' ELSE '.md' END END AS name FROM documents WHERE doc_id >= 0)"
+
+
+@query("gitignore_files", f"WITH {TREE} SELECT DISTINCT dir || '/' || name AS path FROM tree WHERE ends_with(dir, '/build') OR dir = 'd3/docs' OR (ends_with(name, '.log') AND name <> 'keep.log' AND dir <> 'd1/src') OR (ends_with(name, '.c') AND dir = 'd1/src' AND name <> '7.c')")
+def gitignore_files(spark, d):
+    from tessera.sources import collection as co
+
+    n = F.col("doc_id")
+    folder = F.concat(F.lit("d"), (n % 7).cast("string"), F.lit("/"), F.when(n % 3 == 0, "src").when(n % 3 == 1, "build").otherwise("docs"), F.lit("/"))
+    name = F.when(n % 11 == 0, "keep.log").otherwise(F.concat(n.cast("string"), F.when(n % 5 == 0, ".log").when(n % 5 == 1, ".c").otherwise(".md")))
+    paths = spark.read.parquet(f"{d.rstrip('/')}/documents.parquet").where(n >= 0).select(F.concat(folder, name).alias("path"))
+    return co.ignored(paths, spark.createDataFrame(IGNORES, co.RULES))
