@@ -179,10 +179,10 @@ def visible_documents(spark, d):
     return VISIBLE.df(spark, d).where((F.size("targets") == 0) | F.array_contains("targets", "Overview")).select("name")
 
 
-@query("format_for_prompt", with_(STORE) + "SELECT collection, string_agg('## ' || title || chr(10) || substr(body, 1, 100), chr(10) ORDER BY id) AS prompt FROM st GROUP BY collection")
+@query("format_for_prompt", with_(STORE) + "SELECT collection, id, '## ' || title || chr(10) || body AS part FROM st")
 def format_for_prompt(spark, d):
-    rows = store(spark, d).select("collection", "id", F.concat(F.lit("## "), F.col("title"), F.lit("\n"), F.substring("body", 1, 100)).alias("part"))
-    return rows.groupBy("collection").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "part"))), lambda x: x["part"]), "\n").alias("prompt"))
+    """A prompt's parts with whole texts; a collection's prompt is its parts by id, and no row gathers a collection."""
+    return store(spark, d).select("collection", "id", F.concat(F.lit("## "), F.col("title"), F.lit("\n"), F.col("body")).alias("part"))
 
 
 @query("markdown_pages")
@@ -203,9 +203,9 @@ def prompt_snippets(spark, d):
     return store(spark, d).orderBy("id").limit(8).select("id", F.substring(F.trim(F.regexp_replace("body", r"\s+", " ")), 1, 220).alias("snippet"))
 
 
-@query("supplementary_docs", with_(STORE) + f"SELECT id, array_to_string(list_slice({lines_sql('body')}, 1, 2), chr(10)) AS head, octet_length(encode(substr(body, 1, 400)))::BIGINT AS bytes FROM st")
+@query("supplementary_docs", with_(STORE) + f"SELECT id, array_to_string({lines_sql('body')}, chr(10)) AS body, strlen(body)::BIGINT AS bytes FROM st")
 def supplementary_docs(spark, d):
-    return store(spark, d).select("id", tx.slice_lines(F.col("body"), 1, 2).alias("head"), F.octet_length(F.substring("body", 1, 400)).cast("long").alias("bytes"))
+    return store(spark, d).select("id", tx.slice_lines(F.col("body")).alias("body"), F.octet_length("body").cast("long").alias("bytes"))
 
 
 PROJECT_DOCS = Fixture("fx", "project string, path string, body string", [("a", "docs/README.md", "# Guide\n\n" + "line é\n" * 700), ("a", "CLAUDE.md", "rules\n```\ncode\n```\n\nmore\n"), ("a", "README.md", "not a candidate"), ("b", "CONTRIBUTING.md", "x" * 4001), ("c", "CLAUDE.md", "\n \n")]).over(project="tag", body="after")

@@ -214,7 +214,7 @@ def test_queries_keep_texts_with_a_last_line_end(spark, tmp_path):
     assert sorted((r["path"], r["line_no"], r["content"], r["after"]) for r in run("line_search")) == [("en/1.md", 2, "eau two", "three"), ("en/2.md", 2, "eau", None)]
     assert {r["path"] for r in run("file_search")} == {"en/1.md", "en/2.md"}
     assert {r["doc_id"]: r["part"] for r in run("slice_lines")} == {1: "eau two\nthree", 2: "eau", 3: "", 4: None}
-    assert {r["id"]: r["head"] for r in run("supplementary_docs")} == {1: "one\neau two", 2: "x\neau", 3: "", 4: ""}
+    assert {r["id"]: r["body"] for r in run("supplementary_docs")} == {1: "one\neau two\nthree", 2: "x\neau", 3: "", 4: ""}
     assert [(r["n_lines"], r["bytes"]) for r in run("source_text_lines")] == [(4 + 3 + 1, 15 + 4)]
 
 
