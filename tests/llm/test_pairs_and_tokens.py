@@ -77,6 +77,15 @@ def brute_duplicates(rows):
     return Counter((rows[i][0], fps[i], least.get(group[i])) for i in range(len(rows)))
 
 
+def test_one_of_a_component_without_ids_stays(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    near = next(t for k in range(400) for t in [text.replace(f"w{k} ", "other ", 1)] if 0 < bin(golay.fingerprint(t.encode()) ^ golay.fingerprint(text.encode())).count("1") <= 2)
+    rows = [(None, text), (None, near), (None, near), (None, "quite another text"), (7, "one two three four"), (None, "one two three four")]
+    kept = golay.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(kept) == 3 and len({r["text"] for r in kept} & {text, near}) == 1
+    assert [r["doc_id"] for r in kept if r["text"] == "one two three four"] == [7]
+
+
 @pytest.mark.parametrize("cap", [2, 256])
 def test_near_duplicates_of_documents(spark, cap):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
