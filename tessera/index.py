@@ -296,8 +296,8 @@ class Index:
         other = self._fallback([queries[i] for i in none], limit, collection, now)
         return hits.unionByName(other.withColumn("query", F.array(*map(F.lit, none))[F.col("query")]).select(*hits.columns))
 
-    def _vector(self, queries: list[str], limit: int, now: Manifest) -> DataFrame:
-        return se.vector_stored_many(*(self._table(n, now) for n in ("documents", "vectors", "bands", "postings", "terms")), queries, limit)
+    def _vector(self, queries: list[str], limit: int, now: Manifest, exact: bool = False) -> DataFrame:
+        return se.vector_stored_many(*(self._table(n, now) for n in ("documents", "vectors", "bands", "postings", "terms")), queries, limit, exact=exact)
 
     def search(self, query: str, limit: int = 10, min_score: float = 0.0, collection: str | None = None, telemetry: bool = False) -> DataFrame:
         now = self.manifest()
@@ -314,9 +314,10 @@ class Index:
 
         return self._logged("ranked", query, limit, self._answer(lambda: self._shown(hits(), query, now)), telemetry)
 
-    def vsearch(self, query: str, limit: int = 10, min_score: float = 0.0, telemetry: bool = False) -> DataFrame:
+    def vsearch(self, query: str, limit: int = 10, min_score: float = 0.0, telemetry: bool = False, exact: bool = False) -> DataFrame:
+        """By vectors; bands narrow the search to few of the nearest contents, with ``exact`` all vectors are compared."""
         now = self.manifest()
-        hits = lambda: self._vector([query], limit, now).drop("query").where(F.col("score") >= min_score)
+        hits = lambda: self._vector([query], limit, now, exact).drop("query").where(F.col("score") >= min_score)
         return self._logged("vector", query, limit, self._answer(lambda: self._shown(hits(), query, now)), telemetry)
 
     def query(self, query: str, limit: int = 10, min_score: float = 0.0, telemetry: bool = False) -> DataFrame:

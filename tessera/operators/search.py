@@ -220,14 +220,15 @@ def lexical_stored_many(documents: DataFrame, content: DataFrame, stored: DataFr
     return _top(_best_of(found).where(F.col("score") >= min_score), limit).select(*_HIT)
 
 
-def vector_stored_many(documents: DataFrame, vectors: DataFrame, bands: DataFrame, stored: DataFrame, vocabulary: DataFrame, queries: list[str], limit: int = 10, collection: str | None = None) -> DataFrame:
+def vector_stored_many(documents: DataFrame, vectors: DataFrame, bands: DataFrame, stored: DataFrame, vocabulary: DataFrame, queries: list[str], limit: int = 10, collection: str | None = None, exact: bool = False) -> DataFrame:
     """(query, id, file, hash, score, variant) by cosine with the stored vectors, and overlap from postings; no body is read.
 
-    Contents that share a band with a query are its candidates; a query that shares none meets all vectors.
+    Contents that share a band with a query are its candidates; a query that shares none, and with ``exact`` every query,
+    meets all vectors.
     """
     spark = documents.sparkSession
     asked = [vec.query_vector(q) for q in queries]
-    known = spark.createDataFrame([(i, b, u) for i, v in enumerate(asked) for b, u in vec.query_bands(v)], "query int, band int, bucket bigint")
+    known = spark.createDataFrame([(i, b, u) for i, v in enumerate(asked) for b, u in vec.query_bands(v) if not exact], "query int, band int, bucket bigint")
     listed = among(bands, "bucket", known.select("bucket"))
     near = materialize(listed.join(F.broadcast(known), ["band", "bucket"]).select("query", "hash").distinct(), "near")  # eight bands a query
     some = [r["query"] for r in near.select("query").distinct().collect()]

@@ -175,3 +175,15 @@ def test_searches_leave_no_files(spark, tmp_path):
     for search in (index.search, index.ranked, index.vsearch, index.query):
         assert search("the and", 3).count() <= 3
     assert sorted(p.name for p in folder.glob("*")) == before
+
+
+def test_exact_vector_search_meets_all(spark):
+    from tessera.functions import vector as vec
+    from tessera.operators import search as se
+    from tessera.plans import search as ps
+
+    rows, _, held, terms, vectors, bands = ps.stored(spark, SF)
+    got = se.vector_stored_many(rows, vectors, bands, held, terms, ["the and of"], 10_000, exact=True)
+    asked = vec.query_vector("the and of")
+    want = {r["hash"] for r in vectors.collect() if sum(a * b for a, b in zip(asked, r["qvec"], strict=True)) > 0}
+    assert {r["hash"] for r in got.collect()} == want
