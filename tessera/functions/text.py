@@ -15,6 +15,11 @@ TOKEN_SEPARATORS = r"[^\p{IsAlphabetic}\p{N}_]+"
 SNIPPET_CHARS = 360
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once a row, also where a lambda of ``use`` takes it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores of two bytes or more, repeats kept."""
     return F.filter(F.split(F.lower(text), TOKEN_SEPARATORS), lambda t: F.octet_length(t) >= 2)
@@ -64,9 +69,11 @@ def sections(text: Column, mark) -> Column:
 
     The pieces come from the array of lines within its row, in linear time, so no line is shuffled or sorted.
     """
-    own = lines(text)
-    marks = F.filter(F.transform(own, lambda x, i: F.when(mark(x), i)), lambda i: i.isNotNull())
-    return F.transform(marks, lambda at, k: F.struct(at.alias("at"), F.get(own, at).alias("head"), F.slice(own, at + 2, F.coalesce(F.get(marks, k + 1), F.size(own)) - at - 1).alias("below")))
+    def cut(own):
+        marks = F.filter(F.transform(own, lambda x, i: F.when(mark(x), i)), lambda i: i.isNotNull())
+        return let(marks, lambda m: F.transform(m, lambda at, k: F.struct(at.alias("at"), F.get(own, at).alias("head"), F.slice(own, at + 2, F.coalesce(F.get(m, k + 1), F.size(own)) - at - 1).alias("below"))))
+
+    return let(lines(text), cut)
 
 
 def window_around(body: Column, at: Column, chars: int = SNIPPET_CHARS) -> Column:

@@ -19,9 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import grouping
 from tessera.functions import text as tx
 from tessera.operators import search as se
 from tessera.operators.store import file
+from tessera.session import workers_import
 
 #: How rank and overlap make a score, and what a cover without other words adds.
 RANK, OVERLAP, COVER = 0.72, 0.28, 0.1
@@ -33,32 +35,37 @@ HITS = "id bigint, file string, hash string, score double, variant int"
 # ---- postings
 
 
-def _sorted(text: Column) -> Column:
-    """Tokens with their places, by token: one sort within the row."""
-    return F.sort_array(F.transform(tx.tokens(text), lambda t, i: F.struct(t.alias("t"), i.cast("int").alias("i"))))
+#: Bytes of texts whose postings a task sorts.
+SORTED_BYTES = 16 << 20
 
 
-def _runs(sorted_: Column) -> Column:
-    """(token, at) of each run of equal tokens."""
-    first = F.filter(F.transform(sorted_, lambda x, k: F.when((k == 0) | (F.get(sorted_, k - 1)["t"] != x["t"]), k)), lambda k: k.isNotNull())
-    return F.transform(F.arrays_zip(first.alias("s"), F.concat(F.slice(first, 2, 1 << 30), F.array(F.size(sorted_))).alias("e")), lambda r: F.struct(F.get(sorted_, r["s"])["t"].alias("token"), F.transform(F.slice(sorted_, r["s"] + 1, r["e"] - r["s"]), lambda x: x["i"]).alias("at")))
+def _grouped(rows: DataFrame, key: str, text: Column) -> DataFrame:
+    """(token, key, n, size, at) of each row's text; keys are unique."""
+    workers_import(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, grouping.pieces(text)).mapInArrow(grouping.runs(key), f"token string, {key} {kind}, n int, size int, at array<int>")
 
 
-def _exploded(rows: DataFrame, key: str, text: Column) -> DataFrame:
-    once = rows.select(key, F.explode(F.array(_sorted(text))).alias("own"))  # a generator's row, so that no expression sorts again
-    each = once.select(key, F.size("own").alias("size"), _runs(F.col("own")).alias("runs"))
-    return each.select(key, "size", F.explode("runs").alias("p")).where("p.token is not null").select("p.token", key, F.size("p.at").alias("n"), "p.at", "size")
+def postings(content: DataFrame) -> DataFrame:
+    """(token, hash, n, at) of each content (hash, body), in order of the token, then of how often it stands there.
 
+    The texts' bytes tell the number of partitions, so that a task's share of the sort stays as it is when there are more.
+    """
+    parts = max((content.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SORTED_BYTES + 1, int(content.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = _grouped(content, "hash", F.col("body")).drop("size")
+    return each.repartitionByRange(parts, "token", F.desc("n"), "hash").sortWithinPartitions("token", F.desc("n"), "hash")
 
-def postings(content: DataFrame) -> DataFrame:
-    """(token, hash, n, at) of each content (hash, body), in order of the token, then of how often it stands there."""
-    each = _exploded(content, "hash", F.col("body")).drop("size")
-    return each.repartitionByRange("token", F.desc("n"), "hash").sortWithinPartitions("token", F.desc("n"), "hash")
+
+def token_blocks(content: DataFrame) -> DataFrame:
+    """blocks() of contents that need no postings: counted within short batches, then summed."""
+    workers_import(content.sparkSession)
+    each = content.select("hash", grouping.pieces(F.col("body"))).mapInArrow(grouping.levels, "token string, level int, docs bigint")
+    return each.groupBy("token", "level").agg(F.sum("docs").alias("docs"))
 
 
 def heads(documents: DataFrame) -> DataFrame:
     """(token, id, n, at) of path and title of the active documents, at places that end at -1."""
-    each = _exploded(documents.where("active"), "id", F.concat_ws(" ", "path", "title"))
+    each = _grouped(documents.where("active"), "id", F.concat_ws(" ", "path", "title"))
     each = each.select("token", "id", "n", F.transform("at", lambda x: x - F.col("size")).alias("at"))
     return each.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
 

@@ -33,8 +33,14 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Rows and bytes of an Arrow batch: texts can be long, so batches stay short and a worker's memory bounded.
+BATCH_ROWS, BATCH_BYTES = 2048, 2 << 20
+
+
 def workers_import(spark: SparkSession) -> None:
-    """Let local Python workers import this package; on a cluster the package is installed or sent with --py-files."""
+    """Let local Python workers import this package, and give them short batches; on a cluster the package is installed or sent with --py-files."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
