@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import highlight, lines
+from tessera.session import materialize
 
 
 def doc_comments(files: DataFrame) -> DataFrame:
@@ -200,6 +201,25 @@ def prompt_parts(files: DataFrame, least: int = 10_000, size: int = 8000, overla
     return head.unionByName(each.select("collection", "id", (F.col("chunk_index") + 1).alias("part_no"), part.alias("part")))
 
 
+def placed(parts: DataFrame) -> DataFrame:
+    """(collection, id, place, start, part): the place of each part (collection, id, part) in its collection's text, from 1, and its first character.
+
+    A collection's text is its parts by id, then part, nulls last, with a line end between. Rows are sorted in ranges and a range's
+    parts are counted there, so no task holds a collection; what ranges hold before is a row for each of them and collection.
+    """
+    order = [F.asc_nulls_last("id"), F.asc_nulls_last("part")]
+    ranged = parts.repartitionByRange("collection", order[0]).select("collection", "id", "part", F.coalesce(F.length("part") + 1, F.lit(0)).cast("long").alias("chars"), F.spark_partition_id().alias("range"))
+    ranged = materialize(ranged, "parts")
+    sums = ranged.groupBy("collection", "range").agg(F.count("*").alias("n"), F.sum("chars").alias("sum"))
+    before = Window.partitionBy("collection").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("collection").alias("c"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("places"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("from"))
+    own = Window.partitionBy("collection", "range").orderBy(*order)
+    within = F.coalesce(F.sum("chars").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = ranged.select("*", F.row_number().over(own).alias("k"), within.alias("within"))
+    met = each.join(F.broadcast(sums), F.col("collection").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    return met.select("collection", "id", (F.col("places") + F.col("k")).alias("place"), (F.col("from") + F.col("within")).alias("start"), "part")
+
+
 # ---- Markdown
 
 

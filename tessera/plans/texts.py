@@ -179,10 +179,10 @@ def visible_documents(spark, d):
     return VISIBLE.df(spark, d).where((F.size("targets") == 0) | F.array_contains("targets", "Overview")).select("name")
 
 
-@query("format_for_prompt", with_(STORE) + "SELECT collection, id, '## ' || title || chr(10) || body AS part FROM st")
+@query("format_for_prompt", with_(STORE, "parts AS (SELECT collection, id, '## ' || title || chr(10) || body AS part FROM st)") + "SELECT collection, id, row_number() OVER w AS place, coalesce(sum(length(part) + 1) OVER (PARTITION BY collection ORDER BY id, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, part FROM parts WINDOW w AS (PARTITION BY collection ORDER BY id, part)")
 def format_for_prompt(spark, d):
-    """A prompt's parts with whole texts; a collection's prompt is its parts by id, and no row gathers a collection."""
-    return store(spark, d).select("collection", "id", F.concat(F.lit("## "), F.col("title"), F.lit("\n"), F.col("body")).alias("part"))
+    """A collection's prompt, its parts by id with a line end between, as whole parts with their places and where they start."""
+    return te.placed(store(spark, d).select("collection", "id", F.concat(F.lit("## "), F.col("title"), F.lit("\n"), F.col("body")).alias("part")))
 
 
 @query("markdown_pages")
