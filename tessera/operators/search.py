@@ -322,6 +322,10 @@ def hybrid_stored(documents: DataFrame, content: DataFrame, stored: DataFrame, v
     return ranked.where(F.col("score") >= min_score).orderBy(F.desc("score"), "file", "id").limit(limit)
 
 
+#: Documents whose scores a task of a batch holds at a time.
+BATCH_DOCUMENTS = 8192
+
+
 def batch_lexical(rows: DataFrame, queries: DataFrame, limit: int = 3) -> DataFrame:
     """(query_id, id, score) for a table of queries (query_id, query): share of the query's tokens among the body's tokens.
 
@@ -331,7 +335,8 @@ def batch_lexical(rows: DataFrame, queries: DataFrame, limit: int = 3) -> DataFr
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("token"))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
     held = rows.where("active").select("id", F.explode(F.array_distinct(tx.tokens(F.col("body")))).alias("token"))
-    wanted = held.join(asked.select("token").distinct(), "token", "left_semi")
+    parts = max(rows.where("active").count() // BATCH_DOCUMENTS + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = held.join(asked.select("token").distinct(), "token", "left_semi").repartition(parts, "id")  # a task's share stays as it is
     hits = wanted.join(asked, "token").groupBy("query_id", "id").agg(F.count("*").alias("hits"))
     # a query's scores have one divisor, so hits rank them; only the best rows meet the sizes
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "id"))).where(F.col("rank") <= limit)

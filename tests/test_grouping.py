@@ -88,3 +88,24 @@ def test_unit_vectors_are_those_of_the_sql_to_the_bit(spark, tmp_path):
     bits = lambda v: None if v is None else ["null" if x is None else "nan" if x != x else struct.pack("d", x) for x in v]
     want = {k: bits(v) for k, v in con.execute(entry.oracle_sql()["l2_normalize"]).fetchall()}
     assert {r[0]: bits(r[1]) for r in entry.queries()["l2_normalize"](spark, str(tmp_path)).collect()} == want
+
+
+def test_placed_parts_make_the_whole_text_of_a_collection(spark):
+    rows = [(f"c{i % 2}" if i % 5 else None, i // 2 if i % 7 else None, "x" * (i % 4) + str(i)) for i in range(200)]
+    got = te.placed(spark.createDataFrame(rows, "collection string, id bigint, part string")).collect()
+    for c in ("c0", "c1", None):
+        own = sorted((r for r in got if r["collection"] == c), key=lambda r: r["place"])
+        parts = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        whole = "\n".join(p for _, _, p in parts)
+        assert [(r["id"], r["part"]) for r in own] == [(i, p) for _, i, p in parts] and [r["place"] for r in own] == [*range(1, len(parts) + 1)]
+        assert all(whole[r["start"] : r["start"] + len(r["part"])] == r["part"] for r in own)
+
+
+def test_a_batch_of_searches_has_more_tasks_over_more_documents(spark, monkeypatch):
+    from tessera.operators import search as se
+
+    monkeypatch.setattr(se, "BATCH_DOCUMENTS", 10, raising=False)
+    rows = spark.range(300).select("id", F.lit(True).alias("active"), F.concat(F.lit("one two n"), F.col("id").cast("string")).alias("body"))
+    made = se.batch_lexical(rows, spark.createDataFrame([(1, "one n7"), (2, "two"), (3, "none")], "query_id int, query string"))
+    assert "hashpartitioning(id" in plan(made) and ", 31)" in plan(made)
+    assert [tuple(r)[:3] for r in made.orderBy("query_id", "rank").collect()] == [(1, 7, 1.0), (1, 0, 0.5), (1, 1, 0.5), (2, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
