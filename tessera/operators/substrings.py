@@ -25,6 +25,13 @@ def _runs(rows: DataFrame, name: str, sizes: Column) -> DataFrame:
     return once.select(name, F.explode(F.array_distinct(own)).alias("run"))
 
 
+def _keyed(own: DataFrame, held: DataFrame) -> DataFrame:
+    """(needle, run): of each needle's runs the one that the fewest hays hold; a run that none holds rules the needle out."""
+    often = held.join(own.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
+    keyed = own.join(often, "run", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("k"))
+    return keyed.where("k.n > 0").select("needle", "k.run")
+
+
 def pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """(needle, hay) of distinct strings where the hay holds the needle; null holds nothing, and all hold the empty one.
 
@@ -38,8 +45,7 @@ def pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
         return empty if empty is not None else hays.select(F.lit("").alias("needle"), "hay").limit(0)
     held = _runs(hays, "hay", F.array(*map(F.lit, sizes)))
     own = _runs(needles.where("needle <> ''"), "needle", F.array(F.least(F.length("needle"), F.lit(RUN))))
-    often = held.join(own.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
-    keyed = own.join(often, "run").groupBy("needle").agg(F.min(F.struct("n", "run")).alias("k")).select("needle", "k.run")
+    keyed = _keyed(own, held)
     out = keyed.join(held, "run").where(F.contains("hay", F.col("needle"))).select("needle", "hay")
     return out if empty is None else out.unionByName(empty)
 

@@ -46,3 +46,11 @@ def test_found(spark, block):
 def test_nothing_is_paired(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and ("BroadcastNestedLoopJoin" not in plan or name == "representation")  # two one-row sides
+
+
+def test_a_run_that_no_hay_holds_rules_its_needle_out(spark):
+    from tessera.operators import substrings as sb
+
+    own = spark.createDataFrame([("src/core7", "src/co"), ("src/core7", "/core7"), ("core/a", "core/a")], "needle string, run string")
+    held = spark.createDataFrame([(f"src/core/a.rs{i}", r) for i in range(9) for r in ("src/co", "core/a")], "hay string, run string")
+    assert [tuple(r) for r in sb._keyed(own, held).collect()] == [("core/a", "core/a")]
