@@ -17,6 +17,8 @@ from tessera.session import workers_import
 
 #: Collections are cut into so many keys by the hash of the path: a collection may hold most of all files.
 BUCKETS = 64
+#: A bucket is read whole where it has no more than so many paths for each that a delivery names.
+LOOK_UP = 16
 EVENTS = "collection string, path string, hash string, at bigint"
 CHANGES = "collection string, path string, hash string, at bigint, active boolean, status string"
 ANSWERS = "key string, at bigint, status string"
@@ -39,6 +41,7 @@ class Files(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", "at bigint")
         self.files = handle.getMapState("files", "path string", "at bigint, hash string, active boolean")
+        self.count = handle.getValueState("count", "n bigint")  # paths of the bucket
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         each = pd.concat(rows)
@@ -50,8 +53,12 @@ class Files(StatefulProcessor):
             mark = int(marks.max())
             self.mark.update((mark,))
         seen = each[each["path"].notna()].sort_values(["path", "at", "hash"]).drop_duplicates("path", keep="last")
+        count = now = self.count.get()[0] if self.count.exists() else 0
+        # each look-up is a call to the state; a delivery of a fair part of the bucket reads the bucket in one go
+        whole = newer or len(seen) * LOOK_UP >= count
+        held = {path: old for (path,), old in self.files.iterator()} if whole and count else {}
         for path, hash_, at in zip(seen["path"], seen["hash"], seen["at"], strict=True):
-            old, at = self.files.getValue((path,)) if self.files.containsKey((path,)) else None, int(at)
+            old, at = held.get(path) if whole else self.files.getValue((path,)) if self.files.containsKey((path,)) else None, int(at)
             if old is not None and (at, hash_) <= (old[0], old[1]):
                 continue
             active = mark is None or mark <= at
@@ -62,13 +69,18 @@ class Files(StatefulProcessor):
             else:
                 status = "deactivated" if old[2] else "gone"
             self.files.updateValue((path,), (at, hash_, active))
+            now += old is None
+            if whole:
+                held[path] = (at, hash_, active)
             if status != "unchanged":
                 out.append((key[0], path, hash_, at, active, status))
         if newer:
-            for (path,), (at, hash_, active) in [*self.files.iterator()]:  # a bucket
+            for path, (at, hash_, active) in held.items():  # a bucket
                 if active and at < mark:
                     self.files.updateValue((path,), (at, hash_, False))
                     out.append((key[0], path, hash_, mark, False, "deactivated"))
+        if now != count:
+            self.count.update((now,))
         if out:
             yield pd.DataFrame(out, columns=["collection", "path", "hash", "at", "active", "status"])
 
