@@ -51,10 +51,15 @@ def lexical_many(rows: DataFrame, queries: list[str], limit: int = 10, min_score
     """(query, id, file, hash, score, variant): the best contents of each query; bodies are read and lowered once for all."""
     own = _own(rows, collection)
     quality = tx.path_quality(F.col("file"))
-    forms = [F.struct(F.lit(i).alias("query"), F.lit(k).alias("variant"), F.round(tx.lexical_score(tx.query_tokens(q), q, F.col("hay"), F.col("path_hay")) * w * quality, 6).alias("score")) for i, k, w, q in _forms(queries)]
+    forms: dict[int, list[Column]] = {}
+    for i, k, w, q in _forms(queries):
+        score = F.round(tx.lexical_score(tx.query_tokens(q), q, F.col("hay"), F.col("path_hay")) * w * quality, 6)
+        forms.setdefault(i, []).append(F.struct((-score).alias("minus"), F.lit(k).alias("variant")))
     if not forms:
         return own.select(F.lit(0).alias("query"), "id", "file", "hash", F.lit(0.0).alias("score"), F.lit(0).alias("variant")).limit(0)
-    scored = own.select("id", "file", "hash", F.explode(F.array(*forms)).alias("f")).select("f.query", "id", "file", "hash", "f.score", "f.variant").where("score > 0")
+    best = [F.struct(F.lit(i).alias("query"), F.array_min(F.array(*made)).alias("b")) for i, made in forms.items()]  # a row's best form of each query
+    each = own.select("id", "file", "hash", F.explode(F.array(*best)).alias("f"))
+    scored = each.select("f.query", "id", "file", "hash", (-F.col("f.b.minus")).alias("score"), F.col("f.b.variant").alias("variant")).where("score > 0")
     return _top(_best_of(scored).where(F.col("score") >= min_score), limit).select(*_HIT)
 
 
@@ -103,23 +108,14 @@ def vector_given(vectors: DataFrame, query: list[float], limit: int = 10, key: s
 def vector_hashed_many(rows: DataFrame, queries: list[str], limit: int = 10) -> DataFrame:
     """(query, id, file, hash, score, variant) by cosine of hashed features and overlap, for several queries at once.
 
-    Contents come in sparse form, one row per place, and meet the queries' few places in a join, so no vector is built and
-    a content's features are made once for all queries.
+    A row gets its cosines and overlaps where its body is read, so the shuffle has a short row for each hit and no body.
     """
-    spark = rows.sparkSession
     own = _own(rows, None)
-    asked = vec.hashed_features(spark.createDataFrame(list(enumerate(queries)), "query int, body string"), "query").select("query", "idx", F.col("value").alias("q"))
-    lengths = asked.groupBy("query").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    by_place = asked.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("query", "q"))).alias("qs"))  # at most 256 places
-    features = vec.hashed_features(own.groupBy("hash").agg(F.first("body").alias("body")))
-    dots = [F.sum(F.col("value") * F.coalesce(F.col("qs")[i], F.lit(0.0))).alias(f"dot{i}") for i in range(len(queries))]
-    summed = features.join(F.broadcast(by_place), "idx", "left").groupBy("hash").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), *dots)
-    each = summed.select("hash", "norm", F.posexplode(F.array(*[F.col(f"dot{i}") for i in range(len(queries))])).alias("query", "dot")).join(F.broadcast(lengths), "query")
-    cosines = each.where((F.col("norm") > vec.TINY) & (F.col("q_norm") > vec.TINY)).select("query", "hash", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("cos")).where("cos > 0")
     overlaps = F.array(*[tx.overlap(tx.query_tokens(q), F.col("hay")) for q in queries])
-    files = own.select("id", "file", "hash", overlaps.alias("overlaps"))
-    score = (VECTOR_COSINE * F.col("cos") + VECTOR_OVERLAP * F.col("overlaps")[F.col("query")]) * tx.path_quality(F.col("file"))
-    scored = files.join(cosines, "hash").select("query", "id", "file", "hash", F.round(score, 6).alias("score"), F.lit(0).alias("variant"))
+    met = vec.hashed_cosines(own.select("id", "file", "hash", overlaps.cast("array<double>").alias("overlaps"), "body"), queries)
+    each = met.select("id", "file", "hash", F.posexplode(F.arrays_zip("cos", "overlaps")).alias("query", "m")).where("m.cos > 0")
+    score = (VECTOR_COSINE * F.col("m.cos") + VECTOR_OVERLAP * F.col("m.overlaps")) * tx.path_quality(F.col("file"))
+    scored = each.select("query", "id", "file", "hash", F.round(score, 6).alias("score"), F.lit(0).alias("variant"))
     return _top(_best_of(scored), limit).select(*_HIT)
 
 

@@ -1,5 +1,6 @@
 """Steps that have to grow no faster than their rows: tokens grouped within a row, sections cut once, short batches."""
 
+import math
 import time
 
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tessera.functions import text as tx
 from tessera.functions import vector as vec
 from tessera.operators import details as de
 from tessera.operators import fulltext as ft
+from tessera.operators import search as se
 from tessera.operators import textual as te
 
 TEXTS = [("a", "The cat, the dog; the é cat"), ("b", None), ("c", ""), ("d", "x y"), ("e", "word " * 40 + "tail")]
@@ -31,6 +33,38 @@ def test_features_and_vectors_are_made_without_a_shuffle(spark):
             assert [int(max(-1.0, min(1.0, x)) * 32767) for x in dense[h]] == vec.query_vector(text)
 
 
+def searched(spark):
+    rows = [(i, "c", f"{'src/' * (i % 2)}{i}.md", f"t{i}", h, b, True) for i, (h, b) in enumerate([*TEXTS, TEXTS[0], TEXTS[0], ("f", "dog cat bird"), TEXTS[3]])]
+    return spark.createDataFrame(rows, "id long, collection string, path string, title string, hash string, body string, active boolean")
+
+
+def test_searches_score_a_row_where_its_body_is_read(spark):
+    queries = ["cat dog", "x", "zzz", "é the word"]
+    rows = searched(spark)
+    lines = plan(se.vector_hashed_many(rows, queries)).splitlines()
+    assert max(i for i, x in enumerate(lines) if "Exchange" in x) < min(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    assert se.vector_hashed_many(rows, []).collect() == []
+    want = set()
+    for i, q in enumerate(queries):
+        best = {}
+        for r in rows.collect():
+            terms, a, b = tx.query_tokens(q), vec.query_vector(q), vec.query_vector(r["body"] or "")
+            n = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+            if n and (cos := sum(x * y for x, y in zip(a, b, strict=True)) / n) > 0:
+                file = f"c/{r['path']}"
+                score = (0.74 * cos + 0.26 * (sum(t in f"{r['title']} {r['body']}".lower() for t in terms) / len(terms))) * (1.05 if "/src/" in file else 1)
+                best[r["hash"]] = min(best.get(r["hash"], (0, "", 0)), (-round(score, 4), file, r["id"]))
+        want |= {(i, h, -s, file, k) for h, (s, file, k) in best.items()}
+    assert {(i, h) for i, h, *_ in want} == {(0, "a"), (0, "f"), (3, "a"), (3, "e")}
+    assert {(r["query"], r["hash"], round(r["score"], 4), r["file"], r["id"]) for r in se.vector_hashed_many(rows, queries).collect()} == want
+
+
+def test_a_row_meets_the_shuffle_once_for_a_query(spark):
+    made = se.lexical_many(searched(spark), ["the cat dog"], 10)
+    assert {(r["hash"], r["variant"]) for r in made.collect()} == {("a", 2), ("f", 1)}
+    assert "array_min(" in plan(made)  # three forms of the query, one row
+
+
 def test_postings_of_a_row_are_grouped_in_batches(spark):
     made = ft.postings(contents(spark))
     assert "lambda" not in plan(made)
