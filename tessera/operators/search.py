@@ -108,7 +108,8 @@ def vector_given(vectors: DataFrame, query: list[float], limit: int = 10, key: s
 def vector_hashed_many(rows: DataFrame, queries: list[str], limit: int = 10) -> DataFrame:
     """(query, id, file, hash, score, variant) by cosine of hashed features and overlap, for several queries at once.
 
-    A row gets its cosines and overlaps where its body is read, so the shuffle has a short row for each hit and no body.
+    A row gets its cosines and overlaps where its body is read, so the shuffle has a short row for each hit and no body. A text
+    whose features cancel out has a cosine of NaN, which is above all numbers, as in its SQL.
     """
     own = _own(rows, None)
     overlaps = F.array(*[tx.overlap(tx.query_tokens(q), F.col("hay")) for q in queries])
