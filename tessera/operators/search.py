@@ -257,8 +257,8 @@ def expand_query(query: str) -> list[str]:
 
 
 def dedup_hits(hits: DataFrame) -> DataFrame:
-    """Per document the best hit."""
-    best = hits.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "file")).alias("b"))
+    """Per document the best hit; NaN is above all numbers."""
+    best = hits.groupBy("id").agg(F.min(F.struct((~F.isnan("score")).alias("number"), (-F.col("score")).alias("minus"), "file")).alias("b"))
     return best.select("id", "b.file", (-F.col("b.minus")).alias("score"))
 
 

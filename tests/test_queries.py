@@ -78,7 +78,7 @@ def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["vector_search_hashed"])
+@pytest.mark.parametrize("name", ["vector_search_hashed", "hybrid_search"])
 def test_texts_whose_features_cancel_out(spark, tmp_path, name):
     """"acc" and "acg" share a place and have opposite signs, so a text of both has a norm of zero: its SQL puts it first."""
     texts = ["acc acg", "acc acg acc acg", "acc", "acc acg that config", "acc acg\n\nacg acc config eau les", "acc acg", "tion of that config eau les"]
