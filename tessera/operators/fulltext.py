@@ -23,7 +23,7 @@ from tessera.functions import grouping
 from tessera.functions import text as tx
 from tessera.operators import search as se
 from tessera.operators.store import file
-from tessera.session import workers_import
+from tessera.session import materialize, workers_import
 
 #: How rank and overlap make a score, and what a cover without other words adds.
 RANK, OVERLAP, COVER = 0.72, 0.28, 0.1
@@ -37,6 +37,8 @@ HITS = "id bigint, file string, hash string, score double, variant int"
 
 #: Bytes of texts whose postings a task sorts.
 SORTED_BYTES = 16 << 20
+#: How segments are written.
+SEGMENT_FILES = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.dictionary.page.size": str(8 << 20)}
 
 
 def _grouped(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -56,6 +58,18 @@ def postings(content: DataFrame) -> DataFrame:
     return each.repartitionByRange(parts, "token", F.desc("n"), "hash").sortWithinPartitions("token", F.desc("n"), "hash")
 
 
+def stored_segments(content: DataFrame) -> DataFrame:
+    """The rows of postings() as a written table of segments: a run of contents' postings is sorted where it is read.
+
+    Nothing is shuffled or sorted by Spark, a worker holds one segment, and within a segment's pages few hashes and tokens
+    repeat, so dictionaries hold them: row groups are kept short enough for that.
+    """
+    workers_import(content.sparkSession)
+    kind = content.schema["hash"].dataType.simpleString()
+    each = content.select("hash", grouping.pieces(F.col("body"))).mapInArrow(grouping.segments("hash"), f"token string, hash {kind}, n int, at array<int>")
+    return materialize(each, "postings", **SEGMENT_FILES)
+
+
 def token_blocks(content: DataFrame) -> DataFrame:
     """blocks() of contents that need no postings: counted within short batches, then summed."""
     workers_import(content.sparkSession)

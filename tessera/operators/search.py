@@ -154,11 +154,12 @@ class Terms:
         self.all = list(dict.fromkeys(t for q in queries for t in tx.query_tokens(q)))
 
     def near(self, stored: DataFrame, vocabulary: DataFrame) -> DataFrame:
-        """The postings of tokens that hold a term."""
+        """The postings of tokens that hold a term: by a listed filter where few tokens do, else by a look at each token."""
         if not self.all:
             return stored.limit(0)
         held = lambda c: reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in self.all])
-        return among(stored, "token", vocabulary.where(held(F.col("token"))))
+        found = [r[0] for r in vocabulary.where(held(F.col("token"))).select("token").distinct().limit(LISTED + 1).collect()]
+        return stored.where(F.col("token").isin(found) if len(found) <= LISTED else held(F.col("token")))
 
     def bits(self, near: DataFrame) -> DataFrame:
         """(hash, m0, m1 ...): a bit for each term that a content holds."""

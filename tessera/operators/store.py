@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.session import materialize
 
 
-def from_documents(documents: DataFrame) -> DataFrame:
-    """The test tables' documents as store rows: id, collection, path, title, hash, body, active."""
+#: How contents are written: in row groups short enough that tasks share a file.
+CONTENT_FILES = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+
+
+def from_documents(documents: DataFrame, *more: str) -> DataFrame:
+    """The test tables' documents as store rows: id, collection, path, title, hash, body, active, and more of their columns."""
     path = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    rows = documents.select(F.col("doc_id").alias("id"), F.col("source").alias("collection"), path.alias("path"), F.coalesce("text", F.lit("")).alias("body"))
-    return rows.select("id", "collection", "path", tx.title(F.col("path"), F.col("body")).alias("title"), F.sha2("body", 256).alias("hash"), "body", F.lit(True).alias("active"))
+    rows = documents.select(F.col("doc_id").alias("id"), F.col("source").alias("collection"), path.alias("path"), F.coalesce("text", F.lit("")).alias("body"), *more)
+    return rows.select("id", "collection", "path", tx.title(F.col("path"), F.col("body")).alias("title"), F.sha2("body", 256).alias("hash"), "body", F.lit(True).alias("active"), *more)
 
 
 def content(rows: DataFrame) -> DataFrame:
@@ -22,6 +27,22 @@ def content(rows: DataFrame) -> DataFrame:
     return rows.groupBy("hash").agg(F.first("body").alias("body"))
 
 
+def placed(table: DataFrame) -> DataFrame:
+    """A table of files with the place of each row: its file, as a number, and its number there."""
+    return table.select("*", F.xxhash64("_metadata.file_path").alias("in_file"), F.col("_metadata.row_index").alias("at_row"))
+
+
+def content_in_place(rows: DataFrame) -> DataFrame:
+    """content() of rows with the place of placed(): only hashes and places of rows are shuffled.
+
+    Places of copies of an earlier row are written as a narrow table, whose size tells Spark whether to broadcast it; then
+    bodies stay where they are read. With too many copies for that both sides are sorted.
+    """
+    order = Window.partitionBy("hash").orderBy("in_file", "at_row")
+    again = rows.select("hash", "in_file", "at_row").withColumn("n", F.row_number().over(order)).where("n > 1").select("in_file", "at_row")
+    return rows.join(materialize(again, "again"), ["in_file", "at_row"], "left_anti").select("hash", "body")
+
+
 def file(collection: Column, path: Column) -> Column:
     return F.concat_ws("/", collection, path)
 

@@ -143,3 +143,54 @@ def test_a_batch_of_searches_has_more_tasks_over_more_documents(spark, monkeypat
     made = se.batch_lexical(rows, spark.createDataFrame([(1, "one n7"), (2, "two"), (3, "none")], "query_id int, query string"))
     assert "hashpartitioning(id" in plan(made) and ", 31)" in plan(made)
     assert [tuple(r)[:3] for r in made.orderBy("query_id", "rank").collect()] == [(1, 7, 1.0), (1, 0, 0.5), (1, 1, 0.5), (2, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0)]
+
+
+def test_segments_are_the_postings_without_a_shuffle(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.functions import grouping
+
+    made = ft.stored_segments(contents(spark))
+    want = sorted((t, h, n, tuple(at)) for t, h, n, at in ft.postings(contents(spark)).collect())
+    assert sorted((t, h, n, tuple(at)) for t, h, n, at in made.collect()) == want
+    rows = [(h, tx.query_tokens(x) if x is not None else None) for h, x in TEXTS] + [("f", ["dog", "a", "", "dog"])]
+    batches = [pa.RecordBatch.from_pydict({"hash": [h for h, _ in part], "pieces": pa.array([p for _, p in part], pa.list_(pa.string()))}) for part in (rows[:2], rows[2:3], rows[3:5], rows[5:])]
+    monkeypatch.setattr(grouping, "SLICE", 2)
+    for most, segments in ((100, 1), (3, 2), (1, 4)):
+        monkeypatch.setattr(grouping, "SEGMENT_ROWS", most)
+        out = [tuple(r.values()) for b in grouping.segments("hash")(iter(batches)) for r in b.to_pylist()]
+        assert sorted((t, h, n, tuple(at)) for t, h, n, at in out) == sorted([*want, ("dog", "f", 2, (0, 1))])
+        falls = sum((a[0], -a[2]) > (b[0], -b[2]) for a, b in zip(out, out[1:], strict=False))
+        assert falls < segments
+
+
+def test_stored_tables_take_less_than_the_texts(spark, monkeypatch):
+    """No body is shuffled, and postings and contents on disk are smaller than what they come from."""
+    import os
+
+    from tessera.plans import search as ps
+
+    sf = "/root/testdata/sf0.01"
+    size = lambda df: sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+    texts = ps.store(spark, sf).agg(F.sum(F.octet_length("body"))).first()[0]
+    _, content, held, _ = ps.stored(spark, sf, False)
+    assert size(held) < 0.8 * texts and size(content) < 0.8 * texts
+    assert "Exchange hashpartitioning" not in plan(ps.content(spark, sf))
+
+
+def test_one_content_of_copies_in_any_file(spark, tmp_path):
+    from tessera.operators import store as st
+
+    texts = ["a b", None, "a b", "", "c d", "a b", "c d", "e"]
+    for k, rows in enumerate((texts, texts[::-1], ["f", "a b"])):
+        spark.createDataFrame([(1, t, "en", "s", 0) for t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet/part={k}")
+    documents = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = st.content_in_place(st.from_documents(st.placed(documents), "in_file", "at_row"))
+    want = st.content(st.from_documents(documents))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 5
+
+
+def test_many_tokens_with_a_term_need_no_join(spark):
+    stored = spark.createDataFrame([(f"the{i}", "h") for i in range(1200)] + [("x", "h"), ("lathe", "g")], "token string, hash string")
+    near = se.Terms(["the"]).near(stored, stored.select("token"))
+    assert near.count() == 1201 and "Join" not in plan(near)
